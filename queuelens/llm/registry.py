@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from queuelens.llm import mixing, pii, sharding, topk
+from queuelens.llm import mixing, packing, pii, quality, sharding, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": quality.query,
         "op2_pfair_mix": mixing.query,
         "op5_pii": pii.query,
         "op6_exact_top_k": topk.query,
+        "op8_best_fit_pack": packing.query,
         "op9_histogram_sort_shards": sharding.query,
     }
 
