@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from queuelens.llm import media, mixing, packing, pii, quality, sharding, topk
+from queuelens.llm import media, mixing, ngram_join, packing, pii, quality, sharding, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": quality.query,
         "op2_pfair_mix": mixing.query,
+        "op3_ngram_jaccard": ngram_join.query,
         "op4_lossless_webp": media.query,
         "op5_pii": pii.query,
         "op6_exact_top_k": topk.query,
