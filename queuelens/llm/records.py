@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
 #: Stands for a null id in integer records; it sorts before every other id.
 NULL_ID = -(2**63)
@@ -50,7 +52,23 @@ def gather(blobs: list[bytes], kinds: tuple[str, ...]) -> list[np.ndarray]:
 
 def in_buckets(key: np.ndarray, buckets: int, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """Blobs of the records of each range of keys (unsigned 64 bits, evenly spread)."""
-    bucket = ((key >> np.uint64(40)).astype(np.int64) * buckets) >> 24
+    return _dealt(((key >> np.uint64(40)).astype(np.int64) * buckets) >> 24, columns)
+
+
+def by_doc(doc: np.ndarray, buckets: int, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Blobs of the records of each bucket of documents, as doc_bucket() deals them."""
+    ids, at = np.unique(doc, return_inverse=True)
+    bucket = np.fromiter((zlib.crc32(str(i).encode()) % buckets for i in ids.tolist()), np.int64, len(ids))
+    return _dealt(bucket[at], columns)
+
+
+def doc_bucket(doc: Column, buckets: int) -> Column:
+    return (F.crc32(doc.cast("string").cast("binary")) % buckets).cast("int")
+
+
+def _dealt(bucket: np.ndarray, columns: tuple[np.ndarray, ...]) -> Iterator[tuple[int, bytes]]:
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     edges = np.flatnonzero(np.diff(bucket, prepend=-1))
