@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from queuelens.llm import media, mixing, ngram_join, packing, pii, quality, sharding, suffix_dedup, topk
+from queuelens.llm import licenses, media, mixing, ngram_join, packing, pii, quality, sharding, suffix_dedup, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_suffix_dedup": suffix_dedup.query,
         "op8_best_fit_pack": packing.query,
         "op9_histogram_sort_shards": sharding.query,
+        "op10_license_scan": licenses.query,
     }
 
 
