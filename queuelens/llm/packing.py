@@ -56,7 +56,8 @@ def _parts(word: str) -> tuple[str, ...]:
     if word.isascii():
         word = word.lower()
     m = _TAIL.fullmatch(word)
-    return m.groups() if m else (word,)
+    # A letter whose lower case is several characters may end in a mark, which the tokenizer counts as punctuation.
+    return m.groups() if m and len(m[1][-1].lower()) == 1 else (word,)
 
 
 def word_ids(words: list[str], path: str) -> list[bytes]:
