@@ -1,19 +1,152 @@
-"""Queries of the congestion operators and the SQL of those that SQL can express."""
+"""Queries of the congestion operators over the driver's tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from queuelens.functions import diagrams, traffic
+from queuelens.operators import discharge, episodes, panels, quality_control, queue_model, ranking, reliability, runs, text_issues
+from queuelens.plans import oracles, states
+from queuelens.session import cut
+
+#: Capacity (veh/h/lane) that turns demand into D/C here.
+CAPACITY = 300.0
+FD_CANDIDATES = [
+    ("Greenshields", {"vf": 70, "kj": 190}),
+    ("Underwood", {"vf": 70, "kc": 60}),
+    ("S3", {"vf": 70, "kc": 35, "m": 4}),
+    ("GHR_M1", {"vf": 70, "kc": 45}),
+    ("Wang_3PL", {"vf": 70, "kc": 40, "theta": 20}),
+]
+
+
+def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+def _qc(spark, d):
+    return quality_control.run_qc(states.states(spark, d))
+
+
+def _episodes(spark, d):
+    """Episodes with their sensor's place on the road, and the rows behind them; both are read several times."""
+    qc = cut(_qc(spark, d))
+    roads = qc.groupBy("sensor_uid").agg(F.min("road_order").alias("road_order"))
+    return cut(episodes.find_episodes(qc).join(roads, "sensor_uid")), qc
+
+
+def q_resample(spark, d):
+    return states.resampled(states.readings(spark, d)).drop("number")
+
+
+def q_qc_flags(spark, d):
+    out = _qc(spark, d).select("sensor_uid", "datetime", "qc_hard_range", "qc_jump", "qc_hampel", "qc_spatial", "qc_pass", "speed_mph_clean")
+    return _rounded(out, 6, "speed_mph_clean")
+
+
+def q_episodes(spark, d):
+    out = _episodes(spark, d)[0].drop("road_order", "v_c_mph", "n_bins")
+    return _rounded(out, 3, "P_min", "min_speed_mph", "demand_veh", "cong_mean_speed")
+
+
+def q_reliability(spark, d):
+    return episodes.sensor_reliability(_episodes(spark, d)[0]).drop("regime_counts")
+
+
+def q_mu_links(spark, d):
+    eps, qc = _episodes(spark, d)
+    links = discharge.mu_per_link(discharge.mu_per_episode(eps, qc), episodes.sensor_reliability(eps))
+    out = discharge.shrink_to_group(links)
+    return _rounded(_rounded(out, 3, "mu_obs_median_vphpl", "mu_obs_iqr_vphpl", "mu_group_median_vphpl", "mu_shrunk_vphpl"), 6, "alpha_shrinkage")
+
+
+def q_ranking(spark, d):
+    return cut(ranking.rank(_episodes(spark, d)[0]))
+
+
+def q_accounting(spark, d):
+    return _rounded(reliability.accounting(states.states(spark, d)), 5, "vmt", "vht", "vfftt", "vdt", "vcdt", "avg_speed")
+
+
+def _with_ratios(spark, d):
+    eps = _episodes(spark, d)[0]
+    capacity = eps.select("sensor_uid").distinct().withColumns({"capacity_vphpl": F.lit(CAPACITY), "v_f_mph": F.lit(70.0)})
+    return queue_model.with_ratios(eps, capacity)
+
+
+def q_calibration(spark, d):
+    eps = _with_ratios(spark, d).where("P_min > 0 and demand_veh > 0").withColumn("length_mi", F.lit(1.0))
+    out = queue_model.forward(queue_model.calibrate(eps)).select("sensor_uid", "date", "period", "Q_n", "Q_cd", "Q_cp", "calibration_status", "Q_alpha", "Q_beta", "P_hat", "vt2_hat")
+    return _rounded(out, 6, "Q_n", "Q_cd", "Q_cp", "Q_alpha", "Q_beta", "P_hat", "vt2_hat")
+
+
+def q_fits(spark, d):
+    fits = queue_model.fit_groups(queue_model.without_outliers(queue_model.weekdays(_with_ratios(spark, d))))
+    return _rounded(fits.select("sensor_uid", "period", "n_f_d", "f_d", "n", "n_alpha", "alpha", "beta"), 5, "f_d", "n", "alpha", "beta")
+
+
+def q_text_issues(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "source")
+    return text_issues.extract_issues(docs, "doc_id").drop("direction", "time_mention", "recommended_token")
+
+
+def q_objectives(spark, d):
+    rows = states.states(spark, d).select(F.col("speed_mph").alias("speed"), F.col("flow_vph").alias("flow"), F.col("density_vpm").alias("density"))
+    out = diagrams.objectives(rows, FD_CANDIDATES)
+    return out.select("model", "candidate", "n", F.round(F.sqrt(F.col("sse") / F.col("n")), 4).alias("speed_rmse"), F.round(F.sqrt(F.col("joint_sse") / F.col("n")), 4).alias("joint_rmse"))
+
+
+def q_free_flow(spark, d):
+    return _rounded(panels.free_flow(states.states(spark, d)), 4, "v_f_mph")
+
+
+def q_s3(spark, d):
+    flow = traffic.s3_flow("speed_mph", 70.0, 35.0, 4.0)
+    return states.states(spark, d).select("sensor_uid", "datetime", F.round(flow, 4).alias("flow_vph"))
+
+
+def q_rank_agreement(spark, d):
+    r = q_ranking(spark, d).groupBy("corridor", "sensor_uid").agg(F.sum("CBI_score").alias("score"), F.sum("delay_proxy_veh_h_per_lane_day").alias("delay"))
+    return panels.rank_agreement(r, "score", "delay")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+    return q_ranking(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {
+        "resample_5min": q_resample,
+        "qc_flags": q_qc_flags,
+        "qc_summary": lambda s, d: quality_control.qc_summary(_qc(s, d)),
+        "episodes": q_episodes,
+        "sensor_reliability": q_reliability,
+        "mu_links": q_mu_links,
+        "ranking": q_ranking,
+        "corridor_summary": lambda s, d: ranking.corridor_summary(q_ranking(s, d)),
+        "lottr": lambda s, d: reliability.lottr(states.states(s, d)),
+        "tttr": lambda s, d: reliability.tttr(states.states(s, d)),
+        "vehicle_hours_of_delay": lambda s, d: reliability.vehicle_hours_of_delay(states.states(s, d)),
+        "accounting": q_accounting,
+        "queue_calibration": q_calibration,
+        "queue_fits": q_fits,
+        "text_issues": q_text_issues,
+        "fd_objectives": q_objectives,
+        "speed_runs": lambda s, d: runs.find_runs(states.states(s, d)).select("sensor_uid", "date", "i_start", "i_end", "n_low"),
+        "observed_share": lambda s, d: panels.observed_share(states.states(s, d)),
+        "free_flow": q_free_flow,
+        "s3_volume": q_s3,
+        "corridor_panel": lambda s, d: panels.corridor_panel(states.states(s, d), 6),
+        "grid_filled": lambda s, d: _rounded(panels.grid_filled(states.states(s, d)), 9, "speed_mph"),
+        "flow_residual": lambda s, d: _rounded(panels.flow_residual(states.states(s, d)), 4, "mean_residual", "p95_abs"),
+        "recurrent_deviation": lambda s, d: _rounded(panels.recurrent_deviation(states.states(s, d)), 4, "frobenius"),
+        "rank_agreement": q_rank_agreement,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    found = oracles.sql()
+    return {name: found[name] for name in queries() if name in found}
