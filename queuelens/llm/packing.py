@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import math
 import os
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,7 @@ from queuelens.llm.common import cut, table, text_or_empty
 CAPACITY = 4096
 END_ID = 1
 #: Distinct words whose ids a worker keeps, and the longest word that is kept.
-MEMO_WORDS, MEMO_CHARS = 400_000, 64
-_TAIL = re.compile(r"(.*[^\W_])([!-/:-@\[-`{-~]+)", re.S)
+MEMO_WORDS, MEMO_CHARS = 900_000, 64
 _memo: dict[str, bytes] = {}
 _tokenizers: dict[str, object] = {}
 
@@ -48,42 +48,54 @@ def _tokenizer(path: str):
     return _tokenizers[path]
 
 
-def _parts(word: str) -> tuple[str, ...]:
-    """A word cut where the tokenizer always cuts: between a letter or digit and the punctuation that ends the word.
-    ASCII words are lower-cased, as the tokenizer does. Words that may hold a special token stay whole."""
-    if "<|" in word:
-        return (word,)
-    if word.isascii():
-        word = word.lower()
-    m = _TAIL.fullmatch(word)
-    # A letter whose lower case is several characters may end in a mark, which the tokenizer counts as punctuation.
-    return m.groups() if m and len(m[1][-1].lower()) == 1 else (word,)
+@cache
+def _word_ends(path: str) -> np.ndarray:
+    """Which ids end a word."""
+    vocabulary = _tokenizer(path).get_vocab(with_added_tokens=False)
+    out = np.zeros(max(vocabulary.values()) + 1, bool)
+    out[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+    return out
 
 
 def word_ids(words: list[str], path: str) -> list[bytes]:
-    """Ids of words without white space, as little-endian 32-bit numbers; each distinct part is tokenised once."""
+    """Ids of words without white space, as little-endian 32-bit numbers; each distinct word is tokenised once."""
     tok = _tokenizer(path)
     if len(_memo) > MEMO_WORDS:
         _memo.clear()
-    parts = [_parts(w) for w in words]
-    new = list({p for ps in parts for p in ps if p not in _memo})
+    new = [w for w in words if w not in _memo]
+    plain = [w for w in new if w.isascii() and w.isalpha()]
     got: dict[str, bytes] = {}
-    for at in range(0, len(new), 20_000):
-        some = new[at : at + 20_000]
-        for p, e in zip(some, tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
-            got[p] = np.array(e.ids, dtype="<u4").tobytes()
-    out = [b"".join([_memo[p] if p in _memo else got[p] for p in ps]) for ps in parts]
-    _memo.update((p, b) for p, b in got.items() if len(p) <= MEMO_CHARS)
+    for at in range(0, len(plain), 20_000):  # a word of letters ends with one id that ends a word
+        some = plain[at : at + 20_000]
+        ids = np.array(tok.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+        raw, ends = ids.tobytes(), (4 * (np.flatnonzero(_word_ends(path)[ids]) + 1)).tolist()
+        got.update((w, raw[a:b]) for w, a, b in zip(some, [0, *ends], ends, strict=False))
+    rest = [w for w in new if w not in got]
+    for at in range(0, len(rest), 20_000):
+        some = rest[at : at + 20_000]
+        for w, e in zip(some, tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
+            got[w] = array("I", e.ids).tobytes()
+    out = [got[w] if w in got else _memo[w] for w in words]
+    _memo.update((w, b) for w, b in got.items() if len(w) <= MEMO_CHARS)
     return out
 
 
+def _prepared(texts: pa.Array) -> pa.Array:
+    """Texts with their ASCII letters in lower case and a space before the punctuation that ends a word: the tokenizer
+    does the one and cuts at the other itself. Texts with combining marks or special tokens stay as they are."""
+    texts = texts.cast(pa.string())  # of sliced large strings, ascii_lower reads the wrong bytes
+    simpler = pc.replace_substring_regex(pc.ascii_lower(texts), r"([0-9a-z])([!-/:-@\[-`{-~]+)(\s|$)", r"\1 \2\3")
+    odd = pc.or_(pc.match_substring_regex(texts, r"\p{M}"), pc.match_substring(texts, "<|"))
+    return pc.if_else(odd, texts, simpler) if pc.any(odd).as_py() else simpler
+
+
 def tokenise(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """All texts' ids in one array, each text's followed by END_ID, and the ends of the texts in it."""
-    words = pc.ascii_split_whitespace(texts)
+    words = pc.ascii_split_whitespace(_prepared(texts))
     coded = words.flatten().dictionary_encode()
-    table_ = [np.frombuffer(b, "<u4") for b in word_ids(coded.dictionary.to_pylist(), path)]
-    lengths = np.fromiter(map(len, table_), np.int64, len(table_))
-    flat = np.concatenate([np.empty(0, "<u4"), *table_]).astype("<u4")
+    known = word_ids(coded.dictionary.to_pylist(), path)
+    lengths = np.fromiter(map(len, known), np.int64, len(known)) // 4
+    flat = np.frombuffer(b"".join(known), "<u4")
     which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     n_words = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
     count = lengths[which]
@@ -96,12 +108,12 @@ def tokenise(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, ends + docs + 1
 
 
-def _pieces(path: str, capacity: int, with_ids: bool, chunk: int = 500):
+def _pieces(path: str, capacity: int, with_ids: bool, chunk: int = 1500):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), chunk):
                 batch = whole.slice(at, chunk)
-                ids, ends = tokenise(batch.column(1).cast(pa.large_string()) if batch.column(1).type != pa.large_string() else batch.column(1), path)
+                ids, ends = tokenise(batch.column(1), path)
                 rows, begin = [], 0
                 for i, end in enumerate(ends.tolist()):
                     for piece, s in enumerate(range(begin, end, capacity)):
