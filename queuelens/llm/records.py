@@ -91,7 +91,7 @@ def starts(*columns: np.ndarray) -> np.ndarray:
 def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
     """(key, rows) of rows sorted by their first columns; one group in memory at a time."""
     now, rows = None, []
-    for batch in batches:
+    for batch in (b.slice(at, 64) for b in batches for at in range(0, len(b), 64)):
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if row[:keys] != now:
                 if rows:
@@ -102,9 +102,9 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple
         yield now, rows
 
 
-def bucket_count(spark: SparkSession, least: int = 128) -> int:
-    """Buckets for a shuffle of records: several for each shuffle partition."""
-    return max(least, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+def bucket_count(spark: SparkSession, each: int = 2, least: int = 64) -> int:
+    """Buckets for a shuffle of records: ``each`` for a shuffle partition."""
+    return max(least, each * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def ids_of(column: pa.Array) -> np.ndarray:

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -30,11 +31,22 @@ from queuelens.llm.records import NULL_ID, bucket_count, by_doc, doc_bucket, gat
 
 LENGTH, GRAM = 100, 32
 #: Bytes that are hashed at a time, and the bits of a place among them.
-PLACE_BITS = 20
+PLACE_BITS = 19
 CHUNK = 1 << PLACE_BITS
 #: Records that a task holds before it sends them on.
-FLUSH = 1_000_000
+FLUSH = 400_000
 ONE, MANY, REMOVE, OPEN, TOKEN = range(5)
+
+
+@dataclass(frozen=True)
+class Buckets:
+    """How many ranges of hashes, and how many groups of documents, records are dealt to. A task sends at most one block
+    to each, so their number follows that of the shuffle partitions."""
+
+    ranges: int
+    docs: int
+
+
 _P = 0x9E3779B97F4A7C15
 
 
@@ -132,9 +144,9 @@ def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return doc[first], start[first], (reach - lift)[np.append(first[1:], len(doc)) - 1]
 
 
-def _removed(doc: np.ndarray, start: np.ndarray, end: np.ndarray, buckets: int) -> list[tuple[int, int, bytes]]:
+def _removed(doc: np.ndarray, start: np.ndarray, end: np.ndarray, buckets: Buckets) -> list[tuple[int, int, bytes]]:
     doc, start, end = _merged(doc, start, end)
-    return [(b, REMOVE, blob) for b, blob in by_doc(doc, buckets, doc, start, end)]
+    return [(b, REMOVE, blob) for b, blob in by_doc(doc, buckets.docs, doc, start, end)]
 
 
 def _resolved(gram, cover, doc, start, more, shared=None):
@@ -152,17 +164,17 @@ def _resolved(gram, cover, doc, start, more, shared=None):
     return (gram, cover, doc, start, more), first, several
 
 
-def _batch(rows: list[tuple], length: int, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+def _batch(rows: list[tuple], length: int, buckets: Buckets) -> Iterator[tuple[int, int, bytes]]:
     (gram, cover, doc, start, more), first, several = _resolved(*(np.concatenate(c) for c in zip(*rows, strict=True)))
     yield from _removed(doc[~first], start[~first], start[~first] + more[~first] + length, buckets)
     one, many = first & ~several, first & several
-    for b, blob in in_buckets(gram[one], buckets, gram[one], cover[one], doc[one], start[one].astype(np.int32), more[one].astype(np.int32)):
+    for b, blob in in_buckets(gram[one], buckets.ranges, gram[one], cover[one], doc[one], start[one].astype(np.int32), more[one].astype(np.int32)):
         yield b, ONE, blob
     if many.any():
         shared = np.unique(gram[many])
-        for b, blob in in_buckets(shared, buckets, shared):
+        for b, blob in in_buckets(shared, buckets.ranges, shared):
             yield b, MANY, blob
-        for b, blob in by_doc(doc[many], buckets, doc[many], start[many], more[many]):
+        for b, blob in by_doc(doc[many], buckets.docs, doc[many], start[many], more[many]):
             yield b, OPEN, blob
 
 
@@ -171,10 +183,10 @@ def _out(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "kind", "data"])
 
 
-def _anchor_records(length: int, gram: int, buckets: int):
+def _anchor_records(length: int, gram: int, buckets: Buckets):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
-        for batch in batches:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, len(b), 500)):
             for texts, of, begin in _pieces(ids_of(batch.column(0)), _encoded(batch.column(1)), length):
                 g, cover, text, start, more = anchors(texts, length, gram)
                 rows.append((g, cover, of[text], start + begin[text], more))
@@ -188,23 +200,27 @@ def _anchor_records(length: int, gram: int, buckets: int):
     return run
 
 
-def _compare_grams(length: int, buckets: int):
+def _compare_grams(length: int, buckets: Buckets):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gone, left_over = [], []
         for (bucket,), rows in groups(batches, 1):
-            out = [(bucket, k, d) for k, d in rows if k in (REMOVE, OPEN)]
+            if passed := [(bucket, k, d) for k, d in rows if k in (REMOVE, OPEN)]:
+                yield _out(passed)
             shared = gather([d for k, d in rows if k == MANY], ("u8",))[0]
             records = gather([d for k, d in rows if k == ONE], ("u8", "u8", "i8", "i4", "i4"))
             (_, _, doc, start, more), first, several = _resolved(*records[:3], records[3].astype(np.int64), records[4].astype(np.int64), shared)
-            out += _removed(doc[~first], start[~first], start[~first] + more[~first] + length, buckets)
+            gone.append(_merged(doc[~first], start[~first], start[~first] + more[~first] + length))
             left = first & several
-            if left.any():
-                out += [(b, OPEN, blob) for b, blob in by_doc(doc[left], buckets, doc[left], start[left], more[left])]
-            yield _out(out)
+            left_over.append((doc[left], start[left], more[left]))
+        if gone:
+            doc, start, more = (np.concatenate(c) for c in zip(*left_over, strict=True))
+            out = _removed(*(np.concatenate(c) for c in zip(*gone, strict=True)), buckets)
+            yield _out(out + [(b, OPEN, blob) for b, blob in by_doc(doc, buckets.docs, doc, start, more)])
 
     return run
 
 
-def _compare_tokens(length: int, buckets: int):
+def _compare_tokens(length: int, buckets: Buckets):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (bucket,), rows in groups(batches, 1):
             out = [(bucket, REMOVE, d) for k, d in rows if k == REMOVE]
@@ -226,7 +242,7 @@ def _by_doc(records: list[np.ndarray]) -> dict[int, tuple[np.ndarray, ...]]:
     return {int(records[0][a]): tuple(r[a:b] for r in records[1:]) for a, b in zip(edges, [*edges[1:], len(order)], strict=True)}
 
 
-def _tokens(length: int, buckets: int):
+def _tokens(length: int, buckets: Buckets):
     """Leading tokens of the suffixes that are left, of a bucket's texts and records."""
 
     def run(texts: pa.Table, records: pa.Table) -> pa.Table:
@@ -254,7 +270,7 @@ def _tokens(length: int, buckets: int):
         token, docs, at = token[order], docs[order], at[order]
         new = starts(token)
         out = _removed(docs[~new], at[~new], at[~new] + length, buckets)
-        out += [(b, TOKEN, blob) for b, blob in in_buckets(token[new], buckets, token[new], docs[new], at[new].astype(np.int32))]
+        out += [(b, TOKEN, blob) for b, blob in in_buckets(token[new], buckets.ranges, token[new], docs[new], at[new].astype(np.int32))]
         return pa.Table.from_batches([_out(out)])
 
     return run
@@ -292,7 +308,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     other columns are not read.
     """
     spark = docs.sparkSession
-    buckets = bucket_count(spark)
+    buckets = Buckets(bucket_count(spark, 2, 128), bucket_count(spark, 2, 128))
     schema = "bucket int, kind int, data binary"
     pairs = docs.select(F.col(id_col).cast("long").alias("doc"), text_or_empty(text_col).alias("text"))
     pairs = pairs.withColumn("doc", F.coalesce("doc", F.lit(NULL_ID)))
@@ -300,7 +316,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     records = pairs.mapInArrow(_anchor_records(length, gram, buckets), schema)
     first = cut(deal(records).mapInArrow(_compare_grams(length, buckets), schema))
     # One exchange of the texts serves both joins with them.
-    texts = pairs.withColumn("bucket", doc_bucket(F.col("doc"), buckets)).groupBy("bucket")
+    texts = pairs.withColumn("bucket", doc_bucket(F.col("doc"), buckets.docs)).groupBy("bucket")
     tokens = texts.cogroup(first.where(F.col("kind") == OPEN).groupBy("bucket")).applyInArrow(_tokens(length, buckets), schema)
     again = deal(tokens).mapInArrow(_compare_tokens(length, buckets), schema)
     removed = first.where(F.col("kind") == REMOVE).unionByName(again)
