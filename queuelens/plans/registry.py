@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from queuelens.functions import diagrams, traffic
-from queuelens.operators import discharge, episodes, panels, quality_control, queue_model, ranking, reliability, runs, text_issues
+from queuelens.operators import discharge, episodes, fits, gates, panels, quality_control, queue_model, ranking, reliability, runs, text_issues, tokens
 from queuelens.plans import oracles, states
 from queuelens.session import cut
 
@@ -113,6 +113,32 @@ def q_rank_agreement(spark, d):
     return panels.rank_agreement(r, "score", "delay")
 
 
+def q_tokens(spark, d):
+    eps, qc = _episodes(spark, d)
+    rows = qc.withColumn("date", F.date_format("datetime", "yyyy-MM-dd"))
+    out = tokens.compile_tokens(cut(episodes.with_times(eps, qc)), rows, cut(ranking.rank(eps)))
+    return out.select("sensor_uid", "date", "period", "states.*", "metrics.*", "evidence.support_level", "diagnosis.demand_supply_status", "public_message")
+
+
+def q_gates(spark, d):
+    eps, qc = _episodes(spark, d)
+    capacity = eps.select("sensor_uid").distinct().withColumn("capacity_vphpl", F.lit(1900.0))
+    return gates.episode_gates(discharge.mu_per_episode(eps, qc), capacity)
+
+
+def q_profiles(spark, d):
+    eps = _with_ratios(spark, d).where("P_min > 0 and demand_veh > 0").withColumns({"length_mi": F.lit(1.0), "t2_hour": F.lit(8.0)})
+    return queue_model.profile(queue_model.forward(queue_model.calibrate(eps))).select("sensor_uid", "date", "period", "step", "hour", "td_speed_mph", "td_queue_veh")
+
+
+def q_shapes(spark, d):
+    eps, qc = _episodes(spark, d)
+    spans = eps.where("dc_existence").select("sensor_uid", "date", "period", "t0_index", "t3_index", "v_c_mph")
+    rows = episodes.sliced(qc).join(spans, ["sensor_uid", "date", "period"]).where("idx between t0_index and t3_index")
+    rows = rows.select("sensor_uid", "date", "period", (F.col("idx") - F.col("t0_index")).alias("idx"), (F.col("t3_index") - F.col("t0_index") + 1).alias("n"), (F.col("v_c_mph") - F.col("v")).alias("deficit"))
+    return queue_model.shape_fits(rows, ("sensor_uid", "date", "period"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_ranking(spark, sf_dir)
 
@@ -144,6 +170,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "flow_residual": lambda s, d: _rounded(panels.flow_residual(states.states(s, d)), 4, "mean_residual", "p95_abs"),
         "recurrent_deviation": lambda s, d: _rounded(panels.recurrent_deviation(states.states(s, d)), 4, "frobenius"),
         "rank_agreement": q_rank_agreement,
+        # Without SQL: kernels, walks and profiles, tested against planted truths.
+        "state_tokens": q_tokens,
+        "episode_gates": q_gates,
+        "queue_profiles": q_profiles,
+        "shape_fits": q_shapes,
+        "robust_diagrams": lambda s, d: fits.fit_diagrams(states.states(s, d)),
+        "completed_speeds": lambda s, d: fits.complete_speeds(states.states(s, d)),
+        "mode_spectra": lambda s, d: fits.mode_spectra(states.states(s, d)),
     }
 
 
