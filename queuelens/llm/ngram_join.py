@@ -2,9 +2,9 @@
 
 1. Each document's set of shingle hashes, in the global order of the hashes.
 2. Two sets within the bound differ in at most k shingles. The hash range is cut into k + 1 segments, so linked sets
-   agree on a whole segment: its hash is a key. Keys that several documents share give star edges to the least id.
-3. Components of these edges are blocks; sets that can link lie in one block. Blocks are small as a segment holds
-   about nine shingles, which unrelated texts with common passages do not share whole.
+   agree on a whole segment: its hash is a key. Pairs of documents that share a key are edges, if their sketches do not
+   exclude a link; a key of more than eight documents gives star edges to its least id instead.
+3. Components of these edges are blocks; sets that can link lie in one block.
 4. In a block the ordered sets go into a trie. All sets are probed together: partial overlaps are shared along the
    paths, and a subtree is left when no remaining length can reach the bound. A large block is cut into tiles: first
    all against a pivot tile, then those pairs of tiles which are not one component yet.
@@ -31,7 +31,11 @@ from queuelens.llm.records import NULL_ID, bucket_count, gather, groups, ids_of,
 
 #: Keys that a task holds before it sends them on.
 FLUSH = 1_500_000
-SIG, EDGE, DOC = range(3)
+SIG, EDGE, DOC, PAIR = range(4)
+#: Documents of a key up to which its pairs are looked at one by one, and the bins of a set's sketch.
+FEW_DOCS, BINS = 8, 256
+SKETCH = f"V{BINS}"
+FEW_SEGMENTS, MANY_SEGMENTS = 6, 40
 
 
 @dataclass(frozen=True)
@@ -65,6 +69,7 @@ def size_classes(bound: Bound, most: int) -> tuple[list[int], list[int]]:
 
 def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     """Each text's set of shingle hashes, sorted. Words are runs without ASCII white space; A-Z are lower-cased."""
+    texts = texts.cast(pa.string())  # of sliced large strings, ascii_lower reads the wrong bytes
     words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     count = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = words.flatten().dictionary_encode()
@@ -92,8 +97,13 @@ def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
 
 
 def signatures(s: np.ndarray, bound: Bound) -> np.ndarray:
-    """Keys of a set's segments: linked sets share one. A segment that is empty in both sets says nothing, so it counts
-    with its neighbour, from which at most one shingle may be missing on either side."""
+    """Keys of a set's segments: linked sets share one.
+
+    An agreeing segment that is empty in both sets says nothing. If only such ones agree, the others differ in a shingle
+    each, so an empty segment counts with its neighbour, or with two where the first is tiny, from each of which one
+    shingle may be missing. With over MANY_SEGMENTS of them, that no agreeing segment holds a shingle has a chance below
+    1e-12, as that two shingles share a hash.
+    """
     n, out = len(s), []
     edges, segments = size_classes(bound, 1 << (n + 1).bit_length())
     own = int(np.searchsorted(edges, n, side="right")) - 1
@@ -109,44 +119,63 @@ def signatures(s: np.ndarray, bound: Bound) -> np.ndarray:
             sums[segment[first]], full[segment[first]] = np.add.reduceat(scrambled, first), True
             seed = mix(np.arange(k, dtype=np.uint64) + np.uint64(c << 32))
             out.append(mix(sums[full] + seed[full]))
-            for j in np.flatnonzero(~full).tolist():
-                i = (j + 1) % k
-                inside = scrambled[segment == i]
-                apart = np.uint64(0x5851F42D4C957F2D)
-                out.append(np.unique(mix(mix(seed[j : j + 1] + apart) + sums[i] - np.append(inside, np.uint64(0)))))
+            for j in np.flatnonzero(~full).tolist() if k <= MANY_SEGMENTS else ():
+                near = [np.append(sums[i] - scrambled[segment == i], sums[i]) for i in ((j + 1) % k, (j + 2) % k)]
+                salt = mix(seed[j : j + 1] + np.uint64(0x5851F42D4C957F2D))
+                if len(near[0]) > 2 or k <= FEW_SEGMENTS:
+                    out.append(np.unique(mix(salt + near[0])))
+                if len(near[0]) <= 4 and k > FEW_SEGMENTS:
+                    out.append(np.unique(mix(mix(salt) + mix(near[0])[:, None] + near[1][None, :]).reshape(-1)))
     return np.concatenate(out)
 
 
-def _stars(sig: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which records have the least id of their key, and the distinct edges (id, least id) of the others; sorted input."""
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Counts of a set's shingles by their low bits, 255 at most: the sum of two sketches' differences is at most the
+    number of shingles in which the sets differ."""
+    return np.minimum(np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
+
+
+def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(a):
+        return a, b
+    pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1)[a != b], axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _grouped(sig: np.ndarray, doc: np.ndarray, large: np.ndarray) -> tuple:
+    """Records sorted and distinct; for each, whether it is its key's first, and whether its key has many documents."""
+    order = np.lexsort((doc, sig))
+    sig, doc, large = sig[order], doc[order], large[order]
+    keep = starts(sig, doc)
+    of = starts(sig).cumsum() - 1
+    many = (np.bincount(of, weights=keep) > FEW_DOCS) | (np.bincount(of, weights=large) > 0) if len(of) else np.empty(0, bool)
+    sig, doc, of = sig[keep], doc[keep], of[keep]
     new = starts(sig)
-    least = doc[new][new.cumsum() - 1] if len(doc) else doc
-    other = doc != least
-    pairs = np.unique(np.stack([doc[other], least[other]], axis=1), axis=0) if other.any() else np.empty((0, 2), np.int64)
-    return new, pairs[:, 0], pairs[:, 1]
+    return sig, doc, new, many[of] if len(of) else np.empty(0, bool), doc[new][of] if len(of) else doc
 
 
 def _keys(bound: Bound, buckets: int):
     def flush(sigs: list, docs: list) -> Iterator[tuple[int, int, bytes]]:
         sig, doc = np.concatenate(sigs), np.concatenate(docs)
-        order = np.lexsort((doc, sig))
-        sig, doc = sig[order], doc[order]
-        new, a, b = _stars(sig, doc)  # one record for each key leaves the task, so hot keys stay small
-        for bucket, blob in in_buckets(sig[new], buckets, sig[new], doc[new]):
+        sig, doc, new, many, least = _grouped(sig, doc, np.zeros(len(sig), bool))
+        send = new | ~many  # of a key with many documents one record leaves the task, so hot keys stay small
+        for bucket, blob in in_buckets(sig[send], buckets, sig[send], doc[send], many[send]):
             yield bucket, SIG, blob
+        a, b = _distinct_pairs(doc[many], least[many])
         if len(a):
             for bucket, blob in in_buckets(mix(a.astype(np.uint64)), buckets, a, b):
                 yield bucket, EDGE, blob
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sigs, docs, held, facts, out, seen = [], [], 0, [], [], {}
+            sigs, docs, held, facts, sketches, out, seen = [], [], 0, [], [], [], {}
             for at in range(0, len(batch), 1000):
                 part = batch.slice(at, 1000)
                 ids = ids_of(part.column(0))
                 for doc, s in zip(ids.tolist(), shingle_sets(part.column(1), bound.n), strict=True):
                     key = xxhash.xxh3_128_intdigest(s.tobytes())
                     facts.append((doc, len(s), key & (2**63 - 1), key >> 65))
+                    sketches.append(sketch(s))
                     if len(s) and seen.get(key, doc + 1) > doc:
                         if key not in seen:  # of equal sets in a batch, the first stands for all
                             sigs.append(signatures(s, bound))
@@ -160,7 +189,7 @@ def _keys(bound: Bound, buckets: int):
                 out += flush(sigs, docs)
             if facts:
                 doc, n, k1, k2 = (np.array(c, np.int64) for c in zip(*facts, strict=True))
-                out += [(bucket, DOC, blob) for bucket, blob in in_buckets(mix(doc.astype(np.uint64)), min(buckets, 32), doc, n, k1, k2)]
+                out += [(bucket, DOC, blob) for bucket, blob in in_buckets(mix(doc.astype(np.uint64)), min(buckets, 32), doc, n, k1, k2, np.stack(sketches).view(SKETCH).reshape(-1))]
             cols = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "kind", "data"])
 
@@ -168,20 +197,38 @@ def _keys(bound: Bound, buckets: int):
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ("kind", "a", "b", "n", "k")
+    names = ("kind", "a", "b", "n", "k", "sketch")
     for (_, kind), rows in groups(batches, 2):
-        blobs = [r[0] for r in rows]
+        blobs, found = [r[0] for r in rows], []
         if kind == SIG:
-            sig, doc = gather(blobs, ("u8", "i8"))
-            order = np.lexsort((doc, sig))
-            _, a, b = _stars(sig[order], doc[order])
-            n = k = np.zeros(len(a), np.int64)
+            sig, doc, new, many, least = _grouped(*gather(blobs, ("u8", "i8", "?")))
+            found.append((EDGE, *_distinct_pairs(doc[many], least[many])))
+            sig, doc = sig[~many], doc[~many]
+            same = [np.flatnonzero(sig[d:] == sig[:-d]) for d in range(1, min(FEW_DOCS, len(sig)))]
+            found.append((PAIR, *_distinct_pairs(*(np.concatenate([np.empty(0, np.int64), *(doc[i + d * up] for d, i in enumerate(same, 1))]) for up in (1, 0)))))
         elif kind == EDGE:
-            a, b = gather(blobs, ("i8", "i8"))
-            n = k = np.zeros(len(a), np.int64)
+            found.append((EDGE, *gather(blobs, ("i8", "i8"))))
         else:
-            a, n, b, k = gather(blobs, ("i8",) * 4)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), DOC if kind == DOC else EDGE, np.int32)), *(pa.array(c) for c in (a, b, n, k))], names=names)
+            a, n, b, k, sketches = gather(blobs, ("i8", "i8", "i8", "i8", SKETCH))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), DOC, np.int32)), *(pa.array(c) for c in (a, b, n, k)), pa.array([x.tobytes() for x in sketches], pa.binary())], names=names)
+        for kind_, a, b in found:
+            zero = pa.array(np.zeros(len(a), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind_, np.int32)), pa.array(a), pa.array(b), zero, zero, pa.nulls(len(a), pa.binary())], names=names)
+
+
+def _near(bound: Bound):
+    """Pairs (a, b, sizes, sketches) that sizes and sketches don't exclude."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            n1, n2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for i in (4, 5))
+            ok = (np.abs(x - y).sum(axis=1) <= bound.differing(n1, n2)) & (bound.den * np.minimum(n1, n2) >= bound.num * np.maximum(n1, n2))
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    return run
 
 
 class Trie:
@@ -219,15 +266,15 @@ class Trie:
                 i, j, depth, active, overlap = stack.pop()
                 below = self.sizes[i:j]
                 end = int(below[0]) if j == i + 1 else int(self.common[i + 1 : j].min())
-                run = columns[i][depth:end]
-                if len(run):
-                    overlap = overlap + has[active[:, None], run].sum(axis=1)
-                    rest = upto[active, -1] - upto[active, run[-1]]
-                else:
-                    rest = upto[active, -1] - (upto[active, columns[i][depth - 1]] if depth else 0)
-                reach = overlap + np.minimum(rest, int(below.max()) - end)
-                keep = reach >= bound.needed(sizes[active] + int(below.min()))
-                active, overlap = active[keep], overlap[keep]
+                shortest, longest = int(below.min()), int(below.max())
+                for at_depth in (depth, end):  # before and after this edge's tokens
+                    if at_depth > depth:
+                        overlap = overlap + has[active[:, None], columns[i][depth:end]].sum(axis=1)
+                    rest = upto[active, -1] - (upto[active, columns[i][at_depth - 1]] if at_depth else 0)
+                    n = sizes[active]
+                    keep = overlap + np.minimum(rest, longest - at_depth) >= bound.needed(n + np.clip(n * bound.num // bound.den, shortest, longest))
+                    keep &= (bound.den * longest >= bound.num * n) & (bound.den * n >= bound.num * shortest)
+                    active, overlap = active[keep], overlap[keep]
                 if not len(active):
                     continue
                 child = i
@@ -307,17 +354,25 @@ def ngram_jaccard_components(docs: DataFrame, bound: Bound = Bound(), tile: int
     most ``largest_tile`` sets.
     """
     spark = docs.sparkSession
-    buckets = bucket_count(spark)
+    buckets = bucket_count(spark, 4, 128)
     pairs = docs.select(F.col(id_col).cast("long").alias("doc"), text_or_empty(text_col).alias("text"))
     keyed = pairs.mapInArrow(_keys(bound, buckets), "bucket int, kind int, data binary")
-    found = cut(keyed.repartition("bucket", "kind").sortWithinPartitions("bucket", "kind").mapInArrow(_edges, "kind int, a long, b long, n long, k long"))
+    found = cut(keyed.repartition("bucket", "kind").sortWithinPartitions("bucket", "kind").mapInArrow(_edges, "kind int, a long, b long, n long, k long, sketch binary"))
     facts = found.where(F.col("kind") == DOC).select(F.col("a").alias("doc"), "n", F.col("b").alias("k1"), F.col("k").alias("k2"))
     same = facts.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc").alias("rep"))
     copies = cut(facts.where("n > 0").join(same, ["k1", "k2", "n"]).where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b")).distinct())
-    edges = found.where(F.col("kind") == EDGE).select("a", "b").distinct()
+    edges = found.where(F.col("kind").isin(EDGE, PAIR)).groupBy("a", "b").agg(F.min("kind").alias("kind"))
     rep = copies.groupBy("a").agg(F.min("b").alias("rep"))
     for end in ("a", "b"):  # edges of copies count for what stands for them
         edges = edges.join(rep.withColumnRenamed("a", "of"), F.col(end) == F.col("of"), "left").withColumn(end, F.coalesce("rep", end)).drop("of", "rep")
+    edges = cut(edges.where("a <> b"))
+    # Pairs of keys with few documents count if their sketches allow a link; keys with many make stars.
+    pairs_ = edges.where(F.col("kind") == PAIR).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    sketches = found.where(F.col("kind") == DOC).select(F.col("a").alias("of"), "n", "sketch")
+    for end in ("a", "b"):
+        pairs_ = pairs_.join(sketches.select(F.col("of").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"s_{end}")), end)
+    pairs_ = pairs_.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_near(bound), "a long, b long")
+    edges = edges.where(F.col("kind") == EDGE).select("a", "b").unionByName(pairs_)
     blocks = cut(connected_components(edges))
     sizes = blocks.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     members = blocks.join(sizes, "component").select(F.col("id").alias("doc"), F.col("component").alias("block"), "size")
