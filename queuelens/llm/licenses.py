@@ -6,11 +6,11 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,18 +39,23 @@ THRESHOLD = 0.75
 FILE_SHARE = 0.5
 FILE_NAME = r"(?i)^(licen[sc]e|copying|notice)(\.|$)"
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
+#: Ends of sentences: a digit after the stop goes on ("v. 2.0").
+_STOP = re.compile(r"[.!?;]\s+(?![0-9\s])")
+#: Distinct words whose counts a task holds before it sends them on.
+HELD_WORDS = 500_000
 VOCABULARY = sorted({w for _, t in TEMPLATES for w in _WORD.findall(t.lower())})
 
 
 @dataclass(frozen=True)
 class Matcher:
-    """Template vectors of unit length, weights of their words and of all other words, and the words without which no
-    segment can reach the threshold."""
+    """Template vectors of unit length, weights of their words and of words that no text holds, the words without which
+    no segment can reach the threshold, and the templates that hold each word."""
 
     weight: dict[str, float]
     other: float
     templates: tuple[dict[str, float], ...]
     keys: frozenset[str]
+    holders: dict[str, list[int]]
 
     @classmethod
     def of(cls, documents: int, holding: dict[str, int], threshold: float = THRESHOLD) -> Matcher:
@@ -67,7 +72,8 @@ class Matcher:
                 if math.sqrt(sum(x * x for u, x in v.items() if u not in keys)) < threshold - 1e-9:
                     break
                 keys.add(w)
-        return cls(idf, math.log(documents + 1) + 1, tuple(vectors), frozenset(keys))
+        holders = {w: [i for i, v in enumerate(vectors) if w in v] for w in VOCABULARY}
+        return cls(idf, math.log(documents + 1) + 1, tuple(vectors), frozenset(keys), holders)
 
     def best(self, words: list[str]) -> tuple[float, int]:
         """The highest cosine and its template, the first of equal ones."""
@@ -78,59 +84,88 @@ class Matcher:
         at = max(range(len(scores)), key=lambda i: (scores[i], -i))
         return (scores[at] / norm if norm else 0.0), at
 
-
-def _segments(text: str, keys: re.Pattern) -> Iterator[str]:
-    """Lines, and paragraphs of several lines, that hold a key."""
-    begin = -1
-    for m in keys.finditer(text):
-        if m.start() < begin:
-            continue
-        start = text.rfind("\n", 0, m.start()) + 1
-        end = text.find("\n", m.end())
-        begin = len(text) if end < 0 else end
-        yield text[start:begin]
-    begin = -1
-    for m in keys.finditer(text):
-        if m.start() < begin:
-            continue
-        start = text.rfind("\n\n", 0, m.start())
-        end = text.find("\n\n", m.end())
-        start, begin = (0 if start < 0 else start + 2), (len(text) if end < 0 else end)
-        if "\n" in text[start:begin].strip("\n"):
-            yield text[start:begin]
+    def windows(self, words: list[str], begin: int, end: int, threshold: float) -> Iterator[tuple[int, int, int, float, float, dict[str, int]]]:
+        """(begin, end, template, dot product, square of the norm of the templates' words, counts of other words) of the
+        words that can reach the threshold: each template's first to last word in them, as what stands before and after
+        adds to the norm alone. No word weighs less than 1, so that with 1 for the other words the cosine is a bound."""
+        places: dict[int, list[int]] = {}
+        for p in range(begin, end):
+            for t in self.holders.get(words[p], ()):
+                places.setdefault(t, []).append(p)
+        for t, at in places.items():
+            v = self.templates[t]
+            if math.sqrt(sum(v[w] ** 2 for w in {words[p] for p in at})) < threshold - 1e-9:
+                continue
+            counts = Counter(words[at[0] : at[-1] + 1])
+            dot = sum(n * self.weight[w] * v[w] for w, n in counts.items() if w in v)
+            square = sum((n * self.weight[w]) ** 2 for w, n in counts.items() if w in self.weight)
+            others = {w: n for w, n in counts.items() if w not in self.weight}
+            if dot >= (threshold - 1e-9) * math.sqrt(square + sum(n * n for n in others.values())):
+                yield at[0], at[-1] + 1, t, dot, square, others
+
+
+def _segments(text: str, keys: re.Pattern) -> Iterator[tuple[int, int]]:
+    """Begin and end of lines, of paragraphs of several lines, and of the sentences in both, that hold a key."""
+    for mark in ("\n", "\n\n"):
+        begin = -1
+        for m in keys.finditer(text):
+            if m.start() < begin:
+                continue
+            start = text.rfind(mark, 0, m.start())
+            end = text.find(mark, m.end())
+            start, begin = (0 if start < 0 else start + len(mark)), (len(text) if end < 0 else end)
+            if mark == "\n" or "\n" in text[start:begin].strip("\n"):
+                yield start, begin
+                cuts = [start, *(s.end() for s in _STOP.finditer(text, start, begin)), begin]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    if b - a < begin - start and keys.search(text, a, b):
+                        yield a, b
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pattern, seen, total = re.compile(r"(?<![a-z0-9])(?:" + "|".join(map(re.escape, sorted(VOCABULARY, key=len, reverse=True))) + r")(?![a-z0-9])"), Counter(), 0
+    """Texts that hold each word; all texts under the empty word."""
+    seen: Counter[str] = Counter()
+
+    def counted() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+
     for batch in batches:
         for text in batch.column(1).to_pylist():
-            seen.update(set(pattern.findall(text.lower())))
-            total += 1
-    words = [*sorted(seen), ""]
-    yield pa.RecordBatch.from_arrays([pa.array(words), pa.array([*(seen[w] for w in words[:-1]), total], pa.int64())], names=["word", "n"])
+            seen.update({"", *_WORD.findall(text.lower())})
+            if len(seen) > HELD_WORDS:
+                yield counted()
+                seen.clear()
+    yield counted()
+
+
+SCANNED = "doc_id long, path string, n_words long, found array<struct<first: long, last: long, template: int, dot: double, square: double, words: array<struct<word: string, n: long>>>>"
 
 
 def _scan(matcher: Matcher, threshold: float):
     keys = re.compile(r"(?<![a-z0-9])(?:" + "|".join(map(re.escape, sorted(matcher.keys))) + r")(?![a-z0-9])")
+    kind = pa.list_(
+        pa.struct(
+            [("first", pa.int64()), ("last", pa.int64()), ("template", pa.int32()), ("dot", pa.float64()), ("square", pa.float64()), ("words", pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))]
+        )
+    )
+    names = [f.name for f in kind.value_type]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores, shares = [], [], []
+            sizes, found = [], []
             for text in batch.column(1).to_pylist():
-                low, found, covered = text.lower(), (0.0, 0), 0
-                for segment in _segments(low, keys) if keys.search(low) else ():
-                    words = _WORD.findall(segment)
-                    got = matcher.best(words)
-                    if got[0] >= threshold:
-                        covered = max(covered, len(words))
-                        found = max(found, got, key=lambda x: (x[0], -x[1]))
-                ok = found[0] >= threshold
-                names.append(TEMPLATES[found[1]][0] if ok else None)
-                scores.append(round(found[0], 9) if ok else None)
-                shares.append(covered / max(1, len(_WORD.findall(low))) if ok else 0.0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(np.array(shares, float))], names=["doc_id", "path", "own_license", "own_score", "share"]
-            )
+                low, windows = text.lower(), {}
+                words, starts = [], []
+                if keys.search(low):
+                    for m in _WORD.finditer(low):
+                        words.append(m.group())
+                        starts.append(m.start())
+                    for a, b in _segments(low, keys):
+                        for w in matcher.windows(words, bisect_left(starts, a), bisect_left(starts, b), threshold):
+                            windows[w[:3]] = w
+                sizes.append(len(words))
+                found.append([dict(zip(names, (*w[:5], [{"word": x, "n": n} for x, n in w[5].items()]), strict=True)) for w in windows.values()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(found, kind)], names=["doc_id", "path", "n_words", "found"])
 
     return run
 
@@ -139,15 +174,28 @@ def scan_licenses(docs: DataFrame, path: Column, threshold: float = THRESHOLD, i
     """doc_id, path, own_license, own_score, license, from_dir: the licence that a text itself states, or else that of
     the nearest directory above it that has a licence file; null where neither is found.
 
-    Document frequencies of the templates' words come from all texts; words that no template has weigh as if no text
-    held them. Of several licence files in a directory the one with the highest score, then the least licence and id
-    counts. Null text counts as empty; null ids and repeated rows are kept; a null path has no directories; an empty
-    table gives no rows; other columns are not read.
+    Document frequencies of all words come from all texts. Lines, paragraphs and sentences are scored from a template's
+    first word in them to its last. Of several licence files in a directory the one with the highest score, then the
+    least licence and id counts. Null text counts as empty; null ids and repeated rows are kept; a null path has no
+    directories; an empty table gives no rows; other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), path.cast("string").alias("path"))
-    counts = {r.word: r.n for r in rows.mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
-    matcher = Matcher.of(counts.pop("", 0), counts, threshold)
-    own = cut(rows.mapInArrow(_scan(matcher, threshold), "doc_id long, path string, own_license string, own_score double, share double"))
+    counts = cut(rows.mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    held = {r.word: r.n for r in counts.where(F.col("word").isin("", *VOCABULARY)).collect()}
+    texts = held.pop("", 0)
+    scanned = cut(rows.mapInArrow(_scan(Matcher.of(texts, held, threshold), threshold), SCANNED).withColumn("row", F.monotonically_increasing_id()))
+    found = scanned.select("row", "doc_id", "path", "n_words", F.posexplode("found").alias("at", "f")).select("row", "at", "n_words", "f.*")
+    # The other words' weights come from the counts of all texts, joined to the words of segments that can still match.
+    idf = F.log((F.lit(texts) + 1) / (F.coalesce("texts", F.lit(0)) + 1)) + 1
+    words = found.select("row", "at", F.explode("words").alias("w")).select("row", "at", "w.word", F.col("w.n").alias("times"))
+    words = words.join(counts.select("word", F.col("n").alias("texts")), "word", "left").groupBy("row", "at").agg(F.sum((F.col("times") * idf) ** 2).alias("more"))
+    score = F.col("dot") / F.sqrt(F.col("square") + F.coalesce("more", F.lit(0.0)))
+    matched = found.join(words, ["row", "at"], "left").withColumn("score", F.round(score, 9)).where(F.col("score") >= threshold)
+    best = F.min(F.struct((-F.col("score")).alias("s"), "template")).alias("best")
+    matched = matched.groupBy("row").agg(best, F.max((F.col("last") - F.col("first")) / F.col("n_words")).alias("share"))
+    license_of = F.element_at(F.array(*[F.lit(n) for n, _ in TEMPLATES]), F.col("best.template") + 1)
+    own = scanned.join(matched, "row", "left").select("doc_id", "path", F.when(F.col("best").isNotNull(), license_of).alias("own_license"), (-F.col("best.s")).alias("own_score"), F.coalesce("share", F.lit(0.0)).alias("share"))
+    own = cut(own)
     parts = F.split("path", "/")
     folder = F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")
     file = F.col("own_license").isNotNull() & ((F.col("share") >= FILE_SHARE) | F.element_at(parts, -1).rlike(FILE_NAME))

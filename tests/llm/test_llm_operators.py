@@ -527,3 +527,21 @@ def test_license_segments_against_all_lines():
         line = [rng.choice(licenses.VOCABULARY + ["zzz"]) for _ in range(rng.randrange(1, 9))]
         if matcher.best(line)[0] >= licenses.THRESHOLD:
             assert matcher.keys.intersection(line)
+
+
+def test_license_weights_come_from_all_texts(spark):
+    """One text is found on a small and on a large table, and each score is the cosine by the frequencies of all words."""
+    from pyspark.sql import functions as F
+
+    notices = ["This project is released under the MIT License.", "Licensed under CC BY-NC 4.0. Photo: Anna.", "Released, as all of it was, under the old MIT License."]
+    for n in (40, 4000):
+        texts = notices + [("as all of it was old " if i % 2 else "") + f"this project is number {i}" for i in range(n)]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+        got = {r.doc_id: r for r in licenses.scan_licenses(df, F.lit(None)).where("own_license is not null").collect()}
+        assert {d: r.own_license for d, r in got.items()} == {0: "MIT", 1: "CC-BY-NC-4.0", 2: "MIT"}
+        held = Counter(w for t in texts for w in set(licenses._WORD.findall(t.lower())))
+        idf = {w: np.log((len(texts) + 1) / (held[w] + 1)) + 1 for w in {*held, *licenses.VOCABULARY}}
+        a, b = ({w: c * idf[w] for w, c in Counter(licenses._WORD.findall(t.lower())).items()} for t in (notices[2], "Released under the MIT License."))
+        norm = lambda v: np.sqrt(sum(x * x for x in v.values()))
+        assert abs(got[2].own_score - sum(a[w] * b[w] for w in b) / norm(a) / norm(b)) < 1e-8
+        assert got[0].own_score == got[1].own_score == 1
