@@ -1,16 +1,18 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source is cut into blocks of equal bytes. Block k of a source with quota q in a period of D slots is released at
-floor(k*D/q) and due at ceil((k+1)*D/q). Earliest deadline first among released blocks meets every deadline as the
-quotas sum to D, so that in every prefix of a phase each source is less than one block from its share. The schedule is
-periodic: the driver lays one period for each phase; executors place blocks by integer arithmetic. A phase ends when
-a source has no blocks left; the next one renormalises the weights of the rest, so that no row is left out.
+Each source is cut into blocks of equal bytes. Block k of a source with weight w is released at floor(k/w) and due at
+ceil((k+1)/w), in exact fractions. Earliest deadline first among released blocks meets every deadline as the weights sum
+to 1, so that in every prefix of a phase each source is less than one block from its share, however long the phase. The
+driver lays the slots of all blocks, one number for each block; executors look them up. A phase ends when a source has no
+blocks left; the next one renormalises the weights of the rest, so that no row is left out.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections import defaultdict
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -19,53 +21,52 @@ from pyspark.sql import functions as F
 from queuelens.llm.common import cut, small_table, table, utf8_size
 
 
-def quotas(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Whole slots of each source in a period: the largest remainders, and at least one slot each."""
-    total = sum(weights.values())
-    exact = {s: w / total * period for s, w in weights.items()}
-    got = {s: max(1, math.floor(x)) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (got[s] - exact[s], s)):
-        if sum(got.values()) >= period:
-            break
-        got[s] += 1
-    while sum(got.values()) > period:  # sources lifted to one slot
-        got[max(got, key=lambda s: (got[s] - exact[s] if got[s] > 1 else -period, s))] -= 1
-    return got
-
-
-def edf_period(quota: dict[str, int]) -> dict[str, list[int]]:
-    """Slots of each source's blocks in one period, earliest deadline first among released blocks."""
-    d = sum(quota.values())
-    jobs = sorted((k * d // q, -(-(k + 1) * d // q), s) for s, q in quota.items() for k in range(q))
-    slots: dict[str, list[int]] = {s: [] for s in quota}
-    ready: list[tuple[int, str]] = []
-    i = 0
-    for t in range(d):
-        while i < len(jobs) and jobs[i][0] <= t:
-            heapq.heappush(ready, (jobs[i][1], jobs[i][2]))
-            i += 1
+def whole_weights(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the weights' proportions."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    return {s: int(x * scale) for s, x in exact.items()}
+
+
+def edf_phase(left: dict[str, int], parts: dict[str, int]) -> list[str]:
+    """Sources of a phase's slots, earliest deadline first among released blocks, until a source has no blocks left."""
+    if len(left) == 1:
+        return [s for s, n in left.items() for _ in range(n)]
+    whole = sum(parts[s] for s in left)
+    done, owners = dict.fromkeys(left, 0), []
+    ready, later = [(-(-whole // parts[s]), s) for s in left], []
+    heapq.heapify(ready)
+    while True:
+        t = len(owners)
+        while later and later[0][0] <= t:
+            heapq.heappush(ready, heapq.heappop(later)[1:])
         deadline, s = heapq.heappop(ready)
         assert t < deadline
-        slots[s].append(t)
-    return slots
+        owners.append(s)
+        done[s] = k = done[s] + 1
+        if k == left[s]:
+            return owners
+        heapq.heappush(later, (k * whole // parts[s], -(-(k + 1) * whole // parts[s]), s))
 
 
 def phases(blocks: dict[str, int], weights: dict[str, float], period: int) -> list[dict]:
-    """One entry for each phase and source: its first block there, how many, the phase's first slot, the period's slots."""
+    """Rows of at most ``period`` slots of a phase and a source: its first block there, how many, the row's first slot,
+    the blocks' slots from there, and the source's weight in the phase as q / d (q is at least n)."""
     left, done, at, plan = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
+    parts = whole_weights({s: weights[s] for s in left}) if left else {}
     while left:
-        quota = quotas({s: weights[s] for s in left}, max(period, 4 * len(left)) if len(left) > 1 else 1)
-        d, slots = sum(quota.values()), edf_period(quota)
-        last = lambda s: (left[s] - 1) // quota[s] * d + slots[s][(left[s] - 1) % quota[s]]
-        length = min(last(s) for s in left) + 1
-        for s in sorted(left):
-            n = length // d * quota[s] + sum(x < length % d for x in slots[s])
-            if n:
-                plan.append({"src": s, "block0": done[s], "n": n, "slot0": at, "q": quota[s], "d": d, "slots": slots[s]})
-            done[s] += n
-            left[s] -= n
+        owners, whole = edf_phase(left, parts), sum(parts[s] for s in left)
+        for begin in range(0, len(owners), period):
+            slots: dict[str, list[int]] = {}
+            for i, s in enumerate(owners[begin : begin + period]):
+                slots.setdefault(s, []).append(i)
+            for s in sorted(slots):
+                n = len(slots[s])
+                plan.append({"src": s, "block0": done[s], "n": n, "slot0": at + begin, "q": parts[s] * n, "d": whole * n, "slots": slots[s]})
+                done[s] += n
+                left[s] -= n
         left = {s: n for s, n in left.items() if n}
-        at += length
+        at += len(owners)
     return plan
 
 
@@ -74,7 +75,7 @@ def pfair_mix(
     weights: dict[str | None, float] | None = None,
     block_bytes: int = 16384,
     period: int = 1024,
-    max_sources: int = 1024,
+    max_sources: int | None = None,
     cell_rows: int = 250_000,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -90,7 +91,8 @@ def pfair_mix(
     may hold no row.
 
     Null sources are one source; null texts count as empty; repeated rows all stay, side by side; an empty table gives
-    no rows. More than ``max_sources`` sources raise ValueError: the plan on the driver is bounded by it.
+    no rows. The driver holds the sources' totals and a number for each block (8 bytes for ``block_bytes`` of text); with
+    ``max_sources``, more sources raise ValueError.
     """
     spark = docs.sparkSession
     src = F.when(F.col(source_col).isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col(source_col).cast("string")))
@@ -99,8 +101,8 @@ def pfair_mix(
     )
     if text_col not in (carry or docs.columns):
         rows = cut(rows)  # sizes are known from here on; texts are read once
-    sizes = rows.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).limit(max_sources + 1).collect()
-    if len(sizes) > max_sources:
+    sizes = rows.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).collect()
+    if max_sources is not None and len(sizes) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
     given = {"null" if k is None else f"={k}": float(v) for k, v in (weights or {}).items()}
     target = {r.src: given.get(r.src, math.sqrt(r.bytes)) for r in sizes}
@@ -118,12 +120,15 @@ def pfair_mix(
     rows = rows.withColumn("running", running).join(cells, ["src", "cell"])
     start = F.col("before") + F.col("running")
     rows = rows.select("src", "row", F.floor(start / block_bytes).cast("long").alias("block"), F.pmod(start, F.lit(block_bytes)).cast("int").alias("in_block"))
-    steps = small_table(spark, plan, "src string, block0 bigint, n bigint, slot0 bigint, q bigint, d bigint, slots array<int>")
-    steps = steps.withColumnRenamed("src", "plan_src")
-    placed = rows.join(F.broadcast(steps), (F.col("src") == F.col("plan_src")) & (F.col("block") >= F.col("block0")) & (F.col("block") < F.col("block0") + F.col("n")))
-    k = F.col("block") - F.col("block0")
-    slot = F.col("slot0") + F.expr("(block - block0) div q") * F.col("d") + F.element_at("slots", (F.pmod(k, F.col("q")) + 1).cast("int"))
-    return placed.select("row", "src", "block", slot.cast("long").alias("slot"), "in_block")
+    # The plan's rows by source and run of blocks, so that each row of the data meets one of them.
+    slots: dict[str, list[int]] = defaultdict(list)
+    for p in plan:
+        slots[p["src"]] += [p["slot0"] + x for x in p["slots"]]
+    steps = [{"plan_src": s, "run": i // period, "slots": x[i : i + period]} for s, x in slots.items() for i in range(0, len(x), period)]
+    steps = small_table(spark, steps, "plan_src string, run bigint, slots array<bigint>")
+    placed = rows.join(F.broadcast(steps), (F.col("src") == F.col("plan_src")) & (F.floor(F.col("block") / period) == F.col("run")))
+    slot = F.element_at("slots", (F.pmod("block", F.lit(period)) + 1).cast("int"))
+    return placed.select("row", "src", "block", slot.alias("slot"), "in_block")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

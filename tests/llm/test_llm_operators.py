@@ -474,6 +474,22 @@ def test_pfair_is_within_a_block(weights):
             assert abs(seen[p["src"]] - (t + 1) * p["q"] / p["d"]) < 1
 
 
+@pytest.mark.parametrize("weights", [{"a": 1.0, "b": 1.0, "c": 1.0}, {"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 0.9999, "b": 0.0001}, {f"s{i}": (1 + i) ** 0.5 for i in range(23)}])
+def test_pfair_keeps_to_the_weights(weights):
+    """However long a phase, each source stays less than a block from its weight itself."""
+    total, n = sum(weights.values()), 60_000
+    plan = mixing.phases({s: max(1, int(n * w / total)) for s, w in weights.items()}, weights, 1024)
+    owner = {p["slot0"] + x: p["src"] for p in plan for x in p["slots"]}
+    seen, left, t = Counter(), {s: max(1, int(n * w / total)) for s, w in weights.items()}, 0
+    while all(left.values()):
+        s = owner[t]
+        seen[s] += 1
+        left[s] -= 1
+        t += 1
+        assert all(abs(seen[x] - t * w / total) < 1 + 1e-9 for x, w in weights.items())
+    assert t > 0.99 * n / len(weights)
+
+
 @pytest.mark.parametrize("cell_rows", [250_000, 3])
 def test_mixing(docs, rows, empty, odd, spark, cell_rows):
     out = mixing.pfair_mix(docs, {"s0": 3.0, "s1": 1.0, None: 0.5}, block_bytes=512, cell_rows=cell_rows).collect()
