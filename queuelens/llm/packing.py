@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from queuelens.llm import mixing
 from queuelens.llm.common import cut, table, text_or_empty
 
 CAPACITY = 4096
@@ -108,7 +109,7 @@ def tokenise(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, ends + docs + 1
 
 
-def _pieces(path: str, capacity: int, with_ids: bool, chunk: int = 1500):
+def _pieces(path: str, capacity: int, with_ids: bool, carry: tuple[str, ...] = (), chunk: int = 1500):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), chunk):
@@ -126,16 +127,19 @@ def _pieces(path: str, capacity: int, with_ids: bool, chunk: int = 1500):
                 if with_ids:
                     arrays.append(pa.array([x.astype(np.int64) for x in cols[5]], pa.list_(pa.int64())))
                     names.append("ids")
+                arrays += [batch.column(2 + i).take(pa.array(cols[0], pa.int64())) for i in range(len(carry))]
+                names += carry
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return run
 
 
-def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and, if asked for, ids of every document's pieces."""
-    pairs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<bigint>" * with_ids
-    return pairs.mapInArrow(_pieces(path or default_vocabulary(), capacity, with_ids), schema)
+def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 and, if asked for, ids of every document's pieces, and whole numbers in
+    ``carry`` as their document has them."""
+    pairs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), *[F.col(c).cast("long").alias(c) for c in carry])
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<bigint>" * with_ids + "".join(f", {c} long" for c in carry)
+    return pairs.mapInArrow(_pieces(path or default_vocabulary(), capacity, with_ids, carry), schema)
 
 
 def best_fit_patterns(
@@ -193,26 +197,64 @@ def _places(patterns: list[tuple[int, list[tuple[int, int]]]]) -> np.ndarray:
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
 
 
+class StreamPlaces:
+    """Places of pieces that keep the order of a stream: the bins of each pattern are spread evenly over the stream, bin
+    i of b at (i + 1/2) / b, and each length's pieces go to its bins in this order."""
+
+    def __init__(self, patterns: list[tuple[int, list[tuple[int, int]]]]) -> None:
+        self.bins = np.array([b for b, _ in patterns], np.int64)
+        self.bin0 = self.bins.cumsum() - self.bins
+        self.holding: dict[int, list[tuple[int, int, int]]] = {}
+        for p, (_, inside) in enumerate(patterns):
+            offset = 0
+            for length, c in inside:
+                self.holding.setdefault(length, []).append((p, c, offset))
+                offset += length * c
+
+    def of(self, length: int, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bin, offset) of a length's pieces of these ranks; only bins near the ranks are laid out."""
+        p, c, offset = (np.array(x, np.int64) for x in zip(*self.holding[length], strict=True))
+        bins = self.bins[p]
+        n, slack = int((bins * c).sum()), int(c.sum())
+        low, high = (int(ranks.min()) - slack) / n, (int(ranks.max()) + 1 + slack) / n
+        first = np.clip(np.ceil(low * bins - 0.5).astype(np.int64), 0, bins)
+        last = np.clip(np.floor(high * bins - 0.5).astype(np.int64) + 1, first, bins)
+        which = np.repeat(np.arange(len(p)), last - first)
+        i = np.arange(len(which)) - np.repeat((last - first).cumsum() - (last - first), last - first) + first[which]
+        order = np.lexsort((p[which], (2 * i + 1) / bins[which]))
+        which, i = which[order], i[order]
+        ends = int((first * c).sum()) + c[which].cumsum()
+        at = np.searchsorted(ends, ranks, side="right")
+        inside = ranks - (ends[at] - c[which[at]])
+        return self.bin0[p[which[at]]] + i[at], offset[which[at]] + inside * length
+
+
 def pack(
-    rows: DataFrame, capacity: int = CAPACITY, max_docs: int = CAPACITY, max_attention: int | None = None, rule: str = "norm", cell_rows: int = 250_000
+    rows: DataFrame, capacity: int = CAPACITY, max_docs: int = CAPACITY, max_attention: int | None = None, rule: str = "norm", cell_rows: int = 250_000, stream: tuple[str, ...] = ()
 ) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, length, ...): at most ``capacity`` tokens, ``max_docs``
-    pieces and ``max_attention`` summed squares of lengths in a sequence."""
+    pieces and ``max_attention`` summed squares of lengths in a sequence. With ``stream``, columns of whole numbers whose
+    order is a stream's, sequences are numbered along the stream and hold pieces that stand near each other in it."""
     rows = cut(rows)
     hist = {r.length: r.n for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in hist.items():
         counts[length] = n
-    places = _places(best_fit_patterns(counts, (capacity, max_docs, max_attention or capacity**2), rule=rule))
+    patterns = best_fit_patterns(counts, (capacity, max_docs, max_attention or capacity**2), rule=rule)
+    places = _places(patterns)
     key = (places[:, 0] << 44) | places[:, 1]
     # Ranks in two steps, so that no task holds all pieces of a common length.
     bits = max(6, math.ceil(math.log2(max([1, *hist.values()]) / cell_rows + 1)))
     h = F.xxhash64("doc_id", "piece")
-    rows = rows.withColumn("h", h).withColumn("cell", F.shiftrightunsigned("h", 64 - bits))
+    cell = F.shiftrightunsigned("h", 64 - bits)
+    if stream:  # blocks of the stream are of equal size, so that equal ranges of it are even cells
+        end = (rows.agg(F.max(stream[0])).first()[0] or 0) + 1
+        cell = F.floor(F.col(stream[0]) * (1 << bits) / end)
+    rows = rows.withColumn("h", h).withColumn("cell", cell)
     cells = rows.groupBy("length", "cell").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(W.partitionBy("length").orderBy("cell").rowsBetween(W.unboundedPreceding, -1))
     cells = cells.select("length", "cell", F.coalesce(before, F.lit(0)).alias("before"))
-    in_cell = W.partitionBy("length", "cell").orderBy("h", "doc_id", "piece", "start", "ids_crc32")
+    in_cell = W.partitionBy("length", "cell").orderBy(*stream, "h", "doc_id", "piece", "start", "ids_crc32")
     rows = rows.withColumn("rank", F.row_number().over(in_cell)).join(cells, ["length", "cell"])
     columns = [c for c in rows.columns if c not in ("h", "cell", "rank", "before")]
     rows = rows.select(*columns, (F.col("before") + F.col("rank") - 1).alias("rank"))
@@ -227,8 +269,30 @@ def pack(
                 names=[*columns, "sequence_id", "offset"],
             )
 
+    along = StreamPlaces(patterns)
+
+    def place_along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            length, rank = b.column("length").to_numpy(), b.column("rank").to_numpy()
+            bins, offsets = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
+            order = np.lexsort((rank, length))
+            for some in np.split(order, np.flatnonzero(np.diff(length[order])) + 1) if len(b) else ():
+                bins[some], offsets[some] = along.of(int(length[some[0]]), rank[some])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(bins), pa.array(offsets)], names=[*columns, "sequence_id", "offset"])
+
+    if not stream:
+        schema = rows.drop("rank").schema.simpleString()[7:-1]
+        return rows.mapInArrow(place, f"{schema},sequence_id:bigint,offset:bigint")
     schema = rows.drop("rank").schema.simpleString()[7:-1]
-    return rows.mapInArrow(place, f"{schema},sequence_id:bigint,offset:bigint")
+    placed = cut(rows.mapInArrow(place_along, f"{schema},sequence_id:bigint,offset:bigint"))
+    # Sequences are numbered by the mean place of their tokens, in two steps as well.
+    mean = (F.sum(F.col(stream[0]) * F.col("length")) / F.sum("length")).alias("mean")
+    bins = placed.groupBy("sequence_id").agg(mean).withColumn("cell", F.floor(F.col("mean") * (1 << bits) / end))
+    cells = bins.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    cells = cells.select("cell", F.coalesce(F.sum("n").over(W.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    number = F.row_number().over(W.partitionBy("cell").orderBy("mean", "sequence_id")) + F.col("before") - 1
+    bins = bins.join(cells, "cell").select("sequence_id", number.cast("long").alias("number"))
+    return placed.join(bins, "sequence_id").select(*[c for c in columns if c not in stream], F.col("number").alias("sequence_id"), "offset")
 
 
 def best_fit_pack(docs: DataFrame, path: str | None = None, with_ids: bool = False, **limits) -> DataFrame:
@@ -245,4 +309,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return best_fit_pack(docs)
+    """Sequences along the mixed stream: files keep no order, so the documents' slots in it are computed again."""
+    mixed = mixing.pfair_mix(docs, carry=("doc_id", "text")).select("row.doc_id", "row.text", "slot", "in_block")
+    return pack(pieces(mixed, carry=("slot", "in_block")), stream=("slot", "in_block"))

@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from queuelens.llm import ngram_join, pii, quality
+from queuelens.llm import mixing, ngram_join, packing, pii, quality
 from tests.llm.test_llm_operators import brute_components, make_texts
 
 
@@ -41,3 +41,25 @@ def test_stages(spark, tmp_path):
 
     run = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted((r.doc_id, r.piece, r.ids_crc32) for r in run.collect()) == sorted((r.doc_id, r.piece, r.ids_crc32) for r in packed)
+
+
+def test_sequences_follow_the_mix(spark):
+    """Tokens of each source in every prefix of the sequences are near those in as long a prefix of the mixed stream."""
+    rng = np.random.default_rng(4)
+    rows = [(i, "road " * int(rng.integers(2, 15) * 100), "en", "a" if i % 10 else "b", 1) for i in range(2500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    packed = packing.stage(spark, docs, "").collect()
+    slots = {r.doc_id: (r.slot, r.in_block) for r in mixing.pfair_mix(docs, carry=("doc_id",)).select("row.doc_id", "slot", "in_block").collect()}
+    used = np.bincount([r.sequence_id for r in packed], weights=[r.length for r in packed])
+    assert used.max() <= 4096 and used.min() > 0
+    last = {}
+    for r in sorted(packed, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset >= last.get(r.sequence_id, 0)
+        last[r.sequence_id] = r.offset + r.length
+    share = lambda order: np.cumsum([r.length * (r.doc_id % 10 == 0) for r in order]) / np.sum([r.length for r in packed])
+    tokens = lambda order: np.cumsum([r.length for r in order])
+    by_sequence, by_slot = sorted(packed, key=lambda r: (r.sequence_id, r.offset)), sorted(packed, key=lambda r: (*slots[r.doc_id], r.piece))
+    at = np.linspace(0, tokens(packed)[-1], 50)
+    assert np.abs(np.interp(at, tokens(by_sequence), share(by_sequence)) - np.interp(at, tokens(by_slot), share(by_slot))).max() < 0.01
+    # Without the stream's order b's documents would be spread over all sequences; in the stream they end early.
+    assert share(by_sequence)[len(packed) // 2] > 0.6 * share(by_sequence)[-1]
