@@ -362,7 +362,9 @@ def ngram_jaccard_components(docs: DataFrame, bound: Bound = Bound(), tile: int
     same = facts.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc").alias("rep"))
     copies = cut(facts.where("n > 0").join(same, ["k1", "k2", "n"]).where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b")).distinct())
     edges = found.where(F.col("kind").isin(EDGE, PAIR)).groupBy("a", "b").agg(F.min("kind").alias("kind"))
-    rep = copies.groupBy("a").agg(F.min("b").alias("rep"))
+    # A document of several texts keeps its edges: only one of its sets is that of the copy before it.
+    several = facts.where("n > 0").groupBy("doc").agg(F.count_distinct("k1", "k2", "n").alias("sets")).where("sets > 1")
+    rep = copies.groupBy("a").agg(F.min("b").alias("rep")).join(several.select(F.col("doc").alias("a")), "a", "left_anti")
     for end in ("a", "b"):  # edges of copies count for what stands for them
         edges = edges.join(rep.withColumnRenamed("a", "of"), F.col(end) == F.col("of"), "left").withColumn(end, F.coalesce("rep", end)).drop("of", "rep")
     edges = cut(edges.where("a <> b"))

@@ -452,6 +452,16 @@ def test_sharding_cuts_a_large_group(spark):
     assert len(sizes) == 16 and max(sizes) - min(sizes) < 0.05 * max(sizes)
 
 
+def test_ngram_join_id_with_two_texts(spark):
+    """A repeated id, one text of which is a copy and one near another document, links both."""
+    x, y = (" ".join(f"{c}{i}" for i in range(300)) for c in "xy")
+    near = y.replace("y150 ", "z ")
+    for tile in (192, 1):
+        df = spark.createDataFrame([(3, x), (7, x), (7, y), (9, near), (12, "other words that stand alone here")], "doc_id long, text string").repartition(3)
+        got = {(r.doc_id, r.component_id) for r in ngram_join.ngram_jaccard_components(df, tile=tile).collect()}
+        assert got == {(3, 3), (7, 3), (9, 3), (12, 12)}
+
+
 @pytest.mark.parametrize("weights", [{"a": 1.0}, {"a": 0.5, "b": 0.3, "c": 0.2}, {f"s{i}": 1 + i * i for i in range(19)}])
 def test_pfair_is_within_a_block(weights):
     blocks = {s: 40 + 13 * i for i, s in enumerate(weights)}
