@@ -571,3 +571,25 @@ def test_license_weights_come_from_all_texts(spark):
         norm = lambda v: np.sqrt(sum(x * x for x in v.values()))
         assert abs(got[2].own_score - sum(a[w] * b[w] for w in b) / norm(a) / norm(b)) < 1e-8
         assert got[0].own_score == got[1].own_score == 1
+
+
+def test_license_files(spark):
+    """Full texts, wrapped headers, titles and tags; a file is known by all of its matching segments together."""
+    from pyspark.sql import functions as F
+
+    full = [(i, "Copyright 2020 by somebody\n\n" + t, f"d{i}/text") for i, (_, t) in enumerate(licenses.FULL_TEXTS)]
+    lines = [
+        (100, "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "GPL-3.0"),
+        (101, "it under the terms of the GNU General Public License as published by", "GPL"),
+        (102, "Redistribution and use in source and binary forms, with or without", "BSD-3-Clause"),
+        (103, "# SPDX-License-Identifier: MIT", "MIT"),
+    ]
+    two = (200, "Released under the MIT License.\nsome other words stand here\nReleased under the MIT License.", "e/text")
+    rest = [(300 + i, f"the words of text {i} and of others", None) for i in range(500)] + [(1000 + i, "code", f"d{i}/x.py") for i in range(len(full))] + [(2000, "code", "e/x.py")]
+    df = spark.createDataFrame(full + [(d, t, None) for d, t, _ in lines] + [two] + rest, "doc_id long, text string, path string")
+    got = {r.doc_id: r.license for r in licenses.scan_licenses(df, F.col("path")).collect()}
+    assert {d: got[d] for d, _, _ in lines} == {d: n for d, _, n in lines}
+    assert got[2000] == "MIT"
+    names = [n for n, _ in licenses.FULL_TEXTS]
+    assert [got[1000 + i] for i in range(len(full))] == [got[i] for i in range(len(full))] and None not in [got[i] for i in range(len(full))]
+    assert [got[i] for i in range(len(full))] == names
