@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,13 +19,39 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: cuts the lineage and survives lost executors."""
+    """The rows written once as Parquet into the checkpoint folder and read again: cuts the lineage, survives lost
+    executors, and forget() frees it."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    at = f"{df.sparkSession.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out._cut_at = at
+    return out
+
+
+def forget(*cuts: DataFrame) -> None:
+    """Deletes tables of cut() that nothing will read again."""
+    for df in cuts:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._cut_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def join_spread(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """rows joined with groups (one row for each key, with its number of rows in column ``size``), without a task that
+    gets all rows of a frequent key. Keys that hold over a thousandth of the rows, fewer than a thousand by that, are
+    broadcast; the others are joined by a shuffle."""
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    often = F.col(size) * 1000 > total
+    hot = F.broadcast(groups.where(often))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(groups.where(~often), keys)
+    return rows.join(hot, keys).unionByName(rest)
 
 
 def small_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:

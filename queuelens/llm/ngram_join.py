@@ -1,14 +1,15 @@
 """Self-join of documents by the Jaccard similarity of their word n-grams, with prefix trees.
 
-1. Each document's set of shingle hashes, in the global order of the hashes.
-2. Two sets within the bound differ in at most k shingles. The hash range is cut into k + 1 segments, so linked sets
-   agree on a whole segment: its hash is a key. Pairs of documents that share a key are edges, if their sketches do not
-   exclude a link; a key of more than eight documents gives star edges to its least id instead.
-3. Components of these edges are blocks; sets that can link lie in one block.
-4. In a block the ordered sets go into a trie. All sets are probed together: partial overlaps are shared along the
-   paths, and a subtree is left when no remaining length can reach the bound. A large block is cut into tiles: first
-   all against a pivot tile, then those pairs of tiles which are not one component yet.
-Only spanning links leave a task, never all pairs of a group.
+1. Each document's set of shingle hashes. Linked sets share at least the bound's part of each one's shingles, so a set
+   with fewer shingles that occur in other sets links with nothing: it is closed at once. Occurrences are counted over
+   all documents; of equal sets, the one of the least document stands for all.
+2. The global order of the shingles of what is left: ascending number of sets that hold a shingle, then its hash.
+   Linked sets share a shingle of their prefixes, the first n - ceil(bound * n) + 1 of the order.
+3. Sets that share a shingle of their prefixes, and whose sizes allow a link, go into one trie as ordered paths.
+   All sets are probed together: partial overlaps are shared along the paths, and a subtree is left when no remaining
+   length can reach the bound. A large trie is cut into tiles: first all against a pivot tile, then those pairs of tiles
+   which are not one component yet.
+Only spanning links leave a task, never all pairs of a group. Shingles that only one set holds take part as a number.
 """
 
 from __future__ import annotations
@@ -21,21 +22,23 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from queuelens.llm.common import cut, table, text_or_empty
+from queuelens.llm.common import cut, forget, join_spread, table, text_or_empty
 from queuelens.llm.components import connected_components
-from queuelens.llm.records import NULL_ID, bucket_count, gather, groups, ids_of, in_buckets, mix, pack, starts
+from queuelens.llm.records import NULL_ID, gather, groups, ids_of, in_buckets, mix, pack, starts, unpack
 
-#: Keys that a task holds before it sends them on.
-FLUSH = 1_500_000
-SIG, EDGE, DOC, PAIR = range(4)
-#: Documents of a key up to which its pairs are looked at one by one, and the bins of a set's sketch.
-FEW_DOCS, BINS = 8, 256
-SKETCH = f"V{BINS}"
-FEW_SEGMENTS, MANY_SEGMENTS = 6, 40
+#: Shingles, and sets, that a task deals together (a slot is a 16-bit number), and bytes of text that it reads at a time.
+FLUSH, SLOTS, READ = 1_500_000, 60_000, 4 << 20
+#: Bytes of text for each bucket of shingles, and the least and most buckets.
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 8 << 20, 64, 1 << 16
+#: Shingles of a tile.
+TILE_SHINGLES = 1 << 20
+FACT, TOKEN, SET, KEY, EDGE = range(5)
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 @dataclass(frozen=True)
@@ -46,9 +49,9 @@ class Bound:
     num: int = 90
     den: int = 100
 
-    def differing(self, a: int, b: int) -> int:
-        """The most shingles in which linked sets of these sizes differ."""
-        return (a + b) * (self.den - self.num) // (self.den + self.num)
+    def least(self, n):
+        """The least intersection of a set of n shingles with any that it links with."""
+        return -(-self.num * n // self.den)
 
     def needed(self, total):
         """The least intersection of linked sets whose sizes sum to total."""
@@ -56,15 +59,12 @@ class Bound:
 
 
 @cache
-def size_classes(bound: Bound, most: int) -> tuple[list[int], list[int]]:
-    """Least size of each class, and the segments of pairs whose smaller set is in it. A set's partners are in its own
-    class and the neighbouring ones."""
-    edges, segments = [1], []
+def size_classes(bound: Bound, most: int) -> np.ndarray:
+    """Least size of each class. A set's partners are in its own class and the neighbouring ones."""
+    edges = [1]
     while edges[-1] <= most:
         edges.append(edges[-1] * bound.den // bound.num + 1)
-        largest = edges[-1] - 1
-        segments.append(bound.differing(largest, largest * bound.den // bound.num) + 1)
-    return edges, segments
+    return np.array(edges)
 
 
 def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
@@ -96,190 +96,227 @@ def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     return out
 
 
-def signatures(s: np.ndarray, bound: Bound) -> np.ndarray:
-    """Keys of a set's segments: linked sets share one.
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about READ bytes of text (column 1)."""
+    for batch in batches:
+        size = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+        at = 0
+        while at < len(batch):
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + READ)))
+            yield batch.slice(at, end - at)
+            at = end
 
-    An agreeing segment that is empty in both sets says nothing. If only such ones agree, the others differ in a shingle
-    each, so an empty segment counts with its neighbour, or with two where the first is tiny, from each of which one
-    shingle may be missing. With over MANY_SEGMENTS of them, that no agreeing segment holds a shingle has a chance below
-    1e-12, as that two shingles share a hash.
+
+def _rows(rows: list[tuple], names: tuple[str, ...], kinds: tuple) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+
+
+_DEALT, _DEALT_KINDS = ("key", "kind", "data"), (pa.int64(), pa.int32(), pa.binary())
+
+
+def _deal(bound: Bound, buckets: int, whole: bool):
+    """Deals the shingles of sets to buckets, and the facts of documents to the place where the answers meet: the flush.
+
+    ``whole``: with their hashes whole; else with the last 32 bits, which may take different shingles for the same, so
+    that only counts of repeated shingles can be too large.
     """
-    n, out = len(s), []
-    edges, segments = size_classes(bound, 1 << (n + 1).bit_length())
-    own = int(np.searchsorted(edges, n, side="right")) - 1
-    high, scrambled = (s >> np.uint64(40)).astype(np.int64), mix(s)
-    with np.errstate(over="ignore"):
-        for c in (own, own - 1):
-            if c < 0:
-                continue
-            k = segments[c]
-            segment = high * k >> 24
-            first = np.flatnonzero(np.diff(segment, prepend=-1))
-            sums, full = np.zeros(k, np.uint64), np.zeros(k, bool)
-            sums[segment[first]], full[segment[first]] = np.add.reduceat(scrambled, first), True
-            seed = mix(np.arange(k, dtype=np.uint64) + np.uint64(c << 32))
-            out.append(mix(sums[full] + seed[full]))
-            for j in np.flatnonzero(~full).tolist() if k <= MANY_SEGMENTS else ():
-                near = [np.append(sums[i] - scrambled[segment == i], sums[i]) for i in ((j + 1) % k, (j + 2) % k)]
-                salt = mix(seed[j : j + 1] + np.uint64(0x5851F42D4C957F2D))
-                if len(near[0]) > 2 or k <= FEW_SEGMENTS:
-                    out.append(np.unique(mix(salt + near[0])))
-                if len(near[0]) <= 4 and k > FEW_SEGMENTS:
-                    out.append(np.unique(mix(mix(salt) + mix(near[0])[:, None] + near[1][None, :]).reshape(-1)))
-    return np.concatenate(out)
-
-
-def sketch(s: np.ndarray) -> np.ndarray:
-    """Counts of a set's shingles by their low bits, 255 at most: the sum of two sketches' differences is at most the
-    number of shingles in which the sets differ."""
-    return np.minimum(np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
 
+    def flush(number: int, docs: list[int], sets: list[np.ndarray]) -> Iterator[tuple]:
+        keys = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
+        k1, k2 = (np.array([k >> shift & (2**63 - 1) for k in keys], np.int64) for shift in (0, 65))
+        doc, n = np.array(docs, np.int64), np.array([len(s) for s in sets], np.int64)
+        k1[n == 0], k2[n == 0] = doc[n == 0], 0  # documents without shingles are no copies of each other
+        yield number, FACT, pack(doc, n, k1, k2)
+        order = np.lexsort((doc, n, k2, k1))
+        send = np.sort(order[starts(k1[order], k2[order], n[order])])  # of equal sets, that of the least document
+        token, slot = np.concatenate([sets[i] for i in send.tolist()]), np.repeat(send, n[send]).astype(np.uint16)
+        bucket = (token >> np.uint64(40)).astype(np.int64) * buckets >> 24
+        order = np.argsort(bucket.astype(np.uint64) << np.uint64(32) | token & _LOW)
+        token, slot, bucket = token[order], slot[order], bucket[order]
+        edges = np.flatnonzero(starts(bucket))
+        for a, b in zip(edges, np.append(edges[1:], len(bucket)), strict=False):
+            body = token[a:b] if whole else (token[a:b] & _LOW).astype(np.uint32)
+            yield int(bucket[a]), TOKEN, number.to_bytes(8, "little") + pack(body, slot[a:b])
 
-def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(a):
-        return a, b
-    pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1)[a != b], axis=0)
-    return pairs[:, 0], pairs[:, 1]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        docs, sets, held = [], [], 0
+        for part in _parts(batches):
+            for doc, s in zip(ids_of(part.column(0)).tolist(), shingle_sets(part.column(1), bound.n), strict=True):
+                docs.append(doc)
+                sets.append(s)
+                held += len(s)
+                if held >= FLUSH or len(docs) >= SLOTS:
+                    yield _rows(list(flush(number, docs, sets)), _DEALT, _DEALT_KINDS)
+                    number, docs, sets, held = number + 1, [], [], 0
+        if docs:
+            yield _rows(list(flush(number, docs, sets)), _DEALT, _DEALT_KINDS)
+
+    return run
+
+
+def _gathered(blobs: list[bytes], kind: str) -> tuple[np.ndarray, ...]:
+    """Tokens of a bucket in their order, with their flush's place among the flushes, and their slot; those flushes."""
+    flushes = sorted({b[:8] for b in blobs})
+    place = {f: i for i, f in enumerate(flushes)}
+    parts = [unpack(b[8:], (kind, "u2")) for b in blobs]
+    token, slot = (np.concatenate(c) for c in zip(*parts, strict=True))
+    of = np.repeat(np.array([place[b[:8]] for b in blobs]), [len(p[0]) for p in parts])
+    order = np.argsort(token, kind="stable")
+    return token[order], of[order], slot[order], [int.from_bytes(f, "little") for f in flushes]
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers each flush with the number of repeated shingles of its slots."""
+    for (key, kind), rows in groups(batches, 2):
+        if kind == FACT:
+            yield _rows([(key, FACT, r[0]) for r in rows], _DEALT, _DEALT_KINDS)
+            continue
+        token, of, slot, flushes = _gathered([r[0] for r in rows], "u4")
+        again = ~starts(token)
+        again[:-1] |= again[1:]
+        where, n = np.unique((of[again].astype(np.int64) << 16) | slot[again], return_counts=True)
+        edges = np.searchsorted(where, np.arange(len(flushes) + 1) << 16)
+        yield _rows([(f, TOKEN, pack((where[a:b] & 0xFFFF).astype(np.uint16), n[a:b].astype(np.uint32))) for f, a, b in zip(flushes, edges, edges[1:], strict=False) if b > a], _DEALT, _DEALT_KINDS)
 
 
-def _grouped(sig: np.ndarray, doc: np.ndarray, large: np.ndarray) -> tuple:
-    """Records sorted and distinct; for each, whether it is its key's first, and whether its key has many documents."""
-    order = np.lexsort((doc, sig))
-    sig, doc, large = sig[order], doc[order], large[order]
-    keep = starts(sig, doc)
-    of = starts(sig).cumsum() - 1
-    many = (np.bincount(of, weights=keep) > FEW_DOCS) | (np.bincount(of, weights=large) > 0) if len(of) else np.empty(0, bool)
-    sig, doc, of = sig[keep], doc[keep], of[keep]
-    new = starts(sig)
-    return sig, doc, new, many[of] if len(of) else np.empty(0, bool), doc[new][of] if len(of) else doc
-
-
-def _keys(bound: Bound, buckets: int):
-    def flush(sigs: list, docs: list) -> Iterator[tuple[int, int, bytes]]:
-        sig, doc = np.concatenate(sigs), np.concatenate(docs)
-        sig, doc, new, many, least = _grouped(sig, doc, np.zeros(len(sig), bool))
-        send = new | ~many  # of a key with many documents one record leaves the task, so hot keys stay small
-        for bucket, blob in in_buckets(sig[send], buckets, sig[send], doc[send], many[send]):
-            yield bucket, SIG, blob
-        a, b = _distinct_pairs(doc[many], least[many])
-        if len(a):
-            for bucket, blob in in_buckets(mix(a.astype(np.uint64)), buckets, a, b):
-                yield bucket, EDGE, blob
+def _facts(bound: Bound):
+    """Each document's size and set hash, and whether enough of its shingles are repeated for a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sigs, docs, held, facts, sketches, out, seen = [], [], 0, [], [], [], {}
-            for at in range(0, len(batch), 1000):
-                part = batch.slice(at, 1000)
-                ids = ids_of(part.column(0))
-                for doc, s in zip(ids.tolist(), shingle_sets(part.column(1), bound.n), strict=True):
-                    key = xxhash.xxh3_128_intdigest(s.tobytes())
-                    facts.append((doc, len(s), key & (2**63 - 1), key >> 65))
-                    sketches.append(sketch(s))
-                    if len(s) and seen.get(key, doc + 1) > doc:
-                        if key not in seen:  # of equal sets in a batch, the first stands for all
-                            sigs.append(signatures(s, bound))
-                            docs.append(np.full(len(sigs[-1]), doc))
-                            held += len(sigs[-1])
-                        seen.setdefault(key, doc)
-                if held > FLUSH:
-                    out += flush(sigs, docs)
-                    sigs, docs, held = [], [], 0
-            if held:
-                out += flush(sigs, docs)
-            if facts:
-                doc, n, k1, k2 = (np.array(c, np.int64) for c in zip(*facts, strict=True))
-                out += [(bucket, DOC, blob) for bucket, blob in in_buckets(mix(doc.astype(np.uint64)), min(buckets, 32), doc, n, k1, k2, np.stack(sketches).view(SKETCH).reshape(-1))]
-            cols = list(zip(*out, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "kind", "data"])
+        for _, rows in groups(batches, 1):
+            doc, n, k1, k2 = gather([d for k, d in rows if k == FACT], ("i8", "i8", "i8", "i8"))
+            slot, count = gather([d for k, d in rows if k == TOKEN], ("u2", "u4"))
+            again = np.bincount(slot, weights=count, minlength=len(doc))
+            open_ = (n > 0) & (again >= bound.least(n))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (doc, n, k1, k2, open_)], names=["doc", "n", "k1", "k2", "open"])
 
     return run
 
 
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ("kind", "a", "b", "n", "k", "sketch")
-    for (_, kind), rows in groups(batches, 2):
-        blobs, found = [r[0] for r in rows], []
-        if kind == SIG:
-            sig, doc, new, many, least = _grouped(*gather(blobs, ("u8", "i8", "?")))
-            found.append((EDGE, *_distinct_pairs(doc[many], least[many])))
-            sig, doc = sig[~many], doc[~many]
-            same = [np.flatnonzero(sig[d:] == sig[:-d]) for d in range(1, min(FEW_DOCS, len(sig)))]
-            found.append((PAIR, *_distinct_pairs(*(np.concatenate([np.empty(0, np.int64), *(doc[i + d * up] for d, i in enumerate(same, 1))]) for up in (1, 0)))))
-        elif kind == EDGE:
-            found.append((EDGE, *gather(blobs, ("i8", "i8"))))
-        else:
-            a, n, b, k, sketches = gather(blobs, ("i8", "i8", "i8", "i8", SKETCH))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), DOC, np.int32)), *(pa.array(c) for c in (a, b, n, k)), pa.array([x.tobytes() for x in sketches], pa.binary())], names=names)
-        for kind_, a, b in found:
-            zero = pa.array(np.zeros(len(a), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind_, np.int32)), pa.array(a), pa.array(b), zero, zero, pa.nulls(len(a), pa.binary())], names=names)
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers each flush with the repeated shingles of its slots and the number of sets that hold them."""
+    for (key, kind), rows in groups(batches, 2):
+        if kind == FACT:
+            yield _rows([(key, FACT, r[0]) for r in rows], _DEALT, _DEALT_KINDS)
+            continue
+        token, of, slot, flushes = _gathered([r[0] for r in rows], "u8")
+        first = np.flatnonzero(starts(token))
+        sets = np.repeat(np.diff(np.append(first, len(token))), np.diff(np.append(first, len(token))))
+        again = sets > 1
+        token, of, slot, sets = token[again], of[again], slot[again], sets[again].astype(np.uint32)
+        order = np.argsort(of, kind="stable")
+        edges = np.searchsorted(of[order], np.arange(len(flushes) + 1))
+        yield _rows([(f, TOKEN, pack(*(c[order[a:b]] for c in (token, slot, sets)))) for f, a, b in zip(flushes, edges, edges[1:], strict=False) if b > a], _DEALT, _DEALT_KINDS)
 
 
-def _near(bound: Bound):
-    """Pairs (a, b, sizes, sketches) that sizes and sketches don't exclude."""
+def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1)[a != b], axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _stars(token: np.ndarray, cls: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of prefix shingles and the size classes of the sets that hold them: the least document of each shingle and class,
+    and edges to it from the others."""
+    order = np.lexsort((doc, cls, token))
+    token, cls, doc = token[order], cls[order], doc[order]
+    first = starts(token, cls)
+    hub = doc[np.flatnonzero(first)[first.cumsum() - 1]] if len(doc) else doc
+    return token[first], cls[first], doc[first], *_distinct_pairs(doc, hub)
+
+
+_ORDERED, _ORDERED_KINDS = ("key", "kind", "doc", "n", "data"), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+
+
+def _order(bound: Bound, buckets: int):
+    """Sets in the global order, their prefixes' shingles as keys for other tasks, and edges of sets that share one here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            n1, n2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for i in (4, 5))
-            ok = (np.abs(x - y).sum(axis=1) <= bound.differing(n1, n2)) & (bound.den * np.minimum(n1, n2) >= bound.num * np.maximum(n1, n2))
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
+        for _, rows in groups(batches, 1):
+            doc, n, _, _ = gather([d for k, d in rows if k == FACT], ("i8", "i8", "i8", "i8"))
+            token, slot, sets = gather([d for k, d in rows if k == TOKEN], ("u8", "u2", "u4"))
+            order = np.lexsort((token, sets, slot))
+            token, slot, sets = token[order], slot[order].astype(np.int64), sets[order]
+            again = np.bincount(slot, minlength=len(doc))
+            prefix = n - bound.least(n) + 1 - (n - again)  # after the shingles that no other set holds
+            begin = again.cumsum() - again
+            inside = np.arange(len(slot)) - begin[slot] < prefix[slot]
+            out = []
+            for i in np.flatnonzero((prefix > 0) & (again > 0)).tolist():
+                a, b = begin[i], begin[i] + again[i]
+                out.append((0, SET, int(doc[i]), int(n[i]), pack(token[a:b], sets[a:b])))
+            cls = np.searchsorted(size_classes(bound, int(n.max(initial=1))), n, side="right") - 1
+            token, cls, least, a, b = _stars(token[inside], cls[slot[inside]], doc[slot[inside]])
+            out += [(bucket, KEY, 0, 0, blob) for bucket, blob in in_buckets(token, buckets, token, cls.astype(np.int16), least)]
+            if len(a):
+                out.append((0, EDGE, 0, 0, pack(a, b)))
+            yield _rows(out, _ORDERED, _ORDERED_KINDS)
 
     return run
 
 
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges between sets that share a shingle of their prefixes and are in the same or neighbouring size classes."""
+    for (_, kind), rows in groups(batches, 2):
+        blobs = [r[0] for r in rows]
+        if kind == EDGE:
+            found = [_distinct_pairs(*gather(blobs, ("i8", "i8")))]
+        else:
+            token, cls, hub, a, b = _stars(*gather(blobs, ("u8", "i2", "i8")))
+            near = np.flatnonzero((token[1:] == token[:-1]) & (cls[1:] - cls[:-1] == 1))
+            found = [(a, b), _distinct_pairs(hub[near], hub[near + 1])]
+        for a, b in found:
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
 class Trie:
-    """Ordered sets as paths; each edge is a run of tokens that all sets below it share."""
-
-    def __init__(self, sets: list[np.ndarray]) -> None:
-        self.order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
-        self.sets = [sets[i] for i in self.order]
-        self.sizes = np.array([len(s) for s in self.sets])
-        common = [0] * len(sets)
-        for i in range(1, len(sets)):
-            a, b = self.sets[i - 1], self.sets[i]
+    """Ordered sets as paths of shingles' ranks in the global order; each edge is a run that all sets below it share.
+    A set's size counts shingles that only it holds too."""
+
+    def __init__(self, paths: list[np.ndarray], sizes: list[int]) -> None:
+        self.order = sorted(range(len(paths)), key=lambda i: paths[i].astype(">i8").tobytes())
+        self.paths = [paths[i] for i in self.order]
+        self.sizes = np.array([sizes[i] for i in self.order])
+        self.lengths = np.array([len(p) for p in self.paths])
+        common = [0] * len(paths)
+        for i in range(1, len(paths)):
+            a, b = self.paths[i - 1], self.paths[i]
             n = min(len(a), len(b))
             apart = np.flatnonzero(a[:n] != b[:n])
             common[i] = int(apart[0]) if len(apart) else n
         self.common = np.array(common)
 
-    def probe(self, probes: list[np.ndarray], bound: Bound) -> list[tuple[int, int]]:
-        """(probe, set) of all linked pairs but a set's own, by their places in the input."""
-        vocabulary = np.unique(np.concatenate(self.sets))
-        columns = [np.searchsorted(vocabulary, s) for s in self.sets]
+    def probe(self, paths: list[np.ndarray], sizes: list[int], ranks: int, bound: Bound) -> list[tuple[int, int]]:
+        """(probe, set) of all linked pairs, a set and itself included, by their places in the input."""
         found: list[tuple[int, int]] = []
-        step = max(1, 16_000_000 // len(vocabulary))
-        for at in range(0, len(probes), step):
-            some = probes[at : at + step]
-            has = np.zeros((len(some), len(vocabulary)), bool)
-            for i, s in enumerate(some):
-                c = np.searchsorted(vocabulary, s)
-                c[c == len(vocabulary)] = 0
-                has[i, c[vocabulary[c] == s]] = True
+        step = max(1, 16_000_000 // ranks)
+        for at in range(0, len(paths), step):
+            some = paths[at : at + step]
+            has = np.zeros((len(some), ranks), bool)
+            for i, p in enumerate(some):
+                has[i, p] = True
             upto = has.cumsum(axis=1, dtype=np.int32)
-            sizes = np.array([len(s) for s in some])
-            stack = [(0, len(self.sets), 0, np.arange(len(some)), np.zeros(len(some), np.int64))]
+            size = np.array(sizes[at : at + step])
+            stack = [(0, len(self.paths), 0, np.arange(len(some)), np.zeros(len(some), np.int64))]
             while stack:
                 i, j, depth, active, overlap = stack.pop()
                 below = self.sizes[i:j]
-                end = int(below[0]) if j == i + 1 else int(self.common[i + 1 : j].min())
-                shortest, longest = int(below.min()), int(below.max())
-                for at_depth in (depth, end):  # before and after this edge's tokens
+                end = int(self.lengths[i]) if j == i + 1 else int(self.common[i + 1 : j].min())
+                shortest, longest, deepest = int(below.min()), int(below.max()), int(self.lengths[i:j].max())
+                for at_depth in (depth, end):  # before and after this edge's shingles
                     if at_depth > depth:
-                        overlap = overlap + has[active[:, None], columns[i][depth:end]].sum(axis=1)
-                    rest = upto[active, -1] - (upto[active, columns[i][at_depth - 1]] if at_depth else 0)
-                    n = sizes[active]
-                    keep = overlap + np.minimum(rest, longest - at_depth) >= bound.needed(n + np.clip(n * bound.num // bound.den, shortest, longest))
+                        overlap = overlap + has[active[:, None], self.paths[i][depth:end]].sum(axis=1)
+                    rest = upto[active, -1] - (upto[active, self.paths[i][at_depth - 1]] if at_depth else 0)
+                    n = size[active]
+                    keep = overlap + np.minimum(rest, deepest - at_depth) >= bound.needed(n + np.clip(n * bound.num // bound.den, shortest, longest))
                     keep &= (bound.den * longest >= bound.num * n) & (bound.den * n >= bound.num * shortest)
                     active, overlap = active[keep], overlap[keep]
                 if not len(active):
                     continue
                 child = i
-                while child < j and self.sizes[child] == end:  # equal sets, if any, end here together
-                    linked = bound.den * overlap >= bound.num * (sizes[active] + end - overlap)
+                while child < j and self.lengths[child] == end:  # equal paths, if any, end here together
+                    linked = bound.den * overlap >= bound.num * (size[active] + self.sizes[child] - overlap)
                     found += [(at + int(p), self.order[child]) for p in active[linked]]
                     child += 1
                 if child < j:
@@ -288,6 +325,15 @@ class Trie:
         return found
 
 
+def ranked(sets: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[np.ndarray], int]:
+    """Paths of ranks of sets (shingles, numbers of sets that hold them), and how many ranks there are."""
+    token, held = (np.concatenate(c) for c in zip(*sets, strict=True))
+    names, at, which = np.unique(token, return_index=True, return_inverse=True)
+    rank = np.empty(len(names), np.int64)
+    rank[np.lexsort((names, held[at]))] = np.arange(len(names))
+    return np.split(rank[which], np.cumsum([len(s[0]) for s in sets])[:-1]), len(names)
+
+
 def _spanning(ids_a: list[int], ids_b: list[int], pairs: list[tuple[int, int]]) -> set[tuple[int, int]]:
     """Links that join something new: a forest of the linked ids."""
     up: dict[int, int] = {}
@@ -311,115 +357,107 @@ def _links(bound: Bound):
     """Spanning links of each task's sets: side 0 against itself, or 0 against 1 where there are two sides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int]] = []
         for _, rows in groups(batches, 3):
-            sides: list[tuple[list[int], list[np.ndarray]]] = [([], []), ([], [])]
-            for side, doc, data in rows:
-                sides[side][0].append(doc)
-                sides[side][1].append(np.frombuffer(data, np.uint64))
-            (ids, sets), (ids2, sets2) = sides
-            if not ids:
+            rows.sort(key=lambda r: r[0])
+            docs, sizes = [r[1] for r in rows], [r[2] for r in rows]
+            paths, ranks = ranked([tuple(unpack(r[3], ("u8", "u4"))) for r in rows])
+            first = sum(r[0] == 0 for r in rows)
+            if not first:
                 continue
-            if not ids2:
-                ids2, sets2 = ids, sets
-            out += _spanning(ids2, ids, Trie(sets).probe(sets2, bound))
-        cols = list(zip(*out, strict=True)) or [(), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
+            other = first if first < len(rows) else 0
+            out = _spanning(docs[other:], docs[:first], Trie(paths[:first], sizes[:first]).probe(paths[other:], sizes[other:], ranks, bound))
+            cols = list(zip(*out, strict=True)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
 
     return run
 
 
-def _sets(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.slice(at, 500)
-                data = pa.array([s.tobytes() for s in shingle_sets(part.column(2), n)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), data], names=["doc", "block", "data"])
+def _run_tasks(tasks: DataFrame, bound: Bound) -> DataFrame:
+    """tasks: (block, i, j, side, doc, n, data)."""
+    return tasks.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(_links(bound), "a long, b long")
 
-    return run
 
+def _buckets(pairs: DataFrame) -> int:
+    """Buckets of about BUCKET_BYTES of text."""
+    size = pairs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-size // BUCKET_BYTES)))
 
-def _run_tasks(tasks: DataFrame, bound: Bound) -> DataFrame:
-    """tasks: (block, i, j, side, doc, data)."""
-    return tasks.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(_links(bound), "a long, b long")
+
+def _dealt(df: DataFrame, *keys: str) -> DataFrame:
+    return df.repartition(*keys).sortWithinPartitions(*keys)
 
 
-def ngram_jaccard_components(docs: DataFrame, bound: Bound = Bound(), tile: int = 192, most_tiles: int = 16, largest_tile: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_jaccard_components(docs: DataFrame, bound: Bound = Bound(), tile: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the least id in reach by links, its own included), for every row.
 
     Null and empty texts have empty sets and link with nothing. Rows that share an id are one document: they share its
     component. A null id is an id like others, before all of them; its component is null. Empty tables give no rows;
-    other columns are not read. Blocks of up to ``tile`` sets are one task; larger ones are tiled, a tile holding at
-    most ``largest_tile`` sets.
+    other columns are not read; texts of any length are read whole. A trie of up to ``tile`` sets and TILE_SHINGLES
+    shingles is one task; larger ones are cut into tiles of about that size.
     """
-    spark = docs.sparkSession
-    buckets = bucket_count(spark, 4, 128)
     pairs = docs.select(F.col(id_col).cast("long").alias("doc"), text_or_empty(text_col).alias("text"))
-    keyed = pairs.mapInArrow(_keys(bound, buckets), "bucket int, kind int, data binary")
-    found = cut(keyed.repartition("bucket", "kind").sortWithinPartitions("bucket", "kind").mapInArrow(_edges, "kind int, a long, b long, n long, k long, sketch binary"))
-    facts = found.where(F.col("kind") == DOC).select(F.col("a").alias("doc"), "n", F.col("b").alias("k1"), F.col("k").alias("k2"))
-    same = facts.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc").alias("rep"))
-    copies = cut(facts.where("n > 0").join(same, ["k1", "k2", "n"]).where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b")).distinct())
-    edges = found.where(F.col("kind").isin(EDGE, PAIR)).groupBy("a", "b").agg(F.min("kind").alias("kind"))
-    # A document of several texts keeps its edges: only one of its sets is that of the copy before it.
-    several = facts.where("n > 0").groupBy("doc").agg(F.count_distinct("k1", "k2", "n").alias("sets")).where("sets > 1")
-    rep = copies.groupBy("a").agg(F.min("b").alias("rep")).join(several.select(F.col("doc").alias("a")), "a", "left_anti")
-    for end in ("a", "b"):  # edges of copies count for what stands for them
-        edges = edges.join(rep.withColumnRenamed("a", "of"), F.col(end) == F.col("of"), "left").withColumn(end, F.coalesce("rep", end)).drop("of", "rep")
-    edges = cut(edges.where("a <> b"))
-    # Pairs of keys with few documents count if their sketches allow a link; keys with many make stars.
-    pairs_ = edges.where(F.col("kind") == PAIR).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    sketches = found.where(F.col("kind") == DOC).select(F.col("a").alias("of"), "n", "sketch")
-    for end in ("a", "b"):
-        pairs_ = pairs_.join(sketches.select(F.col("of").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"s_{end}")), end)
-    pairs_ = pairs_.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_near(bound), "a long, b long")
-    edges = edges.where(F.col("kind") == EDGE).select("a", "b").unionByName(pairs_)
-    blocks = cut(connected_components(edges))
-    sizes = blocks.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    members = blocks.join(sizes, "component").select(F.col("id").alias("doc"), F.col("component").alias("block"), "size")
-    texts = pairs.withColumn("doc", F.coalesce("doc", F.lit(NULL_ID)))
-    sets = texts.join(members.select("doc", "block"), "doc").select("doc", "block", "text").mapInArrow(_sets(bound.n), "doc long, block long, data binary")
-    sets = cut(sets.dropDuplicates(["doc", "data"]).join(sizes.withColumnRenamed("component", "block"), "block"))
-    small = sets.where(F.col("size") <= tile).select("block", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "doc", "data")
+    buckets, schema = _buckets(pairs), "key long, kind int, data binary"
+    counted = _dealt(pairs.mapInArrow(_deal(bound, buckets, False), schema), "key", "kind").mapInArrow(_count, schema)
+    facts = cut(_dealt(counted, "key").mapInArrow(_facts(bound), "doc long, n long, k1 long, k2 long, open boolean"))
+    # Equal sets: the least document stands for all. Documents of several sets tie these together.
+    same = cut(facts.groupBy("k1", "k2", "n").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("rows")))
+    several = facts.groupBy("doc").agg(F.min(F.struct("n", "k1", "k2")).alias("x"), F.max(F.struct("n", "k1", "k2")).alias("y")).where("x <> y").select("doc")
+    ties = facts.join(several, "doc", "left_semi").distinct().join(same, ["k1", "k2", "n"]).select(F.col("doc").alias("a"), F.col("rep").alias("b"))
+    # Sets that may link, in the global order of their shingles.
+    left = facts.where("open").join(same.select("k1", "k2", "n", F.col("rep").alias("doc")), ["k1", "k2", "n", "doc"]).select("doc").distinct()
+    texts = pairs.withColumn("doc", F.coalesce("doc", F.lit(NULL_ID))).join(left, "doc")
+    known = _dealt(texts.select("doc", "text").mapInArrow(_deal(bound, buckets, True), schema), "key", "kind").mapInArrow(_frequencies, schema)
+    ordered = cut(_dealt(known, "key").mapInArrow(_order(bound, buckets), "key long, kind int, doc long, n long, data binary"))
+    keys = ordered.where(F.col("kind").isin(KEY, EDGE)).select(F.when(F.col("kind") == EDGE, F.xxhash64("data")).otherwise(F.col("key")).alias("key"), "kind", "data")
+    blocks = cut(connected_components(_dealt(keys, "key", "kind").mapInArrow(_edges, "a long, b long")))
+    sets = ordered.where(F.col("kind") == SET).select("doc", "n", "data").join(blocks.select(F.col("id").alias("doc"), F.col("component").alias("block")), "doc")
+    sets = cut(sets)
+    sizes = sets.groupBy("block").agg(F.count(F.lit(1)).alias("rows"), F.ceil(F.greatest(F.count(F.lit(1)) / tile, F.sum(F.length("data") / 12) / TILE_SHINGLES)).cast("int").alias("tiles"))
+    sets = join_spread(sets, sizes, ["block"], "rows")
+    small = sets.where("tiles <= 1").select("block", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "doc", "n", "data")
     links = cut(_run_tasks(small, bound))
-    large = sets.where(F.col("size") > tile)
-    if large.limit(1).count():
-        links = cut(links.unionByName(_large_blocks(large, bound, tile, most_tiles, largest_tile)))
-    components = connected_components(links.unionByName(copies))
-    out = facts.select("doc", F.col("n").alias("n_shingles")).join(components.select(F.col("id").alias("doc"), "component"), "doc", "left")
+    if sizes.where("tiles > 1").limit(1).count():
+        large = cut(sets.where("tiles > 1"))
+        links = cut(links.unionByName(_large_blocks(large, bound)))
+        forget(large)
+    found = cut(connected_components(links.unionByName(ties)))
+    forget(ordered, blocks, links)
+    named = cut(same.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("k1", "k2", "n", "rows", F.coalesce("component", "rep").alias("component")))
+    out = join_spread(facts.select("doc", "n", "k1", "k2"), named, ["k1", "k2", "n"], "rows")
     value = lambda c: F.when(c != NULL_ID, c)
-    return out.select(value(F.col("doc")).alias("doc_id"), "n_shingles", value(F.coalesce("component", "doc")).alias("component_id"))
+    return out.select(value(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), value(F.col("component")).alias("component_id"))
 
 
-def _large_blocks(large: DataFrame, bound: Bound, tile: int, most_tiles: int, largest_tile: int) -> DataFrame:
-    """Spanning links of blocks that are cut into tiles."""
-    per = F.least(F.lit(largest_tile), F.greatest(F.lit(tile // 2), F.ceil(F.col("size") / most_tiles))).cast("int")
-    h = F.xxhash64("doc")
-    large = large.withColumn("per", per).withColumn("tiles", F.ceil(F.col("size") / F.col("per")).cast("int"))
+def _large_blocks(large: DataFrame, bound: Bound) -> DataFrame:
+    """Spanning links of blocks (block, doc, n, data, tiles) that are cut into tiles."""
+    h = F.xxhash64("doc", "data")
     first = large.withColumn("tile", F.pmod(h, F.col("tiles")).cast("int"))
     # Tile 0 is the pivot: every tile meets it and itself.
-    own = first.select("block", F.col("tile").alias("i"), F.col("tile").alias("j"), F.lit(0).alias("side"), "doc", "data")
-    against = first.where("tile > 0").select("block", F.lit(0).alias("i"), F.col("tile").alias("j"), F.lit(1).alias("side"), "doc", "data")
-    pivot = first.where("tile = 0").withColumn("j", F.explode(F.expr("sequence(1, greatest(1, tiles - 1))"))).select("block", F.lit(0).alias("i"), "j", F.lit(0).alias("side"), "doc", "data")
+    own = first.select("block", F.col("tile").alias("i"), F.col("tile").alias("j"), F.lit(0).alias("side"), "doc", "n", "data")
+    against = first.where("tile > 0").select("block", F.lit(0).alias("i"), F.col("tile").alias("j"), F.lit(1).alias("side"), "doc", "n", "data")
+    pivot = first.where("tile = 0").withColumn("j", F.explode(F.expr("sequence(1, greatest(1, tiles - 1))"))).select("block", F.lit(0).alias("i"), "j", F.lit(0).alias("side"), "doc", "n", "data")
     links = cut(_run_tasks(own.unionByName(against).unionByName(pivot), bound))
     labels = connected_components(links).select(F.col("id").alias("doc"), "component")
-    labelled = large.join(labels, "doc", "left").withColumn("label", F.coalesce("component", "doc")).drop("component")
+    labelled = cut(large.join(labels, "doc", "left").withColumn("label", F.coalesce("component", "doc")).drop("component"))
     # Then tiles of one component each where components are large, and mixed tiles of the rest; two tiles of the same
     # component are not compared.
-    count = labelled.groupBy("block", "label").agg(F.count(F.lit(1)).alias("c"), F.max("per").alias("per"))
-    count = count.withColumn("pool", F.when(F.col("c") >= F.col("per"), F.col("label")))
+    per = F.ceil(F.col("rows") / F.col("tiles"))
+    count = labelled.groupBy("block", "label").agg(F.count(F.lit(1)).alias("c"), F.max(per).alias("per"))
+    count = cut(count.withColumn("pool", F.when(F.col("c") >= F.col("per"), F.col("label"))))
     pools = count.groupBy("block", "pool").agg(F.sum("c").alias("c"), F.max("per").alias("per")).withColumn("parts", F.ceil(F.col("c") / F.col("per")).cast("int"))
     before = F.sum("parts").over(W.partitionBy("block").orderBy("pool").rowsBetween(W.unboundedPreceding, -1))
     pools = cut(pools.withColumn("before", F.coalesce(before, F.lit(0)).cast("int")))
+    if not pools.groupBy("block").count().where("count > 1").unionByName(pools.where("pool is null and parts > 1").select("block", F.lit(2).alias("count"))).limit(1).count():
+        return links  # each block is one component, or has no tiles to compare
     tiles = pools.select("block", "pool", F.explode(F.expr("sequence(before, before + parts - 1)")).alias("tile"))
-    there = labelled.join(count.select("block", "label", "pool"), ["block", "label"]).join(pools.select("block", F.col("pool").alias("p2"), "parts", "before"), "block")
+    several = pools.groupBy("block").agg((F.count(F.lit(1)) > 1).alias("a"), F.max(F.col("pool").isNull() & (F.col("parts") > 1)).alias("b")).where("a or b").select("block")
+    there = labelled.join(several, "block", "left_semi").join(count.select("block", "label", "pool"), ["block", "label"]).join(pools.select("block", F.col("pool").alias("p2"), "parts", "before"), "block")
     there = there.where(F.col("pool").eqNullSafe(F.col("p2"))).withColumn("tile", F.col("before") + F.pmod(h, F.col("parts")).cast("int"))
-    there = there.select("block", "pool", "tile", "doc", "data")
+    there = there.select("block", "pool", "tile", "doc", "n", "data")
     other = tiles.select("block", F.col("pool").alias("pool2"), F.col("tile").alias("tile2"))
     met = there.join(other, "block").where(F.col("pool").isNull() & F.col("pool2").isNull() | ~F.col("pool").eqNullSafe(F.col("pool2")))
     i, j = F.least("tile", "tile2"), F.greatest("tile", "tile2")
-    tasks = met.select("block", i.alias("i"), j.alias("j"), (F.col("tile") > F.col("tile2")).cast("int").alias("side"), "doc", "data")
+    tasks = met.select("block", i.alias("i"), j.alias("j"), (F.col("tile") > F.col("tile2")).cast("int").alias("side"), "doc", "n", "data")
     return links.unionByName(_run_tasks(tasks, bound))
 
 
@@ -433,5 +471,5 @@ NEAR = Bound(n=5, num=80)
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that have the least id of their component; of repeated rows with that id, each stays."""
-    kept = ngram_jaccard_components(docs, NEAR).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    gone = ngram_jaccard_components(docs, NEAR).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")

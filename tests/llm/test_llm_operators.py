@@ -83,25 +83,41 @@ def brute_components(rows, bound):
 
 
 @pytest.mark.parametrize("bound", [ngram_join.Bound(), ngram_join.Bound(n=5, num=80), ngram_join.Bound(n=1, num=70)])
-@pytest.mark.parametrize("tile", [192, 6])
+@pytest.mark.parametrize("tile", [512, 6])
 def test_ngram_join(docs, rows, bound, tile):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_jaccard_components(docs, bound, tile=tile).collect()}
     assert got == brute_components(rows, bound)
 
 
-def test_signatures_meet():
-    """Linked sets of any size share a signature, segments without shingles included."""
+def test_ngram_join_recall_of_all_sizes(spark):
+    """Texts of 54 to 420 words with edits around both bounds, in clusters and alone: no link is lost."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(45):
+        base = [f"w{rng.randrange(4000)}" for _ in range(54 + i * 8)]
+        for edits in (0, len(base) // 60 + 1, len(base) // 40, len(base) // 25, len(base) // 12):
+            near = list(base)
+            for _ in range(edits):
+                near[rng.randrange(len(near))] = rng.choice(("and", "the", f"x{rng.randrange(9999)}"))
+            rows.append((len(rows), " ".join(near[: len(near) - rng.randrange(4)]), "en", "s", 1))
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    for bound in (ngram_join.Bound(), ngram_join.NEAR):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_jaccard_components(df, bound).collect()}
+        assert got == brute_components(rows, bound)
+
+
+def test_trie_finds_all_links():
+    """Against all pairs, for sets that share runs in any part of the order, with shingles of their own beside."""
     rng = np.random.default_rng(5)
-    for bound in (ngram_join.Bound(), ngram_join.Bound(n=5, num=80)):
-        for _ in range(3000):
-            n = int(rng.integers(1, 40))
-            a = np.unique(rng.integers(0, 2**63, n, dtype=np.int64).astype(np.uint64) * np.uint64(2))
-            b = a
-            for _ in range(int(rng.integers(0, n // 4 + 2))):
-                b = np.delete(b, rng.integers(0, len(b))) if len(b) > 1 and rng.random() < 0.5 else np.unique(np.append(b, rng.integers(0, 2**63, 1).astype(np.uint64) * np.uint64(2)))
-            both = len(np.intersect1d(a, b))
-            if bound.den * both >= bound.num * (len(a) + len(b) - both):
-                assert len(np.intersect1d(ngram_join.signatures(a, bound), ngram_join.signatures(b, bound)))
+    for bound in (ngram_join.Bound(), ngram_join.Bound(n=5, num=80), ngram_join.Bound(n=1, num=50)):
+        for _ in range(40):
+            base = rng.permutation(400)[: int(rng.integers(2, 200))]
+            sets = [np.unique(np.append(base[rng.random(len(base)) > rng.choice((0.01, 0.05, 0.1, 0.3))], rng.integers(0, 400, int(rng.integers(0, 4))))) for _ in range(30)]
+            sets = [s for s in sets if len(s)]
+            sizes = [len(s) + int(rng.integers(0, 3)) for s in sets]
+            got = set(ngram_join.Trie(sets, sizes).probe(sets, sizes, 400, bound))
+            both = {(i, j): len(np.intersect1d(a, b)) for i, a in enumerate(sets) for j, b in enumerate(sets)}
+            assert got == {(i, j) for (i, j), n in both.items() if bound.den * n >= bound.num * (sizes[i] + sizes[j] - n)}
 
 
 def test_ngram_join_odd(odd, empty):
