@@ -78,6 +78,7 @@ def classify(rows: DataFrame, v_c: float = S.DEFAULT_VC_MPH, dt_min: float = S.D
         F.sum(F.col("_keep").cast("int")).alias("n_discharge"),
         F.min(F.when(F.col("_keep"), F.col("idx"))).alias("discharge_start_idx"),
         F.max(F.when(F.col("_keep"), F.col("idx"))).alias("discharge_end_idx"),
+        *([F.min("road_order").alias("road_order")] if "road_order" in rows.columns else []),
     )
     enough = F.col("n_discharge") >= S.DISCHARGE_MIN_BINS
     known = F.col("min_speed_mph").isNotNull()
@@ -94,19 +95,16 @@ def classify(rows: DataFrame, v_c: float = S.DEFAULT_VC_MPH, dt_min: float = S.D
     return out.withColumn("is_valid_for_mu", valid).withColumn("regime", X.regime("P_min", "min_speed_mph", "v_c_mph")).drop("n_discharge")
 
 
-def merge_md_pm(episodes: DataFrame, qc: DataFrame, v_c: float, dt_min: float) -> DataFrame:
-    """Adds an MDPM episode over 10 to 20 h where a queue crosses 16 h: MD ends in its last bin and PM begins in its
-    first. The two parts stay, but no longer count as valid."""
+def merged_over_16h(episodes: DataFrame, dt_min: float = S.DT_MIN) -> DataFrame:
+    """Of the MDPM episodes (10 to 20 h) those stay where a queue crosses 16 h: MD ends in its last bin and PM begins in
+    its first. The two parts stay, but no longer count as valid."""
     last = (S.PERIODS["MD"][1] - S.PERIODS["MD"][0]) * 60 // int(dt_min) - 1
-    day = ["sensor_uid", "corridor", "date"]
-    md = episodes.where((F.col("period") == "MD") & F.col("dc_existence") & (F.col("t3_index") >= last)).select(*day)
-    pm = episodes.where((F.col("period") == "PM") & F.col("dc_existence") & (F.col("t0_index") == 0)).select(*day)
-    crossing = md.join(pm, day).withColumn("crosses", F.lit(True))
-    whole = sliced(qc.where((F.hour("datetime") >= 10) & (F.hour("datetime") < 20)), F.lit("MDPM")).join(crossing.drop("crosses"), day, "left_semi")
-    kept = episodes.join(crossing, day, "left")
-    part = F.coalesce(F.col("crosses"), F.lit(False)) & F.col("period").isin("MD", "PM")
-    kept = kept.withColumn("is_valid_for_mu", F.col("is_valid_for_mu") & ~part).drop("crosses")
-    return kept.unionByName(classify(whole, v_c, dt_min))
+    day = W.partitionBy("sensor_uid", "corridor", "date")
+    ends = F.bool_or((F.col("period") == "MD") & F.col("dc_existence") & (F.col("t3_index") >= last)).over(day)
+    begins = F.bool_or((F.col("period") == "PM") & F.col("dc_existence") & (F.col("t0_index") == 0)).over(day)
+    df = episodes.withColumn("_crosses", ends & begins).where((F.col("period") != "MDPM") | F.col("_crosses"))
+    part = F.col("_crosses") & F.col("period").isin("MD", "PM")
+    return df.withColumn("is_valid_for_mu", F.col("is_valid_for_mu") & ~part).drop("_crosses")
 
 
 def with_events(episodes: DataFrame) -> DataFrame:
@@ -120,8 +118,10 @@ def with_events(episodes: DataFrame) -> DataFrame:
 
 def find_episodes(qc: DataFrame, v_c: float = S.DEFAULT_VC_MPH, dt_min: float = S.DT_MIN) -> DataFrame:
     """All episodes of the day periods: detection, the merge over 16 h, then events."""
-    by_period = sliced(qc).where("period <> 'NT'")
-    return with_events(merge_md_pm(classify(by_period, v_c, dt_min), qc, v_c, dt_min))
+    period, hour = X.period_of("datetime"), F.hour("datetime")
+    labels = F.array_compact(F.array(F.when(period != "NT", period), F.when((hour >= 10) & (hour < 20), F.lit("MDPM"))))
+    rows = sliced(qc, F.explode(labels))  # a row of 10 to 20 h takes part in both, in one pass
+    return with_events(merged_over_16h(classify(rows, v_c, dt_min), dt_min))
 
 
 def sensor_reliability(episodes: DataFrame) -> DataFrame:

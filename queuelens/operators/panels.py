@@ -27,10 +27,15 @@ def well_observed(states: DataFrame, least: float = 0.6, bins_per_day: int = 288
     return states.join(keep, "sensor_uid", "left_semi")
 
 
-def corridor_panel(states: DataFrame, sensors: int, value: str = "speed_mph") -> DataFrame:
-    """Time by road position, one column for each position; the positions are given, so no pass looks for them."""
-    wide = states.groupBy("corridor", "datetime").pivot("road_order", [float(i) for i in range(sensors)]).agg(F.max(value))
-    return wide.select("corridor", "datetime", *[F.col(f"`{float(i)}`").alias(f"s{i}") for i in range(sensors)])
+def corridor_panel(states: DataFrame, positions: list[float] | None = None, value: str = "speed_mph", most: int = 10_000) -> DataFrame:
+    """Time by road position: columns s0, s1, ... for the positions in ascending order, whole or not. By default all that
+    occur, which a pass looks for; more than ``most`` columns raise an error rather than drop any."""
+    if positions is None:
+        positions = [r[0] for r in states.select("road_order").where("road_order is not null").distinct().sort("road_order").limit(most + 1).collect()]
+        if len(positions) > most:
+            raise ValueError(f"more than {most} road positions; give those that are wanted")
+    at = lambda x: F.max(F.when(F.col("road_order") == x, F.col(value)))
+    return states.groupBy("corridor", "datetime").agg(F.count(F.lit(1)).alias("_n"), *[at(x).alias(f"s{i}") for i, x in enumerate(positions)]).drop("_n")
 
 
 def grid_filled(states: DataFrame, step: str = "1 hour") -> DataFrame:

@@ -36,27 +36,36 @@ def with_hampel(df: DataFrame, speed: str = "speed_mph", keys=("sensor_uid",), w
 
 
 def spatial(speed: Column, max_gap: float = 20.0) -> Column:
-    """Passes where the speed is within the gap of the median of itself and both neighbours on the road; edges and
-    missing speeds pass."""
-    road = W.partitionBy("corridor", "datetime").orderBy("road_order", "sensor_uid")
-    before, after = F.lag(speed).over(road), F.lead(speed).over(road)
-    place, n = F.row_number().over(road), F.count(F.lit(1)).over(W.partitionBy("corridor", "datetime"))
-    known = F.array_sort(F.filter(F.array(before, speed, after), lambda x: x.isNotNull()))
-    size = F.size(known)
-    median = F.when(size > 0, (F.get(known, F.floor((size - 1) / 2).cast("int")) + F.get(known, F.floor(size / 2).cast("int"))) / 2)
-    inside = (place > 1) & (place < n)
-    return ~F.coalesce(inside & (F.abs(speed - median) > max_gap), F.lit(False))
-
-
-def run_qc(states: DataFrame, v_f: float = 75.0) -> DataFrame:
+    """Passes where the speed is within the gap of the median of itself and its two neighbours on the road, the known ones
+    of them; the ends of the corridor and missing speeds pass. Needs the columns of with_places()."""
+    near = W.partitionBy("corridor", "datetime").orderBy("place").rangeBetween(-1, 1)
+    inside = (F.col("place") > 1) & (F.col("place") < F.col("n_places"))
+    return ~F.coalesce(inside & (F.abs(speed - F.percentile(speed, F.lit(0.5)).over(near)) > max_gap), F.lit(False))
+
+
+def places(sensors: DataFrame) -> DataFrame:
+    """corridor, sensor_uid, place (from 1, by road order, then sensor) and n_places of every sensor, idle ones too.
+    sensors: corridor, sensor_uid, road_order, in any number of rows."""
+    road = W.partitionBy("corridor").orderBy("road_order", "sensor_uid")
+    one = sensors.groupBy("corridor", "sensor_uid").agg(F.min("road_order").alias("road_order"))
+    return one.select("corridor", "sensor_uid", F.row_number().over(road).alias("place"), F.count(F.lit(1)).over(W.partitionBy("corridor")).alias("n_places"))
+
+
+def with_places(states: DataFrame, sensors: DataFrame | None = None) -> DataFrame:
+    """Adds each sensor's place on its corridor; ``sensors`` lists all of them, by default those that occur."""
+    return states.join(places(states if sensors is None else sensors), ["corridor", "sensor_uid"], "left").select(*states.columns, "place", "n_places")
+
+
+def run_qc(states: DataFrame, v_f: float = 75.0, sensors: DataFrame | None = None) -> DataFrame:
     """Adds the flags and the cleaned speed; qc_pass is their conjunction.
 
-    Neighbours are those with a row at the same time. A sensor's series is one window; sensors spread over tasks.
+    Neighbours are the sensors before and after on the road; one without a row at the time counts as unknown. A sensor's
+    series is one window; sensors spread over tasks.
     """
     series = W.partitionBy("sensor_uid").orderBy("datetime")
     v = F.col("speed_mph")
     df = states.withColumn("qc_hard_range", hard_range(v, v_f)).withColumn("qc_jump", jump(v, series))
-    df = with_hampel(df).withColumn("qc_spatial", spatial(v))
+    df = with_places(with_hampel(df), sensors).withColumn("qc_spatial", spatial(v)).drop("place", "n_places")
     return df.withColumn("qc_pass", F.col("qc_hard_range") & F.col("qc_jump") & F.col("qc_hampel") & F.col("qc_spatial"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from queuelens import schemas as S
+from queuelens.operators.quality_control import places
 
 
 def with_class(episodes: DataFrame, dt_min: float = S.DT_MIN) -> DataFrame:
@@ -20,9 +21,9 @@ def with_class(episodes: DataFrame, dt_min: float = S.DT_MIN) -> DataFrame:
     for period, (h, _) in S.SLICES.items():
         start = F.when(F.col("period") == period, h * 60).otherwise(start)
     eps = episodes.withColumns({"t0_abs": start + F.col("t0_index") * int(dt_min), "t3_abs": start + F.col("t3_index") * int(dt_min)})
-    places = eps.select("corridor", F.col("pos").alias("npos")).distinct()
+    with_valid = eps.select("corridor", F.col("pos").alias("npos")).distinct()
     for name, step in (("down", 1), ("up", -1)):
-        near = places.select("corridor", (F.col("npos") - step).alias("pos"), F.lit(True).alias(f"{name}_known"))
+        near = with_valid.select("corridor", (F.col("npos") - step).alias("pos"), F.lit(True).alias(f"{name}_known"))
         eps = eps.join(near, ["corridor", "pos"], "left")
         there = eps.select("corridor", "date", (F.col("pos") - step).alias("pos"), F.col("t0_abs").alias("a"), F.col("t3_abs").alias("b"))
         met = eps.join(there, ["corridor", "date", "pos"]).where("not (t3_abs < a or b < t0_abs)")
@@ -38,12 +39,13 @@ def with_class(episodes: DataFrame, dt_min: float = S.DT_MIN) -> DataFrame:
     return eps.withColumn("bottleneck_class", cls).drop("down_known", "up_known", "down_met", "up_met")
 
 
-def rank(episodes: DataFrame, dt_min: float = S.DT_MIN) -> DataFrame:
+def rank(episodes: DataFrame, sensors: DataFrame | None = None, dt_min: float = S.DT_MIN) -> DataFrame:
     """One row for each sensor and period: frequency, median duration, severity, score, most frequent class, ranks
-    within the corridor. Road positions are the order of (road_order, sensor) among the corridor's sensors."""
+    within the corridor. Road positions are the order of (road_order, sensor) among all of the corridor's sensors, idle
+    ones too, so that one of these between two queues keeps them apart; by default, all sensors that have episodes, valid
+    or not."""
     valid = episodes.where("is_valid_for_mu")
-    place = W.partitionBy("corridor").orderBy("road_order", "sensor_uid")
-    pos = valid.select("corridor", "sensor_uid", "road_order").distinct().withColumn("pos", F.row_number().over(place)).drop("road_order")
+    pos = places(episodes if sensors is None else sensors).select("corridor", "sensor_uid", F.col("place").alias("pos"))
     classed = with_class(valid.join(pos, ["corridor", "sensor_uid"]), dt_min)
     days = valid.groupBy("corridor").agg(F.countDistinct("date").alias("n_days_window"))
     mid = lambda c: F.percentile(c, F.lit(0.5))

@@ -22,14 +22,17 @@ h1 as (
 h2 as (select *, abs(speed_mph - med) as dev from h1),
 h3 as (select *, 1.4826 * quantile_cont(dev, 0.5) over (partition by sensor_uid order by datetime rows between 5 preceding and 5 following) as mad from h2),
 h4 as (select *, coalesce(nullif(mad, 0), quantile_cont(mad, 0.5) over (partition by sensor_uid), 1.0) as mad2 from h3),
+places as (
+  select corridor, sensor_uid, row_number() over (partition by corridor order by road_order, sensor_uid) as place, count(*) over (partition by corridor) as n_places
+  from (select distinct corridor, sensor_uid, road_order from states)),
 h5 as (
-  select *, lag(speed_mph) over w as before, lead(speed_mph) over w as after, row_number() over w as place, count(*) over (partition by corridor, datetime) as n
-  from h4 window w as (partition by corridor, datetime order by road_order, sensor_uid)),
+  select h4.*, place, n_places, quantile_cont(speed_mph, 0.5) over (partition by corridor, datetime order by place range between 1 preceding and 1 following) as near
+  from h4 join places using (corridor, sensor_uid)),
 qc as (
   select *, coalesce(speed_mph between 0 and 90, false) as qc_hard_range,
     case when rn = 1 then speed_mph is not null else coalesce(abs(speed_mph - prev) <= 30, false) end as qc_jump,
     coalesce(dev <= 3 * mad2, false) as qc_hampel,
-    not coalesce(place > 1 and place < n and abs(speed_mph - list_aggregate([before, speed_mph, after], 'median')) > 20, false) as qc_spatial,
+    not coalesce(place > 1 and place < n_places and abs(speed_mph - near) > 20, false) as qc_spatial,
     case when coalesce(dev <= 3 * mad2, false) then speed_mph else med end as speed_mph_clean
   from h5),
 passed as (select *, qc_hard_range and qc_jump and qc_hampel and qc_spatial as qc_pass from qc)"""
@@ -117,13 +120,12 @@ overall as (select count(*) as n, greatest(quantile_cont(n_episodes_valid, 0.5),
 by_group as (select corridor, quantile_cont(mid, 0.5) as med from sound group by 1)"""
 RANKING = f"""{EPISODES},
 ok as (select * from episodes where is_valid_for_mu),
-places as (select corridor, sensor_uid, row_number() over (partition by corridor order by road_order, sensor_uid) as pos from (select distinct corridor, sensor_uid, road_order from ok)),
 timed as (
-  select ok.*, pos, t0_index * 5 + s as t0_abs, t3_index * 5 + s as t3_abs
+  select ok.*, places.place as pos, t0_index * 5 + s as t0_abs, t3_index * 5 + s as t3_abs
   from (select *, case period when 'AM' then 360 when 'MD' then 600 when 'PM' then 960 else 600 end as s from ok) ok join places using (corridor, sensor_uid)),
 classes as (
   select t.*, case when regime = 'event' then 'incident_related'
-      when not exists (select 1 from places p where p.corridor = t.corridor and p.pos in (t.pos - 1, t.pos + 1)) then 'isolated_uncertain'
+      when not exists (select 1 from timed p where p.corridor = t.corridor and p.pos in (t.pos - 1, t.pos + 1)) then 'isolated_uncertain'
       when exists (select 1 from timed d where d.corridor = t.corridor and d.date = t.date and d.pos = t.pos + 1 and not (t.t3_abs < d.t0_abs or d.t3_abs < t.t0_abs)) then 'queued_passive'
       when exists (select 1 from timed d where d.corridor = t.corridor and d.date = t.date and d.pos = t.pos - 1 and not (t.t3_abs < d.t0_abs or d.t3_abs < t.t0_abs)) then 'spillback_source'
       else 'active_bottleneck' end as cls

@@ -28,14 +28,17 @@ def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
 
 
 def _qc(spark, d):
-    return quality_control.run_qc(states.states(spark, d))
+    return quality_control.run_qc(states.states(spark, d), sensors=states.sensors(spark, d))
 
 
 def _episodes(spark, d):
-    """Episodes with their sensor's place on the road, and the rows behind them; both are read several times."""
+    """Episodes, and the rows behind them; both are read several times."""
     qc = cut(_qc(spark, d))
-    roads = qc.groupBy("sensor_uid").agg(F.min("road_order").alias("road_order"))
-    return cut(episodes.find_episodes(qc).join(roads, "sensor_uid")), qc
+    return cut(episodes.find_episodes(qc)), qc
+
+
+def _only_episodes(spark, d):
+    return episodes.find_episodes(_qc(spark, d))
 
 
 def q_resample(spark, d):
@@ -48,12 +51,12 @@ def q_qc_flags(spark, d):
 
 
 def q_episodes(spark, d):
-    out = _episodes(spark, d)[0].drop("road_order", "v_c_mph", "n_bins")
+    out = _only_episodes(spark, d).drop("road_order", "v_c_mph", "n_bins")
     return _rounded(out, 3, "P_min", "min_speed_mph", "demand_veh", "cong_mean_speed")
 
 
 def q_reliability(spark, d):
-    return episodes.sensor_reliability(_episodes(spark, d)[0]).drop("regime_counts")
+    return episodes.sensor_reliability(_only_episodes(spark, d)).drop("regime_counts")
 
 
 def q_mu_links(spark, d):
@@ -64,7 +67,7 @@ def q_mu_links(spark, d):
 
 
 def q_ranking(spark, d):
-    return cut(ranking.rank(_episodes(spark, d)[0]))
+    return ranking.rank(cut(_only_episodes(spark, d)), states.sensors(spark, d))
 
 
 def q_accounting(spark, d):
@@ -72,7 +75,7 @@ def q_accounting(spark, d):
 
 
 def _with_ratios(spark, d):
-    eps = _episodes(spark, d)[0]
+    eps = cut(_only_episodes(spark, d))
     capacity = eps.select("sensor_uid").distinct().withColumns({"capacity_vphpl": F.lit(CAPACITY), "v_f_mph": F.lit(70.0)})
     return queue_model.with_ratios(eps, capacity)
 
@@ -116,7 +119,7 @@ def q_rank_agreement(spark, d):
 def q_tokens(spark, d):
     eps, qc = _episodes(spark, d)
     rows = qc.withColumn("date", F.date_format("datetime", "yyyy-MM-dd"))
-    out = tokens.compile_tokens(cut(episodes.with_times(eps, qc)), rows, cut(ranking.rank(eps)))
+    out = tokens.compile_tokens(cut(episodes.with_times(eps, qc)), rows, cut(ranking.rank(eps, states.sensors(spark, d))))
     return out.select("sensor_uid", "date", "period", "states.*", "metrics.*", "evidence.support_level", "diagnosis.demand_supply_status", "public_message")
 
 
@@ -165,7 +168,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "observed_share": lambda s, d: panels.observed_share(states.states(s, d)),
         "free_flow": q_free_flow,
         "s3_volume": q_s3,
-        "corridor_panel": lambda s, d: panels.corridor_panel(states.states(s, d), 6),
+        "corridor_panel": lambda s, d: panels.corridor_panel(states.states(s, d), [float(i) for i in range(6)]),
         "grid_filled": lambda s, d: _rounded(panels.grid_filled(states.states(s, d)), 9, "speed_mph"),
         "flow_residual": lambda s, d: _rounded(panels.flow_residual(states.states(s, d)), 4, "mean_residual", "p95_abs"),
         "recurrent_deviation": lambda s, d: _rounded(panels.recurrent_deviation(states.states(s, d)), 4, "frobenius"),

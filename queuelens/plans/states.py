@@ -29,6 +29,13 @@ def resampled(raw: DataFrame, minutes: int = S.DT_MIN, least: int = 1) -> DataFr
     return bins.where(F.col("n_readings") >= least)
 
 
+def sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """corridor, sensor_uid, road_order of every sensor."""
+    n = F.col("number")
+    numbers = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.expr("user_id div 50").alias("number")).distinct()
+    return numbers.select(F.concat(F.lit("C"), F.expr("number div 6").cast("string")).alias("corridor"), F.concat(F.lit("S"), F.lpad(n.cast("string"), 4, "0")).alias("sensor_uid"), (n % 6).cast("double").alias("road_order"))
+
+
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("number")
     return resampled(readings(spark, sf_dir)).select(

@@ -85,7 +85,7 @@ def simulated(spark):
 def found(spark, simulated):
     qc = cut(quality_control.run_qc(simulated))
     eps = episodes.find_episodes(qc, v_c=45.0)
-    return qc, cut(eps.join(simulated.select("sensor_uid", "road_order").distinct(), "sensor_uid"))
+    return qc, cut(eps)
 
 
 def test_planted_bottleneck_ranks_first(found):
@@ -119,7 +119,25 @@ def test_hampel_and_neighbours(spark):
     out = {r.datetime: (r.qc_hampel, r.speed_mph_clean) for r in quality_control.with_hampel(df).collect()}
     assert out[10] == (False, 60.0) and sum(not ok for ok, _ in out.values()) == 1
     road = spark.createDataFrame([("c", 0, float(i), f"s{i}", x) for i, x in enumerate([60.0, 20.0, 61.0, None])], "corridor string, datetime int, road_order double, sensor_uid string, v double")
-    assert [bool(r.ok) for r in road.withColumn("ok", quality_control.spatial(F.col("v"))).orderBy("road_order").collect()] == [True, False, False, True]  # 61 is 20.5 from the median of 20 and itself
+    check = lambda df, sensors=None: [bool(r.ok) for r in quality_control.with_places(df, sensors).withColumn("ok", quality_control.spatial(F.col("v"))).orderBy("road_order").collect()]
+    assert check(road) == [True, False, False, True]  # 61 is 20.5 from the median of 20 and itself
+    # Without a row of s1 at this time, s0 and s2 are no neighbours; without the last sensor, s2 still isn't the end.
+    far = spark.createDataFrame([("c", 0, 0.0, "s0", 60.0), ("c", 0, 2.0, "s2", 10.0), ("c", 0, 3.0, "s3", 70.0)], road.schema)
+    assert check(far, road) == [True, False, True] and check(far.where("road_order < 3"), road) == [True, True]
+
+
+def test_idle_sensor_keeps_queues_apart(spark):
+    one = lambda s, o: (s, "c", "2024-01-02", "AM", o, 0, 10, 20.0, 100.0, 60.0, 50.0, "recurring", True)
+    eps = spark.createDataFrame([one("a", 0.0), one("z", 2.0)], "sensor_uid string, corridor string, date string, period string, road_order double, t0_index int, t3_index int, min_speed_mph double, demand_veh double, P_min double, v_c_mph double, regime string, is_valid_for_mu boolean")
+    sensors = spark.createDataFrame([("c", s, o) for s, o in (("a", 0.0), ("m", 1.0), ("z", 2.0))], "corridor string, sensor_uid string, road_order double")
+    kinds = lambda df: {r.sensor_uid: r.bottleneck_class for r in df.collect()}
+    assert kinds(ranking.rank(eps, sensors)) == {"a": "isolated_uncertain", "z": "isolated_uncertain"}
+    assert kinds(ranking.rank(eps)) == {"a": "queued_passive", "z": "spillback_source"}
+
+
+def test_panel_keeps_every_position(spark):
+    df = spark.createDataFrame([("c", 0, 1.5, 10.0), ("c", 0, 7.0, 20.0)], "corridor string, datetime int, road_order double, speed_mph double")
+    assert [tuple(r) for r in panels.corridor_panel(df).collect()] == [("c", 0, 10.0, 20.0)]
 
 
 def test_runs_and_crossings(spark):
@@ -278,7 +296,7 @@ def test_evidence(spark):
 
 def test_panels(spark, simulated):
     assert panels.well_observed(simulated, 0.9).count() == simulated.count()
-    assert set(panels.corridor_panel(simulated, 6).columns) == {"corridor", "datetime", *[f"s{i}" for i in range(6)]}
+    assert set(panels.corridor_panel(simulated).columns) == {"corridor", "datetime", *[f"s{i}" for i in range(6)]}
 
 
 def test_readers(spark, tmp_path):
