@@ -9,7 +9,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from queuelens.llm.common import table, text_or_empty
 
@@ -17,7 +16,8 @@ KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "mac")
 BASE = KINDS[:4]
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+#: A match can only begin where a run of digits does, as a longer one would begin before it otherwise.
+IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
@@ -76,7 +76,7 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) of the four base kinds, each kind's matches leftmost and not overlapping; failing ones go."""
     out = [(s, "email", e) for s, e in emails(text)]
     if "." in text:
-        out += [(m.start(), "ip", m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [(m.start(), "ip", m.end()) for m in IP.finditer(text) if all(len(d := p.lstrip("0")) <= 3 and int(d or 0) <= 255 for p in m[0].split("."))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 14 and 14 <= len(d := _digits(m[0])) <= 19 and luhn(d):
             out.append((m.start(), "card", m.end()))
@@ -135,20 +135,23 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """doc_id, counts of the base kinds, hash of the base spans, all spans as kind:start:end in code points.
 
     Null text counts as empty; a null id stays null; repeated rows each give a row; empty tables give none; other
-    columns are not read. Work is linear in the text but for runs that a pattern must read to refuse.
+    columns are not read. Texts of any length are read whole, in time linear in their length. Where spans of two kinds
+    begin together they stand in the order of KINDS.
     """
     pairs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return pairs.mapInArrow(scan, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
-@F.udf(T.StringType(), useArrow=True)
-def mask(text: str) -> str:
-    return None if text is None else masked(text, _ordered(base_spans(text) + added_spans(text)))
+def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [None if t is None else masked(t, _ordered(base_spans(t) + added_spans(t))) for t in batch.column("text").to_pylist()]
+        at = batch.schema.get_field_index("text")
+        yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with every span masked by its kind; n_chars follows the text."""
-    hidden = docs.withColumn("text", mask("text"))
+    hidden = docs.mapInArrow(mask, docs.schema)
     return hidden.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else hidden
 
 

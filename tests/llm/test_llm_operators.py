@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -332,6 +333,9 @@ def test_top_k(spark):
     none = df.where("vec_id < 0")
     assert topk.exact_top_k(none, none).collect() == []
     large = spark.createDataFrame([(0, [1e6, -2e6]), (1, [3e6, 1e6]), (2, [5e5])], "vec_id long, embedding array<double>")
+    huge = spark.createDataFrame([(0, [5e7, 1.0]), (1, [5e7, 2.0]), (2, [-1e300, 0.0]), (3, [1e300, 0.0])], "vec_id long, embedding array<double>")
+    top = [(r.vec_id, r.score) for r in topk.exact_top_k(huge, huge.where("vec_id = 0")).orderBy("rank").collect()]
+    assert top == [(1, topk.LIMIT), (3, topk.LIMIT), (2, -topk.LIMIT)]
     assert [r.score for r in topk.exact_top_k(large, large.where("vec_id = 0")).orderBy("rank").collect()] == [4096 * 10**12, 4096 * 5 * 10**11]
 
 
@@ -361,6 +365,14 @@ def test_pii_base_matches_the_patterns():
         assert pii._ordered(pii.base_spans(text)) == pii._ordered(reference_base(text)), text
 
 
+def test_pii_long_runs():
+    text = "1.1.1." + "0" * 5000 + "1"
+    assert pii.base_spans(text) == [(0, "ip", len(text))]
+    begin = time.perf_counter()
+    assert pii.base_spans("." + "1" * 400_000 + " 1.2.3.4") == [(400_002, "ip", 400_009)]
+    assert time.perf_counter() - begin < 5
+
+
 def test_pii(odd, empty, spark):
     text = "write to ann@ex-ample.org or +1 (212) 555-0199; IBAN GB82 WEST 1234 5698 7654 32, SSN 123-45-6789, 10.0.0.256, é 4111-1111-1111-1111"
     df = spark.createDataFrame([(1, text, 0), (2, None, 0)], "doc_id long, text string, spans int")
