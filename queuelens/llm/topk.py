@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from queuelens.llm.common import cut, table
 
 BINS = 256
+#: Scores, and quantised components, beyond this count as this: what rounds of histograms over long numbers can hold.
+LIMIT = 2**62 - 1
 
 
 def quantised(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
@@ -22,7 +24,7 @@ def quantised(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> D
     not finite, are left out. Of repeated ids one row stays, that with the smallest vector."""
     x = F.col(vector_col)
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    v = F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c.cast("double")).cast("long"))
+    v = F.transform(x, lambda c: F.floor(F.greatest(F.lit(-float(LIMIT)), F.least(F.lit(float(LIMIT)), F.lit(float(scale)) * c.cast("double")))).cast("long"))
     ints = vectors.where(F.col(id_col).isNotNull() & x.isNotNull() & fine).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
     return ints.groupBy("id").agg(F.min("v").alias("v"))
 
@@ -38,7 +40,7 @@ def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Exact inner products, in the narrowest type that holds every partial sum."""
     most = int(np.abs(q).max(initial=0)) * int(np.abs(c).max(initial=0)) * q.shape[1]
     kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64 if most < 2**63 else object
-    return (q.astype(kind) @ c.astype(kind).T).astype(np.int64)
+    return np.clip(q.astype(kind) @ c.astype(kind).T, -LIMIT, LIMIT).astype(np.int64)
 
 
 def _pairs(left: pd.DataFrame, right: pd.DataFrame, rows: int = 512):
@@ -88,6 +90,7 @@ def exact_top_k(
 
     Vectors that are null or hold null or non-finite components take no part; shorter vectors count as padded with
     zeros; a repeated id counts once, with its smallest vector; empty tables give no rows. Other columns are not read.
+    Scores are exact up to LIMIT; finite components and scores beyond it count as LIMIT, so that they tie.
     """
     spark = vectors.sparkSession
     every = cut(quantised(vectors, scale, id_col, vector_col))
@@ -95,7 +98,7 @@ def exact_top_k(
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     facts = every.agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("m")).first()
     asks = asked.agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("m")).first()
-    n, bound = facts.n, int(max(facts.m or 0.0, asks.m or 0.0) * (1 + 1e-9)) + 1
+    n, bound = facts.n, min(LIMIT, int(max(facts.m or 0.0, asks.m or 0.0) * (1 + 1e-9)) + 1)
     c_blocks, q_blocks = max(32, -(-n // block)), max(1, -(-asks.n // block))
     of = lambda salt, blocks: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(blocks)).cast("int")
     cand = every.select("id", "v", of(1, c_blocks).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
