@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from queuelens.functions import diagrams, traffic
-from queuelens.operators import discharge, episodes, fits, gates, panels, quality_control, queue_model, ranking, reliability, runs, text_issues, tokens
-from queuelens.plans import oracles, states
+from queuelens.operators import audits, direction, discharge, episodes, fits, gates, panels, priors, quality_control, queue_model, ranking, reliability, runs, text_issues, tokens
+from queuelens.plans import audit_sql, oracles, states
 from queuelens.session import cut
 
 #: Capacity (veh/h/lane) that turns demand into D/C here.
@@ -126,12 +126,13 @@ def q_tokens(spark, d):
 def q_gates(spark, d):
     eps, qc = _episodes(spark, d)
     capacity = eps.select("sensor_uid").distinct().withColumn("capacity_vphpl", F.lit(1900.0))
-    return gates.episode_gates(discharge.mu_per_episode(eps, qc), capacity)
+    return _rounded(gates.episode_gates(discharge.mu_per_episode(eps, qc), capacity), 6, "value")
 
 
 def q_profiles(spark, d):
     eps = _with_ratios(spark, d).where("P_min > 0 and demand_veh > 0").withColumns({"length_mi": F.lit(1.0), "t2_hour": F.lit(8.0)})
-    return queue_model.profile(queue_model.forward(queue_model.calibrate(eps))).select("sensor_uid", "date", "period", "step", "hour", "td_speed_mph", "td_queue_veh")
+    out = queue_model.profile(queue_model.forward(queue_model.calibrate(eps))).select("sensor_uid", "date", "period", "step", "hour", "td_speed_mph", "td_queue_veh")
+    return _rounded(_rounded(out, 5, "td_speed_mph", "td_queue_veh"), 6, "hour")
 
 
 def q_shapes(spark, d):
@@ -142,6 +143,72 @@ def q_shapes(spark, d):
     return queue_model.shape_fits(rows, ("sensor_uid", "date", "period"))
 
 
+def q_direction_days(spark, d):
+    drops = direction.first_drops(states.states(spark, d), states.sensors(spark, d))
+    return _rounded(direction.day_checks(drops), 6, "confidence").withColumn("reversed", F.array_join(F.array_sort(F.transform("reversed", lambda x: x.cast("string"))), ","))
+
+
+def q_direction(spark, d):
+    days = cut(direction.day_checks(direction.first_drops(states.states(spark, d), states.sensors(spark, d))))
+    return _rounded(direction.direction_check(days).drop("reversed"), 6, "direction_confidence")
+
+
+def q_priors(spark, d):
+    return _rounded(priors.calibrated(states.states(spark, d), "rural_freeway", rederive=True), 6, "vf_mph", "k_critical_vpm", "s3_m")
+
+
+def _capacity(spark, d):
+    return states.sensors(spark, d).select("sensor_uid").distinct().withColumn("capacity_vphpl", F.lit(CAPACITY))
+
+
+def q_flags(spark, d):
+    eps, qc = _episodes(spark, d)
+    out = audits.with_flags(audits.measured_panel(eps, qc, _capacity(spark, d)))
+    return _rounded(out.select("sensor_uid", "date", "period", "D_over_C_hours", "outlier_n_flags", "is_outlier", "outlier_reasons"), 6, "D_over_C_hours")
+
+
+def _audited(spark, d):
+    eps, qc = _episodes(spark, d)
+    return audits.audit(eps, qc, _capacity(spark, d).withColumns({"v_c_fit_mph": F.lit(49.5), "flow_synthetic": F.lit(False)}))
+
+
+def q_audit(spark, d):
+    out = _audited(spark, d).select("sensor_uid", "date", "period", "discharge_n_intervals", "discharge_duration_min", "mu_obs_vphpl", "mu_check_vphpl", "mu_consistency")
+    return _rounded(_rounded(out, 4, "mu_obs_vphpl", "mu_check_vphpl"), 6, "mu_consistency")
+
+
+def _trips(spark, d):
+    eps = _with_ratios(spark, d).where("P_min > 0 and demand_veh > 0").withColumns({"length_mi": F.lit(1.0), "t2_hour": F.lit(8.0)})
+    return audits.round_trip(queue_model.forward(queue_model.calibrate(eps)))
+
+
+def q_trips(spark, d):
+    out = _trips(spark, d).select("sensor_uid", "date", "period", "P_err_hours", "P_err_pct", "vt2_err_mph", "vt2_err_pct")
+    return _rounded(_rounded(out, 6, "P_err_hours", "vt2_err_mph"), 5, "P_err_pct", "vt2_err_pct")
+
+
+def _speed_errors(spark, d, trips):
+    return audits.speed_errors(audits.nearest_speeds(queue_model.profile(trips).select("sensor_uid", "date", "period", "step", "hour", "td_speed_mph"), _qc(spark, d)))
+
+
+def q_trip_gates(spark, d):
+    trips = cut(_trips(spark, d))
+    return _rounded(gates.trip_gates(trips, cut(_speed_errors(spark, d, trips))), 5, "value")
+
+
+def q_corridor_parameters(spark, d):
+    return _rounded(audits.corridor_parameters(_trips(spark, d)), 6, "median", "iqr", "alpha_shrinkage", "shrunk")
+
+
+def q_pipeline_gates(spark, d):
+    eps, qc = _episodes(spark, d)
+    days = direction.day_checks(direction.first_drops(states.states(spark, d), states.sensors(spark, d)))
+    one = qc.agg(F.avg(F.col("qc_pass").cast("double")).alias("qc_pass_rate"))
+    one = one.crossJoin(days.agg(F.percentile("confidence", F.lit(0.5)).alias("direction_confidence")))  # one row each
+    one = one.crossJoin(eps.agg((F.count_if("is_valid_for_mu") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("valid_episode_pct")))
+    return _rounded(gates.pipeline_gates(one.withColumns({"fd_r2": F.lit(0.8), "mu_r2_gap": F.lit(None), "qvdf_n_fitted": F.lit(9.0)})), 6, "value")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_ranking(spark, sf_dir)
 
@@ -173,10 +240,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "flow_residual": lambda s, d: _rounded(panels.flow_residual(states.states(s, d)), 4, "mean_residual", "p95_abs"),
         "recurrent_deviation": lambda s, d: _rounded(panels.recurrent_deviation(states.states(s, d)), 4, "frobenius"),
         "rank_agreement": q_rank_agreement,
-        # Without SQL: kernels, walks and profiles, tested against planted truths.
-        "state_tokens": q_tokens,
         "episode_gates": q_gates,
         "queue_profiles": q_profiles,
+        "direction_days": q_direction_days,
+        "direction_check": q_direction,
+        "s3_priors": q_priors,
+        "episode_flags": q_flags,
+        "episode_audit": q_audit,
+        "run_gates": lambda s, d: _rounded(gates.run_gates(cut(_audited(s, d))), 6, "value"),
+        "round_trips": q_trips,
+        "speed_errors": lambda s, d: _rounded(_speed_errors(s, d, _trips(s, d)), 4, "v_t_MAE", "v_t_MAPE_pct", "v_t_RMSE"),
+        "trip_gates": q_trip_gates,
+        "corridor_parameters": q_corridor_parameters,
+        "pipeline_gates": q_pipeline_gates,
+        # Without SQL: kernels and walks, tested against planted truths.
+        "state_tokens": q_tokens,
         "shape_fits": q_shapes,
         "robust_diagrams": lambda s, d: fits.fit_diagrams(states.states(s, d)),
         "completed_speeds": lambda s, d: fits.complete_speeds(states.states(s, d)),
@@ -185,5 +263,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = oracles.sql()
+    found = oracles.sql() | audit_sql.sql()
     return {name: found[name] for name in queries() if name in found}

@@ -55,3 +55,18 @@ FEASIBLE = {
     "P_hours": (0.0, 0.0, 10.0),
 }
 Q_S_ANCHOR, Q_CD_ANCHOR, Q_N_FALLBACK = 4.0, 1.0, 1.124
+
+#: Priors of the S-shaped diagram: free-flow speed, critical density, shape and lane capacity.
+S3_PRIORS = {
+    "cbi_default": {"vf_mph": 70.0, "k_critical_vpm": 45.0, "s3_m": 4.0, "lane_capacity_vphpl": 2200.0},
+    "urban_freeway": {"vf_mph": 65.0, "k_critical_vpm": 50.0, "s3_m": 4.0, "lane_capacity_vphpl": 2200.0},
+    "rural_freeway": {"vf_mph": 75.0, "k_critical_vpm": 32.0, "s3_m": 4.0, "lane_capacity_vphpl": 1900.0},
+    "az_tmc_i17": {"vf_mph": 75.0, "k_critical_vpm": 32.0, "s3_m": 4.0, "lane_capacity_vphpl": 1900.0},
+    "ca_pems_freeway": {"vf_mph": 65.0, "k_critical_vpm": 50.0, "s3_m": 4.0, "lane_capacity_vphpl": 2200.0},
+    "arterial": {"vf_mph": 45.0, "k_critical_vpm": 35.0, "s3_m": 4.0, "lane_capacity_vphpl": 1500.0},
+}
+#: Pipeline gates: least share of rows that pass, direction confidence, share of valid episodes, diagram R2, gain of R2
+#: of valid episodes over all days, fitted groups.
+PIPELINE_GATES = {"qc_pass_rate": 0.85, "direction_confidence": 0.50, "valid_episode_pct": 0.05, "fd_r2": 0.70, "mu_r2_gap": 0.10, "qvdf_n_fitted": 5.0}
+#: Gates of the average-weekday method.
+DEMO_GATES = {"min_n_links": 5, "min_step1_r2": 0.50, "min_step2_r2": 0.30, "max_p_mape": 30.0, "max_vt2_mape": 30.0, "min_vt2_within": 70.0, "min_smooth_r2": 0.90, "min_fd_r2": 0.70}
