@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from queuelens import schemas as S
 from queuelens.functions import diagrams, traffic
-from queuelens.operators import audits, direction, discharge, episodes, fits, gates, panels, priors, quality_control, queue_model, ranking, reliability, runs, text_issues, tokens
-from queuelens.plans import audit_sql, oracles, states
+from queuelens.operators import audits, direction, discharge, episodes, fits, gates, panels, priors, quality_control, queue_model, ranking, reliability, runs, text_issues, tokens, weekday
+from queuelens.plans import audit_sql, oracles, states, weekday_sql
 from queuelens.session import cut
 
 #: Capacity (veh/h/lane) that turns demand into D/C here.
@@ -209,6 +210,59 @@ def q_pipeline_gates(spark, d):
     return _rounded(gates.pipeline_gates(one.withColumns({"fd_r2": F.lit(0.8), "mu_r2_gap": F.lit(None), "qvdf_n_fitted": F.lit(9.0)})), 6, "value")
 
 
+def _weekday_bins(spark, d):
+    t = F.col("datetime")
+    rows = states.states(spark, d).select(F.col("sensor_uid").alias("link_id"), F.date_format(t, "yyyy-MM-dd").alias("date"), (F.hour(t) * 60 + F.minute(t)).alias("t_min"), F.weekday(t).alias("weekday"), F.col("speed_mph").alias("speed"), F.col("flow_vph").alias("flow_pl"), "lanes", F.col("length_mi").alias("length"))
+    return weekday.quarter_hours(rows)
+
+
+def _links(spark, d):
+    """A diagram for each link, the same for all."""
+    return states.sensors(spark, d).select(F.col("sensor_uid").alias("link_id")).distinct().withColumns({"vf": F.lit(70.0), "kc": F.lit(35.0), "m": F.lit(4.0), "uc": F.lit(49.5), "cap": F.lit(CAPACITY)})
+
+
+def _congestion(spark, d):
+    return weekday.congestion(_weekday_bins(spark, d), _links(spark, d))
+
+
+def _defaults(spark, d):
+    periods = F.explode(F.array(*map(F.lit, S.DEMO_PERIODS))).alias("period")
+    return _links(spark, d).select("link_id", periods).withColumns({k: F.lit(v) for k, v in weekday.class_default().items()})
+
+
+def q_weekday_profiles(spark, d):
+    out = weekday.smoothed(weekday.profiles(_weekday_bins(spark, d)))
+    return _rounded(out.select("link_id", "t_min", "speed", "flow_pl", "sm"), 9, "speed", "flow_pl", "sm")
+
+
+def q_weekday_congestion(spark, d):
+    out = _rounded(_congestion(spark, d).drop("cutoff"), 9, "P", "DC", "v_t2", "t2", "t0", "t3", "qdf", "cd_mean_speed", "magnitude")
+    return _rounded(out, 7, "demand")
+
+
+def _calibration_quality(spark, d):
+    return weekday.calibration_quality(_congestion(spark, d), _defaults(spark, d))
+
+
+def _series_quality(spark, d):
+    bins = cut(_weekday_bins(spark, d))
+    return weekday.series_quality(bins, weekday.profiles(bins))
+
+
+def q_curves(spark, d):
+    eps = _congestion(spark, d).where("P > 0").withColumns({"vf": F.lit(70.0), "v_low": traffic.predict_vt2("cutoff", 0.2, "P", 1.3)})
+    return _rounded(_rounded(weekday.queue_curve(eps).select("link_id", "date", "period", "t0", "minute", "model_speed"), 8, "model_speed"), 9, "t0")
+
+
+def q_calibrated_links(spark, d):
+    return weekday.shrink(cut(weekday.calibrate(_congestion(spark, d))))
+
+
+def q_weekday_diagrams(spark, d):
+    links = _links(spark, d).select("link_id", "vf", F.lit(1900.0).alias("capacity_prior"))
+    return weekday.fit_diagrams(weekday.outer_layer(_weekday_bins(spark, d)), links)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_ranking(spark, sf_dir)
 
@@ -253,6 +307,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "trip_gates": q_trip_gates,
         "corridor_parameters": q_corridor_parameters,
         "pipeline_gates": q_pipeline_gates,
+        "weekday_profiles": q_weekday_profiles,
+        "outer_layers": lambda s, d: _rounded(weekday.outer_layer(_weekday_bins(s, d)), 9, "density", "speed", "most"),
+        "diagram_quality": lambda s, d: _rounded(weekday.diagram_r2(_weekday_bins(s, d), _links(s, d)), 6, "fd_r2"),
+        "weekday_congestion": q_weekday_congestion,
+        "congested_days": lambda s, d: weekday.congested_days(_congestion(s, d)),
+        "calibration_quality": _calibration_quality,
+        "series_quality": _series_quality,
+        "weekday_gates": lambda s, d: weekday.quality_gates(_calibration_quality(s, d), _series_quality(s, d)),
+        "queue_curves": q_curves,
+        "calibrated_links": q_calibrated_links,
+        "weekday_diagrams": q_weekday_diagrams,
         # Without SQL: kernels and walks, tested against planted truths.
         "state_tokens": q_tokens,
         "shape_fits": q_shapes,
@@ -263,5 +328,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = oracles.sql() | audit_sql.sql()
+    found = oracles.sql() | audit_sql.sql() | weekday_sql.sql()
     return {name: found[name] for name in queries() if name in found}

@@ -70,3 +70,18 @@ S3_PRIORS = {
 PIPELINE_GATES = {"qc_pass_rate": 0.85, "direction_confidence": 0.50, "valid_episode_pct": 0.05, "fd_r2": 0.70, "mu_r2_gap": 0.10, "qvdf_n_fitted": 5.0}
 #: Gates of the average-weekday method.
 DEMO_GATES = {"min_n_links": 5, "min_step1_r2": 0.50, "min_step2_r2": 0.30, "max_p_mape": 30.0, "max_vt2_mape": 30.0, "min_vt2_within": 70.0, "min_smooth_r2": 0.90, "min_fd_r2": 0.70}
+#: The average-weekday method: minutes of a bin, cutoff over free-flow speed, quantile of the outer layer, periods and
+#: search window in minutes, largest demand over capacity, least congested days, days of high reliability, weight of the
+#: corridor's median, bounds of parameters, tolerance of lowest speeds.
+DEMO_DT, DEMO_CUTOFF, DEMO_OUTER, DEMO_DOC_MAX = 15, 0.70, 0.90, 6.0
+DEMO_PERIODS = {"AM": (300, 600), "MD": (600, 840), "PM": (840, 1200)}
+DEMO_WINDOW, DEMO_MIN_DAYS, DEMO_HIGH_DAYS, DEMO_K0, DEMO_BOUNDS, DEMO_VT2_TOL = (300, 1320), 3, 5, 2.0, (0.0, 10.0), 10.0
+DEMO_MIN_EPISODE_H = 0.5
+#: Parameters where a link can't be calibrated, by facility and area; the first is for all others.
+DEMO_DEFAULT = {"f_d": 1.30, "n": 1.00, "f_p": 0.20, "s": 1.30}
+DEMO_CLASSES = {
+    ("freeway", "urban"): {"f_d": 1.15, "n": 1.05, "f_p": 0.15, "s": 1.25},
+    ("freeway", "suburban"): {"f_d": 1.30, "n": 1.00, "f_p": 0.10, "s": 1.35},
+    ("freeway_managed", "urban"): {"f_d": 1.00, "n": 1.00, "f_p": 0.08, "s": 1.30},
+    ("freeway_managed", "suburban"): {"f_d": 1.10, "n": 1.00, "f_p": 0.06, "s": 1.35},
+}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from queuelens import schemas as S
 from queuelens.functions import diagrams, traffic
-from queuelens.operators import cells, discharge, episodes, evidence, fits, gates, panels, quality_control, queue_model, ranking, reliability, runs, text_issues, tokens
+from queuelens.operators import audits, direction, discharge, episodes, evidence, fits, gates, panels, priors, quality_control, queue_model, ranking, reliability, runs, text_issues, tokens, weekday
 from queuelens.session import cut
 from queuelens.sources import readers, sinks
 from queuelens.streaming import online
@@ -227,15 +227,6 @@ def test_conserved_volume(spark):
     assert abs(fits.conserve_volume(df).agg(F.sum("flow_conserved")).first()[0] - 2000) < 1e-6
 
 
-def test_cell_transmission_conserves(spark):
-    road = spark.createDataFrame([("c", i, 0.2, 60.0, 12.0, 240.0, 1500.0 if i == 6 else 2000.0, 0.0) for i in range(10)], "corridor string, cell int, length_mi double, vf double, w double, kjam double, qmax double, off double")
-    demand = spark.createDataFrame([("c", p, -1, 2000.0 if p < 6 else 0.0) for p in range(12)], "corridor string, period int, cell int, veh_h double")
-    out = cells.simulate(road, demand).toPandas()
-    jam = out[out.tick == 300].set_index("cell")
-    assert jam.speed[4] < 60 and abs(jam.flow[6] - 1500) < 1 and jam.speed[8] == 60
-    assert out[out.tick == out.tick.max()].density.max() < 40
-
-
 def test_reliability_and_delay(spark, simulated):
     assert reliability.lottr(simulated).where("lottr < 1").count() == 0
     day = reliability.vehicle_hours_of_delay(simulated)
@@ -287,11 +278,22 @@ def test_text_issues(spark):
 
 
 def test_evidence(spark):
-    sources = evidence.register_sources(spark.createDataFrame([("a", "dot_feed"), ("b", "social")], "name string, kind string"))
+    sources = evidence.register_sources(spark.createDataFrame([("a", "feed", "agency_report"), ("b", "posts", "social_context"), ("c", "loop", "measurement")], "name string, kind string, trust_level string"))
     ids = {r.kind: r.source_id for r in sources.collect()}
-    cards = spark.createDataFrame([(ids["dot_feed"], "C", "jam", 0.9, True), (ids["social"], None, "jam", 0.9, False)], "source_id string, corridor string, claim string, prior double, measured boolean")
-    got = {r.corridor: r for r in evidence.compile_evidence(cards, sources, {"dot_feed": 0.8, "social": 0.4}).collect()}
-    assert got["C"].confidence == 0.8 and got["GLOBAL"].confidence == 0.4 and not got["GLOBAL"].any_measured
+    claims = [(ids["feed"], "slow", "bottleneck_location", "I-405 N"), (ids["posts"], "jam", "bottleneck_location", "I-405 N"), (ids["posts"], "bug", "software_bug", None), (ids["posts"], "crash", "incident_report", "SR-99"), (ids["posts"], "?", "gossip", "x")]
+    cards = evidence.make_cards(spark.createDataFrame(claims, "source_id string, claim_text string, claim_type string, corridor string"), sources)
+    assert sorted((r.claim_type, r.confidence_prior) for r in cards.collect()) == [("bottleneck_location", 0.4), ("bottleneck_location", 0.68), ("incident_report", 0.4), ("software_bug", 0.4)]
+    found = spark.createDataFrame([("D2", "recurring_bottleneck", "I-405", 0.83), ("D1", "incident", "I-405", 0.9), ("D3", "unreliable_segment_lottr", "I405-NORTH", 0.6)], "issue_id string, type string, corridor string, confidence double")
+    got = {r.type: r for r in evidence.compile_evidence(cards, found).collect()}
+    assert (got["bottleneck_location"].confidence, got["bottleneck_location"].status, got["bottleneck_location"].n_sources) == (0.9, "needs_planner_review", 2)
+    assert got["bottleneck_location"].evidence[-1] == "D2" and not got["bottleneck_location"].needs_detector_check
+    assert (got["incident_report"].confidence, got["incident_report"].needs_detector_check, got["incident_report"].severity) == (0.4, True, "low")
+    assert got["software_bug"].corridor is None and not got["software_bug"].needs_detector_check and sorted(r.issue_id for r in got.values()) == ["RAG-800", "RAG-801", "RAG-802"]
+    assert {r.type: r.confidence for r in evidence.compile_evidence(cards, found, benchmark_pass=True).collect()}["bottleneck_location"] == 0.93
+    assert evidence.compile_evidence(cards).where("status = 'open'").count() == 3
+    said = spark.createDataFrame([("T1", "capacity_event_report", "I-405", 0.8), ("T2", "work_zone_report", "I-405", 0.5), ("T3", "capacity_event_report", "I-5", 0.5), ("T4", "capacity_event_report", None, 0.5)], "issue_id string, type string, corridor string, confidence double")
+    met = {r.issue_id: (r.confidence, r.corroborates, r.needs_detector_check) for r in evidence.corroborate(said, found).collect()}
+    assert met == {"T1": (0.9, "D2", False), "T2": (0.5, "D2", False), "T3": (0.5, None, True), "T4": (0.5, None, True)}
 
 
 def test_panels(spark, simulated):
@@ -333,3 +335,74 @@ def test_streams(spark, tmp_path):
         q = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
         q.awaitTermination(120)
         assert spark.table(name).count() == want
+
+
+def _walk_by_loops(drops):
+    """The direction check of one day in loops: (bottleneck, in order, checked, reversed)."""
+    n, heads = len(drops), []
+    for i, d in enumerate(drops):
+        near = [x for x in drops[max(0, i - 5) : i + 6] if x is not None]
+        if d is not None and d <= min(near) and (not heads or i - heads[-1] > 5):
+            heads.append(i)
+    ok = checked = 0
+    turned = set()
+    for c, b in enumerate(heads):
+        last = drops[b]
+        for j in range(b - 1, (0 if c == 0 else (heads[c - 1] + b) // 2 + 1) - 1, -1):
+            if drops[j] is not None:
+                checked += 1
+                if drops[j] >= last - 1:
+                    ok, last = ok + 1, drops[j]
+                else:
+                    turned.add(j)
+    return min(heads, key=lambda i: drops[i]), ok, checked, sorted(turned)
+
+
+def test_direction_check(spark):
+    rng = np.random.default_rng(3)
+    days = {}
+    for k in range(60):
+        n = int(rng.integers(3, 25))
+        days[f"d{k:02d}"] = [None if rng.random() < 0.3 else int(x) for x in rng.integers(60, 110, n)]
+    days = {d: x for d, x in days.items() if sum(v is not None for v in x) >= 3}
+    rows = [("c", d, len(x), sum(v is not None for v in x), x) for d, x in days.items()]
+    got = {r.date: r for r in direction.day_checks(spark.createDataFrame(rows, "corridor string, date string, n_places int, n_drops int, drops array<int>")).collect()}
+    assert set(got) == set(days)
+    for d, x in days.items():
+        assert (got[d].bottleneck, got[d].n_ok, got[d].n_checked, got[d].reversed) == _walk_by_loops(x)
+    assert direction.day_checks(spark.createDataFrame([("c", "d", 4, 4, [60, 70, 80, 90])], "corridor string, date string, n_places int, n_drops int, drops array<int>")).first().confidence == 0.0
+
+
+def test_huber_line_and_flags(spark):
+    rng = np.random.default_rng(1)
+    x = rng.uniform(0.5, 3, 200)
+    y = 2 * x + 1 + rng.normal(0, 0.05, 200)
+    y[:4] += 3
+    a, b, s = audits.huber_line(spark.createDataFrame([(float(p), float(q)) for p, q in zip(x, y, strict=True)], "x double, y double"), "x", "y")
+    assert abs(a - 2) < 0.05 and abs(b - 1) < 0.08 and s < 0.2
+    rows = [(f"s{i}", "2024-01-02", "AM", "c", 60.0 * p, p, 30.0, 50.0, 600.0 * d, 600.0, d, 500.0) for i, (d, p) in enumerate(zip(x.tolist(), y.tolist(), strict=True))]
+    panel = spark.createDataFrame(rows, "sensor_uid string, date string, period string, corridor string, P_min double, P_hours double, V_t2_mph double, v_c_mph double, demand_veh double, capacity_vphpl double, D_over_C_hours double, mu_obs_vphpl double")
+    found = {r.sensor_uid for r in audits.with_all_flags(panel).where("outlier_reasons like '%huber_resid_doc_P%'").collect()}
+    assert {f"s{i}" for i in range(4)} <= found and len(found) < 20
+
+
+def test_priors():
+    assert priors.resolve("arterial")["vf_mph"] == 45.0 and priors.resolve({"vf_mph": 60.0})["k_critical_vpm"] == 45.0 and priors.resolve()["vf_mph"] == 70.0
+    with pytest.raises(ValueError, match="no such preset"):
+        priors.resolve("nowhere")
+
+
+def test_weekday_fits(spark):
+    k = np.linspace(20, 120, 12)
+    points = spark.createDataFrame([("l", i, float(d), float(65 / (1 + (d / 30) ** 3.5) ** (2 / 3.5)), 120.0) for i, d in enumerate(k)] + [("m", 0, 50.0, 30.0, 60.0)], "link_id string, band int, density double, speed double, most double")
+    links = spark.createDataFrame([("l", 65.0, 1900.0), ("m", 65.0, 1900.0), ("x", 65.0, 1900.0)], "link_id string, vf double, capacity_prior double")
+    got = {r.link_id: r for r in weekday.fit_diagrams(points, links).collect()}
+    assert abs(got["l"].kc - 30) < 0.1 and abs(got["l"].m - 3.5) < 0.05 and got["l"].source == "fit"
+    assert got["m"].source == got["x"].source == "prior" and got["x"].cap == 1900
+    dc = np.linspace(0.5, 3, 8)
+    eps = [("l", "AM", f"d{i}", float(1.2 * d**1.1), float(d), float(0.25 * (1.2 * d**1.1) ** 1.4)) for i, d in enumerate(dc)]
+    df = spark.createDataFrame(eps + [("m", "AM", "d0", 1.0, 1.0, 0.3)], "link_id string, period string, date string, P double, DC double, magnitude double")
+    fit = weekday.calibrate(df).collect()
+    assert len(fit) == 1 and [round(fit[0][p], 3) for p in ("f_d", "n", "f_p", "s")] == [1.2, 1.1, 0.25, 1.4] and fit[0].reliability in ("high", "medium")
+    two = spark.createDataFrame([("a", "AM", 1.0, 1.0, 0.2, 1.0, 6, "high"), ("b", "AM", 3.0, 1.0, 0.2, 1.0, 2, "low")], "link_id string, period string, f_d double, n double, f_p double, s double, n_cong int, reliability string")
+    assert {r.link_id: r.f_d for r in weekday.shrink(two).collect()} == {"a": 1.0, "b": 0.5 * 3 + 0.5 * 2}
