@@ -144,9 +144,9 @@ def brute_repeats(rows, length):
     return out
 
 
-@pytest.mark.parametrize(("length", "gram"), [(100, 32), (20, 8)])
-def test_suffix_dedup(docs, rows, length, gram):
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs, length, gram).collect()}
+@pytest.mark.parametrize(("length", "gram", "hot"), [(100, 48, 5000), (20, 8, 3)])
+def test_suffix_dedup(docs, rows, length, gram, hot):
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs, length, gram, hot=hot).collect()}
     assert got == brute_repeats(rows, length)
 
 
@@ -155,10 +155,27 @@ def test_suffix_dedup_long_texts():
     text = np.random.default_rng(1).integers(97, 100, suffix_dedup.CHUNK * 2 + 500).astype(np.uint8).tobytes()
     found = 0
     for texts, _, _begin in suffix_dedup._pieces(np.array([1]), [text], 100):
-        found += int((suffix_dedup.anchors(texts, 100, 32)[4] + 1).sum())
+        found += int((suffix_dedup.anchors(texts, 100, 48)[4] + 1).sum())
     assert found == len(text) - 99
 
 
+def test_equal_strings():
+    """Multikey quicksort against a dictionary, strings that differ late and early."""
+    rng = np.random.default_rng(2)
+    raw = np.concatenate([np.tile(rng.integers(97, 99, 60), 3), rng.integers(97, 99, 400)]).astype(np.uint8)
+    for length in (3, 8, 20, 41):
+        at = rng.permutation(len(raw) - length)
+        group = at % 2
+        index, same = suffix_dedup.equal_strings(raw, at, length, group)
+        want = defaultdict(set)
+        for i, p in enumerate(at.tolist()):
+            want[group[i], raw[p : p + length].tobytes()].add(i)
+        got = defaultdict(set)
+        for i, g in zip(index.tolist(), same.tolist(), strict=True):
+            got[g].add(i)
+        assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
+
+
 def test_suffix_dedup_odd(odd, empty, spark):
     assert suffix_dedup.remove_repeats(empty).collect() == []
     same = spark.createDataFrame([(None, "q" + "z" * 150), (4, "q" + "z" * 150), (4, "q" + "z" * 150)], "doc_id long, text string")
