@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 
 from queuelens.llm.common import cut, forget, join_spread, table, text_or_empty
 from queuelens.llm.components import connected_components
-from queuelens.llm.records import NULL_ID, gather, groups, ids_of, in_buckets, mix, pack, starts, unpack
+from queuelens.llm.records import NULL_ID, bucket_count, gather, groups, ids_of, in_buckets, mix, pack, starts, unpack
 
 #: Shingles, and sets, that a task deals together (a slot is a 16-bit number), and bytes of text that it reads at a time.
 FLUSH, SLOTS, READ = 1_500_000, 60_000, 4 << 20
-#: Bytes of text for each bucket of shingles, and the least and most buckets.
-BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 8 << 20, 64, 1 << 16
+#: Bytes of text for each bucket of shingles.
+BUCKET_BYTES = 8 << 20
 #: Shingles of a tile.
 TILE_SHINGLES = 1 << 20
 FACT, TOKEN, SET, KEY, EDGE = range(5)
@@ -379,8 +379,7 @@ def _run_tasks(tasks: DataFrame, bound: Bound) -> DataFrame:
 
 def _buckets(pairs: DataFrame) -> int:
     """Buckets of about BUCKET_BYTES of text."""
-    size = pairs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-size // BUCKET_BYTES)))
+    return bucket_count(pairs.sparkSession, pairs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, BUCKET_BYTES)
 
 
 def _dealt(df: DataFrame, *keys: str) -> DataFrame:

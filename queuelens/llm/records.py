@@ -102,9 +102,10 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple
         yield now, rows
 
 
-def bucket_count(spark: SparkSession, each: int = 2, least: int = 64) -> int:
-    """Buckets for a shuffle of records: ``each`` for a shuffle partition."""
-    return max(least, each * int(spark.conf.get("spark.sql.shuffle.partitions")))
+def bucket_count(spark: SparkSession, size: int, each: int, most: int = 1 << 16) -> int:
+    """Buckets of about ``each`` of ``size`` bytes, and at least three for each shuffle partition, so that these get
+    about as much; ``most`` bounds the pieces that a task sends."""
+    return min(most, max(16, 3 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each)))
 
 
 def ids_of(column: pa.Array) -> np.ndarray:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from queuelens.llm.common import cut, table, text_or_empty
-from queuelens.llm.records import NULL_ID, by_doc, doc_bucket, gather, groups, ids_of, in_buckets, mix, pack, starts, unpack
+from queuelens.llm.records import NULL_ID, bucket_count, by_doc, doc_bucket, gather, groups, ids_of, in_buckets, mix, pack, starts, unpack
 
 LENGTH, GRAM = 100, 48
 #: Bytes that are hashed at a time, and the bits of a place among them.
@@ -37,8 +37,8 @@ CHUNK = 1 << PLACE_BITS
 #: Anchors that a task holds before it sends them on, strings that are sorted at a time, and covers of an anchor from
 #: which its strings are dealt one by one.
 FLUSH, STRINGS, HOT = 400_000, 1_000_000, 5_000
-#: Bytes of text for each range and each group of documents, and the least and most of them.
-BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 8 << 20, 64, 1 << 16
+#: Bytes of text for each range and each group of documents.
+BUCKET_BYTES = 8 << 20
 #: Sampled leading bytes for each range, and of each block of anchors.
 SAMPLES, OF_BLOCK = 16, 32
 ANCHOR, OPEN, SAMPLE, COVER, REMOVE = range(5)
@@ -370,8 +370,7 @@ def _kept(with_text: bool):
 
 
 def _buckets(pairs: DataFrame) -> Buckets:
-    size = pairs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-size // BUCKET_BYTES)))
+    n = bucket_count(pairs.sparkSession, pairs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, BUCKET_BYTES)
     return Buckets(n, n)
 
 
