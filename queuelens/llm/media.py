@@ -16,8 +16,8 @@ from queuelens.llm import webp
 from queuelens.llm.common import table, text_or_empty
 
 #: A payload is a multiple of ROW bytes: one row of WIDTH pixels of three samples. A file has at most ROWS rows, so a
-#: long payload is a run of files, as the format's own limit on sides asks for in any case.
-WIDTH, ROWS = 64, 256
+#: long payload is a run of files, which are decoded side by side.
+WIDTH, ROWS = 64, 64
 ROW = 3 * WIDTH
 DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
@@ -78,7 +78,7 @@ def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([ids, pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
 
-def digest(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def digest(batches: Iterator[pa.RecordBatch], most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
     names = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
     for batch in batches:
@@ -99,7 +99,9 @@ def digest(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[p
 
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, media: the stored form of each text's payload (UTF-8 bytes, then spaces up to a positive
-    multiple of 192). Null text counts as empty; null ids and repeated rows are kept; other columns are not read."""
+    multiple of 192). Null text counts as empty; null ids and repeated rows are kept; an empty table gives no rows; other
+    columns are not read. Very long texts are runs of files, so memory follows the batch, not the text's image; equal
+    texts, tied or repeated, have equal values."""
     pairs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return pairs.mapInArrow(encode, "doc_id long, n_bytes long, media binary")
 
@@ -109,6 +111,18 @@ def media_digests(media: DataFrame) -> DataFrame:
     return media.mapInArrow(digest, DIGESTS)
 
 
+def _pixels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            rgb = read_back([m])[0]
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([WIDTH], pa.int32()), pa.array([len(rgb) // WIDTH], pa.int32()), pa.array([rgb.tobytes()], pa.binary())], names=["doc_id", "width", "height", "pixels"])
+
+
+def pixel_arrays(media: DataFrame) -> DataFrame:
+    """doc_id, width, height, pixels: each stored value as an array of height x width x 3 samples, row by row."""
+    return media.select("doc_id", "media").mapInArrow(_pixels, "doc_id long, width int, height int, pixels binary")
+
+
 def stored_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """media_digests(to_media(docs)) in one pass: the stored forms stay in the task that made them."""
     pairs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))

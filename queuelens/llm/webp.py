@@ -1,13 +1,15 @@
 """Lossless WebP: a writer and a decoder for the VP8L bit stream, as its public specification gives it.
 
-``decode`` reads any still VP8L image: prefix codes, back-references, colour cache, groups of prefix codes, and the
-four transforms. ``decode_many`` reads many images side by side with numpy, one pixel of each a step; an image with
-other symbols than literals, or with long codes, goes through ``decode``.
+``encode`` picks for each image what makes it smallest: palette, subtracted green, cross-colour or predictor transform,
+then back-references to earlier pixels and a colour cache, and prefix codes made for the image. ``decode`` reads any
+still VP8L image. ``decode_many`` reads many images side by side with numpy, one pixel of each a step, back-references
+and cache included; transforms are inverted for each image. An image with groups of prefix codes, varying alpha or codes
+of over TABLE_BITS bits goes through ``decode``.
 """
 
 from __future__ import annotations
 
-import heapq
+import math
 import struct
 from functools import cache
 
@@ -19,6 +21,8 @@ TABLE_BITS = 11
 #: Fixed values of the format: the order in which lengths of the code-length code stand.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
+#: Bits of the side of a tile of the writer's transforms: the largest, as it has one mode for an image.
+TILE = 9
 #: The writer's fixed code-length code: lengths 1 to 11 and zero runs.
 _CL = {0: 4, 1: 4, 2: 4, 3: 4, 4: 4, 5: 4, 6: 3, 7: 3, 8: 4, 9: 4, 10: 4, 11: 4, 17: 4, 18: 4}
 
@@ -32,35 +36,40 @@ def distance_map() -> list[tuple[int, int]]:
 
 def canonical(lengths: np.ndarray) -> np.ndarray:
     """Codes of given lengths, first bit lowest, as they stand in the stream."""
-    codes, code, last = np.zeros(len(lengths), np.uint64), 0, 0
-    for length, s in sorted((int(x), i) for i, x in enumerate(lengths) if x):
-        code <<= length - last
-        codes[s] = int(f"{code:0{length}b}"[::-1], 2)
-        code, last = code + 1, length
+    codes = np.zeros(len(lengths), np.uint64)
+    used = np.flatnonzero(lengths)
+    n = lengths[used].astype(np.int64)
+    order = np.argsort(n, kind="stable")
+    most = max(TABLE_BITS, int(n.max(initial=0)))
+    share = np.left_shift(1, most - n[order])
+    codes[used[order]] = _reversed(most)[share.cumsum() - share]  # the first window of bits that begins with the code
     return codes
 
 
-def huffman_lengths(counts: np.ndarray, limit: int = TABLE_BITS) -> np.ndarray:
-    """Code lengths of at most ``limit`` bits; counts are flattened until the longest code fits. One symbol: no bits."""
-    lengths, counts = np.zeros(len(counts), np.int64), np.asarray(counts, np.int64)
-    used = np.flatnonzero(counts).tolist()
+def code_lengths(counts: np.ndarray, limit: int = TABLE_BITS) -> np.ndarray:
+    """Lengths of a complete prefix code of at most ``limit`` bits: each symbol's information rounded up, then those made
+    a bit shorter that lost most by it, until the code is complete. One symbol: no bits."""
+    lengths = np.zeros(len(counts), np.int64)
+    used = np.flatnonzero(counts)
     if len(used) < 2:
         return lengths
-    while True:
-        parent = [0] * (2 * len(used) - 1)
-        heap = [(int(counts[s]), i) for i, s in enumerate(used)]
-        heapq.heapify(heap)
-        for node in range(len(used), len(parent)):
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            parent[a[1]] = parent[b[1]] = node
-            heapq.heappush(heap, (a[0] + b[0], node))
-        depth = [0] * len(parent)
-        for node in range(len(parent) - 2, -1, -1):
-            depth[node] = depth[parent[node]] + 1
-        if max(depth) <= limit:
-            lengths[used] = depth[: len(used)]
-            return lengths
-        counts = np.where(counts > 0, (counts + 1) // 2 + 1, 0)
+    c = counts[used].astype(float)
+    ideal = np.log2(c.sum() / c)
+    n = np.clip(np.ceil(ideal), 1, limit).astype(np.int64)
+    free = (1 << limit) - int((1 << (limit - n)).sum())
+    while free < 0:  # the limit cut the longest: the commonest symbols give way
+        i = int(np.argmin(np.where(n < limit, n - ideal, np.inf)))
+        free += 1 << (limit - n[i] - 1)
+        n[i] += 1
+    while free:
+        share = np.where(n > 1, 1 << (limit - n), 1 << limit)
+        order = np.argsort(ideal - n, kind="stable")
+        order = order[share[order] <= free]
+        taken = order[share[order].cumsum() <= free]
+        free -= int(share[taken].sum())
+        n[taken] -= 1
+    lengths[used] = n
+    return lengths
 
 
 class Writer:
@@ -75,38 +84,80 @@ class Writer:
         return self.value.to_bytes(-(-self.n // 8), "little")
 
 
-def _put_code(w: Writer, lengths: np.ndarray, only: int) -> None:
+@cache
+def _cl_codes() -> np.ndarray:
+    return canonical(np.array([_CL.get(i, 0) for i in range(19)]))
+
+
+@cache
+def _zero_runs() -> tuple[np.ndarray, np.ndarray]:
+    """Bits, and how many, that stand for 0 to 559 zero lengths."""
+    codes, values, sizes = _cl_codes().tolist(), [], []
+    for run in range(560):
+        value = n = 0
+        while run:
+            for symbol, least, most, extra in ((18, 11, 138, 7), (17, 3, 10, 3), (0, 1, 1, 0)):
+                if run >= least:
+                    k = min(run, most)
+                    value |= (codes[symbol] | (k - least) << _CL[symbol]) << n
+                    n, run = n + _CL[symbol] + extra, run - k
+                    break
+        values.append(value)
+        sizes.append(n)
+    return np.array(values, np.uint64), np.array(sizes, np.uint64)
+
+
+_Bits = tuple[np.ndarray, np.ndarray]
+
+
+def _some(*pairs: tuple[int, int]) -> _Bits:
+    values, sizes = zip(*pairs, strict=True)
+    return np.array(values, np.uint64), np.array(sizes, np.uint64)
+
+
+@cache
+def _code_head() -> _Bits:
+    return _some((0, 1), (15 - 4, 4), *((_CL.get(s, 0), 3) for s in LENGTH_ORDER[:15]), (0, 1))
+
+
+@cache
+def _only(symbol: int) -> _Bits:
+    return _some((0b101, 3), (symbol, 8)) if symbol > 1 else _some((0b001, 3), (symbol, 1))  # simple, one symbol
+
+
+def _code(lengths: np.ndarray, only: int) -> _Bits:
     """A prefix code: its lengths through the fixed code-length code, or the symbol ``only`` without bits."""
-    if not lengths.any():
-        w.put(0b101 if only > 1 else 0b001, 3)  # simple, one symbol, of 8 or 1 bits
-        w.put(only, 8 if only > 1 else 1)
-        return
-    cl = np.array([_CL.get(i, 0) for i in range(19)])
-    codes = _cl_codes()
-    w.put(0, 1)
-    w.put(15 - 4, 4)
-    for s in LENGTH_ORDER[:15]:
-        w.put(cl[s], 3)
-    w.put(0, 1)
-    values, i = lengths.tolist(), 0
-    while i < len(values):
-        v, run = values[i], 1
-        if v == 0:
-            while i + run < len(values) and run < 138 and values[i + run] == 0:
-                run += 1
-        if run >= 11:
-            w.put(codes[18] | (run - 11) << _CL[18], _CL[18] + 7)
-        elif run >= 3:
-            w.put(codes[17] | (run - 3) << _CL[17], _CL[17] + 3)
-        else:
-            run = 1
-            w.put(codes[v], _CL[v])
-        i += run
+    used = np.flatnonzero(lengths)
+    if not len(used):
+        return _only(only)
+    runs, sizes = _zero_runs()
+    gaps = np.empty(len(used) + 1, np.int64)
+    gaps[0], gaps[1:-1], gaps[-1] = used[0], used[1:] - used[:-1] - 1, len(lengths) - 1 - used[-1]
+    n = lengths[used]
+    value, bits = np.empty(2 * len(used) + 1, np.uint64), np.empty(2 * len(used) + 1, np.uint64)
+    value[0::2], value[1::2] = runs[gaps], _cl_codes()[n]
+    bits[0::2], bits[1::2] = sizes[gaps], _cl_bits()[n]
+    head = _code_head()
+    return np.concatenate([head[0], value]), np.concatenate([head[1], bits])
 
 
 @cache
-def _cl_codes() -> list[int]:
-    return canonical(np.array([_CL.get(i, 0) for i in range(19)])).tolist()
+def _cl_bits() -> np.ndarray:
+    return np.array([_CL.get(i, 0) for i in range(19)], np.uint64)
+
+
+def _packed(parts: list[_Bits]) -> tuple[np.ndarray, int]:
+    """The bits of all parts, lowest first, as bytes, and how many there are. A part has up to 64 bits."""
+    value, bits = (np.concatenate(c) for c in zip(*parts, strict=True))
+    end = bits.cumsum()
+    at = end - bits
+    word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
+    out = np.zeros(int(end[-1]) // 64 + 2, "<u8")
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    out[word[first]] = np.bitwise_or.reduceat(value << shift, first)
+    over = np.flatnonzero(shift + bits > 64)
+    out[word[over] + 1] |= value[over] >> (np.uint64(64) - shift[over])
+    return out.view(np.uint8), int(end[-1])
 
 
 def _riff(data: bytes) -> bytes:
@@ -122,36 +173,243 @@ def _start(w: Writer, width: int, height: int, alpha: bool = False) -> None:
     w.put(0, 3)
 
 
-def encode_rgb(rgb: np.ndarray, width: int) -> bytes:
-    """A WebP file of opaque pixels (n, 3): literals alone, one prefix code for the three channels."""
-    lengths = huffman_lengths(np.bincount(rgb.reshape(-1), minlength=256))
+@cache
+def _prefix_table(most: int) -> np.ndarray:
+    v = np.arange(-1, most)
+    high = np.maximum(np.floor(np.log2(np.maximum(v, 1))).astype(np.int64), 1)
+    small = v < 4
+    extra = np.where(small, 0, high - 1)
+    return np.stack([np.where(small, v, 2 * high + (v >> np.maximum(high - 1, 0) & 1)), extra, np.where(small, 0, v & ((1 << extra) - 1))])
+
+
+def _prefixed(value: np.ndarray) -> np.ndarray:
+    """Symbol, extra bits and their value of lengths and distance codes (from 1)."""
+    return _prefix_table(1 << max(14, int(value.max(initial=0)).bit_length()))[:, value]
+
+
+@cache
+def _near_codes(width: int) -> dict[int, int]:
+    """Short distance codes of distances in an image of this width."""
+    out: dict[int, int] = {}
+    for code, (x, y) in enumerate(distance_map(), 1):
+        out.setdefault(max(1, x + y * width), code)
+    return out
+
+
+def _copies(argb: np.ndarray, least: int = 5, most: int = 4096) -> list[tuple[int, int, int]]:
+    """Back-references (place, pixels, distance): runs of places whose three pixels occurred before at one distance."""
+    n = len(argb) - 2
+    if n < 2:
+        return []
+    a = argb.astype(np.uint64)
+    key = (a[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (a[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (a[2:] * np.uint64(0x165667B19E3779F9))
+    order = np.argsort(key, kind="stable")
+    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    if not len(same):
+        return []
+    back = np.zeros(n, np.int64)
+    back[order[same + 1]] = order[same + 1] - order[same]
+    edges = np.flatnonzero(np.diff(back, prepend=0, append=0))
+    run = np.diff(edges)
+    long = np.flatnonzero((back[edges[:-1]] > 0) & (run + 2 >= least))
+    out, end = [], 0
+    for start, size in zip(edges[long].tolist(), (run[long] + 2).tolist(), strict=True):
+        d = int(back[start])
+        start, size = max(start, end), size - max(0, end - start)
+        if size < least:
+            continue
+        wrong = np.flatnonzero(argb[start : start + size] != argb[start - d : start - d + size])
+        if len(wrong):  # equal keys of different pixels
+            size = int(wrong[0])
+        while size >= least:
+            out.append((start, min(size, most), d))
+            start, size = start + min(size, most), size - min(size, most)
+        end = start
+    return out
+
+
+def _entropy(*counts: np.ndarray) -> float:
+    """Bits of symbols with these counts, each with a code of its own, and roughly what the codes cost."""
+    bits = 0.0
+    for c in counts:
+        c = c[c > 0]
+        n = int(c.sum())
+        bits += n * math.log2(n) - float(c @ np.log2(c)) + 5 * len(c) if len(c) > 1 else 16
+    return bits
+
+
+def _hits(argb: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each pixel's slot in a colour cache of 2^bits, and whether the pixel is there when its turn comes."""
+    slot = ((argb.astype(np.uint32) * np.uint32(0x1E35A7BD)) >> np.uint32(32 - bits)).astype(np.uint16)
+    order = np.argsort(slot, kind="stable")
+    hit = np.zeros(len(argb), bool)
+    hit[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (argb[order[1:]] == argb[order[:-1]])
+    return slot.astype(np.int64), hit
+
+
+def _put_pixels(w: Writer, argb: np.ndarray, width: int, main: bool) -> np.ndarray:
+    """An entropy-coded image after ``w``'s bits; the stream's bytes. Alpha is one value for all pixels."""
+    n = len(argb)
+    channel = lambda shift: (argb >> np.uint32(shift) & np.uint32(255)).astype(np.int64)
+    red, green, blue = channel(16), channel(8), channel(0)
+    copies = _copies(argb) if n > 16 else []
+    coded = np.ones(n, bool)
+    for at, size, _ in copies:
+        coded[at + 1 : at + size] = False
+    where = np.flatnonzero(coded)  # one symbol each
+    length, distance = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    if copies:
+        at, size, d = np.array(copies).T
+        near = _near_codes(width)
+        length[at], distance[at] = size, [near.get(x, x + 120) for x in d.tolist()]
+    length, distance, g, r, b = length[where], distance[where], green[where], red[where], blue[where]
+    lit = length == 0
+    cache_bits, hit, slot = 0, np.zeros(len(where), bool), None
+    plain = [np.bincount(g[lit], minlength=280), np.bincount(r[lit], minlength=256) + np.bincount(b[lit], minlength=256)]
+    if n >= 64:
+        bits = min(8, max(2, n.bit_length() - 3))
+        slots, hits = _hits(argb, bits)
+        maybe = hits[where] & lit
+        slot = slots[where]
+        rest = lit & ~maybe
+        with_cache = np.bincount(np.where(maybe, 280 + slot, g)[lit], minlength=280 + (1 << bits))
+        if _entropy(with_cache, np.bincount(r[rest], minlength=256) + np.bincount(b[rest], minlength=256)) < _entropy(*plain):
+            cache_bits, hit = bits, maybe
+    symbol = np.where(hit, 280 + slot, g) if cache_bits else g.copy()
+    copied = np.flatnonzero(~lit)
+    ls, le, lx = _prefixed(length[copied])
+    ds, de, dx = _prefixed(distance[copied])
+    symbol[copied] = 256 + ls
+    full = lit & ~hit
+    green_lengths = code_lengths(np.bincount(symbol, minlength=280 + ((1 << cache_bits) if cache_bits else 0)))
+    rb_lengths = code_lengths(np.bincount(r[full], minlength=256) + np.bincount(b[full], minlength=256))
+    d_lengths = code_lengths(np.bincount(ds, minlength=40))
+    red_blue = _code(rb_lengths, int(r[full][0]) if full.any() else 0)
+    head = [(w.value >> i & 0xFFFFFFFF, min(32, w.n - i)) for i in range(0, w.n, 32)] + [(1, 1), (cache_bits, 4)] * bool(cache_bits) + [(0, 1)] * (not cache_bits)
+    head += [(0, 1)] * main  # one group of codes
+    parts = [_some(*head), _code(green_lengths, int(symbol[0])), red_blue, red_blue, _only(int(argb[0] >> np.uint32(24))), _code(d_lengths, int(ds[0]) if copies else 0)]
+    gc, rc, dc = canonical(green_lengths), canonical(rb_lengths), canonical(d_lengths)
+    u = lambda x: x.astype(np.uint64)
+    gl, rl, bl = u(green_lengths)[symbol], u(rb_lengths)[r], u(rb_lengths)[b]
+    value, bits_ = gc[symbol], gl
+    value = np.where(full, value | rc[r] << gl | rc[b] << (gl + rl), value)
+    bits_ = np.where(full, gl + rl + bl, bits_)
+    if copies:
+        at = gl[copied]
+        v = value[copied] | u(lx) << at
+        at = at + u(le)
+        v |= dc[ds] << at
+        at = at + u(d_lengths)[ds]
+        value[copied], bits_[copied] = v | u(dx) << at, at + u(de)
+    raw, w.n = _packed([*parts, (value, bits_)])
+    return raw[: -(-w.n // 8)]
+
+
+def _sub_image(w: Writer, argb: np.ndarray, width: int) -> None:
+    raw = _put_pixels(w, argb, width, False)
+    w.value = int.from_bytes(raw.tobytes(), "little")
+
+
+def _table_image(w: Writer, argb: np.ndarray) -> None:
+    """A palette's image of one row, literals alone: here alphas may be of two values."""
+    channels = [(argb >> np.uint32(shift) & np.uint32(255)).astype(np.int64) for shift in (8, 16, 0, 24)]  # G, R, B, A
+    w.put(0, 1)
+    made = []
+    for c, size in zip(channels, (280, 256, 256, 256), strict=True):
+        lengths = code_lengths(np.bincount(c, minlength=size))
+        for bits in zip(*(x.tolist() for x in _code(lengths, int(c[0]))), strict=True):
+            w.put(*bits)
+        made.append((lengths.tolist(), canonical(lengths).tolist()))
+    w.put(1, 4)  # one distance without bits, of a one-bit symbol 0
+    for pixel in zip(*(c.tolist() for c in channels), strict=True):
+        for (lengths, codes), v in zip(made, pixel, strict=True):
+            w.put(codes[v], lengths[v])
+
+
+def _pack(image: np.ndarray) -> np.ndarray:
+    """Numbers of pixels (h, w, 4) in the order A, R, G, B."""
+    return np.ascontiguousarray(image).view(">u4").reshape(-1).astype(np.uint32)
+
+
+def _histograms(image: np.ndarray) -> list[np.ndarray]:
+    return [np.bincount(image[..., c].reshape(-1), minlength=256) for c in (1, 2, 3)]
+
+
+def encode(image: np.ndarray) -> bytes:
+    """A WebP file of pixels (h, w, 4) in the order A, R, G, B; alpha is one value for all."""
+    h, width, _ = image.shape
     w = Writer()
-    _start(w, width, len(rgb) // width)
-    w.put(0, 3)  # no transform, no colour cache, one group of codes
-    green = np.concatenate([lengths, np.zeros(24, np.int64)])
-    for code in (green, lengths, lengths):
-        _put_code(w, code, int(rgb[0, 0]))
-    _put_code(w, np.zeros(256), 255)
-    _put_code(w, np.zeros(40), 0)
-    codes = canonical(lengths)
-    if not lengths.any():
-        return _riff(w.bytes())
-    lengths = lengths.astype(np.uint64)
-    r, g, b = rgb[:, 0], rgb[:, 1], rgb[:, 2]
-    lg, lr = lengths[g], lengths[g] + lengths[r]
-    value, bits = codes[g] | codes[r] << lg | codes[b] << lr, lr + lengths[b]
-    end = bits.cumsum() + np.uint64(w.n)
-    at = end - bits
-    word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
-    out = np.zeros(int(end[-1]) // 64 + 2, "<u8")
-    first = np.flatnonzero(np.diff(word, prepend=-1))
-    out[word[first]] = np.bitwise_or.reduceat(value << shift, first)
-    over = np.flatnonzero(shift + bits > 64)
-    out[word[over] + 1] |= value[over] >> (np.uint64(64) - shift[over])
-    head = np.frombuffer(w.bytes(), np.uint8)
-    raw = out.view(np.uint8)
-    raw[: len(head)] |= head
-    return _riff(raw[: -(-int(end[-1]) // 8)].tobytes())
+    _start(w, width, h, bool(image[0, 0, 0] != 255))
+    argb = _pack(image)
+    # A palette pays where colours are few, as the first pixels tell; other transforms where neighbours are alike.
+    colours = np.unique(argb) if len(argb) <= 256 or len(np.unique(argb[:256])) < 160 else argb
+    step = (image[:16, 1:, 1:] - image[:16, :-1, 1:]).view(np.int8)
+    alike = width > 1 and float(np.abs(step.astype(np.int16)).mean()) < 20
+    best = _entropy(*_histograms(image)) if alike or len(colours) <= 256 else 0.0
+    if len(colours) <= 256 and len(argb) > 256 or len(colours) <= 16:
+        index = np.searchsorted(colours, argb)
+        rough = _entropy(np.bincount(index)) + 24 * len(colours) + 300
+        if rough < 0.8 * best:
+            bits = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1 if len(colours) <= 16 else 0
+            w.put(1, 1)
+            w.put(PALETTE, 2)
+            w.put(len(colours) - 1, 8)
+            steps = colours.astype(">u4").view(np.uint8).reshape(-1, 4)
+            _table_image(w, _pack(np.diff(steps, axis=0, prepend=np.zeros((1, 4), np.uint8))))
+            each, across = 8 >> bits, (width + (1 << bits) - 1) >> bits
+            padded = np.zeros((h, across << bits), np.int64)
+            padded[:, :width] = index.reshape(h, width)
+            green = (padded.reshape(h, across, 1 << bits) << (np.arange(1 << bits) * each)).sum(axis=2).reshape(-1)
+            w.put(0, 1)
+            return _riff(_put_pixels(w, (np.uint32(0xFF000000) | green.astype(np.uint32) << np.uint32(8)), across, True).tobytes())
+    if not alike:
+        w.put(0, 1)
+        return _riff(_put_pixels(w, argb, width, True).tobytes())
+    choice, kept = None, image
+    for mode in (1, 2) if image[0, 0, 0] == 255 else ():
+        moved = residual(image, mode)
+        cost = _entropy(*_histograms(moved))
+        if cost < 0.97 * best:
+            best, choice, kept = cost, mode, moved
+    if choice is not None:
+        w.put(1, 1)
+        w.put(PREDICTOR, 2)
+        w.put(TILE - 2, 3)
+        tiles = ((width + (1 << TILE) - 1) >> TILE) * ((h + (1 << TILE) - 1) >> TILE)
+        _sub_image(w, np.full(tiles, 0xFF000000 | choice << 8, np.uint32), (width + (1 << TILE) - 1) >> TILE)
+    green, red, blue = (kept[..., c].astype(np.int8).astype(np.int64) for c in (2, 1, 3))
+    spread = int((green * green).sum())
+    lean = [int(np.clip(round(32 * int((green * x).sum()) / spread), -128, 127)) if spread else 0 for x in (red, blue)]
+    plain = kept.copy()
+    plain[..., 1] -= plain[..., 2]
+    plain[..., 3] -= plain[..., 2]
+    if (cost := _entropy(*_histograms(plain))) < 0.97 * best:
+        best = cost
+    else:
+        plain = None
+    if choice is not None and any(lean):
+        tile = np.array([[[x & 255 for x in (*lean, 0)]]], np.uint8)
+        crossed = cross_coloured(kept, np.broadcast_to(tile, (((h - 1) >> TILE) + 1, ((width - 1) >> TILE) + 1, 3)), TILE, forward=True)
+        if _entropy(*_histograms(crossed)) < 0.97 * best:
+            w.put(1, 1)
+            w.put(CROSS_COLOUR, 2)
+            w.put(TILE - 2, 3)
+            across = ((width - 1) >> TILE) + 1
+            _sub_image(w, np.full(across * (((h - 1) >> TILE) + 1), 0xFF000000 | (lean[1] & 255) << 8 | lean[0] & 255, np.uint32), across)
+            kept, plain = crossed, None
+    if plain is not None:
+        w.put(1, 1)
+        w.put(SUBTRACT_GREEN, 2)
+        kept = plain
+    w.put(0, 1)
+    return _riff(_put_pixels(w, _pack(kept), width, True).tobytes())
+
+
+def encode_rgb(rgb: np.ndarray, width: int) -> bytes:
+    """A WebP file of opaque pixels (n, 3)."""
+    image = np.full((len(rgb) // width, width, 4), 255, np.uint8)
+    image[..., 1:] = rgb.reshape(-1, width, 3)
+    return encode(image)
 
 
 class Reader:
@@ -208,10 +466,27 @@ class Code:
 
 
 @cache
-def _reversed() -> np.ndarray:
-    i, out = np.arange(1 << TABLE_BITS), np.zeros(1 << TABLE_BITS, np.int64)
-    for b in range(TABLE_BITS):
-        out |= (i >> b & 1) << (TABLE_BITS - 1 - b)
+def _reversed(bits: int = TABLE_BITS) -> np.ndarray:
+    i, out = np.arange(1 << bits), np.zeros(1 << bits, np.int64)
+    for b in range(bits):
+        out |= (i >> b & 1) << (bits - 1 - b)
+    return out
+
+
+@cache
+def _length_steps(cl: bytes) -> list[tuple[int, int, int]]:
+    """For a code-length code (its 19 lengths) and each window of 14 bits: the length (-1: the last one again), how often,
+    and how many bits that takes."""
+    code = Code(np.frombuffer(cl, np.uint8).astype(np.int64))
+    entries, out = code.table().tolist(), []
+    for window in range(1 << 14):
+        e = entries[window & ((1 << TABLE_BITS) - 1)]
+        n, v = e & 15 if code.only is None else 0, e >> 4
+        if v < 16:
+            out.append((v, 1, n))
+        else:
+            extra, least, value = ((2, 3, -1), (3, 3, 0), (7, 11, 0))[v - 16]
+            out.append((value, least + (window >> n & ((1 << extra) - 1)), n + extra))
     return out
 
 
@@ -223,34 +498,44 @@ def read_code(r: Reader, alphabet: int) -> Code:
         if n == 2:
             lengths[r.bits(8)] = 1
         return Code(lengths)
-    cl = np.zeros(19, np.int64)
+    cl = np.zeros(19, np.uint8)
     for s in LENGTH_ORDER[: 4 + r.bits(4)]:
         cl[s] = r.bits(3)
-    code = Code(cl)
-    table = code.table()
+    steps = _length_steps(cl.tobytes())
     left = 2 + r.bits(2 + 2 * r.bits(3)) if r.bits(1) else alphabet
-    i, last = 0, 8
-    window, begin = int.from_bytes(r.data[r.at >> 3 : (r.at >> 3) + 4 * alphabet], "little") >> (r.at & 7), r.at
-    entries, mask = table.tolist(), (1 << TABLE_BITS) - 1
+    out, last, pos = [], 8, r.at & 7
+    window = int.from_bytes(r.data[r.at >> 3 : (r.at >> 3) + 2 * alphabet + 4], "little")
+    r.at -= pos
+    i = 0
     while i < alphabet and left:
         left -= 1
-        e = entries[window >> (r.at - begin) & mask]
-        r.at += e & 15
-        s = e >> 4
-        if s < 16:
-            lengths[i] = s
-            i, last = i + 1, s or last
-            continue
-        extra, least, value = ((2, 3, last), (3, 3, 0), (7, 11, 0))[s - 16]
-        run = least + (window >> (r.at - begin) & ((1 << extra) - 1))
-        r.at += extra
-        if i + run > alphabet:
-            raise ValueError("a run beyond the alphabet")
-        lengths[i : i + run] = value
+        v, run, bits = steps[window >> pos & 16383]
+        pos += bits
         i += run
+        if run == 1:
+            out.append(v)
+            last = v or last
+        else:
+            out += [last if v < 0 else v] * run
+    r.at += pos
+    if len(out) > alphabet:
+        raise ValueError("a run beyond the alphabet")
+    if r.at > 8 * len(r.data):
+        raise ValueError("the stream ends too early")
+    lengths[: len(out)] = out
     return Code(lengths)
 
 
+def read_twin(r: Reader, begin: int, code: Code) -> Code:
+    """The next code, which often has the same bits as ``code``, whose bits began at ``begin``."""
+    n = r.at - begin
+    bits = lambda at: int.from_bytes(r.data[at >> 3 : (at + n + 7) >> 3], "little") >> (at & 7) & ((1 << n) - 1)
+    if r.at + n <= 8 * len(r.data) and bits(begin) == bits(r.at):
+        r.at += n
+        return code
+    return read_code(r, 256)
+
+
 def _extended(r: Reader, symbol: int) -> int:
     if symbol < 4:
         return symbol + 1
@@ -335,6 +620,25 @@ def predicted(image: np.ndarray, modes: np.ndarray, bits: int, forward: bool = F
     return np.array(done, np.uint8).reshape(h, w, 4)
 
 
+def residual(image: np.ndarray, mode: int) -> np.ndarray:
+    """What predictor 1 (left) or 2 (top) leaves of an image."""
+    guess = np.zeros_like(image)
+    guess[0, 0, 0] = 255
+    guess[0, 1:], guess[1:, 0] = image[0, :-1], image[:-1, 0]
+    guess[1:, 1:] = image[1:, :-1] if mode == 1 else image[:-1, 1:]
+    return image - guess
+
+
+def restored(image: np.ndarray, mode: int) -> np.ndarray:
+    """Undoes residual(): running sums along the rows, or down the columns."""
+    out = image.copy()
+    out[0, 0, 0] += 255
+    side = 1 if mode == 1 else 0
+    edge = (slice(None), 0) if mode == 1 else (0, slice(None))
+    out[edge] = out[edge].cumsum(axis=0, dtype=np.uint8)
+    return out.cumsum(axis=side, dtype=np.uint8)
+
+
 def cross_coloured(image: np.ndarray, tiles: np.ndarray, bits: int, forward: bool = False) -> np.ndarray:
     """Undoes (or does) the colour transform; tiles (h, w, 3): green to red, green to blue, red to blue."""
     h, w, _ = image.shape
@@ -368,10 +672,8 @@ def _head(r: Reader) -> tuple[int, int]:
     return width, height
 
 
-def decode(file: bytes) -> np.ndarray:
-    """Pixels (height, width, 4) in the order A, R, G, B."""
-    r = Reader(_payload(file))
-    width, height = _head(r)
+def _transforms(r: Reader, width: int, height: int) -> tuple[int, list[tuple]]:
+    """The main image's width in the stream, and the transforms to undo."""
     across, undo = width, []
     while r.bits(1):
         kind = r.bits(2)
@@ -387,10 +689,15 @@ def decode(file: bytes) -> np.ndarray:
             across = (across + (1 << bits) - 1) >> bits
         else:
             undo.append((kind, 0, None, across))
-    image = _argb(_read_pixels(r, across, height, True), height)
+    return across, undo
+
+
+def _undone(image: np.ndarray, undo: list[tuple]) -> np.ndarray:
     for kind, bits, data, before in reversed(undo):
         if kind == PREDICTOR:
-            image = predicted(image, data[..., 2] & 15, bits)
+            modes = data[..., 2] & 15
+            one = int(modes.flat[0])
+            image = restored(image, one) if one in (1, 2) and (modes == one).all() else predicted(image, modes, bits)
         elif kind == CROSS_COLOUR:
             image = cross_coloured(image, data[..., [3, 2, 1]], bits)
         elif kind == SUBTRACT_GREEN:
@@ -399,67 +706,158 @@ def decode(file: bytes) -> np.ndarray:
             image[..., 3] += image[..., 2]
         else:
             each = 8 >> bits
-            index = (image[..., 2, None] >> (np.arange(1 << bits) * each) & ((1 << each) - 1)).reshape(height, -1)[:, :before]
+            index = (image[..., 2, None] >> (np.arange(1 << bits) * each) & ((1 << each) - 1)).reshape(len(image), -1)[:, :before]
             image = np.concatenate([data, np.zeros((256 - len(data), 4), np.uint8)])[index]
     return image
 
 
-def decode_many(files: list[bytes]) -> list[np.ndarray]:
-    """RGB pixels (n, 3) of each file."""
-    lanes, tables, table_at = [], [], {}
-    out: list[np.ndarray | None] = [None] * len(files)
-    data, begin = [], 0
-    for k, file in enumerate(files):
+def decode(file: bytes) -> np.ndarray:
+    """Pixels (height, width, 4) in the order A, R, G, B."""
+    r = Reader(_payload(file))
+    width, height = _head(r)
+    across, undo = _transforms(r, width, height)
+    return _undone(_argb(_read_pixels(r, across, height, True), height), undo)
+
+
+@cache
+def _near_pixels() -> tuple[np.ndarray, np.ndarray]:
+    x, y = np.array([(0, 0), *distance_map()]).T
+    return x, y
+
+
+class _Lanes:
+    """Images that are decoded side by side, the largest first."""
+
+    def __init__(self) -> None:
+        self.found: list[tuple] = []
+        self.tables: list[np.ndarray] = []
+        self.table_at: dict[bytes, int] = {}
+        self.data: list[bytes] = []
+        self.begin = 0
+
+    def table(self, code: Code) -> int | None:
+        key = code.lengths.tobytes()
+        if key not in self.table_at:
+            if (t := code.table()) is None:
+                return None
+            self.table_at[key] = len(self.tables)
+            self.tables.append(t)
+        return self.table_at[key]
+
+    def add(self, k: int, file: bytes) -> bool:
+        """Whether the image can be a lane."""
         r = Reader(_payload(file))
         width, height = _head(r)
-        if r.bits(3):
-            continue
-        codes = [read_code(r, n) for n in (280, 256, 256, 256, 40)]
-        if codes[3].only is None or len(codes[0].lengths) > 280:
-            continue
-        ids = []
-        for c in codes[:3]:
-            key = c.lengths[:256].tobytes() + bytes(c.lengths[256:].any().tobytes())
-            if key not in table_at:
-                table_at[key] = len(tables)
-                tables.append(c.table())
-            ids.append(table_at[key])
-        if any(tables[i] is None for i in ids):
-            continue
-        lanes.append((width * height, k, 8 * begin + r.at, ids))
-        data.append(r.data + b"\0" * (-len(r.data) % 8))
-        begin += len(data[-1])
-    lanes.sort(reverse=True)
-    if lanes:
-        words = np.frombuffer(b"".join([*data, b"\0" * 16]), "<u8")
-        table = np.concatenate([t if t is not None else np.zeros(1 << TABLE_BITS, np.uint16) for t in tables])
-        sizes, pos = np.array([x[0] for x in lanes]), np.array([x[2] for x in lanes], np.int64)
-        base = [np.array([x[3][c] for x in lanes]) << TABLE_BITS for c in range(3)]
+        across, undo = _transforms(r, width, height)
+        cache_bits = r.bits(4) if r.bits(1) else 0
+        if r.bits(1) or cache_bits > TABLE_BITS:
+            return False
+        codes = [read_code(r, 280 + ((1 << cache_bits) if cache_bits else 0))]
+        begin = r.at
+        codes.append(read_code(r, 256))
+        codes += [read_twin(r, begin, codes[1]), read_code(r, 256), read_code(r, 40)]
+        ids = [self.table(codes[i]) for i in (0, 1, 2, 4)]
+        if codes[3].only is None or None in ids:
+            return False
+        self.found.append((across * height, k, 8 * self.begin + r.at, ids, cache_bits, codes[3].only, across, undo))
+        self.data.append(r.data + b"\0" * (-len(r.data) % 8))
+        self.begin += len(self.data[-1])
+        return True
+
+    def pixels(self) -> np.ndarray:
+        """ARGB numbers of all lanes, one after the other: a pixel of each lane a step, out of its next symbol, or out of
+        the back-reference that it is in."""
+        self.found.sort(key=lambda x: -x[0])
+        column = lambda i: np.array([x[i] for x in self.found], np.int64)
+        words = np.frombuffer(b"".join([*self.data, b"\0" * 24]), "<u8")
+        table = np.concatenate(self.tables).astype(np.int64)
+        sizes, pos, across = column(0), column(2), column(6)
+        green, red, blue, far = (np.array([x[3][c] for x in self.found], np.int64) << TABLE_BITS for c in range(4))
+        alpha, bits = column(5).astype(np.uint32) << np.uint32(24), column(4)
         first = sizes.cumsum() - sizes
-        flat = np.empty((int(sizes.sum()), 3), np.uint8)
-        odd = np.zeros(len(lanes), bool)
-        mask, full = np.uint64((1 << TABLE_BITS) - 1), np.uint64(63)
+        flat = np.zeros(int(sizes.sum()), np.uint32)
+        pending, back = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+        caches = bool(bits.any())
+        kept = np.zeros(len(sizes) << int(bits.max(initial=0)), np.uint32)
+        base = np.arange(len(sizes)) << int(bits.max(initial=0))
+        shift = np.where(bits > 0, 32 - bits, 31).astype(np.uint32)
+        mask, full, one = np.uint64((1 << TABLE_BITS) - 1), np.uint64(63), np.uint64(1)
         active = np.searchsorted(-sizes, -np.arange(int(sizes[0])), side="left")
+        near_x, near_y = _near_pixels()
+        copying = 0
         for step, n in enumerate(active.tolist()):
             p = pos[:n]
             at, s = p >> 6, (p & 63).astype(np.uint64)
-            window = (words[at] >> s) | (words[at + 1] << np.uint64(1)) << (full - s)
-            to, used = first[:n] + step, 0
-            for channel, c in ((1, 0), (0, 1), (2, 2)):
-                e = table[base[c][:n] + (window & mask).astype(np.int64)]
-                length = e & 15
-                window >>= length.astype(np.uint64)
-                used = used + length
-                e >>= 4
-                if channel == 1 and (e > 255).any():
-                    odd[:n] |= e > 255
-                flat[to, channel] = e.astype(np.uint8)
+            window = (words[at] >> s) | (words[at + 1] << one) << (full - s)
+            e = table[green[:n] + (window & mask).astype(np.int64)]
+            length, symbol = e & 15, e >> 4
+            rest = window >> length.astype(np.uint64)
+            e = table[red[:n] + (rest & mask).astype(np.int64)]
+            used = length + (e & 15)
+            pixel = alpha[:n] | (e >> 4 << 16 | symbol << 8 & 0xFF00).astype(np.uint32)
+            rest >>= (e & 15).astype(np.uint64)
+            e = table[blue[:n] + (rest & mask).astype(np.int64)]
+            used += e & 15
+            pixel |= (e >> 4).astype(np.uint32)
+            odd = symbol > 255
+            if copying:
+                inside = pending[:n] > 0
+                c = np.flatnonzero(inside)
+                odd &= ~inside
+                used[c] = 0
+            else:
+                c = None
+            i = np.flatnonzero(odd)
+            if len(i):
+                symbol, length = symbol[i], length[i]
+                used[i] = length
+                cached = symbol >= 280
+                j = i[cached]
+                if len(j):
+                    pixel[j] = kept[base[j] + symbol[cached] - 280]
+                if len(j) < len(i):
+                    j, symbol, length = i[~cached], symbol[~cached] - 256, length[~cached]
+                    rest = window[j] >> length.astype(np.uint64)
+                    extra = np.where(symbol < 4, 0, (symbol - 2) >> 1)
+                    low = (rest & ((one << extra.astype(np.uint64)) - one)).astype(np.int64)
+                    pending[j] = np.where(symbol < 4, symbol, ((2 + (symbol & 1)) << extra) + low) + 1
+                    rest >>= extra.astype(np.uint64)
+                    length = length + extra
+                    e = table[far[j] + (rest & mask).astype(np.int64)]
+                    rest >>= (e & 15).astype(np.uint64)
+                    length = length + (e & 15)
+                    symbol = e >> 4
+                    extra = np.where(symbol < 4, 0, (symbol - 2) >> 1)
+                    low = (rest & ((one << extra.astype(np.uint64)) - one)).astype(np.int64)
+                    code = np.where(symbol < 4, symbol, ((2 + (symbol & 1)) << extra) + low) + 1
+                    used[j] = length + extra
+                    close = np.minimum(code, 120)
+                    back[j] = np.where(code > 120, code - 120, np.maximum(1, near_x[close] + near_y[close] * across[j]))
+                    if (back[j] > step).any() or (pending[j] > sizes[j] - step).any():
+                        raise ValueError("a reference outside the image")
+                    copying += int(pending[j].sum())
+                    c = j if c is None else np.concatenate([c, j])
+            if c is not None and len(c):
+                pixel[c] = flat[first[c] + step - back[c]]
+                pending[c] -= 1
+                copying -= len(c)
+            flat[first[:n] + step] = pixel
+            if caches:
+                kept[base[:n] + (pixel * np.uint32(0x1E35A7BD) >> shift[:n])] = pixel
             p += used
-            np.minimum(p, 64 * (len(words) - 2), out=p)
-        for i, (n, k, _, _) in enumerate(lanes):
-            if not odd[i]:
-                out[k] = flat[first[i] : first[i] + n]
-    for k, x in enumerate(out):
-        if x is None:
-            out[k] = decode(files[k])[..., 1:].reshape(-1, 3)
+            np.minimum(p, 64 * (len(words) - 3), out=p)
+        return flat
+
+
+def decode_many(files: list[bytes]) -> list[np.ndarray]:
+    """RGB pixels (n, 3) of each file."""
+    lanes = _Lanes()
+    out: list[np.ndarray | None] = [None if lanes.add(k, file) else decode(file)[..., 1:].reshape(-1, 3) for k, file in enumerate(files)]
+    if lanes.found:
+        argb = lanes.pixels().astype(">u4").view(np.uint8).reshape(-1, 4)
+        at = 0
+        for size, k, _, _, _, _, across, undo in lanes.found:
+            image = argb[at : at + size]
+            out[k] = _undone(image.reshape(-1, across, 4), undo)[..., 1:].reshape(-1, 3) if undo else image[:, 1:]
+            at += size
     return out

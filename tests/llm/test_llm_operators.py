@@ -192,6 +192,56 @@ def test_webp_round_trip(docs, rows):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
 
 
+def test_webp_writer_chooses():
+    """Pictures, few colours, repeats and noise: each round trip, through both decoders, and what the writer chose."""
+    rng = np.random.default_rng(1)
+    y, x = np.mgrid[:50, :70]
+    words = ["".join(rng.choice(list("etaoinshrdlucmf"), int(rng.integers(2, 9)))) for _ in range(300)]
+    text = np.frombuffer(" ".join(words[min(299, int(rng.zipf(1.3)))] for _ in range(6000)).encode()[: 64 * 3 * 80].ljust(64 * 3 * 90), np.uint8).reshape(90, 64, 3)
+    cases = [
+        (np.stack([x * 2, y * 3, x + y], -1) % 256, {webp.PREDICTOR}),
+        (np.stack([x * 2, x * 2 + rng.integers(0, 2, x.shape), x * 2], -1) % 256, None),
+        (rng.integers(0, 256, (40, 33, 3)), set()),
+        (rng.integers(0, 2, (20, 30, 1)).repeat(3, 2) * 255, {webp.PALETTE}),
+        (rng.integers(0, 14, (20, 30, 1)).repeat(3, 2) * 7, {webp.PALETTE}),
+        (rng.integers(0, 200, (60, 60, 1)).repeat(3, 2), {webp.PALETTE}),
+        (np.full((5, 5, 3), 7), None),
+        (np.zeros((1, 1, 3), int), None),
+        (text, set()),
+    ]
+    for pixels, kinds in cases:
+        image = np.full((*pixels.shape[:2], 4), 255, np.uint8)
+        image[..., 1:] = pixels
+        file = webp.encode(image)
+        r = webp.Reader(webp._payload(file))
+        undo = webp._transforms(r, *webp._head(r))[1]
+        assert kinds is None or {u[0] for u in undo} >= kinds and (kinds or not undo)
+        assert np.array_equal(webp.decode(file), image)
+        assert all(np.array_equal(p, image[..., 1:].reshape(-1, 3)) for p in webp.decode_many([file, file]))
+    r = webp.Reader(webp._payload(file))
+    webp._transforms(r, *webp._head(r))
+    assert r.bits(1) and len(file) < 0.5 * text.size  # the text has a colour cache, and its padding is a back-reference
+    image[..., 0] = 9
+    assert np.array_equal(webp.decode(webp.encode(image)), image)
+
+
+def test_code_lengths_are_complete():
+    rng = np.random.default_rng(4)
+    for _ in range(400):
+        counts = (rng.pareto(rng.uniform(0.2, 2), int(rng.integers(2, 600))) * 10).astype(np.int64) * (rng.random() < 0.9)
+        lengths = webp.code_lengths(counts)
+        used = np.flatnonzero(counts)
+        assert (lengths[np.flatnonzero(counts == 0)] == 0).all()
+        if len(used) > 1:
+            assert lengths[used].min() >= 1 and lengths.max() <= webp.TABLE_BITS and (2.0 ** -lengths[used]).sum() == 1
+
+
+def test_pixel_arrays(docs, rows):
+    got = {r.doc_id: r for r in media.pixel_arrays(media.to_media(docs)).collect()}
+    for doc, text, *_ in rows:
+        assert got[doc].pixels == media.payload_of(text or "") and got[doc].width * got[doc].height * 3 == len(got[doc].pixels)
+
+
 def test_media_odd(odd, empty):
     assert media.media_digests(media.to_media(empty)).collect() == []
     got = media.media_digests(media.to_media(odd)).collect()
