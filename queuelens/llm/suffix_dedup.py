@@ -36,7 +36,7 @@ PLACE_BITS = 19
 CHUNK = 1 << PLACE_BITS
 #: Anchors that a task holds before it sends them on, strings that are sorted at a time, and covers of an anchor from
 #: which its strings are dealt one by one.
-FLUSH, STRINGS, HOT = 400_000, 1_000_000, 5_000
+FLUSH, STRINGS, HOT = 300_000, 300_000, 5_000
 #: Bytes of text for each range and each group of documents.
 BUCKET_BYTES = 8 << 20
 #: Sampled leading bytes for each range, and of each block of anchors.
