@@ -200,6 +200,9 @@ arg_min(sensor_uid, rank_in_corridor) as top_sensor, arg_min(CBI_score, rank_in_
 count(*) filter (bottleneck_class = 'spillback_source') as n_spillback, count(*) filter (bottleneck_class = 'queued_passive') as n_passive,
 count(*) filter (bottleneck_class = 'incident_related') as n_incident from ranking group by all""",
         "lottr": _ratios(S.LOTTR_PERIODS, 0.8, "lottr", "lottr < 1.5 as reliable"),
+        "reliability_issues": "with l as (" + _ratios(S.LOTTR_PERIODS, 0.8, "lottr", "lottr < 1.5 as reliable") + """)
+select 'I-' || cast(499 + row_number() over (order by sensor_uid, period) as varchar) as issue_id, 'unreliable_segment_lottr' as type, 'CORRIDOR' as corridor, sensor_uid, period as time_window, 0.6::double as confidence,
+case when lottr >= 2 then 'high' else 'medium' end as severity, lottr, n_epochs, 'open' as status from l where not reliable""",
         "tttr": _ratios(S.TTTR_PERIODS, 0.95, "tttr", "'all_vehicle_proxy' as basis"),
         "vehicle_hours_of_delay": f"""with {STATES}, r as (select *, quantile_cont(speed_mph, 0.95) over (partition by sensor_uid) as ref from states)
 select sensor_uid, strftime(datetime, '%Y-%m-%d') as date, round_even(sum(flow_vph * lanes * 5 / 60 * greatest(length_mi / greatest(speed_mph, 3) - length_mi / greatest(ref, 1), 0)), 1) as vhd

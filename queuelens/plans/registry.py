@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from queuelens import schemas as S
 from queuelens.functions import diagrams, traffic
-from queuelens.operators import audits, direction, discharge, episodes, fits, gates, panels, priors, quality_control, queue_model, ranking, reliability, runs, text_issues, tokens, weekday
+from queuelens.operators import audits, direction, discharge, episodes, fits, flows, gates, panels, priors, quality_control, queue_model, ranking, reliability, runs, text_issues, tokens, weekday
 from queuelens.plans import audit_sql, oracles, states, weekday_sql
 from queuelens.session import cut
 
@@ -263,6 +263,26 @@ def q_weekday_diagrams(spark, d):
     return weekday.fit_diagrams(weekday.outer_layer(_weekday_bins(spark, d)), links)
 
 
+def _curve_rows(spark, d):
+    """The modelled speeds of each episode inside its queue, with its demand."""
+    eps = _congestion(spark, d).where("P > 0").withColumns({"vf": F.lit(70.0), "v_low": traffic.predict_vt2("cutoff", 0.2, "P", 1.3)})
+    rows = weekday.queue_curve(eps).where("minute between t0 * 60 and t3 * 60")
+    return rows.select("link_id", "date", "period", "t0", F.col("minute").alias("t_min"), F.col("model_speed").alias("speed"), "vf", "demand", F.lit("C").alias("corridor"))
+
+
+def q_conserving(spark, d):
+    out = flows.conserving_flow(_curve_rows(spark, d), ("link_id", "date", "period", "t0"))
+    out = out.select("link_id", "date", "period", F.round("t0", 9).alias("t0"), F.col("t_min").alias("minute"), "theta", "q", flows.co2_grams_per_mile(F.col("speed")).alias("co2_g_mi"))
+    return _rounded(out, 6, "theta", "q", "co2_g_mi")
+
+
+def q_whole_day(spark, d):
+    cutoffs = _links(spark, d).withColumn("cutoff", F.col("vf") * S.DEMO_CUTOFF)
+    params = spark.createDataFrame([(p, 0.2, 1.3) for p in S.DEMO_PERIODS], "period string, f_p double, s double")
+    out = flows.whole_day(weekday.profiles(_weekday_bins(spark, d)), cutoffs, params)
+    return _rounded(out.select("link_id", "t_min", "model_speed"), 6, "model_speed")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_ranking(spark, sf_dir)
 
@@ -316,6 +336,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "series_quality": _series_quality,
         "weekday_gates": lambda s, d: weekday.quality_gates(_calibration_quality(s, d), _series_quality(s, d)),
         "queue_curves": q_curves,
+        "conserved_flows": q_conserving,
+        "reliability_issues": lambda s, d: tokens.reliability_issues(reliability.lottr(states.states(s, d))).drop("recommended_token"),
+        "whole_day_models": q_whole_day,
         "calibrated_links": q_calibrated_links,
         "weekday_diagrams": q_weekday_diagrams,
         # Without SQL: kernels and walks, tested against planted truths.

@@ -69,6 +69,15 @@ round_even(coalesce(avg(P) filter (P > 0), 0), 2) as mean_P from congestion grou
         "series_quality": f"{START}, {_SERIES} select * from series",
         "weekday_gates": f"{START}, {EPISODES}, {_QUALITY}, {_SERIES}, j as (select *, (select round(quantile_cont(smooth_r2, 0.5), 3) from series) as smooth from quality) "
         + " union all ".join(f"select period, '{g}' as gate, cast({c} as double) as value, {x}::double as threshold, coalesce({c} * {s} >= {x} * {s}, false) as passed from j" for g, c, x, s in gates),
+        "conserved_flows": f"""{START}, {EPISODES},
+c as (select *, unnest(range(300, 1320, 15)) as minute from congestion where P > 0),
+d as (select *, minute / 60.0 as t, least(greatest(t2, t0 + 1e-3), t3 - 1e-3) as tm, least(greatest(49 / (1 + 0.2 * pow(P, 1.3)), 1), 49) as low from c where minute between t0 * 60 and t3 * 60),
+e as (select *, greatest(0, least(1, case when t <= tm then (t - t0) / (tm - t0) else (t3 - t) / (t3 - tm) end)) as x from d),
+v as (select *, greatest(0, least(70, case when t >= t0 and t <= t3 then 49 - (49 - low) * x * x * (3 - 2 * x) when t < t0 then 70 - 21 * (t - 5) / greatest(0.01, t0 - 5) else 49 + 21 * (t - t3) / greatest(0.01, 22 - t3) end)) as speed from e),
+g as (select *, speed * pow(greatest(pow(70 / greatest(speed, 1e-6), 3) - 1, 0), 1 / 6.0) as g from v),
+h as (select *, case when sum(g) over w > 0 then demand / (0.25 * sum(g) over w) else 0 end as theta from g window w as (partition by link_id, date, period, t0))
+select link_id, date, period, round(t0, 9) as t0, cast(minute as integer) as minute, round(theta, 6) as theta, round(theta * g, 6) as q,
+round(least(greatest(0.080 - 0.0022 * least(greatest(speed, 3), 80) + 0.0000235 * least(greatest(speed, 3), 80) * least(greatest(speed, 3), 80), 0.02), 0.20) * 8887, 6) as co2_g_mi from h""",
         "queue_curves": f"""{START}, {EPISODES},
 c as (select *, unnest(range(300, 1320, 15)) as minute from congestion where P > 0),
 d as (select *, minute / 60.0 as t, least(greatest(t2, t0 + 1e-3), t3 - 1e-3) as tm, least(greatest(49 / (1 + 0.2 * pow(P, 1.3)), 1), 49) as low from c),

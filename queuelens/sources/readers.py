@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from queuelens import schemas as S
 from queuelens.functions.traffic import density, s3_flow
+from queuelens.operators.priors import resolve
 
 
 def as_states(df: DataFrame) -> DataFrame:
@@ -33,8 +34,24 @@ def _local(ts: str) -> Column:
     return F.try_to_timestamp(F.regexp_replace(F.regexp_replace(F.col(ts).cast("string"), "T", " "), "Z$", "")).cast("timestamp_ntz")
 
 
-def read_compact_json(spark: SparkSession, path: str, info_csv: str | None = None) -> DataFrame:
-    """{sensor: {meta, t0, dt, n, f[], s[], d[]}}: arrays of flow, speed (km/h) and density by time steps of dt."""
+def between(df: DataFrame, t_start: str | None, t_end: str | None) -> DataFrame:
+    """Rows from t_start up to t_end, both included; either may be open."""
+    if t_start:
+        df = df.where(F.col("datetime") >= F.lit(t_start).cast("timestamp_ntz"))
+    return df.where(F.col("datetime") <= F.lit(t_end).cast("timestamp_ntz")) if t_end else df
+
+
+def _beside(spark: SparkSession, folder: str, pattern: str) -> list[str]:
+    """Paths of a folder's files whose names match, by Spark's file listing; contents aren't read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    return sorted(r.path for r in files.select("path").collect())
+
+
+def read_compact_json(spark: SparkSession, path: str, info_csv: str | None = None, t_start: str | None = None, t_end: str | None = None) -> DataFrame:
+    """{sensor: {meta, t0, dt, n, f[], s[], d[]}}: arrays of flow, speed (km/h) and density by time steps of dt. Without
+    ``info_csv`` a sensor_information.csv beside the file is taken, if there is one."""
+    if info_csv is None and "/" in path:
+        info_csv = next(iter(_beside(spark, path.rsplit("/", 1)[0], "sensor_information.csv")), None)
     schema = "map<string, struct<t0: string, dt: string, n: int, f: array<double>, s: array<double>, d: array<double>>>"
     whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", schema)).alias("sensor", "x")).where("x.n > 0")
     rows = whole.select("sensor", F.col("x.t0").alias("t0"), F.coalesce(F.regexp_extract("x.dt", r"([0-9]+)", 1).cast("int"), F.lit(S.DT_MIN)).alias("dt"), F.posexplode(F.arrays_zip("x.f", "x.s", "x.d")).alias("at", "v"))
@@ -52,25 +69,32 @@ def read_compact_json(spark: SparkSession, path: str, info_csv: str | None = Non
         info = spark.read.csv(info_csv, header=True, inferSchema=True)
         info = info.select(F.concat(F.lit("pems::"), F.col("sensor_id").cast("string")).alias("sensor_uid"), F.concat_ws("-", "Fwy", "Dir").alias("corridor"), F.col("Dir").alias("direction"), F.col("Abs_PM").cast("double").alias("road_order"), F.col("Length").cast("double").alias("length_mi"), F.col("Lanes").cast("double").alias("lanes"))
         df = df.join(info.dropDuplicates(["sensor_uid"]), "sensor_uid", "left")
-    return as_states(df)
+    return between(as_states(df), t_start, t_end)
 
 
-def read_probe(spark: SparkSession, readings: str, tmc: str, min_confidence: float = 30, min_minutes: int = 1, synthesize: bool = False) -> DataFrame:
+def read_probe(
+    spark: SparkSession, readings: str, tmc: str, min_confidence: float = 30, min_minutes: int = 1, synthesize: bool = False, prior: str | dict | None = None, t_start: str | None = None, t_end: str | None = None, tmc_ids: list[str] | None = None
+) -> DataFrame:
     """Probe readings (1-minute CSV) as 5-minute medians with the newest map row of each segment; flow by the inverse
-    S-shaped diagram if asked for, marked as synthetic. Bins without readings stay absent."""
+    S-shaped diagram of a prior if asked for, its free-flow speed from the reference speeds, marked as synthetic. Bins
+    without readings stay absent; ``tmc_ids`` and the times prune readings before they are grouped."""
     raw = spark.read.csv(readings, header=True, inferSchema=False)
     _missing(raw, {"tmc_code", "measurement_tstamp", "speed"})
     score = F.try_to_number(F.col("confidence_score"), F.lit("999999.99")) if "confidence_score" in raw.columns else F.lit(min_confidence)
     ref = F.col("reference_speed").try_cast("double") if "reference_speed" in raw.columns else F.lit(None).cast("double")
     rows = raw.select(F.col("tmc_code").alias("tmc"), _local("measurement_tstamp").alias("ts"), F.col("speed").try_cast("double").alias("speed"), ref.alias("ref"), score.cast("double").alias("score"))
     rows = rows.where(F.col("ts").isNotNull() & F.col("speed").isNotNull() & (F.col("score") >= min_confidence))
+    rows = between(rows.withColumnRenamed("ts", "datetime"), t_start, t_end).withColumnRenamed("datetime", "ts")
+    if tmc_ids:
+        rows = rows.where(F.col("tmc").isin(tmc_ids))
+    base = resolve(prior)
     bins = rows.groupBy("tmc", F.window("ts", "5 minutes")["start"].alias("datetime")).agg(F.percentile("speed", F.lit(0.5)).alias("speed_mph"), F.percentile("ref", F.lit(0.5)).alias("ref"), F.count(F.lit(1)).alias("n_minutes"))
     meta = spark.read.csv(tmc, header=True, inferSchema=True)
     newest = W.partitionBy("tmc").orderBy(F.desc_nulls_last("active_start_date") if "active_start_date" in meta.columns else F.desc("road_order"))
     meta = meta.withColumn("_r", F.row_number().over(newest)).where("_r = 1").select("tmc", F.concat_ws("-", "road", "direction").alias("corridor"), "direction", F.col("road_order").cast("double").alias("road_order"), F.col("miles").cast("double").alias("length_mi"))
     df = bins.where(F.col("n_minutes") >= min_minutes).join(meta, "tmc", "left")
     vf = F.least(F.greatest(F.percentile("ref", F.lit(0.5)).over(W.partitionBy("tmc")) * 1.05, F.lit(50.0)), F.lit(85.0))
-    flow = s3_flow("speed_mph", F.coalesce(vf, F.lit(70.0)), 35.0, 4.0) if synthesize else F.lit(None).cast("double")
+    flow = s3_flow("speed_mph", F.coalesce(vf, F.lit(base["vf_mph"])), base["k_critical_vpm"], base["s3_m"], base["lane_capacity_vphpl"]) if synthesize else F.lit(None).cast("double")
     return as_states(df.withColumns({"sensor_uid": F.concat(F.lit("inrix::"), "tmc"), "flow_vph": flow, "has_volume": F.lit(synthesize), "flow_synthetic": F.lit(synthesize), "source_format": F.lit("inrix")}).withColumn("density_vpm", density("flow_vph", "speed_mph")))
 
 
@@ -83,8 +107,10 @@ def read_detector_csv(spark: SparkSession, states: str, chain: str | None = None
     rows = rows.where("kmh is not null and not isnan(kmh)")
     lanes = F.least(F.greatest(F.bround(F.percentile("flow", F.lit(0.99)).over(W.partitionBy("station")) / 1900, 0), F.lit(1.0)), F.lit(8.0))
     if chain:
-        order = spark.read.csv(chain, header=True, inferSchema=False).select(ident("station_id").alias("station"), F.col("x_km").cast("double").alias("road_order"))
-        rows = rows.join(order.dropDuplicates(["station"]), "station", "left")
+        # The chain's rows stand in the road's order; the file is one station a line.
+        order = spark.read.csv(chain, header=True, inferSchema=False).select(ident("station_id").alias("station"), F.monotonically_increasing_id().alias("at"))
+        order = order.groupBy("station").agg(F.min("at").alias("at")).withColumn("road_order", (F.row_number().over(W.orderBy("at")) - 1).cast("double")).drop("at")
+        rows = rows.join(order, "station", "left")
     else:
         rows = rows.withColumn("road_order", F.min("milepost").over(W.partitionBy("station")))
     df = rows.withColumns({"lanes": lanes, "speed_mph": F.col("kmh") / S.KMH_PER_MPH}).withColumn("flow_vph", F.col("flow") / F.col("lanes"))
@@ -104,10 +130,90 @@ def read_contract(spark: SparkSession, path: str, fmt: str = "parquet", columns:
         df = df.withColumn("speed_mph", F.col("speed_mph") / S.KMH_PER_MPH)
     if flow_scope == "all_lanes":
         df = df.withColumn("flow_vph", F.col("flow_vph") / F.col("lanes"))
+    if "milepost" in df.columns and "road_order" not in df.columns:
+        posts = df.groupBy("sensor_uid").agg(F.min("milepost").alias("_post"))
+        df = df.join(posts.select("sensor_uid", (F.dense_rank().over(W.orderBy("_post")) - 1).cast("double").alias("road_order")), "sensor_uid")  # one row a station
     return as_states(df)
 
 
-READERS: dict[str, Callable[..., DataFrame]] = {"pems_compact_json": read_compact_json, "inrix_folder": read_probe, "ieee_v4": read_detector_csv, "parquet": read_contract, "contract_csv": lambda spark, path, **kw: read_contract(spark, path, "csv", **kw)}
+def read_probe_folder(spark: SparkSession, folder: str, **options) -> DataFrame:
+    """An export folder: the first Reading*.csv or .csv.gz by name, with TMC_Identification.csv."""
+    found = _beside(spark, folder, "Reading*.csv") + _beside(spark, folder, "Reading*.csv.gz")
+    tmc = _beside(spark, folder, "TMC_Identification.csv")
+    if not found or not tmc:
+        raise FileNotFoundError(f"{folder} needs Reading*.csv[.gz] and TMC_Identification.csv")
+    return read_probe(spark, found[0], tmc[0], **options)
+
+
+def read_weekday(spark: SparkSession, path: str, kind: str = "average") -> DataFrame:
+    """Rows of the average-weekday method out of a CSV: ``average`` (link_id, t_min, avg_weekday_speed_mph, ...),
+    ``measured`` (quarter hours with link_id, date, time_minutes, speed, volume_per_lane), ``states`` (the contract)."""
+    raw = spark.read.parquet(path) if kind == "states" else spark.read.csv(path, header=True, inferSchema=True)
+    number = lambda c, d=None: F.col(c).cast("double") if c in raw.columns else F.lit(d).cast("double")
+    if kind == "average":
+        _missing(raw, {"link_id", "t_min", "avg_weekday_speed_mph"})
+        return raw.select(F.col("link_id").cast("string").alias("link_id"), F.lit("Weekday").alias("date"), F.col("t_min").cast("int").alias("t_min"), F.lit(0).alias("weekday"), number("avg_weekday_speed_mph").alias("speed"), number("avg_weekday_flow_veh_per_hr_lane").alias("flow_pl"), number("lanes", 1.0).alias("lanes"), number("length_mi", 1.0).alias("length"))
+    if kind == "measured":
+        _missing(raw, {"link_id", "date", "time_minutes", "speed"})
+        day = F.to_date(F.col("date").cast("string"))
+        flow = number("hourly_volume_per_lane") if "hourly_volume_per_lane" in raw.columns else number("volume_per_lane") * 4
+        return raw.select(F.col("link_id").cast("string").alias("link_id"), F.date_format(day, "yyyy-MM-dd").alias("date"), F.col("time_minutes").cast("int").alias("t_min"), F.weekday(day).alias("weekday"), number("speed").alias("speed"), flow.alias("flow_pl"), number("lanes", 1.0).alias("lanes"), number("length", 1.0).alias("length"))
+    if kind != "states":
+        raise ValueError(f"no such kind: {kind}")
+    t = F.col("datetime")
+    return raw.select(F.col("sensor_uid").alias("link_id"), F.date_format(t, "yyyy-MM-dd").alias("date"), (F.hour(t) * 60 + F.minute(t)).alias("t_min"), F.weekday(t).alias("weekday"), F.col("speed_mph").alias("speed"), F.col("flow_vph").alias("flow_pl"), F.coalesce("lanes", F.lit(1.0)).alias("lanes"), F.coalesce("length_mi", F.lit(1.0)).alias("length"))
+
+
+def sample_weekdays(states: DataFrame) -> DataFrame:
+    """The rows of three working days: the second, the third and the middle one of all working days."""
+    days = states.select(F.to_date("datetime").alias("day")).distinct().where(F.weekday("day") < 5)  # few
+    place = days.withColumn("r", F.row_number().over(W.orderBy("day"))).withColumn("n", F.count(F.lit(1)).over(W.partitionBy()))
+    keep = place.where((F.col("r") == 2) | (F.col("r") == 3) | (F.col("r") == F.floor(F.col("n") / 2) + 1)).select("day")
+    return states.withColumn("day", F.to_date("datetime")).join(F.broadcast(keep), "day", "left_semi").drop("day")
+
+
+def on_grid(states: DataFrame, minutes: int = S.DT_MIN) -> DataFrame:
+    """Every sensor's rows on a regular grid from its first to its last day, empty bins as rows with missing values."""
+    ends = states.groupBy("sensor_uid", "corridor", "road_order", "lanes", "length_mi").agg(F.min(F.to_date("datetime")).cast("timestamp_ntz").alias("a"), F.max(F.to_date("datetime")).cast("timestamp_ntz").alias("b"))
+    last = F.col("b") + F.expr(f"interval {24 * 60 - minutes} minutes")
+    grid = ends.select("sensor_uid", "corridor", "road_order", "lanes", "length_mi", F.explode(F.sequence("a", last, F.expr(f"interval {minutes} minutes"))).alias("datetime"))
+    return as_states(grid.join(states.drop("corridor", "road_order", "lanes", "length_mi"), ["sensor_uid", "datetime"], "left"))
+
+
+def discover(spark: SparkSession, root: str) -> DataFrame:
+    """kind, path, size, readiness of the data sets below a folder, told by names and by the headers of the few candidate
+    tables; contents are read by the readers only."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("length").alias("size"))
+    name, folder = F.lower(F.element_at(F.split("path", "/"), -1)), F.regexp_replace("path", "/[^/]*$", "")
+    df = files.select("path", "size", name.alias("name"), folder.alias("folder"))
+    near = df.groupBy("folder").agg(F.collect_set(F.when(F.col("name").isin("tmc_identification.csv", "readings.csv", "train_detector_states.parquet", "sensor_information.csv"), F.col("name"))).alias("near"))
+    has = lambda n: F.array_contains("near", n)
+    named = lambda p: F.col("name").rlike(p)
+    kind = (
+        F.when(has("tmc_identification.csv") & has("readings.csv") & named("^readings.csv$"), "inrix_folder")
+        .when(named("^train_detector_states.parquet$"), "tfb_release")
+        .when(named("(link_performance|pems|tfb_).*[.]json$"), "pems_json")
+        .when(named("(reading|speed|5min|tmc).*[.]csv$") & ~named("identification"), "ritis_export")
+        .when(named("(trajector|ngsim).*[.](txt|csv)$"), "trajectory")
+    )
+    hits = df.join(near, "folder").withColumn("kind", kind).where("kind is not null")
+    headers = []
+    for r in hits.where("kind in ('inrix_folder', 'ritis_export', 'trajectory')").select("path", "kind").collect():  # candidates, not rows
+        columns = {c.strip().lower() for c in spark.read.csv(r.path, header=True).columns}
+        good = {"tmc_code", "measurement_tstamp"} <= columns if r.kind != "trajectory" else bool(columns & {"lane_identification", "lane num", "local_y", "vehicle id", "vehicle_id"})
+        headers.append((r.path, good))
+    known = spark.createDataFrame(headers, "path string, good boolean")
+    hits = hits.join(known, "path", "left").where("good is not false or kind = 'inrix_folder'")
+    ready = (
+        F.when((F.col("kind") == "inrix_folder") & ~F.coalesce("good", F.lit(False)), "check the readings' columns")
+        .when((F.col("kind") == "ritis_export") & ~has("tmc_identification.csv"), "needs a segment table")
+        .when((F.col("kind") == "pems_json") & ~has("sensor_information.csv"), "ready, without sensor information")
+        .otherwise("ready")
+    )
+    return hits.select("kind", F.when(F.col("kind") == "inrix_folder", F.col("folder")).otherwise(F.col("path")).alias("path"), "size", ready.alias("readiness"))
+
+
+READERS: dict[str, Callable[..., DataFrame]] = {"pems_compact_json": read_compact_json, "inrix_folder": read_probe_folder, "inrix": read_probe, "ieee_v4": read_detector_csv, "parquet": read_contract, "contract_csv": lambda spark, path, **kw: read_contract(spark, path, "csv", **kw)}
 
 
 def read_dataset(spark: SparkSession, folder: str) -> DataFrame:
@@ -117,7 +223,7 @@ def read_dataset(spark: SparkSession, folder: str) -> DataFrame:
         raise ValueError(f"dataset_meta.json lacks {', '.join(lacking)}")
     if meta["loader"] not in READERS:
         raise ValueError(f"no reader for {meta['loader']}")
-    files = {k: f"{folder}/{v}" for k, v in meta["files"].items()}
+    files = {k: f"{folder}/{v}" for k, v in meta["files"].items()} or {"folder": folder}
     return READERS[meta["loader"]](spark, **files, **meta.get("options", {}))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from queuelens import schemas as S
 from queuelens.functions import diagrams, traffic
-from queuelens.operators import audits, direction, discharge, episodes, evidence, fits, gates, panels, priors, quality_control, queue_model, ranking, reliability, runs, text_issues, tokens, weekday
+from queuelens.operators import audits, direction, discharge, episodes, evidence, fits, flows, gates, panels, priors, quality_control, queue_model, ranking, reliability, runs, text_issues, tokens, weekday
 from queuelens.session import cut
 from queuelens.sources import readers, sinks
 from queuelens.streaming import online
@@ -406,3 +406,70 @@ def test_weekday_fits(spark):
     assert len(fit) == 1 and [round(fit[0][p], 3) for p in ("f_d", "n", "f_p", "s")] == [1.2, 1.1, 0.25, 1.4] and fit[0].reliability in ("high", "medium")
     two = spark.createDataFrame([("a", "AM", 1.0, 1.0, 0.2, 1.0, 6, "high"), ("b", "AM", 3.0, 1.0, 0.2, 1.0, 2, "low")], "link_id string, period string, f_d double, n double, f_p double, s double, n_cong int, reliability string")
     assert {r.link_id: r.f_d for r in weekday.shrink(two).collect()} == {"a": 1.0, "b": 0.5 * 3 + 0.5 * 2}
+
+
+def test_corridor_flow_conserves(spark):
+    rng = np.random.default_rng(2)
+    rows, speeds = [], {}
+    for i, n in enumerate((6, 9, 12)):
+        v = rng.uniform(15, 45, n)
+        speeds[f"l{i}"] = v
+        rows += [("c", f"l{i}", t, float(x), 70.0, 400.0 * n / 4 * (0.9 + 0.1 * i)) for t, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "corridor string, link_id string, t_min int, speed double, vf double, demand double")
+    got = flows.corridor_flow(df, ("link_id",)).toPandas()
+    g = {k: v * ((70 / v) ** 3 - 1) ** (1 / 6) for k, v in speeds.items()}
+    demand = {r[1]: r[5] for r in rows}
+    theta = sum(demand.values()) / (0.25 * sum(x.sum() for x in g.values()))
+    assert np.allclose(got.theta, theta)
+    for k, part in got.groupby("link_id"):
+        assert abs(part.q.sum() * 0.25 - demand[k]) < 1e-3 * demand[k] and np.allclose(sorted(part.q), sorted(np.clip(theta * g[k] + part.slack.iloc[0], 0, None)), rtol=1e-6)
+    one = flows.conserving_flow(df, ("link_id",)).groupBy("link_id").agg(F.sum(F.col("q") * 0.25).alias("d"), F.first("demand").alias("demand")).collect()
+    assert all(abs(r.d - r.demand) < 1e-6 for r in one)
+    assert abs(flows.queue_speeds(spark.createDataFrame([(7.0, 9.0, 2.0, 0.2, 1.3, 49.0, 70.0, 1.0, 1900.0)], "t0 double, t3 double, DC double, f_p double, s double, cutoff double, vf double, length double, cap double")).where("minute = 480").first().model_speed - 49 / (1 + 0.2 * 2**1.3)) < 1e-9
+
+
+def test_whole_day_model(spark):
+    t = np.arange(300, 1320, 15)
+    v = 65 - 30 * np.exp(-(((t - 480) / 40) ** 2)) - 25 * np.exp(-(((t - 1020) / 50) ** 2))
+    df = spark.createDataFrame([("l", "Weekday", int(a), float(b)) for a, b in zip(t, v, strict=True)], "link_id string, date string, t_min int, speed double")
+    cut_ = spark.createDataFrame([("l", 49.0)], "link_id string, cutoff double")
+    params = flows.calibrate_periods(df, cut_)
+    assert {(r.period, r.f_p, r.s) for r in params.collect()} == {(p, 0.2, 1.3) for p in ("AM", "MD", "PM")}  # one link is too few
+    out = {r.t_min: r for r in flows.whole_day(df, cut_, params).collect()}
+    sm = np.array([out[int(a)].sm for a in t])
+    for lo, hi in ((300, 600), (840, 1320)):
+        inside = (t >= lo) & (t < hi)
+        at = int(t[inside][sm[inside].argmin()])
+        hours = (sm[inside] < 49).sum() / 4
+        assert abs(out[at].model_speed - 49 / (1 + 0.2 * hours**1.3)) < 1e-9
+    assert max(r.model_speed for r in out.values()) <= out[300].ff and abs(out[300].model_speed - min(sm[0], out[300].ff)) < 1e-9
+
+
+def test_more_readers_and_sinks(spark, simulated, tmp_path):
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "Readings.csv").write_text("tmc_code,measurement_tstamp,speed\n" + "".join(f"A,2019-01-01 00:0{i}:00,{50 + i}\n" for i in range(9)))
+    (tmp_path / "x" / "TMC_Identification.csv").write_text("tmc,road,direction,miles,road_order\nA,I-17,N,0.5,1\n")
+    (tmp_path / "ngsim_1.csv").write_text("Vehicle ID,Local_Y\n1,2\n")
+    (tmp_path / "other_speed.csv").write_text("a,b\n1,2\n")
+    assert readers.read_probe_folder(spark, str(tmp_path / "x"), synthesize=True, prior="rural_freeway").count() == 2
+    assert readers.read_probe_folder(spark, str(tmp_path / "x"), t_start="2019-01-01 00:05:00").count() == 1
+    assert readers.read_probe_folder(spark, str(tmp_path / "x"), tmc_ids=["B"]).count() == 0
+    with pytest.raises(FileNotFoundError, match="Reading"):
+        readers.read_probe_folder(spark, str(tmp_path))
+    assert sorted((r.kind, r.readiness) for r in readers.discover(spark, str(tmp_path)).collect()) == [("inrix_folder", "ready"), ("trajectory", "ready")]
+    days = readers.sample_weekdays(simulated).select(F.to_date("datetime").alias("d")).distinct().collect()
+    assert len(days) in (2, 3)
+    holes = simulated.where("sensor_uid = 'SIM01' and minute(datetime) <> 10")
+    grid = readers.on_grid(holes)
+    assert grid.count() == 288 * 5 and grid.where("speed_mph is null").count() == 24 * 5
+    (tmp_path / "w.csv").write_text("link_id,t_min,avg_weekday_speed_mph,length_mi,lanes\n7,300,55.5,0.4,3\n")
+    row = readers.read_weekday(spark, str(tmp_path / "w.csv")).first()
+    assert (row.link_id, row.t_min, row.speed, row.flow_pl, row.weekday) == ("7", 300, 55.5, None, 0)
+    (tmp_path / "m.csv").write_text("link_id,date,time_minutes,speed,volume_per_lane\n7,2018-03-01,300,55.5,100\n")
+    assert tuple(readers.read_weekday(spark, str(tmp_path / "m.csv"), "measured").select("date", "weekday", "flow_pl").first()) == ("2018-03-01", 3, 400.0)
+    simulated.limit(50).write.parquet(str(tmp_path / "s"))
+    assert readers.read_weekday(spark, str(tmp_path / "s"), "states").count() == 50
+    sinks.write_table(simulated.select("sensor_uid", "road_order").distinct(), str(tmp_path / "t"), "csv")
+    assert sinks.read_table(spark, str(tmp_path / "t"), "csv").count() == 6
+    line = spark.range(1).select(sinks.geojson_line(F.array(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(3.0), F.lit(4.0))), "id").alias("g")).first().g
+    assert json.loads(line) == {"type": "Feature", "geometry": {"type": "LineString", "coordinates": [[1.0, 2.0], [3.0, 4.0]]}, "properties": {"id": 0}}
