@@ -1,22 +1,31 @@
 """Exact top-k by distributed histogram selection.
 
-Every query block meets every candidate block once a round. Rounds of histograms over the integer scores narrow each
-query's k-th value to one score; a last round emits what lies above it and the ties with the smallest ids.
+Queries go in chunks of a bounded size, which are broadcast; candidates stream past a chunk where they lie, so that no
+vector is shuffled, only counts. Rounds of histograms over the integer scores narrow each query's k-th value until few
+scores are left at or above its bin; a last round emits these, the smaller ids first among ties, and ranks them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from queuelens.llm.common import cut, table
+from queuelens.llm.common import cut, forget, table
 
 BINS = 256
 #: Scores, and quantised components, beyond this count as this: what rounds of histograms over long numbers can hold.
 LIMIT = 2**62 - 1
+#: Most queries of a chunk, and bytes of their vectors; candidates scored at a time; scores that a task holds.
+CHUNK, CHUNK_BYTES, STEP, HELD = 2048, 16 << 20, 1024, 1_000_000
+#: Scores a query on average, in units of k, that are emitted without another round.
+FEW = 16
 
 
 def quantised(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
@@ -29,105 +38,157 @@ def quantised(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> D
     return ints.groupBy("id").agg(F.min("v").alias("v"))
 
 
-def _matrix(column: pd.Series, width: int) -> np.ndarray:
-    out = np.zeros((len(column), width), dtype=np.int64)
-    for i, v in enumerate(column):
-        out[i, : len(v)] = v
+@dataclass
+class Chunk:
+    """Queries of a chunk: ids, vectors, the lowest score that can be the k-th, the bins' width and how many are needed."""
+
+    ids: np.ndarray
+    vectors: np.ndarray
+    lo: np.ndarray
+    width: int
+    need: np.ndarray
+    kind: type
+
+
+def _matrix(column: pa.Array, width: int, kind: type) -> np.ndarray:
+    """Vectors as rows, shorter ones padded with zeros."""
+    size = np.diff(column.offsets.to_numpy())
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    if len(size) and (size == width).all():
+        return flat.reshape(-1, width).astype(kind)
+    out = np.zeros((len(column), width), kind)
+    out[np.arange(width) < size[:, None]] = flat
     return out
 
 
-def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact inner products, in the narrowest type that holds every partial sum."""
-    most = int(np.abs(q).max(initial=0)) * int(np.abs(c).max(initial=0)) * q.shape[1]
-    kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64 if most < 2**63 else object
-    return np.clip(q.astype(kind) @ c.astype(kind).T, -LIMIT, LIMIT).astype(np.int64)
-
-
-def _pairs(left: pd.DataFrame, right: pd.DataFrame, rows: int = 512):
-    """Slices of the queries with their scores; a query's own row has the mask False."""
-    width = max([1, *left.v.map(len), *right.v.map(len)])
-    c, ids = _matrix(right.v, width), right.id.to_numpy()
-    for at in range(0, len(left), rows):
-        part = left.iloc[at : at + rows]
-        yield part, ids, _scores(_matrix(part.v, width), c), part.id.to_numpy()[:, None] != ids[None, :]
-
-
-def _bins(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Counts of scores by bin of each query's open range. Bins that lie below this block's own k-th score can hold no
-    k-th score of all, and are not sent."""
-    out = []
-    if len(left) and len(right):
-        for part, _, s, other in _pairs(left, right):
-            lo, width, k = (part[n].to_numpy()[:, None] for n in ("lo", "width", "need"))
-            bin_ = (s - lo) // width
-            for i in range(len(part)):
-                b, n = np.unique(bin_[i][other[i] & (bin_[i] >= 0) & (bin_[i] < BINS)], return_counts=True)
-                above = n[::-1].cumsum()[::-1] - n
-                keep = above < k[i, 0]
-                if keep.any():
-                    out.append(pd.DataFrame({"id": part.id.iloc[i], "bin": b[keep], "n": n[keep]}))
-    return pd.concat(out) if out else pd.DataFrame({"id": pd.Series(dtype="int64"), "bin": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64")})
-
-
-def _rows(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Scores above each query's k-th value, and of those equal to it as many as can be needed, smallest ids first."""
-    out = []
-    if len(left) and len(right):
-        right = right.sort_values("id")
-        for part, ids, s, other in _pairs(left, right):
-            for i, (qid, kth, k) in enumerate(zip(part.id, part.lo, part.need, strict=True)):
-                over, tied = np.flatnonzero((s[i] > kth) & other[i]), np.flatnonzero((s[i] == kth) & other[i])[:k]
-                at = np.concatenate([over, tied])
-                out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[at], "score": s[i][at]}))
-    return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_id", "vec_id", "score")})
-
-
-def exact_top_k(
-    vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, block: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding"
-) -> DataFrame:
+def _scored(batches: Iterator[pa.RecordBatch], chunk: Chunk) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids of some candidates, their scores with every query of the chunk, exact, and which pairs count."""
+    width = chunk.vectors.shape[1]
+    for batch in batches:
+        for at in range(0, len(batch), STEP):
+            part = batch.slice(at, STEP)
+            ids = part.column(0).to_numpy()
+            c = _matrix(part.column(1), max(width, int(np.diff(part.column(1).offsets.to_numpy()).max(initial=0))), chunk.kind)
+            s = np.clip(chunk.vectors.astype(chunk.kind) @ c[:, :width].T, -LIMIT, LIMIT).astype(np.int64)
+            yield ids, s, chunk.ids[:, None] != ids[None, :]
+
+
+def _histograms(sent: Broadcast):
+    """Counts of scores by bin of each query's open range. Bins below a task's own k-th score hold no k-th score of all,
+    and are not sent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk: Chunk = sent.value
+        n = len(chunk.ids)
+        total = np.zeros((n, BINS), np.int64)
+        base = (np.arange(n) * BINS)[:, None]
+        for _, s, other in _scored(batches, chunk):
+            bins = (s - chunk.lo[:, None]) // chunk.width
+            ok = other & (bins >= 0) & (bins < BINS)
+            total += np.bincount((base + bins)[ok], minlength=n * BINS).reshape(n, BINS)
+        above = total[:, ::-1].cumsum(axis=1)[:, ::-1] - total
+        q, b = np.nonzero((total > 0) & (above < chunk.need[:, None]))
+        yield pa.RecordBatch.from_arrays([pa.array(chunk.ids[q]), pa.array(b.astype(np.int64)), pa.array(total[q, b])], names=["id", "bin", "n"])
+
+    return run
+
+
+def _best(q: np.ndarray, ids: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Each query's k highest scores, ties to the smaller id."""
+    order = np.lexsort((ids, -s, q))
+    q, ids, s = q[order], ids[order], s[order]
+    first = np.searchsorted(q, q)
+    keep = np.arange(len(q)) - first < k
+    return q[keep], ids[keep], s[keep]
+
+
+def _emitted(sent: Broadcast, k: int):
+    """Scores at or above each query's bound; of a task's, the best k of a query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk: Chunk = sent.value
+        held = [np.empty(0, np.int64)] * 3
+        new, size = [], 0
+        for ids, s, other in _scored(batches, chunk):
+            q, c = np.nonzero(other & (s >= chunk.lo[:, None]))
+            new.append((q, ids[c], s[q, c]))
+            size += len(q)
+            if size > HELD:
+                held = _best(*(np.concatenate([h, *x]) for h, x in zip(held, zip(*new, strict=True), strict=True)), k)
+                new, size = [], 0
+        if new:
+            held = _best(*(np.concatenate([h, *x]) for h, x in zip(held, zip(*new, strict=True), strict=True)), k)
+        yield pa.RecordBatch.from_arrays([pa.array(chunk.ids[held[0]]), pa.array(held[1]), pa.array(held[2])], names=["query_id", "vec_id", "score"])
+
+    return run
+
+
+def _chunk(rows: list, bound: int, most: int, n: int, k: int, present: set[int]) -> Chunk:
+    ids = np.array([r.id for r in rows], np.int64)
+    width = max([1, *(len(r.v) for r in rows)])
+    vectors = np.zeros((len(rows), width), object if most >= LIMIT else np.int64)
+    for i, r in enumerate(rows):
+        vectors[i, : len(r.v)] = r.v
+    reach = most * most * width
+    kind = np.float32 if reach < 2**24 else np.float64 if reach < 2**53 else np.int64 if reach < 2**63 else object
+    step = 1
+    while step * BINS < 2 * bound + 1:
+        step *= BINS
+    need = np.array([min(k, n - (int(i) in present)) for i in ids], np.int64)  # a row isn't its own candidate
+    keep = need > 0
+    return Chunk(ids[keep], vectors[keep], np.full(int(keep.sum()), -bound, np.int64), step, need[keep], kind)
+
+
+def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", chunk: int = CHUNK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k highest inner products of the quantised vectors against
     all rows but its own, ties to the smaller id; all of them where there are fewer than k.
 
     Vectors that are null or hold null or non-finite components take no part; shorter vectors count as padded with
     zeros; a repeated id counts once, with its smallest vector; empty tables give no rows. Other columns are not read.
     Scores are exact up to LIMIT; finite components and scores beyond it count as LIMIT, so that they tie.
+
+    A chunk has at most about ``chunk`` queries and CHUNK_BYTES of vectors, whatever the input; the driver holds one at a
+    time. Candidates are read where they lie, a few times for each chunk.
     """
     spark = vectors.sparkSession
     every = cut(quantised(vectors, scale, id_col, vector_col))
-    asked = cut(quantised(queries, scale, id_col, vector_col))
+    asked = quantised(queries, scale, id_col, vector_col)
+    asked = cut(asked.join(every.select("id", F.lit(True).alias("own")), "id", "left"))
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    facts = every.agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("m")).first()
-    asks = asked.agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("m")).first()
-    n, bound = facts.n, min(LIMIT, int(max(facts.m or 0.0, asks.m or 0.0) * (1 + 1e-9)) + 1)
-    c_blocks, q_blocks = max(32, -(-n // block)), max(1, -(-asks.n // block))
-    of = lambda salt, blocks: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(blocks)).cast("int")
-    cand = every.select("id", "v", of(1, c_blocks).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
-    spread = lambda q: q.withColumn("qb", of(2, q_blocks)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
-    cand = cand.groupBy("qb", "cb")
-    width = 1
-    while width * BINS < 2 * bound + 1:
-        width *= BINS
-    present = every.select("id", F.lit(1).alias("own"))
-    # A query that is itself among the rows has one candidate fewer.
-    need = F.least(F.lit(k), F.lit(n) - F.coalesce("own", F.lit(0)))
-    state = asked.join(present, "id", "left").select("id", "v", F.lit(-bound).cast("long").alias("lo"), F.lit(width).cast("long").alias("width"), need.cast("long").alias("need"))
-    state = state.where("need > 0")
-    while True:
-        counts = spread(state).groupBy("qb", "cb").cogroup(cand).applyInPandas(_bins, "id long, bin long, n long").groupBy("id", "bin").agg(F.sum("n").alias("n"))
-        down = W.partitionBy("id").orderBy(F.desc("bin"))
-        at = counts.withColumn("above", F.sum("n").over(down) - F.col("n"))
-        state = (
-            state.join(at, "id")
-            .where((F.col("above") < F.col("need")) & (F.col("above") + F.col("n") >= F.col("need")))
-            .select("id", "v", (F.col("lo") + F.col("bin") * F.col("width")).alias("lo"), F.greatest(F.lit(1), F.expr(f"width div {BINS}")).cast("long").alias("width"), (F.col("need") - F.col("above")).alias("need"))
-        )
-        state = cut(state)
-        if width == 1:
-            break
-        width //= BINS
-    found = spread(state).groupBy("qb", "cb").cogroup(cand).applyInPandas(_rows, "query_id long, vec_id long, score long")
+    largest = F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))))
+    facts = [df.agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("norm"), largest.alias("most"), F.max(F.size("v")).alias("size")).first() for df in (every, asked)]
+    n, bound = facts[0].n, min(LIMIT, int(max(f.norm or 0.0 for f in facts) * (1 + 1e-9)) + 1)
+    most, size = min(LIMIT, int(max(f.most or 0.0 for f in facts)) + 1), max(1, *(f.size or 0 for f in facts))
+    chunks = max(1, -(-facts[1].n // max(1, min(chunk, CHUNK_BYTES // (8 * size)))))
+    dealt = asked.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)))
+    found = []
+    for number in range(chunks):
+        rows = dealt.where(F.col("chunk") == number).select("id", "v", "own").collect()
+        now = _chunk(rows, bound, most, n, k, {r.id for r in rows if r.own})
+        if not len(now.ids):
+            continue
+        while True:
+            sent = spark.sparkContext.broadcast(now)
+            counts = every.mapInArrow(_histograms(sent), "id long, bin long, n long").groupBy("id", "bin").agg(F.sum("n").alias("n"))
+            at = counts.withColumn("above", F.sum("n").over(W.partitionBy("id").orderBy(F.desc("bin"))) - F.col("n"))
+            need = spark.createDataFrame(list(zip(now.ids.tolist(), now.need.tolist(), strict=True)), "id long, need long")
+            kth = at.join(F.broadcast(need), "id").where((F.col("above") < F.col("need")) & (F.col("above") + F.col("n") >= F.col("need"))).select("id", "bin", "n", "above").collect()
+            by = {r.id: r for r in kth}
+            bins, inside, above = (np.array([getattr(by[i], c) for i in now.ids.tolist()], np.int64) for c in ("bin", "n", "above"))
+            now.lo, now.need = now.lo + bins * now.width, now.need - above
+            sent.unpersist()
+            if now.width == 1 or int((inside + above).sum()) <= FEW * k * len(now.ids):
+                break
+            now.width = max(1, now.width // BINS)
+        found.append(cut(every.mapInArrow(_emitted(spark.sparkContext.broadcast(now), k), "query_id long, vec_id long, score long")))
+    if not found:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    forget(asked)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -393,7 +393,7 @@ def test_top_k(spark):
     vectors = [(i, (same if i % 3 == 0 else rng.normal(size=8) * 0.3).astype(np.float32).tolist()) for i in range(200)]
     bad = [(300, None), (320, [1.0, None] * 4), (340, [float("nan")] * 8), (360, [float("inf")] * 8), (None, [0.0] * 8)]
     df = spark.createDataFrame(vectors + bad + vectors[:5], "vec_id long, embedding array<float>").withColumnRenamed("x", "y")
-    got = topk.exact_top_k(df, df.where("vec_id % 20 = 0"), k=20, block=64)
+    got = topk.exact_top_k(df, df.where("vec_id % 20 = 0"), k=20, chunk=3)
     assert sorted(tuple(r) for r in got.collect()) == brute_top_k(vectors, range(0, 200, 20), 20)
     few = df.where("vec_id < 7")
     assert sorted(tuple(r) for r in topk.exact_top_k(few, few.where("vec_id = 0")).collect()) == brute_top_k(vectors[:7], [0], 20)
