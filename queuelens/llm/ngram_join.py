@@ -464,6 +464,20 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(table(spark, sf_dir, "documents"))
 
 
+#: DuckDB SQL for the query's rows: all pairs of documents that share a shingle, then the least id in reach.
+SQL = """
+with recursive w as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+s as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as s from w),
+n as (select doc_id, len(s) as n from s),
+t as (select doc_id, unnest(s) as t from s),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as met from t a join t b on a.t = b.t and a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 100 * met >= 90 * (x.n + y.n - met)),
+reach(a, b) as (select doc_id, doc_id from n union select r.a, l.b from reach r join (select a, b from links union select b, a from links) l on l.a = r.b)
+select doc_id, cast(n as bigint) as n_shingles, least(doc_id, (select min(b) from reach where reach.a = n.doc_id)) as component_id from n
+"""
+
 #: Near-duplicate stages on word shingles: five words, a similarity of 0.8.
 NEAR = Bound(n=5, num=80)
 

@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_top_k": topk.SQL}
+    return {"op3_ngram_jaccard": ngram_join.SQL, "op6_exact_top_k": topk.SQL, "op7_suffix_dedup": suffix_dedup.SQL}

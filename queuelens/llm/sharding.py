@@ -18,8 +18,10 @@ from queuelens.llm.common import cut, small_table, table, text_or_empty, utf8_si
 #: A key has 63 bits: 39 of the text's hash, then 24 of the id's hash. Equal texts are neighbours, and one large group
 #: of equal texts can still be cut inside.
 KEY_BITS, TEXT_BITS = 63, 39
-#: Bits of the key's prefix at each round of refinement.
-LEVELS = (12, 20, 30, 39, 48, 56, 63)
+#: Bits of the key's prefix at each round of refinement: a cell opens into 16 or 32, so few are opened too far.
+LEVELS = (12, 16, 20, 24, 29, 34, 39, 44, 49, 54, 59, 63)
+#: A range of keys holds at most this many rows, or this part of all rows where that is more, which bounds the plan.
+RANGE_ROWS, RANGE_SHARE = 1_000_000, 16_384
 
 
 def sort_key(text: Column, doc_id: Column) -> Column:
@@ -43,7 +45,7 @@ def leaves(keys: DataFrame, shards: int, tolerance: float, cell_rows: int | None
     within tolerance (a part of a shard) of a range's edge, or the key has no bits left."""
     cells = {(0, p): (n, b) for p, n, b in _histogram(keys, 0, None)}
     rows, total = sum(n for n, _ in cells.values()), sum(b for _, b in cells.values())
-    most = cell_rows or max(64, min(1_000_000, rows // 1024))
+    most = cell_rows or max(64, min(RANGE_ROWS, rows // 1024), rows // RANGE_SHARE)
     slack = tolerance * total / shards
     order = lambda at: at[1] << (KEY_BITS - LEVELS[at[0]])
     for level in range(len(LEVELS)):

@@ -405,3 +405,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+#: DuckDB SQL for the query's rows: every 100-byte string of every text, as hexadecimal digits.
+SQL = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+c as (select doc_id, c, substr(h, 400 * c + 1, 598) as h from (select doc_id, h, unnest(range(0, length(h) // 400 + 1)) as c from d)),
+s as (select doc_id, 200 * c + j as i, substr(h, 2 * j + 1, 200) as s from (select *, unnest(range(0, least(200, greatest(0, length(h) // 2 - 99)))) as j from c)),
+g as (select s, min(struct_pack(d := doc_id, i := i)) as first from s group by s having count(*) > 1),
+r as (select doc_id, i from s join g using (s) where struct_pack(d := doc_id, i := i) > first),
+m as (select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + 100 then 0 else 1 end as new from r),
+n as (select doc_id, i, sum(new) over (partition by doc_id order by i) as run from m),
+runs as (select doc_id, run, min(i) as a, max(i) + 100 as b from n group by all),
+gaps as (select *, coalesce(lag(b) over (partition by doc_id order by a), 0) as since from runs),
+cut as (select doc_id, sum(b - a) as removed, count(*) as spans, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' order by a) as kept, max(b) as last from gaps join d using (doc_id) group by 1)
+select d.doc_id, cast(length(h) // 2 as bigint) as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed, cast(coalesce(spans, 0) as bigint) as n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) as kept_sha256
+from d left join cut using (doc_id)
+"""
