@@ -138,15 +138,20 @@ def labelled(stats: DataFrame, labels: DataFrame, column: str = "quality") -> Da
     return stats.where(~held_out()).join(one, "doc_id").select("x", "label")
 
 
-def scorer(model: Discriminant | None, of_text: bool = False):
-    """A UDF of the statistics, or of the text, that gives the score; 0.5 where there was nothing to learn from."""
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def of_text(texts: pd.Series) -> pd.Series:
+    """The statistics of texts, beside the columns they stand with."""
+    return texts.map(statistics)
+
+
+def scorer(model: Discriminant | None):
+    """A UDF of the statistics that gives the score; 0.5 where there was nothing to learn from."""
 
     @F.pandas_udf(T.DoubleType())
     def score(x: pd.Series) -> pd.Series:
         if model is None:
             return pd.Series(0.5, index=x.index)
-        rows = x.map(statistics) if of_text else x
-        return pd.Series(model.score(np.stack(rows.to_numpy())) if len(x) else [], dtype="float64")
+        return pd.Series(model.score(np.stack(x.to_numpy())) if len(x) else [], dtype="float64")
 
     return score
 
@@ -166,9 +171,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, shrinkage: float = 0.1)
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose score reaches the threshold."""
-    stats = cut(document_statistics(docs))
-    model = fit(labelled(stats, table(spark, sf_dir, "labels")))
-    return docs.where(scorer(model, of_text=True)(text_or_empty()) >= THRESHOLD)
+    rows = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    known = cut(docs.select(rows, F.col("doc_id").cast("long").alias("doc_id"), of_text(text_or_empty()).alias("x")))  # texts are read once
+    model = fit(labelled(known.select("doc_id", "x"), table(spark, sf_dir, "labels")))
+    return known.where(scorer(model)("x") >= THRESHOLD).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

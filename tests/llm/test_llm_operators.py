@@ -466,6 +466,35 @@ def test_quality(docs, empty, odd, spark):
     assert quality.score_documents(docs, labels).count() == docs.count()
 
 
+def test_quality_against_the_density(spark):
+    """Scores against class densities worked out from covariances, determinants and solved systems, and held-out accuracy."""
+    rng = random.Random(8)
+    kinds = ("thnd", "ereha", "onre"), ("$$$", "THND!!", "&&&", "thnd", "9")
+    rows = [(i, " ".join(rng.choice(kinds[i % 3 == 0]) + rng.choice(("", ".", "a")) for _ in range(rng.randrange(1, 80))), "en", "s", 1) for i in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(300)], "doc_id long, quality int")
+    x = {i: quality.statistics(t) for i, t, *_ in rows}
+    train = [i for i in x if zlib.crc32(str(i).encode()) % 5]
+    every = np.array([x[i] for i in train])
+    centre, scale = every.mean(axis=0), np.sqrt(np.maximum(every.var(axis=0), 1e-9))
+    z = {i: (v - centre) / scale for i, v in x.items()}
+    log = {}
+    for c in (0, 1):
+        own = np.array([z[i] for i in train if int(i % 3 > 0) == c])
+        cov = np.cov(own.T, bias=True)
+        cov = 0.9 * cov + 0.1 * max(np.trace(cov) / len(cov), 1e-3) * np.eye(len(cov))
+        gap = {i: v - own.mean(axis=0) for i, v in z.items()}
+        log[c] = {i: np.log(len(own) / len(train)) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * g @ np.linalg.solve(cov, g) for i, g in gap.items()}
+    margin = {i: log[1][i] - log[0][i] for i in x}
+    loss = {t: np.mean([np.logaddexp(0, -margin[i] / t if i % 3 else margin[i] / t) for i in train]) for t in (1, 2, 4, 8, 16)}
+    t = min(loss, key=loss.get)
+    got = {r.doc_id: r.score for r in quality.score_documents(df, labels).collect()}
+    for i, m in margin.items():
+        assert abs(got[i] - 1 / (1 + np.exp(-np.clip(m / t, -700, 700)))) < 1e-4
+    held = [i for i in x if i not in train]
+    assert np.mean([(got[i] >= 0.3) == (i % 3 > 0) for i in held]) > 0.9
+
+
 def test_packing(docs, rows, empty, odd):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -610,6 +639,53 @@ def test_mixing(docs, rows, empty, odd, spark, cell_rows):
     assert mixing.stage(spark, docs, "").columns == docs.columns
 
 
+def test_mixing_against_a_plain_schedule(docs, rows, spark):
+    """Blocks by bytes in the order of the ids' hashes, slots by earliest deadlines taken one at a time."""
+    from fractions import Fraction
+
+    from pyspark.sql import functions as F
+
+    hashes = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    weights = {"s0": 3.0, "s1": 1.0, "s2": 2.0, "s3": 1.0, None: 0.5}
+    sources = defaultdict(list)
+    for i, text, _, source, _ in rows:
+        sources[source].append((hashes[i] & (2**64 - 1), i, len((text or "").encode()) + 1))
+    place, blocks = {}, {}
+    for source, mine in sources.items():
+        at = 0
+        for _, i, size in sorted(mine):
+            place[i] = (source, at // 512, at % 512)
+            at += size
+        blocks[source] = -(-at // 512)
+    slot_of, left, done, now = {}, dict(blocks), dict.fromkeys(blocks, 0), 0
+    while any(left.values()):  # a phase goes on until a source has no blocks left
+        alive = [s for s in left if left[s]]
+        share = {s: Fraction(weights[s]) / sum(Fraction(weights[x]) for x in alive) for s in alive}
+        begin, k = now, dict.fromkeys(alive, 0)
+        while all(left[s] for s in alive):
+            ready = [s for s in alive if int(k[s] / share[s]) <= now - begin]
+            s = min(ready, key=lambda s: (-(-(k[s] + 1) // share[s]), "null" if s is None else f"={s}"))
+            assert now - begin < -(-(k[s] + 1) // share[s])
+            slot_of[s, done[s]] = now
+            k[s], done[s], left[s], now = k[s] + 1, done[s] + 1, left[s] - 1, now + 1
+    got = mixing.pfair_mix(docs, weights, block_bytes=512).collect()
+    assert {r.row.doc_id: (r.block, r.in_block, r.slot) for r in got} == {i: (b, o, slot_of[s, b]) for i, (s, b, o) in place.items()}
+
+
+def test_sharding_keeps_equal_texts_together(spark):
+    df = spark.createDataFrame([(i, f"text {i % 700} " * (1 + i % 5)) for i in range(7000)], "doc_id long, text string").repartition(4)
+    out = sharding.histogram_sort_shards(df, tolerance=0.05, carry=("text",)).collect()  # no group is over the tolerance
+    shards = defaultdict(set)
+    for r in out:
+        shards[r.text].add(r.shard)
+    assert all(len(x) == 1 for x in shards.values())
+    sizes = Counter()
+    for r in out:
+        sizes[r.shard] += r.size
+    group = max(Counter({t: sum(r.size for r in out if r.text == t) for t in list(shards)[:50]}).values())
+    assert max(sizes.values()) - min(sizes.values()) <= 3 * group
+
+
 def test_licenses(spark, empty, odd):
     df = spark.createDataFrame(
         [
