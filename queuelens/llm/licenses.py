@@ -211,7 +211,7 @@ def scan_licenses(docs: DataFrame, path: Column, threshold: float = THRESHOLD, i
     Document frequencies of all words come from all texts. Lines, paragraphs and sentences are scored against notices,
     whole texts against licence files, from a template's first word in them to its last. A version-less notice gives
     "GPL" or "LGPL". A file is known by the share of words in any of its matching segments. Of several licence files in a directory the one with the highest score, then the
-    least licence and id counts. Null text counts as empty; null ids and repeated rows are kept; a null path has no
+    least licence and id counts; ties of templates go to the first. Texts of any length are read whole. Null text counts as empty; null ids and repeated rows are kept; a null path has no
     directories; an empty table gives no rows; other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"), path.cast("string").alias("path"))
@@ -250,6 +250,10 @@ def scan_licenses(docs: DataFrame, path: Column, threshold: float = THRESHOLD, i
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents have no paths of their own: source and language count as directories, the id as the file's name."""
+    """doc_id, path, license and score of what the text itself states, and apart from it the licence of the nearest
+    directory with a licence file, and that directory. Documents have no paths of their own: source and language count as
+    directories, the id as the file's name, so an inherited licence is a hint and never the document's own."""
     path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.col("doc_id").cast("string"))
-    return scan_licenses(table(spark, sf_dir, "documents"), path)
+    found = scan_licenses(table(spark, sf_dir, "documents"), path)
+    inherited = F.when(F.col("own_license").isNull(), F.col("license"))
+    return found.select("doc_id", "path", F.col("own_license").alias("license"), F.col("own_score").alias("score"), inherited.alias("inherited_license"), "from_dir")
