@@ -8,12 +8,14 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Speed by density, and bounds of the parameters in order.
+#: The bounds of the parameters in order, beside speed by density.
 ROBUST_MODELS = {
     "S3": (lambda k, vf, kc, m: vf / (1 + (k / kc) ** m) ** (2 / m), (20, 10, 1), (85, 200, 8)),
     "Greenshields": (lambda k, vf, kj: np.clip(vf * (1 - k / kj), 0, vf), (20, 50), (85, 300)),
+    "Newell": (lambda k, vf, kj, a: np.clip(vf * (1 - np.exp(np.minimum(-a * (1 / k - 1 / kj), 700))), 0, vf), (20, 50, 0.01), (85, 300, 5)),
     "Underwood": (lambda k, vf, kc: vf * np.exp(-k / kc), (20, 10), (85, 200)),
     "VanAerde": (lambda k, vf, kc, c1, c2: np.clip(vf * (1 - k / (4 * kc)) / (1 + c1 * k + c2 * k * k), 0, vf), (20, 10, 0, 0), (85, 200, 1, 1)),
     "LCM": (lambda k, vf, kc, b: vf / (1 + (k / kc) ** b), (20, 10, 1), (85, 200, 8)),
@@ -58,27 +60,63 @@ def _best(k: np.ndarray, q: np.ndarray) -> tuple | None:
     return max(fits, key=lambda x: (x[0], x[1])) if fits else None
 
 
-FD_SCHEMA = "sensor_uid string, regime string, n long, model string, params array<double>, r2 double, rmse double, capacity_vphpl double, k_c double, v_f_mph double"
+FD_SCHEMA = "sensor_uid string, regime string, n long, model string, params array<double>, r2 double, rmse double, capacity_vphpl double, k_c double, v_f_mph double, month int"
 
 
-def fit_diagrams(states: DataFrame, v_c: float = 50.0, least: int = 10) -> DataFrame:
-    """The model with the highest R2 for each sensor, over all rows and over its free, transitional and congested ones."""
+def regimes(v: np.ndarray, k: np.ndarray, v_c: float, k_c: float, v_f: float) -> dict[str, np.ndarray]:
+    """Rows of free flow, near capacity and of congestion, by a diagram's critical speed and density."""
+    return {"free_flow": (v >= 0.95 * v_f) & (k < 0.6 * k_c), "near_capacity": (k >= 0.6 * k_c) & (k <= 1.2 * k_c), "congested": (k > 1.2 * k_c) | (v < v_c)}
+
+
+def fit_diagrams(states: DataFrame, least: int = 10, months: int = 1) -> DataFrame:
+    """The model of six with the highest R2 for each sensor and month (or ``months`` of them), over all rows and over those
+    of each regime of that diagram. A task sees a sensor's rows of these months, however long its history."""
+    month = F.floor((F.year("datetime") * 12 + F.month("datetime") - 1) / months).cast("int") if "datetime" in states.columns else F.lit(0)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        v, rows = pdf.speed_mph.to_numpy(float), []
-        masks = {"full": np.ones(len(pdf), bool), "free": v >= 0.9 * v_c, "transition": (v >= 0.7 * v_c) & (v <= 1.1 * v_c), "congested": v < v_c}
-        for regime, m in masks.items():
-            k, q = pdf.density_vpm.to_numpy(float)[m], pdf.flow_vph.to_numpy(float)[m]
-            best = _best(k, q) if m.sum() >= least else None
+        v, density, flows, rows = pdf.speed_mph.to_numpy(float), pdf.density_vpm.to_numpy(float), pdf.flow_vph.to_numpy(float), []
+
+        def add(regime: str, m: np.ndarray) -> tuple[float, float, float] | None:
+            best = _best(density[m], flows[m]) if m.sum() >= least else None
             if best is None:
-                continue
+                return None
             _, model, (p, r2, rmse) = best
             flow = GRID * ROBUST_MODELS[model][0](GRID, *p)
             at = int(np.argmax(flow))
-            rows.append((pdf.sensor_uid.iloc[0], regime, int(m.sum()), model, p.tolist(), r2, rmse, float(flow[at]), float(GRID[at]), float(p[0])))
+            rows.append((pdf.sensor_uid.iloc[0], regime, int(m.sum()), model, p.tolist(), r2, rmse, float(flow[at]), float(GRID[at]), float(p[0]), int(pdf.month.iloc[0])))
+            return float(flow[at] / GRID[at]), float(GRID[at]), float(p[0])
+
+        if (critical := add("full", np.ones(len(pdf), bool))) is not None:
+            for regime, m in regimes(v, density, *critical).items():
+                add(regime, m)
         return pd.DataFrame(rows, columns=[c.split()[0] for c in FD_SCHEMA.split(", ")])
 
-    return states.select("sensor_uid", "speed_mph", "flow_vph", "density_vpm").groupBy("sensor_uid").applyInPandas(fit, FD_SCHEMA)
+    return states.select("sensor_uid", "speed_mph", "flow_vph", "density_vpm", month.alias("month")).groupBy("sensor_uid", "month").applyInPandas(fit, FD_SCHEMA)
+
+
+def bootstrap_diagrams(states: DataFrame, model: str = "S3", n_boot: int = 200, seed: int = 42) -> DataFrame:
+    """sensor_uid, parameter (p0, p1, ..., capacity), p5, p50, p95 of a model fitted to resampled rows; sensors with fewer
+    than 20 usable rows have none."""
+
+    def resample(pdf: pd.DataFrame) -> pd.DataFrame:
+        k, q = pdf.density_vpm.to_numpy(float), pdf.flow_vph.to_numpy(float)
+        ok = np.isfinite(k) & np.isfinite(q) & (k > 0) & (q >= 0)
+        k, q, rng, found = k[ok], q[ok], np.random.default_rng(seed), []
+        for _ in range(n_boot if len(k) >= 20 else 0):
+            i = rng.integers(0, len(k), len(k))
+            if (fit := huber_fit(k[i], q[i], model)) is not None:
+                found.append([*fit[0], float((GRID * ROBUST_MODELS[model][0](GRID, *fit[0])).max())])
+        names = [*(f"p{i}" for i in range(len(ROBUST_MODELS[model][1]))), "capacity"]
+        rows = [(pdf.sensor_uid.iloc[0], n, *map(float, np.percentile(c, [5, 50, 95]))) for n, c in zip(names, np.array(found).T, strict=True)] if len(found) >= 10 else []
+        return pd.DataFrame(rows, columns=["sensor_uid", "parameter", "p5", "p50", "p95"])
+
+    return states.select("sensor_uid", "flow_vph", "density_vpm").groupBy("sensor_uid").applyInPandas(resample, "sensor_uid string, parameter string, p5 double, p50 double, p95 double")
+
+
+def borrowed_diagrams(states: DataFrame, capacity: float = 2000.0, v_f: float = 65.0, v_c: float = 50.0, least: int = 20) -> DataFrame:
+    """Diagrams of sensors without flow: free-flow speed by the 95th percentile, all else borrowed."""
+    n = F.count("speed_mph")
+    return states.groupBy("sensor_uid").agg(F.when(n >= least, F.percentile("speed_mph", F.lit(0.95))).otherwise(v_f).alias("v_f_mph"), n.alias("n")).withColumns({"v_c_mph": F.lit(v_c), "capacity_vphpl": F.lit(capacity), "model": F.lit("speed_only_borrow")})
 
 
 def bootstrap_medians(values: DataFrame, keys: tuple[str, ...], value: str, priors: dict[str, float] | None = None, n_boot: int = 500, seed: int = 42, k0: float = 5.0) -> DataFrame:
@@ -173,9 +211,10 @@ def _cube(pdf: pd.DataFrame, value: str) -> tuple[np.ndarray, list[np.ndarray]]:
     return t, axes
 
 
-def complete_speeds(states: DataFrame, method: str = "tensor", minutes: int = 60, ranks: tuple[int, int, int] = (8, 10, 4)) -> DataFrame:
+def complete_speeds(states: DataFrame, method: str = "tensor", minutes: int = 60, ranks: tuple[int, int, int] = (8, 10, 4), days: int = 28) -> DataFrame:
     """(corridor, sensor_uid, date, slot, observed, completed): each corridor's sensor x slot x day cube, filled by
-    "matrix", "tensor" or "tucker" (of the tensor's filling), or split by "rpca" (low-rank part)."""
+    "matrix", "tensor" or "tucker" (of the tensor's filling), or split by "rpca" (low-rank part). A cube has at most
+    ``days`` days, so that a task gets a bounded matrix however long the history."""
     slot = F.expr(f"(hour(datetime) * 60 + minute(datetime)) div {minutes}").cast("int")
     cells = states.groupBy("corridor", "sensor_uid", F.date_format("datetime", "yyyy-MM-dd").alias("date"), slot.alias("slot")).agg(F.avg("speed_mph").alias("v"))
 
@@ -192,12 +231,61 @@ def complete_speeds(states: DataFrame, method: str = "tensor", minutes: int = 60
         i, j, k = (x.reshape(-1) for x in np.meshgrid(*axes, indexing="ij"))
         return pd.DataFrame({"corridor": pdf.corridor.iloc[0], "sensor_uid": i, "date": k, "slot": j.astype("int32"), "observed": t.reshape(-1), "completed": done.reshape(-1)})
 
-    return cells.groupBy("corridor").applyInPandas(fill, "corridor string, sensor_uid string, date string, slot int, observed double, completed double")
+    span = F.floor(F.datediff(F.col("date"), F.lit("2000-01-03")) / days).alias("span")
+    return cells.groupBy("corridor", span).applyInPandas(fill, "corridor string, sensor_uid string, date string, slot int, observed double, completed double")
+
+
+def held_out(states: DataFrame, share: float = 0.3, seed: int = 7, hours: int | None = 2) -> DataFrame:
+    """states with ``truth`` and, in speed_mph, nothing where a sensor's block of hours (or, without hours, a single row) is
+    held out. The choice follows from hashes, so it is the same however rows are partitioned."""
+    at = F.to_date("datetime").cast("string") if hours else F.col("datetime").cast("string")
+    block = F.floor(F.hour("datetime") / hours).cast("string") if hours else F.lit("")
+    chance = F.pmod(F.xxhash64("sensor_uid", at, block, F.lit(seed)), F.lit(1_000_000)) / 1e6
+    hold = (chance < share) & F.col("speed_mph").isNotNull()
+    return states.withColumns({"truth": F.col("speed_mph"), "held": hold}).withColumn("speed_mph", F.when(~hold, F.col("speed_mph")))
+
+
+def persisted(held: DataFrame, value: str = "speed_mph") -> DataFrame:
+    """Adds guess: the line between the known values before and after within a sensor's day, held at its ends."""
+    day = W.partitionBy("sensor_uid", F.to_date("datetime")).orderBy("datetime")
+    t = F.unix_timestamp(F.col("datetime").cast("timestamp"))
+    known = F.when(F.col(value).isNotNull(), F.struct(t.alias("t"), F.col(value).alias("v")))
+    df = held.withColumns({"_b": F.last(known, True).over(day.rowsBetween(W.unboundedPreceding, 0)), "_a": F.first(known, True).over(day.rowsBetween(0, W.unboundedFollowing)), "_t": t})
+    line = F.col("_b.v") + (F.col("_a.v") - F.col("_b.v")) * (F.col("_t") - F.col("_b.t")) / F.when(F.col("_a.t") != F.col("_b.t"), F.col("_a.t") - F.col("_b.t"))
+    return df.withColumn("guess", F.coalesce(line, "_a.v", "_b.v")).drop("_a", "_b", "_t")
+
+
+def time_of_day(held: DataFrame, minutes: int = 5) -> DataFrame:
+    """Adds guess: the sensor's mean of the known values at the time of day."""
+    slot = F.floor((F.hour("datetime") * 60 + F.minute("datetime")) / minutes)
+    return held.withColumn("guess", F.avg("speed_mph").over(W.partitionBy("sensor_uid", slot)))
+
+
+def engine_scores(guessed: DataFrame, engine: str, congested_below: float = 45.0) -> DataFrame:
+    """One row: mean absolute and root mean square error of held-out rows, and of those in congestion."""
+    err = F.when(F.col("held") & F.col("guess").isNotNull(), F.abs(F.col("guess") - F.col("truth")))
+    low = F.when(F.col("truth") < congested_below, err)
+    return guessed.agg(F.lit(engine).alias("engine"), F.count(err).alias("n"), F.avg(err).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"), F.count(low).alias("n_congested"), F.avg(low).alias("mae_congested"))
+
+
+def engine_arena(states: DataFrame, share: float = 0.3, minutes: int = 60, methods: tuple[str, ...] = ("matrix", "tensor", "rpca")) -> DataFrame:
+    """Scores of persistence, the time-of-day profile and each completion method on the same held-out blocks of means."""
+    slot = F.window("datetime", f"{minutes} minutes")["start"]
+    cells = states.groupBy("corridor", "sensor_uid", slot.alias("datetime")).agg(F.avg("speed_mph").alias("speed_mph"))
+    held = held_out(cells, share)
+    out = engine_scores(persisted(held), "persistence").unionByName(engine_scores(time_of_day(held, minutes), "tod_profile"))
+    keys = ["corridor", "sensor_uid", "date", "slot"]
+    marked = held.withColumns({"date": F.date_format("datetime", "yyyy-MM-dd"), "slot": F.expr(f"(hour(datetime) * 60 + minute(datetime)) div {minutes}").cast("int")})
+    for m in methods:
+        guess = complete_speeds(held, m, minutes).select(*keys, F.col("completed").alias("guess"))
+        out = out.unionByName(engine_scores(marked.join(guess, keys), m))
+    return out
 
 
 def mode_spectra(states: DataFrame, minutes: int = 60) -> DataFrame:
-    """Rank statistics of each corridor's cube and mode: participation ratio, and ranks with 90 and 99 % of the energy."""
-    filled = complete_speeds(states, "tensor", minutes)
+    """Rank statistics of each corridor's cube and mode: participation ratio, and ranks with 90 and 99 % of the energy, over
+    the days that are given: a task gets a corridor's cube, so give it weeks."""
+    filled = complete_speeds(states, "tensor", minutes, days=1_000_000)
 
     def spectra(pdf: pd.DataFrame) -> pd.DataFrame:
         t, _ = _cube(pdf, "completed")

@@ -78,6 +78,11 @@ errors as (
   from (select sensor_uid, date, period, step, model, case when v > 1 then v end as v from met) group by all)"""
 
 
+_HELD = f"{STATES}, held as (select *, speed_mph as truth, (hour(datetime) + day(datetime)) % 5 = 0 as held, case when not ((hour(datetime) + day(datetime)) % 5 = 0) then speed_mph end as v from states)"
+_SCORES = """select '{}' as engine, count(e) as n, round(avg(e), 6) as mae, round(sqrt(avg(e * e)), 6) as rmse, count(e) filter (truth < 45) as n_congested, round(avg(e) filter (truth < 45), 6) as mae_congested
+from (select *, case when held then abs(guess - truth) end as e from g)"""
+
+
 def sql() -> dict[str, str]:
     band = "case when x is null then 'N/A' when {} then 'PASS' {} end"
     gates = [
@@ -90,6 +95,14 @@ def sql() -> dict[str, str]:
         ("weekend_share", "(select avg((isodow(cast(date as date)) >= 6)::int) from consistent)", "case when x is null then 'N/A' else 'INFO' end"),
     ]
     return {
+        "persistence_scores": f"""with {_HELD},
+k as (select *, epoch(datetime) as t, case when v is not null then epoch(datetime) end as tk from held),
+w as (select *, last_value(v ignore nulls) over b as v0, last_value(tk ignore nulls) over b as t0, first_value(v ignore nulls) over a as v1, first_value(tk ignore nulls) over a as t1 from k
+  window b as (partition by sensor_uid, cast(datetime as date) order by datetime rows between unbounded preceding and current row), a as (partition by sensor_uid, cast(datetime as date) order by datetime rows between current row and unbounded following)),
+g as (select *, coalesce(case when t1 <> t0 then v0 + (v1 - v0) * (t - t0) / (t1 - t0) end, v1, v0) as guess from w)
+{_SCORES.format("persistence")}""",
+        "time_of_day_scores": f"with {_HELD}, g as (select *, avg(v) over (partition by sensor_uid, (hour(datetime) * 60 + minute(datetime)) // 5) as guess from held) {_SCORES.format('tod_profile')}",
+        "borrowed_diagrams": f"with {STATES} select sensor_uid, round(case when count(speed_mph) >= 20 then quantile_cont(speed_mph, 0.95) else 65 end, 6) as v_f_mph, count(speed_mph) as n, 50.0::double as v_c_mph, 2000.0::double as capacity_vphpl, 'speed_only_borrow' as model from states group by 1",
         "direction_days": f"with {_DROPS} select corridor, date, bottleneck, n_ok, n_checked, reversed, round(confidence, 6) as confidence from days",
         "direction_check": f"""with {_DROPS},
 modes as (select corridor, bottleneck, row_number() over (partition by corridor order by count(*) desc, bottleneck) as r from days group by corridor, bottleneck)

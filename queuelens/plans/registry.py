@@ -283,6 +283,13 @@ def q_whole_day(spark, d):
     return _rounded(out.select("link_id", "t_min", "model_speed"), 6, "model_speed")
 
 
+def _held(spark, d):
+    """Every fifth hour of a sensor held out, by a rule that SQL shares."""
+    rows = states.states(spark, d)
+    hold = (F.hour("datetime") + F.dayofmonth("datetime")) % 5 == 0
+    return rows.withColumns({"truth": F.col("speed_mph"), "held": hold}).withColumn("speed_mph", F.when(~hold, F.col("speed_mph")))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_ranking(spark, sf_dir)
 
@@ -336,6 +343,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "series_quality": _series_quality,
         "weekday_gates": lambda s, d: weekday.quality_gates(_calibration_quality(s, d), _series_quality(s, d)),
         "queue_curves": q_curves,
+        "persistence_scores": lambda s, d: _rounded(fits.engine_scores(fits.persisted(_held(s, d)), "persistence"), 6, "mae", "rmse", "mae_congested"),
+        "time_of_day_scores": lambda s, d: _rounded(fits.engine_scores(fits.time_of_day(_held(s, d)), "tod_profile"), 6, "mae", "rmse", "mae_congested"),
+        "borrowed_diagrams": lambda s, d: _rounded(fits.borrowed_diagrams(states.states(s, d)), 6, "v_f_mph"),
+        "engine_arena": lambda s, d: fits.engine_arena(states.states(s, d)),
         "conserved_flows": q_conserving,
         "reliability_issues": lambda s, d: tokens.reliability_issues(reliability.lottr(states.states(s, d))).drop("recommended_token"),
         "whole_day_models": q_whole_day,

@@ -473,3 +473,22 @@ def test_more_readers_and_sinks(spark, simulated, tmp_path):
     assert sinks.read_table(spark, str(tmp_path / "t"), "csv").count() == 6
     line = spark.range(1).select(sinks.geojson_line(F.array(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(3.0), F.lit(4.0))), "id").alias("g")).first().g
     assert json.loads(line) == {"type": "Feature", "geometry": {"type": "LineString", "coordinates": [[1.0, 2.0], [3.0, 4.0]]}, "properties": {"id": 0}}
+
+
+def test_held_out_engines(spark, simulated):
+    held = fits.held_out(simulated)
+    share = held.agg(F.avg(F.col("held").cast("double"))).first()[0]
+    assert 0.2 < share < 0.4 and held.where("held and speed_mph is not null").count() == 0
+    got = {r.engine: r for r in fits.engine_arena(simulated, methods=("matrix", "tensor")).collect()}
+    assert set(got) == {"persistence", "tod_profile", "matrix", "tensor"} and len({r.n for r in got.values()}) <= 2
+    assert got["tod_profile"].mae < got["persistence"].mae  # days are alike, blocks are long
+
+
+def test_bootstrap_and_newell(spark):
+    k = np.linspace(5, 120, 80)
+    df = spark.createDataFrame([("s", float(x * 60 * np.exp(-x / 45)), float(x)) for x in k], "sensor_uid string, flow_vph double, density_vpm double")
+    got = {r.parameter: r for r in fits.bootstrap_diagrams(df, "Underwood", 15).collect()}
+    assert abs(got["p0"].p50 - 60) < 1 and got["capacity"].p5 <= got["capacity"].p95
+    speed, lo, hi = fits.ROBUST_MODELS["Newell"]
+    v = speed(k, 60.0, 150.0, 2.0)
+    assert (np.diff(v) <= 0).all() and v.max() <= 60 and speed(np.array([150.0]), 60.0, 150.0, 2.0)[0] == 0
