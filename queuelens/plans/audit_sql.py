@@ -95,6 +95,16 @@ def sql() -> dict[str, str]:
         ("weekend_share", "(select avg((isodow(cast(date as date)) >= 6)::int) from consistent)", "case when x is null then 'N/A' else 'INFO' end"),
     ]
     return {
+        "shape_fits": f"""with {EPISODES},
+sl as (select sensor_uid, date, period, row_number() over (partition by sensor_uid, date, period order by datetime) - 1 as idx, v from labelled),
+r as (select sensor_uid, date, period, cast(idx - t0_index as double) as t, cast(t3_index - t0_index as double) as w, 50 - v as d from sl join episodes using (sensor_uid, date, period)
+  where dc_existence and idx between t0_index and t3_index and v is not null),
+f as (select *, t * (w - t) as f1, t * (w - t) * (0.85 * w - t) as f2, 0.25 * t * t * (t - w) * (t - w) as f3,
+  greatest(0, least(least(t / greatest(0.25 * w, 1), 1), (w - t) / greatest(0.25 * w, 1))) as f4 from r),
+g as (select sensor_uid, date, period, count(*) as points, sum(d * d) as dd, var_pop(d) * count(*) as ss, """ + ", ".join(f"sum(d * f{i}) as a{i}, sum(f{i} * f{i}) as b{i}" for i in range(1, 5)) + """ from f group by all having count(*) >= 6),
+h as (select *, """ + ", ".join(f"case when ss > 0 and b{i} > 0 then round_even(1 - (dd - a{i} * a{i} / b{i}) / ss, 4) end as r{i}" for i in range(1, 5)) + """ from g)
+select sensor_uid, date, period, points, r1 as newell_quadratic, r2 as paq_cubic, r3 as qvdf_quartic, r4 as trapezoid,
+  list_max([{'r': coalesce(r1, -1e308), 'n': 'newell_quadratic'}, {'r': coalesce(r2, -1e308), 'n': 'paq_cubic'}, {'r': coalesce(r3, -1e308), 'n': 'qvdf_quartic'}, {'r': coalesce(r4, -1e308), 'n': 'trapezoid'}]).n as winner from h""",
         "persistence_scores": f"""with {_HELD},
 k as (select *, epoch(datetime) as t, case when v is not null then epoch(datetime) end as tk from held),
 w as (select *, last_value(v ignore nulls) over b as v0, last_value(tk ignore nulls) over b as t0, first_value(v ignore nulls) over a as v1, first_value(tk ignore nulls) over a as t1 from k
