@@ -1,6 +1,6 @@
 """DuckDB SQL of the audits, gates and direction checks, written apart from their Spark plans."""
 
-from queuelens.plans.oracles import EPISODES, MU, QC, RELIABILITY, STATES
+from queuelens.plans.oracles import EPISODES, MU, QC, RANKING, RELIABILITY, STATES
 
 _DROPS = f"""recursive {QC},
 d as (
@@ -95,6 +95,29 @@ def sql() -> dict[str, str]:
         ("weekend_share", "(select avg((isodow(cast(date as date)) >= 6)::int) from consistent)", "case when x is null then 'N/A' else 'INFO' end"),
     ]
     return {
+        "state_tokens": f"""with {RANKING},
+sl as (
+  select sensor_uid, date, period, row_number() over (partition by sensor_uid, date, period order by datetime) - 1 as idx, datetime
+  from (select sensor_uid, date, period, datetime from labelled union all select sensor_uid, date, 'MDPM', datetime from labelled where hour(datetime) between 10 and 19)),
+ep as (
+  select e.*, a.datetime as t1, b.datetime as t2, c.datetime as t3 from episodes e
+  left join sl a on a.sensor_uid = e.sensor_uid and a.date = e.date and a.period = e.period and a.idx = e.t0_index
+  left join sl b on b.sensor_uid = e.sensor_uid and b.date = e.date and b.period = e.period and b.idx = e.t2_index
+  left join sl c on c.sensor_uid = e.sensor_uid and c.date = e.date and c.period = e.period and c.idx = e.t3_index where is_valid_for_mu),
+rw as (select sensor_uid, date, datetime, speed_mph_clean as v, qc_pass, row_number() over w as i, coalesce(speed_mph_clean >= lead(speed_mph_clean) over w, false) as rises, count(*) over (partition by sensor_uid, date) as n
+  from labelled window w as (partition by sensor_uid, date order by datetime)),
+mk as (select ep.*, (select min(i) from rw where rw.sensor_uid = ep.sensor_uid and rw.date = ep.date and rw.datetime >= ep.t1) as i1, (select min(i) from rw where rw.sensor_uid = ep.sensor_uid and rw.date = ep.date and rw.datetime >= ep.t3) as i3 from ep),
+ag as (
+  select k.sensor_uid, k.date, k.period, max(i) filter (i < i1 and i >= i1 - 12 and not rises) as stop, min(i) filter (i >= i3 and not coalesce(v < 58.5, false)) as clear, any_value(n) as n, any_value(i1) as i1,
+    sum(greatest(50 - v, 0)) filter (i >= i1 and i <= i3) as deficit, avg(qc_pass::int) as rate from mk k join rw using (sensor_uid, date) group by all),
+cl as (select sensor_uid, bottleneck_class, row_number() over (partition by sensor_uid order by count(*) desc, bottleneck_class) as r from ranking group by 1, 2)
+select k.sensor_uid, k.date, k.period, k.corridor as facility, case when isodow(cast(k.date as date)) >= 6 then 'weekend_surge' else 'weekday' end as day_regime, coalesce(c.bottleneck_class, 'unclassified') as bottleneck_class,
+  p.datetime as T0_PRE_BREAKDOWN, t1 as T1_ONSET, t2 as T2_WORST_STATE, t3 as T3_RECOVERY, q.datetime as T4_RESIDUAL_CLEARANCE, P_min as congestion_duration_min, epoch(t3 - t2) / 60 as recovery_duration_min, min_speed_mph,
+  round_even(coalesce(deficit, 0) * 5 / 60, 1) as speed_deficit_area_mph_h, case when rate >= 0.9 then 'high' when rate >= 0.7 then 'medium' else 'low' end as support_level,
+  case when c.bottleneck_class in ('active_bottleneck', 'spillback_source') then 'supply' when isodow(cast(k.date as date)) >= 6 then 'demand' else 'uncertain' end as demand_supply_status,
+  coalesce(nullif(concat_ws(',', case when regime = 'event' then 'CAUSE_INCIDENT' end, case when isodow(cast(k.date as date)) >= 6 then 'CAUSE_DEMAND_SURGE' end, case when c.bottleneck_class in ('active_bottleneck', 'spillback_source') then 'CAUSE_CAPACITY_DROP' end), ''), 'CAUSE_UNKNOWN') as likely_cause
+from mk k join ag using (sensor_uid, date, period) left join cl c on c.sensor_uid = k.sensor_uid and c.r = 1
+  join rw p on p.sensor_uid = k.sensor_uid and p.date = k.date and p.i = coalesce(ag.stop + 1, greatest(k.i1 - 12, 1)) join rw q on q.sensor_uid = k.sensor_uid and q.date = k.date and q.i = coalesce(ag.clear, ag.n)""",
         "shape_fits": f"""with {EPISODES},
 sl as (select sensor_uid, date, period, row_number() over (partition by sensor_uid, date, period order by datetime) - 1 as idx, v from labelled),
 r as (select sensor_uid, date, period, cast(idx - t0_index as double) as t, cast(t3_index - t0_index as double) as w, 50 - v as d from sl join episodes using (sensor_uid, date, period)

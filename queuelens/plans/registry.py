@@ -121,7 +121,7 @@ def q_tokens(spark, d):
     eps, qc = _episodes(spark, d)
     rows = qc.withColumn("date", F.date_format("datetime", "yyyy-MM-dd"))
     out = tokens.compile_tokens(cut(episodes.with_times(eps, qc)), rows, cut(ranking.rank(eps, states.sensors(spark, d))))
-    return out.select("sensor_uid", "date", "period", "states.*", "metrics.*", "evidence.support_level", "diagnosis.demand_supply_status", "public_message")
+    return out.select("sensor_uid", "date", "period", "facility", "day_regime", "bottleneck_class", "states.*", "metrics.*", "evidence.support_level", "diagnosis.demand_supply_status", F.array_join("diagnosis.likely_cause", ",").alias("likely_cause"))
 
 
 def q_gates(spark, d):

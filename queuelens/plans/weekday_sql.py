@@ -69,6 +69,19 @@ round_even(coalesce(avg(P) filter (P > 0), 0), 2) as mean_P from congestion grou
         "series_quality": f"{START}, {_SERIES} select * from series",
         "weekday_gates": f"{START}, {EPISODES}, {_QUALITY}, {_SERIES}, j as (select *, (select round(quantile_cont(smooth_r2, 0.5), 3) from series) as smooth from quality) "
         + " union all ".join(f"select period, '{g}' as gate, cast({c} as double) as value, {x}::double as threshold, coalesce({c} * {s} >= {x} * {s}, false) as passed from j" for g, c, x, s in gates),
+        "whole_day_models": f"""{START},
+w as (select *, case when t_min < 600 then 'AM' when t_min < 840 then 'MD' else 'PM' end as period, avg(speed) over (partition by link_id order by t_min rows between 1 preceding and 1 following) as sm from profiles where t_min >= 300 and t_min < 1320),
+f as (select link_id, quantile_cont(speed, 0.99) as ff, min(t_min) as t0, max(t_min) as t9, arg_min(sm, t_min) as v0, arg_max(sm, t_min) as v9 from w group by 1),
+p as (select link_id, period, count(*) filter (sm < 49) * 0.25 as hours, min(sm) as low, arg_min(t_min, (sm, t_min)) as at_low, arg_max(sm, t_min) as last, max(t_min) as ends from w group by all),
+a as (
+  select link_id, at_low as t, least(greatest(49 / (1 + 0.2 * pow(hours, 1.3)), 1), 49) as v, 1 as o from p where low < 49
+  union all select p.link_id, least(t9, ends + 15), least(last, ff), 2 from p join f using (link_id)
+  union all select link_id, t0, least(v0, ff), 0 from f union all select link_id, t9, least(v9, ff), 3 from f),
+b as (select link_id, t, arg_min(v, (v, o)) as v from a group by all),
+c as (select link_id, t, v, lead(t) over n as tn, lead(v) over n as vn from b window n as (partition by link_id order by t)),
+m as (select w.link_id, w.t_min, ff, w.v + (coalesce(w.vn, w.v) - w.v) * x * x * (3 - 2 * x) as model from (select w.*, c.t, c.v, c.vn, case when tn is null then 0 else (w.t_min - c.t) / (tn - c.t) end as x from w join c on c.link_id = w.link_id and w.t_min >= c.t and (w.t_min < c.tn or c.tn is null)) w
+  join f on f.link_id = w.link_id)
+select link_id, t_min, round(least(greatest(model, 1), ff), 6) as model_speed from m""",
         "conserved_flows": f"""{START}, {EPISODES},
 c as (select *, unnest(range(300, 1320, 15)) as minute from congestion where P > 0),
 d as (select *, minute / 60.0 as t, least(greatest(t2, t0 + 1e-3), t3 - 1e-3) as tm, least(greatest(49 / (1 + 0.2 * pow(P, 1.3)), 1), 49) as low from c where minute between t0 * 60 and t3 * 60),
