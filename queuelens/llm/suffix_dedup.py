@@ -36,7 +36,7 @@ PLACE_BITS = 19
 CHUNK = 1 << PLACE_BITS
 #: Anchors that a task holds before it sends them on, strings that are sorted at a time, and covers of an anchor from
 #: which its strings are dealt one by one.
-FLUSH, STRINGS, HOT = 300_000, 300_000, 5_000
+FLUSH, STRINGS, HOT = 200_000, 200_000, 5_000
 #: Bytes of text for each range and each group of documents.
 BUCKET_BYTES = 8 << 20
 #: Sampled leading bytes for each range, and of each block of anchors.
@@ -46,10 +46,12 @@ ANCHOR, OPEN, SAMPLE, COVER, REMOVE = range(5)
 
 @dataclass(frozen=True)
 class Buckets:
-    """How many buckets of hashes and ranges of bytes, and how many groups of documents, records are dealt to."""
+    """How many buckets of hashes and ranges of bytes, and how many groups of documents, records are dealt to, and how
+    many partitions these are spread over: small ones, as a task sorts its own."""
 
     ranges: int
     docs: int
+    parts: int
 
 
 _P = 0x9E3779B97F4A7C15
@@ -371,7 +373,7 @@ def _kept(with_text: bool):
 
 def _buckets(pairs: DataFrame) -> Buckets:
     n = bucket_count(pairs.sparkSession, pairs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, BUCKET_BYTES)
-    return Buckets(n, n)
+    return Buckets(n, n, -(-n // 3))
 
 
 def _splitters(samples: DataFrame, ranges: int) -> np.ndarray:
@@ -393,11 +395,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     pairs = docs.select(F.col(id_col).cast("long").alias("doc"), text_or_empty(text_col).alias("text"))
     pairs = pairs.withColumn("doc", F.coalesce("doc", F.lit(NULL_ID)))
     buckets, schema = _buckets(pairs), "bucket int, kind int, data binary"
-    deal = lambda df: df.repartition("bucket", "kind").sortWithinPartitions("bucket", "kind")
+    deal = lambda df: df.repartition(buckets.parts, "bucket", "kind").sortWithinPartitions("bucket", "kind")
     first = cut(deal(pairs.mapInArrow(_anchor_records(length, gram, buckets), schema)).mapInArrow(_count(buckets, hot), schema))
     splitters = _splitters(first.where(F.col("kind") == SAMPLE), buckets.ranges)
     # One exchange of the texts serves both joins with them.
-    texts = pairs.withColumn("bucket", doc_bucket(F.col("doc"), buckets.docs)).groupBy("bucket")
+    texts = pairs.withColumn("bucket", doc_bucket(F.col("doc"), buckets.docs)).repartition(buckets.parts, "bucket").groupBy("bucket")
     covers = texts.cogroup(first.where(F.col("kind") == OPEN).groupBy("bucket")).applyInArrow(_covers(length, gram, buckets, splitters), schema)
     removed = deal(covers).mapInArrow(_sorted_ranges(length, buckets), schema)
     return texts.cogroup(removed.groupBy("bucket")).applyInArrow(_kept(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
