@@ -171,10 +171,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, shrinkage: float = 0.1)
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose score reaches the threshold."""
-    rows = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    known = cut(docs.select(rows, F.col("doc_id").cast("long").alias("doc_id"), of_text(text_or_empty()).alias("x")))  # texts are read once
-    model = fit(labelled(known.select("doc_id", "x"), table(spark, sf_dir, "labels")))
-    return known.where(scorer(model)("x") >= THRESHOLD).select("row.*")
+    stats = cut(document_statistics(docs))
+    model = fit(labelled(stats, table(spark, sf_dir, "labels")))
+    # Statistics are worked out again: carried along, a copy of the texts would stay on disk through all later stages.
+    return docs.where(scorer(model)(of_text(text_or_empty())) >= THRESHOLD)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
