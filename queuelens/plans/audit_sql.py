@@ -136,10 +136,10 @@ g as (select *, coalesce(case when t1 <> t0 then v0 + (v1 - v0) * (t - t0) / (t1
 {_SCORES.format("persistence")}""",
         "time_of_day_scores": f"with {_HELD}, g as (select *, avg(v) over (partition by sensor_uid, (hour(datetime) * 60 + minute(datetime)) // 5) as guess from held) {_SCORES.format('tod_profile')}",
         "borrowed_diagrams": f"with {STATES} select sensor_uid, round(case when count(speed_mph) >= 20 then quantile_cont(speed_mph, 0.95) else 65 end, 6) as v_f_mph, count(speed_mph) as n, 50.0::double as v_c_mph, 2000.0::double as capacity_vphpl, 'speed_only_borrow' as model from states group by 1",
-        "direction_days": f"with {_DROPS} select corridor, date, bottleneck, n_ok, n_checked, reversed, round(confidence, 6) as confidence from days",
+        "direction_days": f"with {_DROPS} select corridor, date, cast(bottleneck as integer) as bottleneck, cast(n_ok as integer) as n_ok, cast(n_checked as integer) as n_checked, reversed, round(confidence, 6) as confidence from days",
         "direction_check": f"""with {_DROPS},
 modes as (select corridor, bottleneck, row_number() over (partition by corridor order by count(*) desc, bottleneck) as r from days group by corridor, bottleneck)
-select corridor, round(quantile_cont(confidence, 0.5), 6) as direction_confidence, case when count(confidence) > 0 then any_value(m.bottleneck) end as bottleneck, count(confidence) as n_days
+select corridor, round(quantile_cont(confidence, 0.5), 6) as direction_confidence, cast(case when count(confidence) > 0 then any_value(m.bottleneck) end as integer) as bottleneck, count(confidence) as n_days
 from days join (select corridor, bottleneck from modes where r = 1) m using (corridor) group by corridor""",
         "s3_priors": f"""with {STATES}, v as (select sensor_uid, case when count(*) filter (speed_mph > 0) >= 200 then quantile_cont(speed_mph, 0.95) filter (speed_mph > 0) end as seen from states group by 1),
 w as (select *, coalesce(seen, 75.0) as vf from v)

@@ -218,7 +218,7 @@ def _weekday_bins(spark, d):
 
 def _links(spark, d):
     """A diagram for each link, the same for all."""
-    return states.sensors(spark, d).select(F.col("sensor_uid").alias("link_id")).distinct().withColumns({"vf": F.lit(70.0), "kc": F.lit(35.0), "m": F.lit(4.0), "uc": F.lit(49.5), "cap": F.lit(CAPACITY)})
+    return states.sensors(spark, d).select(F.col("sensor_uid").alias("link_id")).distinct().withColumns({"vf": F.lit(70.0), "kc": F.lit(35.0), "m": F.lit(4.0), "uc": F.lit(49.5), "cap": F.lit(1900.0)})
 
 
 def _congestion(spark, d):
@@ -232,7 +232,7 @@ def _defaults(spark, d):
 
 def q_weekday_profiles(spark, d):
     out = weekday.smoothed(weekday.profiles(_weekday_bins(spark, d)))
-    return _rounded(out.select("link_id", "t_min", "speed", "flow_pl", "sm"), 9, "speed", "flow_pl", "sm")
+    return _rounded(_rounded(out.select("link_id", "t_min", "speed", "flow_pl", "sm"), 9, "speed", "sm"), 7, "flow_pl")
 
 
 def q_weekday_congestion(spark, d):

@@ -28,9 +28,9 @@ found as (
   select k.link_id, k.date, k.period, (t3 - t0) / 60 as P, sum(flow_pl * 0.25) as demand, any_value(v) as v_t2, any_value(t2) / 60.0 as t2, any_value(t0) / 60 as t0, any_value(t3) / 60 as t3, avg(sm) as mean
   from kept k join sm s on s.link_id = k.link_id and s.date = k.date and s.t_min between t0 and t3 group by k.link_id, k.date, k.period, k.i0, t0, t3),
 congestion as (
-  select f.link_id, f.date, period, P, demand, least(demand / 300, 6.0) as DC, v_t2, t2, t0, t3, case when total > 0 then demand / total else 0 end as qdf, f.mean as cd_mean_speed, case when v_t2 > 0 then 49 / v_t2 - 1 else 0 end as magnitude
+  select f.link_id, f.date, period, P, demand, least(demand / 1900, 6.0) as DC, v_t2, t2, t0, t3, case when total > 0 then demand / total else 0 end as qdf, f.mean as cd_mean_speed, case when v_t2 > 0 then 49 / v_t2 - 1 else 0 end as magnitude
   from found f join days d using (link_id, date)
-  union all select link_id, date, unnest(['AM', 'MD', 'PM']), 0, total, least(total / 300, 6.0), vl, tl / 60.0, 0, 0, 1, mean, 0 from days where (link_id, date) not in (select (link_id, date) from kept))"""
+  union all select link_id, date, unnest(['AM', 'MD', 'PM']), 0, total, least(total / 1900, 6.0), vl, tl / 60.0, 0, 0, 1, mean, 0 from days where (link_id, date) not in (select (link_id, date) from kept))"""
 
 _QUALITY = """
 cq as (select *, 1.3 * DC as p_hat, 0.2 * pow(P, 1.3) as m_hat, 49 / (1 + 0.2 * pow(P, 1.3)) as v_hat, 49 / v_t2 - 1 as m from congestion where P > 0 and DC < 5.99),
@@ -54,7 +54,7 @@ series as (select * from fit join per_link using (link_id) join cvs using (link_
 def sql() -> dict[str, str]:
     gates = [("n_links", "n_links", 5, 1), ("step1_r2", "step1_r2", 0.5, 1), ("step2_r2", "step2_r2", 0.3, 1), ("p_mape", "p_mape", 30, -1), ("vt2_mape", "vt2_mape", 30, -1), ("vt2_within", "vt2_within", 70, 1), ("smooth_r2_median", "smooth", 0.9, 1)]
     return {
-        "weekday_profiles": f"{START} select link_id, t_min, round(speed, 9) as speed, round(flow_pl, 9) as flow_pl, round(avg(speed) over (partition by link_id order by t_min rows between 1 preceding and 1 following), 9) as sm from profiles",
+        "weekday_profiles": f"{START} select link_id, t_min, round(speed, 9) as speed, round(flow_pl, 7) as flow_pl, round(avg(speed) over (partition by link_id order by t_min rows between 1 preceding and 1 following), 9) as sm from profiles",
         "outer_layers": f"""{START}, {_KNOWN},
 w as (select *, count(*) over (partition by link_id) as n, greatest(1, cast(floor((max(speed) over (partition by link_id) - min(speed) over (partition by link_id)) / 20) as integer)) as width from known),
 b as (select *, cast(floor(speed / width) as integer) as band from w where n >= 30),
