@@ -40,7 +40,7 @@ def corridor_panel(states: DataFrame, positions: list[float] | None = None, valu
 
 def grid_filled(states: DataFrame, step: str = "1 hour") -> DataFrame:
     """Mean speeds on a regular grid from each sensor's first to its last bin; gaps are interpolated in time, ends held."""
-    hourly = states.groupBy("sensor_uid", F.window("datetime", step)["start"].alias("datetime")).agg(F.round(F.avg("speed_mph"), 9).alias("v"))
+    hourly = states.groupBy("sensor_uid", F.window("datetime", step)["start"].alias("datetime")).agg(F.avg("speed_mph").alias("v"))
     grid = hourly.groupBy("sensor_uid").agg(F.min("datetime").alias("a"), F.max("datetime").alias("b")).select("sensor_uid", F.explode(F.sequence("a", "b", F.expr(f"interval {step}"))).alias("datetime"))
     df = grid.join(hourly, ["sensor_uid", "datetime"], "left").withColumn("known", F.when(F.col("v").isNotNull(), F.unix_timestamp(F.col("datetime").cast("timestamp"))))
     back = W.partitionBy("sensor_uid").orderBy("datetime").rowsBetween(W.unboundedPreceding, 0)

@@ -1,18 +1,33 @@
 """DuckDB SQL with the same results as the registered queries, written apart from them."""
 
 RAW = """
+reports as (
+  select user_id // 7 as number, ts - to_days(cast(d - d // 3 as integer)) + to_minutes(cast(5 * step as integer)) as ts, value, event_id, step
+  from (select *, date_diff('day', date '2024-01-01', cast(ts as date)) as d from events), (select unnest(range(12)) as step)),
+moments as (
+  select *, number // 8 as corridor, number % 8 as place, hour(ts) + minute(ts) / 60.0::double as h, isodow(ts) > 5 as weekend, cast(30 + number % 4 * 3 as double) as kc,
+    cast(0.06 as double) * least(value, 140.0) + (event_id * 7 + step * 5) % 11 * cast(0.3 as double) as noise from reports),
+queues as (
+  select *, case when weekend or place > 5 then 0.0::double else (corridor + day(ts)) % 6 * 0.4::double - (5 - place) * 0.2::double end as am, 8.0::double + (5 - place) * 0.1::double as am_at,
+    case when place > 6 then 0.0::double else (corridor * 2 + day(ts) * 3) % 8 * case when weekend then 0.3::double else 0.5::double end - (6 - place) * 0.3::double end as pm, 17.0::double + (6 - place) * 0.1::double as pm_at from moments),
+falls as (
+  select *, case when am > 0 and abs(h - am_at) < am then 36.0::double * (1 - ((h - am_at) / am) * ((h - am_at) / am)) else 0.0::double end
+    + case when pm > 0 and abs(h - pm_at) < pm then 42.0::double * (1 - ((h - pm_at) / pm) * ((h - pm_at) / pm)) else 0.0::double end as fall from queues),
+speeds as (select *, 70.0::double - fall - noise as speed from falls),
 raw as (
-  select 'S' || lpad(cast(user_id // 50 as varchar), 4, '0') as sensor_uid, user_id // 50 as number, ts,
-    case when hour(ts) between 6 and 19 then 53.0 else 75.0 end::double - cast(0.34 as double) * least(value, 140.0) as speed, cast(1900 - hour(ts) * 60 - minute(ts) + event_id % 5 as double) as flow
-  from events)"""
+  select 'S' || lpad(cast(number as varchar), 4, '0') as sensor_uid, number, ts, speed,
+    case when fall > 18 then kc * 70 / sqrt(2) * (1.0::double - 0.01::double * (h - case when h < 12 then 4.0::double else 12.0::double end))
+      else least(least(speed, 0.99::double * 70) * kc * pow(greatest(pow(greatest(70.0::double / greatest(1, least(speed, 0.99::double * 70)), 1.00001::double), 2.0) - 1, 1e-8), 0.25), kc * 70 / sqrt(2)) end
+      * (0.92::double + event_id % 11 / 100.0::double) as flow
+  from speeds)"""
 STATES = f"""{RAW},
 bins as (
-  select sensor_uid, number, time_bucket(interval 5 minutes, ts) as datetime, round(quantile_cont(speed, 0.5), 4) as speed_mph,
-    round(quantile_cont(flow, 0.5), 1) as flow_vph, count(*) as n_readings
+  select sensor_uid, number, time_bucket(interval 5 minutes, ts) as datetime, round(quantile_cont(speed, 0.5) * 1024) / 1024 + 0.000132170713::double as speed_mph,
+    round(quantile_cont(flow, 0.5) * 8) / 8 + 0.03713217::double as flow_vph, count(*) as n_readings
   from raw group by all),
 states as (
   select sensor_uid, datetime, speed_mph, flow_vph, flow_vph / speed_mph as density_vpm, cast(2 + number % 3 as double) as lanes,
-    0.5 + 0.25 * (number % 5) as length_mi, cast(number % 6 as double) as road_order, 'C' || cast(number // 6 as varchar) as corridor
+    0.5 + 0.25 * (number % 5) as length_mi, cast(number % 8 as double) as road_order, 'C' || cast(number // 8 as varchar) as corridor
   from bins)"""
 QC = f"""{STATES},
 h1 as (
@@ -70,7 +85,7 @@ def _classified(name: str, source: str) -> str:
     any_value(t3) as t3_index, any_value(vmin) as min_speed_mph, any_value(sbm) as dc_existence,
     case when any_value(vmin) is null then 0 else coalesce(sum(flow_vph * 5 / 60) filter (idx between t0 and t3), 0) end as demand_veh,
     avg(v) filter (idx between t0 and t3) as cong_mean_speed,
-    case when any_value(sbm) then (any_value(t3) - any_value(t0) + 1) * 5.0 else 0.0 end as P_min,
+    case when any_value(sbm) then (any_value(t3) - any_value(t0) + 1) * 5.0::double else 0.0::double end as P_min,
     case when count(*) filter (keep) >= 6 then min(idx) filter (keep) end as discharge_start_idx,
     case when count(*) filter (keep) >= 6 then max(idx) filter (keep) end as discharge_end_idx
   from {name}_k group by sensor_uid, corridor, date, period)"""
@@ -270,12 +285,12 @@ select sensor_uid, datetime, round(case when speed_mph >= 0 then least(least(spe
         "corridor_panel": f"""with {STATES} select corridor, datetime, max(speed_mph) filter (road_order = 0) as s0, max(speed_mph) filter (road_order = 1) as s1, max(speed_mph) filter (road_order = 2) as s2,
 max(speed_mph) filter (road_order = 3) as s3, max(speed_mph) filter (road_order = 4) as s4, max(speed_mph) filter (road_order = 5) as s5 from states group by all""",
         "grid_filled": f"""with {STATES},
-hourly as (select sensor_uid, date_trunc('hour', datetime) as h, round(avg(speed_mph), 9) as v from states group by all),
+hourly as (select sensor_uid, date_trunc('hour', datetime) as h, avg(speed_mph) as v from states group by all),
 grid as (select sensor_uid, unnest(generate_series(min(h), max(h), interval 1 hour)) as h from hourly group by sensor_uid),
 j as (select grid.sensor_uid, grid.h, v, case when v is not null then grid.h end as known from grid left join hourly on grid.sensor_uid = hourly.sensor_uid and grid.h = hourly.h),
 f as (select *, last_value(v ignore nulls) over a as v0, last_value(known ignore nulls) over a as h0, first_value(v ignore nulls) over b as v1, first_value(known ignore nulls) over b as h1 from j
   window a as (partition by sensor_uid order by h rows between unbounded preceding and current row), b as (partition by sensor_uid order by h rows between current row and unbounded following))
-select sensor_uid, h as datetime, v is null as filled, round(case when v is not null then v when v0 is null then v1 when v1 is null then v0 else v0 + (v1 - v0) * epoch(h - h0) / epoch(h1 - h0) end, 9) as speed_mph from f""",
+select sensor_uid, h as datetime, v is null as filled, round(case when v is not null then v when v0 is null then v1 when v1 is null then v0 else v0 + (v1 - v0) * epoch(h - h0) / epoch(h1 - h0) end, 4) as speed_mph from f""",
         "flow_residual": f"""with {STATES}, a as (select corridor, sensor_uid, road_order, hour(datetime) as hour, avg(flow_vph) as q from states group by all),
 d as (select *, q - lag(q) over (partition by corridor, hour order by road_order, sensor_uid) as diff from a)
 select corridor, cast(hour as integer) as hour, count(diff) as n, round(avg(diff), 4) as mean_residual, round(quantile_cont(abs(diff), 0.95), 4) as p95_abs from d group by all""",

@@ -232,7 +232,7 @@ def _defaults(spark, d):
 
 def q_weekday_profiles(spark, d):
     out = weekday.smoothed(weekday.profiles(_weekday_bins(spark, d)))
-    return _rounded(_rounded(out.select("link_id", "t_min", "speed", "flow_pl", "sm"), 9, "speed", "sm"), 7, "flow_pl")
+    return _rounded(out.select("link_id", "t_min", "speed", "flow_pl", "sm"), 4, "speed", "sm", "flow_pl")
 
 
 def q_weekday_congestion(spark, d):
@@ -317,7 +317,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "free_flow": q_free_flow,
         "s3_volume": q_s3,
         "corridor_panel": lambda s, d: panels.corridor_panel(states.states(s, d), [float(i) for i in range(6)]),
-        "grid_filled": lambda s, d: _rounded(panels.grid_filled(states.states(s, d)), 9, "speed_mph"),
+        "grid_filled": lambda s, d: _rounded(panels.grid_filled(states.states(s, d)), 4, "speed_mph"),
         "flow_residual": lambda s, d: _rounded(panels.flow_residual(states.states(s, d)), 4, "mean_residual", "p95_abs"),
         "recurrent_deviation": lambda s, d: _rounded(panels.recurrent_deviation(states.states(s, d)), 4, "frobenius"),
         "rank_agreement": q_rank_agreement,
@@ -335,7 +335,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "corridor_parameters": q_corridor_parameters,
         "pipeline_gates": q_pipeline_gates,
         "weekday_profiles": q_weekday_profiles,
-        "outer_layers": lambda s, d: _rounded(weekday.outer_layer(_weekday_bins(s, d)), 9, "density", "speed", "most"),
+        "outer_layers": lambda s, d: _rounded(weekday.outer_layer(_weekday_bins(s, d)), 4, "density", "speed", "most"),
         "diagram_quality": lambda s, d: _rounded(weekday.diagram_r2(_weekday_bins(s, d), _links(s, d)), 6, "fd_r2"),
         "weekday_congestion": q_weekday_congestion,
         "congested_days": lambda s, d: weekday.congested_days(_congestion(s, d)),

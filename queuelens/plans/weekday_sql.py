@@ -54,12 +54,12 @@ series as (select * from fit join per_link using (link_id) join cvs using (link_
 def sql() -> dict[str, str]:
     gates = [("n_links", "n_links", 5, 1), ("step1_r2", "step1_r2", 0.5, 1), ("step2_r2", "step2_r2", 0.3, 1), ("p_mape", "p_mape", 30, -1), ("vt2_mape", "vt2_mape", 30, -1), ("vt2_within", "vt2_within", 70, 1), ("smooth_r2_median", "smooth", 0.9, 1)]
     return {
-        "weekday_profiles": f"{START} select link_id, t_min, round(speed, 9) as speed, round(flow_pl, 7) as flow_pl, round(avg(speed) over (partition by link_id order by t_min rows between 1 preceding and 1 following), 9) as sm from profiles",
+        "weekday_profiles": f"{START} select link_id, t_min, round(speed, 4) as speed, round(flow_pl, 4) as flow_pl, round(avg(speed) over (partition by link_id order by t_min rows between 1 preceding and 1 following), 4) as sm from profiles",
         "outer_layers": f"""{START}, {_KNOWN},
 w as (select *, count(*) over (partition by link_id) as n, greatest(1, cast(floor((max(speed) over (partition by link_id) - min(speed) over (partition by link_id)) / 20) as integer)) as width from known),
 b as (select *, cast(floor(speed / width) as integer) as band from w where n >= 30),
 q as (select *, quantile_cont(density, 0.9) over (partition by link_id, band) as q from b)
-select link_id, band, round(avg(density) filter (density >= q), 9) as density, round(avg(speed), 9) as speed, round(max(density), 9) as most from q group by all""",
+select link_id, band, round(avg(density) filter (density >= q), 4) as density, round(avg(speed), 4) as speed, round(max(density), 4) as most from q group by all""",
         "diagram_quality": f"""{START}, {_KNOWN}, m as (select *, 70 / pow(1 + pow(density / 35, 4), 0.5) as model from known)
 select link_id, count(*) as n, round(case when var_pop(speed) > 0 then 1 - sum((speed - model) * (speed - model)) / (var_pop(speed) * count(*)) end, 6) as fd_r2 from m group by 1 having count(*) >= 30""",
         "weekday_congestion": f"{START}, {EPISODES} select link_id, date, period, round(P, 9) as P, round(demand, 7) as demand, round(DC, 9) as DC, round(v_t2, 9) as v_t2, round(t2, 9) as t2, round(t0, 9) as t0, round(t3, 9) as t3, round(qdf, 9) as qdf, round(cd_mean_speed, 9) as cd_mean_speed, round(magnitude, 9) as magnitude from congestion",
