@@ -22,14 +22,16 @@ def sliced(qc: DataFrame, period: Column | None = None) -> DataFrame:
     return df.withColumn("idx", F.row_number().over(W.partitionBy(*KEYS).orderBy("datetime")) - 1)
 
 
-def classify(rows: DataFrame, v_c: float = S.DEFAULT_VC_MPH, dt_min: float = S.DT_MIN) -> DataFrame:
-    """One row for each key: boundaries, duration, demand, discharge window and regime.
+def classify(rows: DataFrame, v_c: float | Column = S.DEFAULT_VC_MPH, dt_min: float = S.DT_MIN) -> DataFrame:
+    """One row for each key: boundaries, duration, demand, discharge window and regime. v_c: a speed for all, or a column
+    that is the same for all rows of a sensor.
 
     From the lowest speed outwards an episode ends before two known speeds above v_c in a row or three missing ones;
     its bounds are the last speeds at or below v_c. With window functions a scan is two breaking flags and the nearest
     of each: gaps and islands, without a loop. Groups of fewer than six rows are left out.
     """
     group, order = W.partitionBy(*KEYS), W.partitionBy(*KEYS).orderBy("idx")
+    v_c = v_c if isinstance(v_c, Column) else F.lit(float(v_c))
     v, low = F.col("v"), F.col("v") <= v_c
     high = F.coalesce(v > v_c, F.lit(False))
     gap = v.isNull()
@@ -75,6 +77,7 @@ def classify(rows: DataFrame, v_c: float = S.DEFAULT_VC_MPH, dt_min: float = S.D
         F.first("sbm").alias("dc_existence"),
         F.coalesce(F.sum(F.when(span, q * dt_min / 60)), F.lit(0.0)).alias("demand_veh"),
         F.avg(F.when(span, v)).alias("cong_mean_speed"),
+        F.first(v_c).alias("v_c_mph"),
         F.sum(F.col("_keep").cast("int")).alias("n_discharge"),
         F.min(F.when(F.col("_keep"), F.col("idx"))).alias("discharge_start_idx"),
         F.max(F.when(F.col("_keep"), F.col("idx"))).alias("discharge_end_idx"),
@@ -86,12 +89,11 @@ def classify(rows: DataFrame, v_c: float = S.DEFAULT_VC_MPH, dt_min: float = S.D
         {
             "demand_veh": F.when(known, F.col("demand_veh")).otherwise(0.0),
             "P_min": F.when(F.col("dc_existence"), (F.col("t3_index") - F.col("t0_index") + 1) * float(dt_min)).otherwise(0.0),
-            "v_c_mph": F.lit(float(v_c)),
             "discharge_start_idx": F.when(enough, F.col("discharge_start_idx")),
             "discharge_end_idx": F.when(enough, F.col("discharge_end_idx")),
         }
     )
-    valid = (F.col("P_min") >= S.UNCONGESTED_BELOW_MIN) & F.coalesce(F.col("min_speed_mph") < v_c, F.lit(False)) & enough
+    valid = (F.col("P_min") >= S.UNCONGESTED_BELOW_MIN) & F.coalesce(F.col("min_speed_mph") < F.col("v_c_mph"), F.lit(False)) & enough
     return out.withColumn("is_valid_for_mu", valid).withColumn("regime", X.regime("P_min", "min_speed_mph", "v_c_mph")).drop("n_discharge")
 
 
@@ -116,12 +118,15 @@ def with_events(episodes: DataFrame) -> DataFrame:
     return df.withColumn("regime", F.when(event, "event").otherwise(F.col("regime"))).drop("_n", "_med", "_dev", "_mad")
 
 
-def find_episodes(qc: DataFrame, v_c: float = S.DEFAULT_VC_MPH, dt_min: float = S.DT_MIN) -> DataFrame:
-    """All episodes of the day periods: detection, the merge over 16 h, then events."""
+def find_episodes(qc: DataFrame, v_c: float = S.DEFAULT_VC_MPH, dt_min: float = S.DT_MIN, by_sensor: DataFrame | None = None) -> DataFrame:
+    """All episodes of the day periods: detection, the merge over 16 h, then events. by_sensor: sensor_uid, v_c_mph, the
+    critical speed of each sensor's diagram; sensors without one take ``v_c``."""
     period, hour = X.period_of("datetime"), F.hour("datetime")
     labels = F.array_compact(F.array(F.when(period != "NT", period), F.when((hour >= 10) & (hour < 20), F.lit("MDPM"))))
     rows = sliced(qc, F.explode(labels))  # a row of 10 to 20 h takes part in both, in one pass
-    return with_events(merged_over_16h(classify(rows, v_c, dt_min), dt_min))
+    if by_sensor is not None:
+        rows = rows.join(by_sensor.select("sensor_uid", F.col("v_c_mph").alias("_v_c")), "sensor_uid", "left").withColumn("_v_c", F.coalesce("_v_c", F.lit(float(v_c))))
+    return with_events(merged_over_16h(classify(rows, v_c if by_sensor is None else F.col("_v_c"), dt_min), dt_min))
 
 
 def sensor_reliability(episodes: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from queuelens import schemas as S
+from queuelens.functions import metrics
 
 
 def resolve(prior: str | dict | None = None) -> dict[str, float]:
@@ -40,3 +41,16 @@ def calibrated(states: DataFrame, prior: str | dict | None = None, rederive: boo
         F.lit(base["lane_capacity_vphpl"]).alias("lane_capacity_vphpl"),
         F.concat_ws(" | ", *notes).alias("changes"),
     )
+
+
+def observed_diagrams(states: DataFrame, ratio: float = 0.7, free: float = 0.95, top: float = 0.98) -> DataFrame:
+    """Each sensor's S-shaped diagram by its own rows: free-flow speed (a percentile of positive speeds), critical speed as a
+    share of it, capacity (a percentile of flows), and the critical density and shape that follow from them; r2 of the speeds
+    against it at their densities. One aggregation, and one more for r2."""
+    v = F.when(F.col("speed_mph") > 0, F.col("speed_mph"))
+    d = states.groupBy("sensor_uid").agg(F.percentile(v, F.lit(free)).alias("v_f_mph"), F.percentile("flow_vph", F.lit(top)).alias("capacity_vphpl")).where("v_f_mph is not null")
+    d = d.withColumn("v_c_mph", ratio * F.col("v_f_mph"))
+    d = d.withColumns({"k_critical_vpm": F.col("capacity_vphpl") / F.col("v_c_mph"), "s3_m": F.lit(2 * math.log(2) / -math.log(ratio))})
+    model = F.col("v_f_mph") / F.pow(1 + F.pow(F.col("density_vpm") / F.col("k_critical_vpm"), F.col("s3_m")), 2 / F.col("s3_m"))
+    rows = states.where("speed_mph > 0 and density_vpm > 0").select("sensor_uid", "speed_mph", "density_vpm").join(d.select("sensor_uid", "v_f_mph", "k_critical_vpm", "s3_m"), "sensor_uid")
+    return d.join(rows.groupBy("sensor_uid").agg(metrics.r2(F.col("speed_mph"), model).alias("r2")), "sensor_uid", "left")

@@ -1,5 +1,8 @@
 """DuckDB SQL of the audits, gates and direction checks, written apart from their Spark plans."""
 
+import math
+
+from queuelens.plans import oracles
 from queuelens.plans.oracles import EPISODES, MU, QC, RANKING, RELIABILITY, STATES
 
 _DROPS = f"""recursive {QC},
@@ -29,7 +32,7 @@ days as (
 
 _PANEL = f"""{MU},
 panel as (
-  select sensor_uid, date, period, P_min, min_speed_mph as v2, demand_veh, mu_obs, demand_veh / 300.0 as doc from episodes left join mu using (sensor_uid, date, period) where is_valid_for_mu)"""
+  select sensor_uid, date, period, P_min, min_speed_mph as v2, demand_veh, mu_obs, demand_veh / cap as doc, cap from episodes join caps using (sensor_uid) left join mu using (sensor_uid, date, period) where is_valid_for_mu)"""
 
 _AUDIT = f"""{MU},
 windows as (
@@ -39,14 +42,14 @@ windows as (
     from (select * from labelled union all select * replace ('MDPM' as period) from labelled where hour(datetime) between 10 and 19)) slots2
   join episodes using (sensor_uid, date, period) where is_valid_for_mu and idx between discharge_start_idx and discharge_end_idx group by all),
 audited as (
-  select e.sensor_uid, e.date, e.period, e.corridor, e.P_min, e.min_speed_mph as v2, e.t3_index, coalesce(w.n, 0) as n, w.mu_obs, w.mean_speed,
+  select e.sensor_uid, e.date, e.period, e.corridor, e.P_min, e.min_speed_mph as v2, e.t3_index, coalesce(w.n, 0) as n, w.mu_obs, w.mean_speed, c.cap, c.vc,
     least(least(mean_speed, 69.3) * 45 * pow(greatest(pow(greatest(70 / greatest(1, least(mean_speed, 69.3)), 1.00001), 2) - 1, 1e-8), 0.25), 2200.0) as mu_check
-  from episodes e left join windows w using (sensor_uid, date, period) where is_valid_for_mu),
+  from episodes e join caps c using (sensor_uid) left join windows w using (sensor_uid, date, period) where is_valid_for_mu),
 consistent as (select *, case when mu_obs > 0 then abs(mu_obs - mu_check) / mu_obs end as consistency from audited)"""
 
 #: Calibrated episodes with their round trip.
 _TRIPS = f"""{EPISODES},
-e0 as (select sensor_uid, corridor, date, period, t2_index, P_min / 60 as p, demand_veh, demand_veh / 300.0 as d, min_speed_mph as v2 from episodes where P_min > 0 and demand_veh > 0),
+e0 as (select sensor_uid, corridor, date, period, t2_index, P_min / 60 as p, demand_veh, demand_veh / cap as d, min_speed_mph as v2, cap, vf from episodes join caps using (sensor_uid) where P_min > 0 and demand_veh > 0),
 e1 as (select *, ln(p) / case when abs(ln(d)) < 1e-6 then case when ln(d) >= 0 then 1e-5 else -1e-5 end else ln(d) end as n0 from e0),
 e2 as (select *, case when n0 < 1.001 then 1.124 else n0 end as nr, case when n0 < 1.001 then p / greatest(pow(d, 1.124), 1e-9) else 1.0 end as cdr,
   case when v2 > 0 then (50 / greatest(v2, 1e-4) - 1) / greatest(pow(p, 4), 1e-5) end as cpr, case when n0 < 1.001 then 'Q_n_below_1' else 'ok' end as status from e1),
@@ -57,13 +60,13 @@ e5 as (select *, 50 / greatest(cp * pow(ph, 4) + 1, 1e-3) as vh from e4),
 trips as (select *, (ph - p) / p * 100 as p_err, case when v2 > 0 then (vh - v2) / greatest(v2, 1) * 100 end as v_err from e5)"""
 
 _PROFILES = f"""{_TRIPS},
-f0 as (select *, case when ph > 0.15 then least(300.0, demand_veh / greatest(ph, 0.01)) else 300.0 end as mu, 50 / (1 + alpha * pow(d, beta)) as vq, 8.0 as t2 from trips),
+f0 as (select *, case when ph > 0.15 then least(cap, demand_veh / greatest(ph, 0.01)) else cap end as mu, 50 / (1 + alpha * pow(d, beta)) as vq, 8.0 as t2 from trips),
 f1 as (select *, case when ph > 0.15 then (1.0 / greatest(vh, 1e-3) - 1.0 / 50) * 64 * mu / pow(greatest(ph, 1e-3), 4) else 0 end as gamma, greatest(0, t2 - greatest(p, ph) * 0.6) as a, least(24, t2 + greatest(p, ph) * 0.6) as b, t2 - ph / 2 as ta, t2 + ph / 2 as tb from f0),
 f2 as (select *, greatest(1, cast(round_even((b - a) * 60 / 5, 0) as integer)) as steps from f1),
 f3 as (select *, a + step * (b - a) / steps as t from (select *, unnest(range(0, steps + 1)) as step from f2)),
 f4 as (select *, t >= ta and t <= tb and ph > 0.15 as queued, 0.25 * gamma * (t - ta) * (t - ta) * (t - tb) * (t - tb) as q, greatest(0, least(1, (t - a) / greatest(1e-3, ta - a))) as rise,
   greatest(0, least(1, (t - tb) / greatest(1e-3, b - tb))) as fall, greatest(50, vq) as edge from f3),
-profiles as (select sensor_uid, date, period, step, t as hour, case when queued then 1 / greatest(q / greatest(mu, 1e-3) + 1.0 / 50, 1e-6) when t < ta then (1 - rise) * 70 + rise * edge else (1 - fall) * edge + fall * 70 end as td_speed_mph,
+profiles as (select sensor_uid, date, period, step, t as hour, case when queued then 1 / greatest(q / greatest(mu, 1e-3) + 1.0 / 50, 1e-6) when t < ta then (1 - rise) * vf + rise * edge else (1 - fall) * edge + fall * vf end as td_speed_mph,
   case when queued then q else 0 end as td_queue_veh from f4)"""
 
 _SEEN = f"""{_PROFILES},
@@ -78,17 +81,44 @@ errors as (
   from (select sensor_uid, date, period, step, model, case when v > 1 then v end as v from met) group by all)"""
 
 
+#: The Huber regressions of discharge rates, by the closed forms of their last set of linear residuals; after MU.
+HUBER = """obs as (
+  select mode, demand_veh / nullif(cap, 0) as x1, P_min / 60 as x2, case when mode = 'all_days' then coalesce(mu_obs, 0) else mu_obs end as y
+  from episodes left join caps using (sensor_uid) left join mu using (sensor_uid, date, period), (select unnest(['valid_only', 'all_days']) as mode) where mode = 'all_days' or is_valid_for_mu),
+known as (select * from obs where x1 is not null and x2 is not null and y is not null),
+h(it, mode, n, b1, b2, b0, s) as (
+  select 0, mode, count(*), 0.0::double, 0.0::double, avg(y), greatest(stddev_pop(y), 1e-12) from known group by mode having count(*) >= 10
+  union all
+  select it + 1, mode, n, (r1 * (c22 * c33 - c23 * c23) - c12 * (r2 * c33 - c23 * r3) + c13 * (r2 * c23 - c22 * r3)) / det, (c11 * (r2 * c33 - c23 * r3) - r1 * (c12 * c33 - c23 * c13) + c13 * (c12 * r3 - r2 * c13)) / det,
+    (c11 * (c22 * r3 - r2 * c23) - c12 * (c12 * r3 - r2 * c13) + r1 * (c12 * c23 - c22 * c13)) / det, s
+  from (
+    select *, c11 * (c22 * c33 - c23 * c23) - c12 * (c12 * c33 - c23 * c13) + c13 * (c12 * c23 - c22 * c13) as det
+    from (
+      select it, mode, n, s, a11 + 1e-4 * s as c11, a12 as c12, a13 as c13, a22 + 1e-4 * s as c22, a23 as c23, a33 as c33, g1 + 1.35 * s * f1 as r1, g2 + 1.35 * s * f2 as r2, g3 + 1.35 * s * f3 as r3
+      from (
+        select it, mode, n, case when rss > 0 then greatest(sqrt(rss / greatest(n - far * 1.35 * 1.35, 1e-9)), 1e-12) else s / 2 end as s, a11, a12, a13, a22, a23, a33, g1, g2, g3, f1, f2, f3
+        from (
+          select it, mode, n, s, sum(w * x1 * x1) as a11, sum(w * x1 * x2) as a12, sum(w * x1) as a13, sum(w * x2 * x2) as a22, sum(w * x2) as a23, sum(w) as a33, sum(w * x1 * y) as g1, sum(w * x2 * y) as g2, sum(w * y) as g3,
+            sum((1 - w) * sign(r) * x1) as f1, sum((1 - w) * sign(r) * x2) as f2, sum((1 - w) * sign(r)) as f3, sum(1 - w) as far, sum(w * r * r) as rss
+          from (select h.*, x1, x2, y, y - b1 * x1 - b2 * x2 - b0 as r, case when abs(y - b1 * x1 - b2 * x2 - b0) <= 1.35 * s then 1.0::double else 0.0::double end as w from h join known using (mode) where it < 40)
+          group by it, mode, n, s))))),
+huber as (
+  select mode, h.n, b1, b2, b0, s, 1 - sum((y - b1 * x1 - b2 * x2 - b0) * (y - b1 * x1 - b2 * x2 - b0)) / (var_pop(y) * count(*)) as r2
+  from h join known using (mode) where it = 40 group by all)"""
+
 _HELD = f"{STATES}, held as (select *, speed_mph as truth, (hour(datetime) + day(datetime)) % 5 = 0 as held, case when not ((hour(datetime) + day(datetime)) % 5 = 0) then speed_mph end as v from states)"
 _SCORES = """select '{}' as engine, count(e) as n, round(avg(e), 6) as mae, round(sqrt(avg(e * e)), 6) as rmse, count(e) filter (truth < 45) as n_congested, round(avg(e) filter (truth < 45), 6) as mae_congested
 from (select *, case when held then abs(guess - truth) end as e from g)"""
 
 
 def sql() -> dict[str, str]:
+    fits_sql = oracles.sql()["queue_fits"].removeprefix(f"with {EPISODES},\ne as (")
+    fits_sql = "with e as (" + fits_sql
     band = "case when x is null then 'N/A' when {} then 'PASS' {} end"
     gates = [
-        ("capacity_band", "300.0", band.format("x between 1500 and 2300", "else 'REVIEW'")),
-        ("mu_over_capacity", "(select quantile_cont(mu_obs / 300, 0.5) from consistent)", band.format("x between 0.85 and 0.98", "when x between 0.8 and 1.05 then 'REVIEW' else 'FAIL'")),
-        ("vt2_below_vc", "(select count(*) from consistent where v2 >= 49.5)", band.format("x = 0", "when x <= 3 then 'REVIEW' else 'FAIL'")),
+        ("capacity_band", "(select quantile_cont(cap, 0.5) from consistent)", band.format("x between 1500 and 2300", "else 'REVIEW'")),
+        ("mu_over_capacity", "(select quantile_cont(mu_obs / cap, 0.5) from consistent)", band.format("x between 0.85 and 0.98", "when x between 0.8 and 1.05 then 'REVIEW' else 'FAIL'")),
+        ("vt2_below_vc", "(select count(*) from consistent where v2 >= vc)", band.format("x = 0", "when x <= 3 then 'REVIEW' else 'FAIL'")),
         ("mu_consistency", "(select quantile_cont(consistency, 0.5) from consistent)", band.format("x <= 0.10", "else 'REVIEW'")),
         ("groups_with_5_valid", "(select avg((c >= 5)::int) from (select count(*) as c from consistent group by sensor_uid, period))", band.format("x >= 0.5", "when x >= 0.3 then 'REVIEW' else 'FAIL'")),
         ("md_truncation", "(select avg((t3_index >= 71)::int) from consistent where period = 'MD')", band.format("x <= 0.2", "when x <= 0.35 then 'REVIEW' else 'FAIL'")),
@@ -146,7 +176,7 @@ w as (select *, coalesce(seen, 75.0) as vf from v)
 select sensor_uid, round(vf, 6) as vf_mph, round(1900 / (0.7 * vf), 6) as k_critical_vpm, round(2 * ln(2) / ln(vf / (0.7 * vf)), 6) as s3_m, 1900.0::double as lane_capacity_vphpl,
 case when seen is not null then 'vf calibrated | ' else '' end || 'k_c and m rederived' as changes from w""",
         "episode_flags": f"""with {_PANEL},
-f as (select *, coalesce(doc > 1 and P_min < 15, false) as a, coalesce(doc < 0.5 and P_min > 60, false) as b, coalesce(mu_obs > 315, false) as c, coalesce(doc > 1.5 and mu_obs < 90, false) as d,
+f as (select *, coalesce(doc > 1 and P_min < 15, false) as a, coalesce(doc < 0.5 and P_min > 60, false) as b, coalesce(mu_obs > 1.05 * cap, false) as c, coalesce(doc > 1.5 and mu_obs < 0.3 * cap, false) as d,
   coalesce(v2 >= 50, false) as e, coalesce(v2 < 5, false) as g from panel)
 select sensor_uid, date, period, round(doc, 6) as D_over_C_hours, a::int + b::int + c::int + d::int + e::int + g::int as outlier_n_flags, a or b or c or d or e or g as is_outlier,
 concat_ws(';', case when a then 'doc_high_P_zero' end, case when b then 'doc_low_P_high' end, case when c then 'mu_above_capacity' end, case when d then 'mu_starved' end, case when e then 'vt2_above_vc' end, case when g then 'vt2_too_low' end) as outlier_reasons from f""",
@@ -171,12 +201,16 @@ select corridor, period, parameter, n as n_episodes_used, ns as n_distinct_senso
 round(case when parameter = 'Q_n' and raw not between 1 and 1.5 or parameter = 'Q_s' and raw not between 0.5 and 4 or parameter = 'Q_cd' and raw not between 0.5 and 2 or parameter = 'Q_cp' and raw not between 0 and 2
   or parameter = 'Q_alpha' and raw not between 0.01 and 1 or parameter = 'Q_beta' and raw not between 0.5 and 5 then prior else raw end, 6) as shrunk,
 case when alpha >= 0.7 then 'self' else 'shrunk' end as source, case when n >= 20 then 'high' when n >= 10 then 'medium' when n >= 5 then 'low' else 'not_reliable' end as reliability_class, n < 5 as flag_low_sample from w""",
-        "pipeline_gates": f"""with {_DROPS.replace(QC, RELIABILITY)},
+        "pipeline_gates": f"""with {_DROPS.replace(QC, MU)},
+{HUBER},
+diagram as (select states.*, vf / pow(1 + pow(density_vpm / (cap / vc), {2 * math.log(2) / -math.log(0.7)!r}::double), 2 / {2 * math.log(2) / -math.log(0.7)!r}::double) as hat from states join caps using (sensor_uid) where speed_mph > 0 and density_vpm > 0),
+r2s as (select sensor_uid, 1 - sum((speed_mph - hat) * (speed_mph - hat)) / (var_pop(speed_mph) * count(*)) as r2 from diagram group by 1),
+fitted as ({fits_sql}),
 v(gate, value, threshold) as (
   select 'qc_pass_rate', (select avg(qc_pass::int) from passed), 0.85 union all select 'direction_confidence', (select quantile_cont(confidence, 0.5) from days), 0.50
-  union all select 'valid_episode_pct', (select count(*) filter (is_valid_for_mu) / greatest(count(*), 1) from episodes), 0.05 union all select 'fd_r2', 0.8, 0.70 union all select 'mu_r2_gap', null, 0.10
-  union all select 'qvdf_n_fitted', 9.0, 5.0),
+  union all select 'valid_episode_pct', (select count(*) filter (is_valid_for_mu) / greatest(count(*), 1) from episodes), 0.05 union all select 'fd_r2', (select quantile_cont(r2, 0.5) from r2s), 0.70 union all select 'mu_r2_gap', (select max(r2) filter (mode = 'valid_only') - max(r2) filter (mode = 'all_days') from huber), 0.10
+  union all select 'qvdf_n_fitted', (select count(f_d) from fitted), 5.0),
 s as (select gate, round(cast(value as double), 6) as value, cast(threshold as double) as threshold, case when value is null then 'UNKNOWN' when value >= threshold then 'PASS' else 'FAIL' end as status from v)
 select * from s union all select '__overall__', null, null, case when bool_or(status = 'FAIL') then 'FAIL' when bool_or(status = 'PASS') then 'PASS' else 'INCONCLUSIVE' end from s""",
-        "episode_gates": f"with {_AUDIT} " + " union all ".join(f"select '{g}' as gate, round(cast(x as double), 6) as value, {s} as status from (select {v.replace('49.5', '50').replace('300.0', '1900.0').replace('/ 300', '/ 1900')} as x)" for g, v, s in gates if g not in ("mu_consistency", "weekend_share")),
+        "episode_gates": f"with {_AUDIT} " + " union all ".join(f"select '{g}' as gate, round(cast(x as double), 6) as value, {s} as status from (select {v.replace('v2 >= vc', 'v2 >= 50')} as x)" for g, v, s in gates if g not in ("mu_consistency", "weekend_share")),
     }

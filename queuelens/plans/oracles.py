@@ -37,6 +37,9 @@ h1 as (
 h2 as (select *, abs(speed_mph - med) as dev from h1),
 h3 as (select *, 1.4826 * quantile_cont(dev, 0.5) over (partition by sensor_uid order by datetime rows between 5 preceding and 5 following) as mad from h2),
 h4 as (select *, coalesce(nullif(mad, 0), quantile_cont(mad, 0.5) over (partition by sensor_uid), 1.0) as mad2 from h3),
+caps as (
+  select *, 0.7::double * vf as vc from (
+    select sensor_uid, quantile_cont(speed_mph, 0.95) filter (speed_mph > 0) as vf, quantile_cont(flow_vph, 0.98) as cap from states group by 1)),
 places as (
   select corridor, sensor_uid, row_number() over (partition by corridor order by road_order, sensor_uid) as place, count(*) over (partition by corridor) as n_places
   from (select distinct corridor, sensor_uid, road_order from states)),
@@ -110,6 +113,13 @@ valid as (select *, P_min >= 30 and coalesce(min_speed_mph < 50, false) and disc
 z1 as (select *, count(*) over g as zn, abs(P_min - quantile_cont(P_min, 0.5) over g) as zdev from valid window g as (partition by sensor_uid, period)),
 z2 as (select *, 1.4826 * quantile_cont(zdev, 0.5) over (partition by sensor_uid, period) as zmad from z1),
 episodes as (select *, case when zn >= 5 and zmad > 0 and zdev / zmad > 2.5 and base_regime in ('severe', 'recurring') then 'event' else base_regime end as regime from z2)"""
+#: Episodes by each sensor's own critical speed.
+EPISODES_BY_SENSOR = EPISODES
+for _old, _new in (
+    ("v > 50", "v > vc"), ("v <= 50", "v <= vc"), ("vmin <= 50", "vmin <= vc"), ("v < 50", "v < vc"), ("min_speed_mph < 50", "min_speed_mph < vc"), ("min_speed_mph >= 50", "min_speed_mph >= vc"),
+    ("min_speed_mph < 25", "min_speed_mph < 0.5 * vc"), ("any_value(vmin) as min_speed_mph", "any_value(vmin) as min_speed_mph, any_value(vc) as vc"), ("as v\n  from passed)", "as v\n  from passed join caps using (sensor_uid))"),
+):
+    EPISODES_BY_SENSOR = EPISODES_BY_SENSOR.replace(_old, _new)
 RELIABILITY = f"""{EPISODES},
 reliability as (
   select sensor_uid, count(*) as n_episodes_total, cast(sum(is_valid_for_mu::bigint) as bigint) as n_episodes_valid,
@@ -227,7 +237,7 @@ s as (select *, vmt / greatest(speed_mph, 1) as vht, vmt / 65 as vfftt from r)
 select corridor, cast(hour(datetime) as integer) as hour, round(sum(vmt), 5) as vmt, round(sum(vht), 5) as vht, round(sum(vfftt), 5) as vfftt, round(sum(greatest(vht - vfftt, 0)), 5) as vdt,
 round(sum(case when speed_mph < 45 then greatest(vht - vfftt, 0) else 0 end), 5) as vcdt, round(sum(vmt) / sum(vht), 5) as avg_speed from s group by all""",
         "queue_calibration": f"""with {EPISODES},
-e as (select sensor_uid, date, period, P_min / 60 as p, demand_veh / 300.0 as d, min_speed_mph as v2 from episodes where P_min > 0 and demand_veh > 0),
+e as (select sensor_uid, date, period, P_min / 60 as p, demand_veh / cap as d, min_speed_mph as v2 from episodes join caps using (sensor_uid) where P_min > 0 and demand_veh > 0),
 f as (select *, ln(p) / case when abs(ln(d)) < 1e-6 then case when ln(d) >= 0 then 1e-5 else -1e-5 end else ln(d) end as n0 from e),
 g as (select *, case when n0 < 1.001 then 1.124 else n0 end as nr, case when n0 < 1.001 then p / greatest(pow(d, 1.124), 1e-9) else 1.0 end as cdr,
   case when v2 > 0 then (50 / greatest(v2, 1e-4) - 1) / greatest(pow(p, 4), 1e-5) end as cpr from f),
@@ -237,11 +247,11 @@ select sensor_uid, date, period, round(n, 6) as Q_n, round(cd, 6) as Q_cd, round
 round(case when 8.0 / 15 * cp * pow(cd, 4) between 0.01 and 1 then 8.0 / 15 * cp * pow(cd, 4) else 0.27 end, 6) as Q_alpha,
 round(case when n * 4 between 0.5 and 5 then n * 4 else 1.14 end, 6) as Q_beta, round(ph, 6) as P_hat, round(50 / greatest(cp * pow(ph, 4) + 1, 1e-3), 6) as vt2_hat from k""",
         "queue_fits": f"""with {EPISODES},
-e as (select sensor_uid, period, P_min, min_speed_mph, P_min / 60 as p, demand_veh / 300.0 as d from episodes where isodow(cast(date as date)) < 6),
+e as (select sensor_uid, period, P_min, min_speed_mph, P_min / 60 as p, demand_veh / cap as d, vf from episodes join caps using (sensor_uid) where isodow(cast(date as date)) < 6),
 q as (select *, quantile_cont(P_min, 0.25) over g as a1, quantile_cont(P_min, 0.75) over g as a3, count(P_min) over g as an, quantile_cont(min_speed_mph, 0.25) over g as b1,
   quantile_cont(min_speed_mph, 0.75) over g as b3, count(min_speed_mph) over g as bn, quantile_cont(d, 0.25) over g as c1, quantile_cont(d, 0.75) over g as c3, count(d) over g as cn
   from e window g as (partition by sensor_uid, period)),
-k as (select *, 70.0 as vf from q where (an < 4 or P_min is null or P_min between a1 - 3 * (a3 - a1) and a3 + 3 * (a3 - a1)) and (bn < 4 or min_speed_mph is null or min_speed_mph between b1 - 3 * (b3 - b1) and b3 + 3 * (b3 - b1))
+k as (select * from q where (an < 4 or P_min is null or P_min between a1 - 3 * (a3 - a1) and a3 + 3 * (a3 - a1)) and (bn < 4 or min_speed_mph is null or min_speed_mph between b1 - 3 * (b3 - b1) and b3 + 3 * (b3 - b1))
   and (cn < 4 or d is null or d between c1 - 3 * (c3 - c1) and c3 + 3 * (c3 - c1))),
 x as (select *, case when d > 1.05 and p > 0 then ln(greatest(d - 1, 1e-9)) end as x1, case when d > 1.05 and p > 0 then ln(greatest(p, 1e-9)) end as y1,
   case when d > 0 and min_speed_mph > 0 and min_speed_mph < vf * 1.05 then ln(d) end as x2,

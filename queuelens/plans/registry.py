@@ -9,12 +9,10 @@ from pyspark.sql import functions as F
 
 from queuelens import schemas as S
 from queuelens.functions import diagrams, traffic
-from queuelens.operators import audits, direction, discharge, episodes, fits, flows, gates, panels, priors, quality_control, queue_model, ranking, reliability, runs, text_issues, tokens, weekday
-from queuelens.plans import audit_sql, oracles, states, weekday_sql
+from queuelens.operators import audits, diagram_fits, direction, discharge, episodes, fits, flows, gates, panels, priors, quality_control, queue_model, queues, ranking, regressions, reliability, runs, text_issues, tokens, weekday
+from queuelens.plans import audit_sql, oracles, queue_sql, states, weekday_sql
 from queuelens.session import cut
 
-#: Capacity (veh/h/lane) that turns demand into D/C here.
-CAPACITY = 300.0
 FD_CANDIDATES = [
     ("Greenshields", {"vf": 70, "kj": 190}),
     ("Underwood", {"vf": 70, "kc": 60}),
@@ -75,10 +73,13 @@ def q_accounting(spark, d):
     return _rounded(reliability.accounting(states.states(spark, d)), 5, "vmt", "vht", "vfftt", "vdt", "vcdt", "avg_speed")
 
 
+def _diagrams(spark, d):
+    """Each sensor's diagram, by its own rows."""
+    return priors.observed_diagrams(states.states(spark, d))
+
+
 def _with_ratios(spark, d):
-    eps = cut(_only_episodes(spark, d))
-    capacity = eps.select("sensor_uid").distinct().withColumns({"capacity_vphpl": F.lit(CAPACITY), "v_f_mph": F.lit(70.0)})
-    return queue_model.with_ratios(eps, capacity)
+    return queue_model.with_ratios(cut(_only_episodes(spark, d)), _diagrams(spark, d).select("sensor_uid", "capacity_vphpl", "v_f_mph"))
 
 
 def q_calibration(spark, d):
@@ -126,8 +127,7 @@ def q_tokens(spark, d):
 
 def q_gates(spark, d):
     eps, qc = _episodes(spark, d)
-    capacity = eps.select("sensor_uid").distinct().withColumn("capacity_vphpl", F.lit(1900.0))
-    return _rounded(gates.episode_gates(discharge.mu_per_episode(eps, qc), capacity), 6, "value")
+    return _rounded(gates.episode_gates(discharge.mu_per_episode(eps, qc), _diagrams(spark, d).select("sensor_uid", "capacity_vphpl")), 6, "value")
 
 
 def q_profiles(spark, d):
@@ -158,19 +158,15 @@ def q_priors(spark, d):
     return _rounded(priors.calibrated(states.states(spark, d), "rural_freeway", rederive=True), 6, "vf_mph", "k_critical_vpm", "s3_m")
 
 
-def _capacity(spark, d):
-    return states.sensors(spark, d).select("sensor_uid").distinct().withColumn("capacity_vphpl", F.lit(CAPACITY))
-
-
 def q_flags(spark, d):
     eps, qc = _episodes(spark, d)
-    out = audits.with_flags(audits.measured_panel(eps, qc, _capacity(spark, d)))
+    out = audits.with_flags(audits.measured_panel(eps, qc, _diagrams(spark, d)))
     return _rounded(out.select("sensor_uid", "date", "period", "D_over_C_hours", "outlier_n_flags", "is_outlier", "outlier_reasons"), 6, "D_over_C_hours")
 
 
 def _audited(spark, d):
     eps, qc = _episodes(spark, d)
-    return audits.audit(eps, qc, _capacity(spark, d).withColumns({"v_c_fit_mph": F.lit(49.5), "flow_synthetic": F.lit(False)}))
+    return audits.audit(eps, qc, _diagrams(spark, d).select("sensor_uid", F.col("v_c_mph").alias("v_c_fit_mph"), "capacity_vphpl", F.lit(False).alias("flow_synthetic")))
 
 
 def q_audit(spark, d):
@@ -207,7 +203,13 @@ def q_pipeline_gates(spark, d):
     one = qc.agg(F.avg(F.col("qc_pass").cast("double")).alias("qc_pass_rate"))
     one = one.crossJoin(days.agg(F.percentile("confidence", F.lit(0.5)).alias("direction_confidence")))  # one row each
     one = one.crossJoin(eps.agg((F.count_if("is_valid_for_mu") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("valid_episode_pct")))
-    return _rounded(gates.pipeline_gates(one.withColumns({"fd_r2": F.lit(0.8), "mu_r2_gap": F.lit(None), "qvdf_n_fitted": F.lit(9.0)})), 6, "value")
+    fd = cut(_diagrams(spark, d))
+    one = one.crossJoin(fd.agg(F.percentile("r2", F.lit(0.5)).alias("fd_r2")))
+    one = one.crossJoin(regressions.r2_gap(regressions.predicted_vs_observed(discharge.mu_per_episode(eps, qc), fd)))
+    ratios = queue_model.with_ratios(eps, fd.select("sensor_uid", "capacity_vphpl", "v_f_mph"))
+    fits = queue_model.fit_groups(queue_model.without_outliers(queue_model.weekdays(ratios)))
+    one = one.crossJoin(fits.agg(F.count("f_d").cast("double").alias("qvdf_n_fitted")))
+    return _rounded(gates.pipeline_gates(one), 6, "value")
 
 
 def _weekday_bins(spark, d):
@@ -290,6 +292,51 @@ def _held(spark, d):
     return rows.withColumns({"truth": F.col("speed_mph"), "held": hold}).withColumn("speed_mph", F.when(~hold, F.col("speed_mph")))
 
 
+def _road(spark, d):
+    return queues.mileposts(states.states(spark, d).select("corridor", "sensor_uid", "road_order", "length_mi").distinct())
+
+
+def q_tails(spark, d):
+    eps, qc = _episodes(spark, d)
+    timed = episodes.with_times(eps.where("dc_existence"), qc).drop("road_order")
+    return queues.queue_tails(timed, qc, _road(spark, d)).select("corridor", "sensor_uid", "date", "period", "place", "t2_time", "relation", "tail_sensors", "tail_mi", "meets")
+
+
+def q_episodes_by_sensor(spark, d):
+    out = episodes.find_episodes(_qc(spark, d), by_sensor=_diagrams(spark, d)).drop("road_order", "n_bins")
+    return _rounded(out, 3, "v_c_mph", "P_min", "min_speed_mph", "demand_veh", "cong_mean_speed")
+
+
+def _lengths(spark, d):
+    return queues.queue_lengths(states.states(spark, d), _road(spark, d))
+
+
+def q_span_fits(spark, d):
+    out = queues.span_fits(queues.queue_spans(cut(_lengths(spark, d))))
+    return _rounded(_rounded(out, 5, *[c for c in out.columns if c.startswith("r2_")]), 7, *[c for c in out.columns if c.startswith("scale_")])
+
+
+def q_predicted_mu(spark, d):
+    eps, qc = _episodes(spark, d)
+    out = regressions.predicted_vs_observed(discharge.mu_per_episode(eps, qc), _diagrams(spark, d))
+    return _rounded(out.select("mode", "n", F.col("coefs")[0].alias("by_ratio"), F.col("coefs")[1].alias("by_hours"), "intercept", "scale", "r2"), 4, "by_ratio", "by_hours", "intercept", "scale", "r2")
+
+
+def q_marginals(spark, d):
+    """Each corridor as a chain of links from sensor to sensor, with its hourly mean flows as counts."""
+    road = _road(spark, d).select("corridor", F.col("sensor_uid").alias("link_id"), F.concat_ws("#", "corridor", F.col("place").cast("string")).alias("from_node_id"), F.concat_ws("#", "corridor", (F.col("place") + 1).cast("string")).alias("to_node_id"), "length_mi")
+    flow = states.states(spark, d).groupBy(F.col("sensor_uid").alias("link_id")).agg(F.avg(F.col("flow_vph") * F.col("lanes")).alias("count"))
+    return _rounded(queues.chain_marginals(queues.chain_order(road).join(flow, "link_id")), 4, "on", "off", "x_from", "x_to")
+
+
+def q_fitted_diagrams(spark, d):
+    """The 16 models of each corridor, on quarter hours."""
+    bins = _weekday_bins(spark, d).join(states.sensors(spark, d).select("corridor", F.col("sensor_uid").alias("link_id")), "link_id")
+    rows = bins.where("speed > 0").select("corridor", "speed", F.col("flow_pl").alias("flow"), (F.col("flow_pl") / F.col("speed")).alias("density"))
+    out = diagram_fits.fitted_diagrams(rows)
+    return out.select("corridor", "model", "n", F.array_join(F.transform(F.map_entries("params"), lambda e: F.concat_ws("=", e["key"], F.format_number(e["value"], 6))), ";").alias("params"), "rmse", "flow_rmse", "capacity")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_ranking(spark, sf_dir)
 
@@ -350,7 +397,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "conserved_flows": q_conserving,
         "reliability_issues": lambda s, d: tokens.reliability_issues(reliability.lottr(states.states(s, d))).drop("recommended_token"),
         "whole_day_models": q_whole_day,
+        "mileposts": lambda s, d: _road(s, d),
+        "queue_tails": q_tails,
+        "queue_lengths": lambda s, d: _rounded(_lengths(s, d), 4, "queue_mi"),
+        "queue_span_fits": q_span_fits,
+        "episodes_by_sensor": q_episodes_by_sensor,
+        "observed_diagrams": lambda s, d: _rounded(_diagrams(s, d), 4, "v_f_mph", "capacity_vphpl", "v_c_mph", "k_critical_vpm", "s3_m", "r2"),
+        "predicted_discharge": q_predicted_mu,
+        "chain_marginals": q_marginals,
         "calibrated_links": q_calibrated_links,
+        "fitted_diagrams": q_fitted_diagrams,
         "weekday_diagrams": q_weekday_diagrams,
         # Without SQL: kernels and walks, tested against planted truths.
         "state_tokens": q_tokens,
@@ -362,5 +418,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = oracles.sql() | audit_sql.sql() | weekday_sql.sql()
+    found = oracles.sql() | audit_sql.sql() | weekday_sql.sql() | queue_sql.sql()
     return {name: found[name] for name in queries() if name in found}
