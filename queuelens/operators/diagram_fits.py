@@ -88,9 +88,9 @@ def fitted_diagrams(rows: DataFrame, keys: tuple[str, ...] = ("corridor",), leas
     that the gradient pushes outwards stay there. The next trial solves the damped equations in an expression. Nothing of a
     group's rows is in one task's memory, and the driver sees one flag a round.
     """
-    spark, keys = rows.sparkSession, list(keys)
+    spark, keys_out, keys = rows.sparkSession, list(keys), [f"_key{i}" for i in range(len(keys))]
     use = (F.col("density") > 0) & F.col("speed").isNotNull() & F.col("flow").isNotNull()
-    df = cut(rows.where(use).select(*keys, F.col("density").cast("double").alias("k"), F.col("speed").cast("double").alias("v"), F.col("flow").cast("double").alias("q")))
+    df = cut(rows.where(use).select(*[F.col(c).alias(k) for c, k in zip(keys_out, keys, strict=True)], F.col("density").cast("double").alias("k"), F.col("speed").cast("double").alias("v"), F.col("flow").cast("double").alias("q")))
     models = spark.createDataFrame(_table(), "model string, x0 array<double>, lo array<double>, hi array<double>")
     groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= least)
     none = F.array(*[F.lit(0.0)] * SIZE)
@@ -132,4 +132,4 @@ def fitted_diagrams(rows: DataFrame, keys: tuple[str, ...] = ("corridor",), leas
     for model, params in BOUNDS.items():
         names = F.when(F.col("model") == model, F.array(*map(F.lit, params))).otherwise(names)
     params = F.map_from_arrays(names, F.slice("trial", F.lit(1), F.size(names))).alias("params")
-    return best.select(*keys, "model", params).join(errors, [*keys, "model"]).join(tops, [*keys, "model"]).select(*keys, "model", "n", "params", "rmse", "flow_rmse", "capacity")
+    return best.select(*keys, "model", params).join(errors, [*keys, "model"]).join(tops, [*keys, "model"]).select(*[F.col(k).alias(c) for c, k in zip(keys_out, keys, strict=True)], "model", "n", "params", "rmse", "flow_rmse", "capacity")

@@ -21,12 +21,12 @@ def huber_regressions(rows: DataFrame, features: tuple[str, ...], target: str, k
     for the set that the last round's values give, for all groups in one pass, and solves each group's equations. Parameters
     are a small table beside the rows, written once a round; nothing but the largest change comes to the driver.
     """
-    size, keys = len(features) + 1, list(keys)
+    size, names, keys = len(features) + 1, list(keys), [f"_key{i}" for i in range(len(keys))]
     known = F.lit(True)
     for c in (*features, target):
         known = known & F.col(c).isNotNull() & ~F.isnan(c)
     x = F.array(*[F.col(c).cast("double") for c in features], F.lit(1.0))
-    df = cut(rows.where(known).select(*keys, x.alias("x"), F.col(target).cast("double").alias("y")))
+    df = cut(rows.where(known).select(*[F.col(c).alias(k) for c, k in zip(names, keys, strict=True)], x.alias("x"), F.col(target).cast("double").alias("y")))
     number = lambda i, j: F.sum(F.col("w") * F.col("x")[i] * F.col("x")[j])
     ridge = lambda i, j, s: s if i == j and i < size - 1 else F.lit(0.0)
     params = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"), F.stddev_pop("y").alias("scale"))
@@ -55,7 +55,7 @@ def huber_regressions(rows: DataFrame, features: tuple[str, ...], target: str, k
     rest = F.col("y") - dot(F.col("x"), F.col("b"))
     fit = df.join(params.select(*keys, "b", "scale"), keys, "left").withColumn("r", rest)
     out = fit.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.first("b").alias("b"), F.first("scale").alias("scale"), F.sum(F.col("r") * F.col("r")).alias("rss"), (F.var_pop("y") * F.count(F.lit(1))).alias("tss"))
-    return out.select(*keys, "n", F.slice("b", 1, size - 1).alias("coefs"), F.col("b")[size - 1].alias("intercept"), "scale", F.when(F.col("tss") > 0, 1 - F.col("rss") / F.col("tss")).alias("r2"))
+    return out.select(*[F.col(k).alias(c) for c, k in zip(names, keys, strict=True)], "n", F.slice("b", 1, size - 1).alias("coefs"), F.col("b")[size - 1].alias("intercept"), "scale", F.when(F.col("tss") > 0, 1 - F.col("rss") / F.col("tss")).alias("r2"))
 
 
 def predicted_vs_observed(episodes: DataFrame, capacity: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

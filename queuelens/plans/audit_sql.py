@@ -182,7 +182,7 @@ select sensor_uid, date, period, round(doc, 6) as D_over_C_hours, a::int + b::in
 concat_ws(';', case when a then 'doc_high_P_zero' end, case when b then 'doc_low_P_high' end, case when c then 'mu_above_capacity' end, case when d then 'mu_starved' end, case when e then 'vt2_above_vc' end, case when g then 'vt2_too_low' end) as outlier_reasons from f""",
         "episode_audit": f"""with {_AUDIT} select sensor_uid, date, period, n as discharge_n_intervals, n * 5.0 as discharge_duration_min, round(mu_obs, 4) as mu_obs_vphpl, round(mu_check, 4) as mu_check_vphpl, round(consistency, 6) as mu_consistency from consistent""",
         "run_gates": f"with {_AUDIT} " + " union all ".join(f"select '{g}' as gate, round(cast(x as double), 6) as value, {s} as status from (select {v} as x)" for g, v, s in gates),
-        "round_trips": f"with {_TRIPS} select sensor_uid, date, period, round(ph - p, 6) as P_err_hours, round(p_err, 5) as P_err_pct, round(vh - v2, 6) as vt2_err_mph, round(v_err, 5) as vt2_err_pct from trips",
+        "round_trips": f"with {_TRIPS} select sensor_uid, date, period, round(ph - p, 6) + 0.0 as P_err_hours, round(p_err, 5) + 0.0 as P_err_pct, round(vh - v2, 6) + 0.0 as vt2_err_mph, round(v_err, 5) + 0.0 as vt2_err_pct from trips",
         "queue_profiles": f"with {_PROFILES} select sensor_uid, date, period, cast(step as integer) as step, round(hour, 6) as hour, round(td_speed_mph, 5) as td_speed_mph, round(td_queue_veh, 5) as td_queue_veh from profiles",
         "speed_errors": f"with {_SEEN} select sensor_uid, date, period, case when n >= 3 then round(mae, 4) end as v_t_MAE, case when n >= 3 then round(mape, 4) end as v_t_MAPE_pct, case when n >= 3 then round(rmse, 4) end as v_t_RMSE, n as v_t_n from errors",
         "trip_gates": f"""with {_SEEN},
