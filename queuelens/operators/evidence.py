@@ -19,7 +19,7 @@ TRUST_CAPS = {
     "measurement": 0.85,
 }
 WITH_DETECTOR, WITH_BENCHMARK = 0.90, 0.95
-#: Claims that need a detector, claims without that need, and the detector issues that can back either.
+#: Claims that need a detector, claims without that need, and the detector issues that can back either.
 NEEDS_DETECTOR = ("bottleneck_location", "incident_report", "capacity_claim", "reliability_claim", "VHD_claim")
 OTHER_CLAIMS = ("corridor_context", "work_zone_report", "HCM_facility_claim", "teaching_misunderstanding", "software_bug", "documentation_gap")
 BACKING = ("recurring_bottleneck", "unreliable_segment_lottr")

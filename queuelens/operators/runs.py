@@ -32,9 +32,10 @@ def low_runs(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def find_runs(states: DataFrame, cutoff: float = 49.0, hours: tuple[int, int] = (5, 22), least_bins: int = 8, smooth: int = 3) -> DataFrame:
-    """low_runs() of each sensor and day with at least ``least_bins`` rows in the window."""
+    """low_runs() of each sensor and day with at least ``least_bins`` rows in the window, smoothed inside it."""
     half = smooth // 2
-    sm = F.avg("speed_mph").over(W.partitionBy("sensor_uid").orderBy("datetime").rowsBetween(-half, half))
-    df = states.withColumns({"sm": sm, "date": F.date_format("datetime", "yyyy-MM-dd"), "t_min": F.hour("datetime") * 60 + F.minute("datetime"), "cutoff": F.lit(float(cutoff))})
-    df = df.where((F.hour("datetime") >= hours[0]) & (F.hour("datetime") < hours[1])).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("sensor_uid", "date"))).where(F.col("n") >= least_bins)
+    df = states.withColumns({"date": F.date_format("datetime", "yyyy-MM-dd"), "t_min": F.hour("datetime") * 60 + F.minute("datetime"), "cutoff": F.lit(float(cutoff))})
+    day = W.partitionBy("sensor_uid", "date")
+    df = df.where((F.hour("datetime") >= hours[0]) & (F.hour("datetime") < hours[1])).withColumn("n", F.count(F.lit(1)).over(day)).where(F.col("n") >= least_bins)
+    df = df.withColumn("sm", F.avg("speed_mph").over(day.orderBy("datetime").rowsBetween(-half, half)))
     return low_runs(df, ["sensor_uid", "date"]).drop("cutoff")

@@ -124,7 +124,7 @@ def sql() -> dict[str, str]:
         ("md_truncation", "(select avg((t3_index >= 71)::int) from consistent where period = 'MD')", band.format("x <= 0.2", "when x <= 0.35 then 'REVIEW' else 'FAIL'")),
         ("weekend_share", "(select avg((isodow(cast(date as date)) >= 6)::int) from consistent)", "case when x is null then 'N/A' else 'INFO' end"),
     ]
-    return {
+    found = {
         "state_tokens": f"""with {RANKING},
 sl as (
   select sensor_uid, date, period, row_number() over (partition by sensor_uid, date, period order by datetime) - 1 as idx, datetime
@@ -214,3 +214,36 @@ s as (select gate, round(cast(value as double), 6) as value, cast(threshold as d
 select * from s union all select '__overall__', null, null, case when bool_or(status = 'FAIL') then 'FAIL' when bool_or(status = 'PASS') then 'PASS' else 'INCONCLUSIVE' end from s""",
         "episode_gates": f"with {_AUDIT} " + " union all ".join(f"select '{g}' as gate, round(cast(x as double), 6) as value, {s} as status from (select {v.replace('v2 >= vc', 'v2 >= 50')} as x)" for g, v, s in gates if g not in ("mu_consistency", "weekend_share")),
     }
+    text, m = oracles.sql()["text_issues"], repr(2 * math.log(2) / -math.log(0.7)) + "::double"
+    weight = "case source when 'dot_feed' then 0.25 when 'news' then 0.15 when 'document' then 0.15 when 'web' then 0.1 else 0.0 end"
+    graph = f"""tok as ({found["state_tokens"]}),
+few as (
+  select sensor_uid, period, facility, count(*) as n, min(bottleneck_class) as cls, quantile_cont(congestion_duration_min, 0.5) as minutes, quantile_cont(min_speed_mph, 0.5) as speed, avg(case support_level when 'high' then 0.85::double when 'medium' then 0.7::double else 0.45::double end) as conf
+  from tok where not contains(likely_cause, 'CAUSE_INCIDENT') group by all),
+found as (
+  select sensor_uid, period, 0 as k, '' as date, 'recurring_bottleneck' as type, facility as corridor, period as time_window, round_even(conf, 2) as confidence, case when minutes >= 120 then 'high' else 'medium' end as severity,
+    'episodes=' || n || ';median_minutes=' || cast(round_even(minutes, 0) as bigint) || ';class=' || cls || ';median_min_speed=' || cast(round_even(speed, 0) as bigint) as evidence, 'CALIBRATION_TARGET;SCENARIO_COMPARISON_TARGET' as recommended_token
+  from few where n >= 2 and cls in ('active_bottleneck', 'spillback_source')
+  union all select sensor_uid, period, 1, date, 'incident_pattern_day', facility, date || ' ' || period, 0.6, 'low', 'duration_outlier;minutes=' || cast(round_even(congestion_duration_min, 0) as bigint), 'EXCLUDE_FROM_RECURRING_CALIBRATION'
+  from tok where contains(likely_cause, 'CAUSE_INCIDENT')),
+bad as (
+  with {STATES},
+  caps as (select sensor_uid, min(corridor) as corridor, quantile_cont(speed_mph, 0.95) filter (speed_mph > 0) as vf, quantile_cont(flow_vph, 0.98) as cap from states group by 1),
+  diagram as (select s.*, vf / pow(1 + pow(density_vpm / (cap / (0.7::double * vf)), {m}), 2 / {m}) as hat from states s join caps using (sensor_uid) where speed_mph > 0 and density_vpm > 0),
+  r2s as (select sensor_uid, 1 - sum((speed_mph - hat) * (speed_mph - hat)) / (var_pop(speed_mph) * count(*)) as r2 from diagram group by 1)
+  select sensor_uid, corridor, cap, r2 from caps join r2s using (sensor_uid) where not (r2 > 0 and cap between 1200 and 2600 and vf between 40 and 90)),
+ordered as (
+  select 0 as part, * from found
+  union all select 1, sensor_uid, '', 0, '', 'fd_fit_implausible', corridor, null, 0.85, 'medium', 'capacity=' || cast(round_even(cap, 0) as bigint) || ';r2=' || cast(round_even(r2, 3) as varchar), 'REVIEW_DETECTOR_DATA;EXCLUDE_FROM_FD_POOL' from bad),
+graph as (select 'I-' || lpad(cast(row_number() over (order by part, sensor_uid, period, k, date) as varchar), 3, '0') as issue_id, * exclude (part, period, k, date) from ordered)"""
+    found["issues"] = f"with {graph} select issue_id, type, corridor, sensor_uid, time_window, confidence::double as confidence, severity, evidence, recommended_token, 'open' as status from graph"
+    found["corroborated_reports"] = f"""with {graph}, rep as ({text}),
+more as (
+  select r.doc_id, r.issue_id, r.type, r.corridor, round_even(least(0.35 + 0.1 * least(n_cues, 3) + case when regexp_matches(text, '(?i)\\b(I|US|SR|AZ|CA|Loop)[- ]?([0-9]{{1,3}})\\b') then 0.15 else 0 end + case when milepost is not null then 0.05 else 0 end + {weight}, 0.85), 2)::double as conf,
+    upper(regexp_extract(text, '(?i)\\b(northbound|southbound|eastbound|westbound|NB|SB|EB|WB)\\b', 1)) as dir, nullif(regexp_extract(text, '(?i)\\b([0-9]{{1,2}})(?::([0-9]{{2}}))?\\s?(a\\.?m\\.?|p\\.?m\\.?)\\b', 0), '') as time_mention
+  from rep r join documents using (doc_id)),
+backing as (select 'I' || corridor[2:] || '5' as name, min(issue_id) as hit from graph where type in ('recurring_bottleneck', 'unreliable_segment_lottr') group by 1),
+met as (select m.*, (select min(hit) from backing b where m.corridor is not null and replace(upper(m.corridor), '-', '') <> '' and contains(b.name, replace(upper(m.corridor), '-', ''))) as hit from more m)
+select doc_id, issue_id, type, corridor, case when dir = '' then null when length(dir) > 2 then dir[1] || 'B' else dir end as direction, time_mention,
+  case when hit is not null and type in ('recurring_congestion_report', 'capacity_event_report') then round_even(least(conf + 0.15, 0.9), 2) else conf end as confidence, hit as corroborates, hit is null as needs_detector_check from met"""
+    return found

@@ -273,12 +273,24 @@ m as (
   select 'Underwood', 1, v, q, k, w, 70 * exp(-k / 60) from p union all
   select 'S3', 2, v, q, k, w, 70 / pow(1 + pow(k / 35, 4.0), 0.5) from p union all
   select 'GHR_M1', 3, v, q, k, w, 70 * exp(-0.5 * (k / 45) * (k / 45)) from p union all
-  select 'Wang_3PL', 4, v, q, k, w, 70 / (1 + exp((k - 40) / 20)) from p)
-select model, candidate, count(*) as n, round(sqrt(sum((hat - v) * (hat - v)) / count(*)), 4) as speed_rmse, round(sqrt(sum((hat - v) * (hat - v) + w * (hat * k - q) * (hat * k - q)) / count(*)), 4) as joint_rmse
-from m group by all""",
+  select 'Wang_3PL', 4, v, q, k, w, 70 / (1 + exp((k - 40) / 20)) from p union all
+  select 'Greenberg', 5, v, q, k, w, 30 * ln(150 / k) from p union all
+  select 'NF', 6, v, q, k, w, 70 * (1 - exp(-(2500.0 / 70) * (1 / k - 1.0 / 150))) from p union all
+  select 'GHR_M2', 7, v, q, k, w, 70 * (1 - pow(k / 190, 0.8)) from p union all
+  select 'GHR_M3', 8, v, q, k, w, 70 * sign(1 - k / 190) * pow(abs(1 - k / 190), 1.5) from p union all
+  select 'KK', 9, v, q, k, w, 70 * (1 / (1 + exp((k / 35 - 1.2) / 0.6)) - 0.01) from p union all
+  select 'Jayakrishnan', 10, v, q, k, w, 4 + 66 * sign(1 - k / 190) * pow(abs(1 - k / 190), 1.8) from p union all
+  select 'MacNicholas', 11, v, q, k, w, 70 * (pow(150, 2.5) - pow(k, 2.5)) / (pow(150, 2.5) + 30 * pow(k, 2.5)) from p union all
+  select 'Wang_4PL', 12, v, q, k, w, 5 + 65 / (1 + exp((k - 40) / 14)) from p union all
+  select 'Wang_5PL', 13, v, q, k, w, 5 + 65 / pow(1 + exp((k - 30) / 8), 0.4) from p union all
+  select 'Van_Aerde', 14, v, q, k, w, 1 / (100.0 / (150.0 * 2025) * -10 + 100.0 / (150.0 * 2025) * 3025 / (100 - v) + (1.0 / 1700 - 100.0 / (150.0 * 2025) * -10 / 45 - 100.0 / (150.0 * 2025) * 3025 / (45 * 55.0)) * v) from p union all
+  select 'Ni', 15, v, q, k, w, 1 / ((-3.48e-6 * v * v + v / 3600 + 7.5e-3) * (1 - ln(1 - v / 100))) from p)
+, e as (select *, case when model in ('Van_Aerde', 'Ni') then hat - k else hat - v end as err, case when model in ('Van_Aerde', 'Ni') then hat * v - q else hat * k - q end as dq from m)
+select model, candidate, count(*) as n, round(sqrt(sum(err * err) / count(*)), 4) as speed_rmse, round(sqrt(sum(err * err + w * dq * dq) / count(*)), 4) as joint_rmse
+from e group by all""",
         "speed_runs": f"""with {STATES},
-s as (select *, avg(speed_mph) over (partition by sensor_uid order by datetime rows between 1 preceding and 1 following) as sm from states),
-d as (select *, strftime(datetime, '%Y-%m-%d') as date, hour(datetime) * 60 + minute(datetime) as t_min from s where hour(datetime) >= 5 and hour(datetime) < 22),
+s as (select *, strftime(datetime, '%Y-%m-%d') as date, hour(datetime) * 60 + minute(datetime) as t_min from states where hour(datetime) >= 5 and hour(datetime) < 22),
+d as (select *, avg(speed_mph) over (partition by sensor_uid, date order by datetime rows between 1 preceding and 1 following) as sm from s),
 l as (select *, row_number() over w as rn, count(*) over (partition by sensor_uid, date) as n, sm < 49.0 as low, coalesce(lead(sm) over w >= 49.0, true) as next_high, lag(sm) over w as p, lag(t_min) over w as pt, lead(sm) over w as nx, lead(t_min) over w as nt
   from d window w as (partition by sensor_uid, date order by datetime)),
 k as (select *, sm >= 49.0 and (next_high) as breaks from l where n >= 8),

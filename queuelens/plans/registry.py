@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from queuelens import schemas as S
 from queuelens.functions import diagrams, traffic
-from queuelens.operators import audits, diagram_fits, direction, discharge, episodes, fits, flows, gates, panels, priors, quality_control, queue_model, queues, ranking, regressions, reliability, runs, text_issues, tokens, weekday
+from queuelens.operators import audits, diagram_fits, direction, discharge, episodes, evidence, fits, flows, gates, panels, priors, quality_control, queue_model, queues, ranking, regressions, reliability, runs, text_issues, tokens, weekday
 from queuelens.plans import audit_sql, oracles, queue_sql, states, weekday_sql
 from queuelens.session import cut
 
@@ -19,6 +19,17 @@ FD_CANDIDATES = [
     ("S3", {"vf": 70, "kc": 35, "m": 4}),
     ("GHR_M1", {"vf": 70, "kc": 45}),
     ("Wang_3PL", {"vf": 70, "kc": 40, "theta": 20}),
+    ("Greenberg", {"vc": 30, "kj": 150}),
+    ("NF", {"vf": 70, "lam": 2500, "kj": 150}),
+    ("GHR_M2", {"vf": 70, "kj": 190, "m": 0.8}),
+    ("GHR_M3", {"vf": 70, "kj": 190, "m": 1.5}),
+    ("KK", {"vf": 70, "kc": 35, "c1": 1.2, "c2": 0.6, "c3": 0.01}),
+    ("Jayakrishnan", {"vj": 4, "vf": 70, "kj": 190, "m": 1.8}),
+    ("MacNicholas", {"vf": 70, "kj": 150, "m": 2.5, "c": 30}),
+    ("Wang_4PL", {"vf": 70, "vb": 5, "kc": 40, "theta": 14}),
+    ("Wang_5PL", {"vf": 70, "vb": 5, "kc": 30, "theta1": 8, "theta2": 0.4}),
+    ("Van_Aerde", {"vf": 100, "vc": 45, "kj": 150, "qm": 1700}),
+    ("Ni", {"gamma": -3.48e-6, "tau": 1 / 3600, "l": 7.5e-3, "vf": 100}),
 ]
 
 
@@ -118,10 +129,33 @@ def q_rank_agreement(spark, d):
     return panels.rank_agreement(r, "score", "delay")
 
 
-def q_tokens(spark, d):
+def _tokens(spark, d):
     eps, qc = _episodes(spark, d)
     rows = qc.withColumn("date", F.date_format("datetime", "yyyy-MM-dd"))
-    out = tokens.compile_tokens(cut(episodes.with_times(eps, qc)), rows, cut(ranking.rank(eps, states.sensors(spark, d))))
+    return tokens.compile_tokens(cut(episodes.with_times(eps, qc)), rows, cut(ranking.rank(eps, states.sensors(spark, d)))), qc
+
+
+def _issues(spark, d):
+    """Issues of the tokens, of each sensor's diagram, and of each corridor's data."""
+    toks, qc = _tokens(spark, d)
+    fd = _diagrams(spark, d).join(states.sensors(spark, d), "sensor_uid").withColumn("fit_ok", gates.fd_fit_ok())
+    return tokens.issue_graph(cut(toks), fd, qc)
+
+
+def q_issues(spark, d):
+    return _issues(spark, d).withColumns({c: F.array_join(c, ";") for c in ("evidence", "recommended_token")})
+
+
+def q_corroborated(spark, d):
+    """What texts report, backed by the detectors' issues: their corridors are named as roads for it."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "source")
+    text = text_issues.extract_issues(docs, "doc_id", source="source")
+    named = _issues(spark, d).withColumn("corridor", F.concat(F.lit("I-"), F.substring("corridor", 2, 9), F.lit("5")))
+    return evidence.corroborate(text, named).select("doc_id", "issue_id", "type", "corridor", "direction", "time_mention", "confidence", "corroborates", "needs_detector_check")
+
+
+def q_tokens(spark, d):
+    out, _ = _tokens(spark, d)
     return out.select("sensor_uid", "date", "period", "facility", "day_regime", "bottleneck_class", "states.*", "metrics.*", "evidence.support_level", "diagnosis.demand_supply_status", F.array_join("diagnosis.likely_cause", ",").alias("likely_cause"))
 
 
@@ -405,6 +439,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "observed_diagrams": lambda s, d: _rounded(_diagrams(s, d), 4, "v_f_mph", "capacity_vphpl", "v_c_mph", "k_critical_vpm", "s3_m", "r2"),
         "predicted_discharge": q_predicted_mu,
         "chain_marginals": q_marginals,
+        "issues": q_issues,
+        "corroborated_reports": q_corroborated,
         "calibrated_links": q_calibrated_links,
         "fitted_diagrams": q_fitted_diagrams,
         "weekday_diagrams": q_weekday_diagrams,

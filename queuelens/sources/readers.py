@@ -125,7 +125,8 @@ def read_contract(spark: SparkSession, path: str, fmt: str = "parquet", columns:
     _missing(df, {"sensor_uid", "datetime", "speed_mph"})
     if "is_observed" in df.columns:
         seen = F.col("is_observed").cast("double")
-        df = df.withColumn("_share", F.avg(seen).over(W.partitionBy("sensor_uid"))).where(F.col("_share") >= min_observed).withColumn("speed_mph", F.when(seen == 1, F.col("speed_mph")))
+        df = df.withColumn("_share", F.avg(seen).over(W.partitionBy("sensor_uid"))).where(F.col("_share") >= min_observed)
+        df = df.withColumns({c: F.when(seen == 1, F.col(c)) for c in ("speed_mph", "flow_vph") if c in df.columns})
     if speed_units == "kmh":
         df = df.withColumn("speed_mph", F.col("speed_mph") / S.KMH_PER_MPH)
     if flow_scope == "all_lanes":

@@ -255,12 +255,43 @@ def test_tokens(spark, found):
     assert got == ["MODEL_MISSES_ONSET", "MODEL_MISSES_RECOVERY", "MODEL_RIGHT_AVERAGE_WRONG_SHAPE"]
     assert tokens.compare_tokens(toks, toks.limit(0)).where("tokens = array('MODEL_MISSES_ONSET')").count() == toks.count()
     assert tokens.benefit_tokens(toks, toks).first().tokens == []
-    issues = cut(tokens.issue_graph(toks, ranked, qc=qc))
+    issues = cut(tokens.issue_graph(toks, qc=qc))
     assert issues.where("type = 'recurring_bottleneck'").count() >= 1
+    name = issues.where("type = 'recurring_bottleneck'").orderBy("issue_id").first()
+    said = spark.createDataFrame([("I-700", "recurring_congestion_report", name.corridor, 0.5), ("I-701", "incident_report", "elsewhere", 0.5)], "issue_id string, type string, corridor string, confidence double")
+    backed = {r.issue_id: r for r in evidence.corroborate(said, issues).collect()}
+    assert (backed["I-700"].corroborates, backed["I-700"].confidence) == (name.issue_id, 0.65) and backed["I-701"].needs_detector_check
+    sources = evidence.register_sources(spark.createDataFrame([("paper", "publication", "peer_reviewed")], "name string, kind string, trust_level string"))
+    claims = sources.select("source_id", F.lit("queues form here").alias("claim_text"), F.lit("bottleneck_location").alias("claim_type"), F.lit(name.corridor).alias("corridor"))
+    cards = evidence.make_cards(claims, sources)
+    if cards.count():
+        compiled = evidence.compile_evidence(cards, issues).first()
+        assert compiled.status == "needs_planner_review" and name.issue_id in compiled.evidence
     decided = tokens.review(issues, spark.createDataFrame([("I-001", "approved", "pat"), ("I-002", "approved", " ")], "issue_id string, decision string, reviewer string"))
     assert tokens.approved(decided).count() == 1
 
 
+def test_issue_graph_of_few_tokens(spark):
+    """Incident days don't count as recurring, and each has an issue of its own; ids follow sensor and period."""
+    token = lambda s, d, p, cls, minutes, level, cause: (s, d, p, "C", cls, (float(minutes), 30.0), (level,), ([cause],))
+    rows = [
+        token("b", "2024-01-01", "AM", "active_bottleneck", 100, "high", "CAUSE_UNKNOWN"), token("b", "2024-01-02", "AM", "active_bottleneck", 160, "low", "CAUSE_UNKNOWN"), token("b", "2024-01-03", "AM", "active_bottleneck", 500, "high", "CAUSE_INCIDENT"),
+        token("a", "2024-01-01", "PM", "spillback_source", 60, "high", "CAUSE_UNKNOWN"), token("a", "2024-01-02", "PM", "spillback_source", 60, "high", "CAUSE_INCIDENT"), token("c", "2024-01-01", "AM", "queued_passive", 60, "high", "CAUSE_UNKNOWN"),
+        token("c", "2024-01-02", "AM", "queued_passive", 60, "high", "CAUSE_UNKNOWN"),
+    ]
+    schema = "sensor_uid string, date string, period string, facility string, bottleneck_class string, metrics struct<congestion_duration_min:double,min_speed_mph:double>, evidence struct<support_level:string>, diagnosis struct<likely_cause:array<string>>"
+    fd = spark.createDataFrame([("z", "C", 3000.0, 0.2, False), ("y", "C", 1800.0, 0.9, True)], "sensor_uid string, corridor string, capacity_vphpl double, r2 double, fit_ok boolean")
+    qc = spark.createDataFrame([("C", i < 7) for i in range(10)] + [("D", True)], "corridor string, qc_pass boolean")
+    got = [(r.issue_id, r.type, r.sensor_uid, r.time_window, r.confidence, r.severity) for r in tokens.issue_graph(spark.createDataFrame(rows, schema), fd, qc).orderBy("issue_id").collect()]
+    assert got == [
+        ("I-001", "incident_pattern_day", "a", "2024-01-02 PM", 0.6, "low"),
+        ("I-002", "recurring_bottleneck", "b", "AM", 0.65, "high"),
+        ("I-003", "incident_pattern_day", "b", "2024-01-03 AM", 0.6, "low"),
+        ("I-004", "fd_fit_implausible", "z", None, 0.85, "medium"),
+        ("I-005", "data_quality", None, None, 0.9, "high"),
+    ]
+
+
 def test_gates(found):
     qc, eps = found
     capacity = eps.select("sensor_uid").distinct().withColumn("capacity_vphpl", F.lit(1900.0))
