@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from queuelens import schemas as S
 from queuelens.functions import diagrams, traffic
-from queuelens.operators import audits, diagram_fits, direction, discharge, episodes, evidence, fits, flows, gates, panels, priors, quality_control, queue_model, queues, ranking, regressions, reliability, runs, text_issues, tokens, weekday
-from queuelens.plans import audit_sql, oracles, queue_sql, states, weekday_sql
+from queuelens.operators import audits, daily, diagram_fits, direction, discharge, episodes, evidence, fits, flows, gates, panels, priors, quality_control, queue_model, queues, ranking, regressions, reliability, runs, text_issues, tokens, weekday
+from queuelens.plans import audit_sql, daily_sql, oracles, queue_sql, states, weekday_sql
 from queuelens.session import cut
 
 FD_CANDIDATES = [
@@ -371,6 +371,20 @@ def q_fitted_diagrams(spark, d):
     return out.select("corridor", "model", "n", F.array_join(F.transform(F.map_entries("params"), lambda e: F.concat_ws("=", e["key"], F.format_number(e["value"], 6))), ";").alias("params"), "rmse", "flow_rmse", "capacity")
 
 
+def _days(spark, d):
+    return daily.day_statistics(daily.day_grid(states.states(spark, d)), bridge=6)
+
+
+def q_days(spark, d):
+    out = _rounded(_days(spark, d), 5, "DC", "vbar", "v_co", "cap")
+    return _rounded(_rounded(out, 4, "vt2", "mu"), 6, "P")
+
+
+def q_laws(spark, d):
+    out = daily.station_laws(cut(_days(spark, d)))
+    return _rounded(_rounded(_rounded(out, 5, "f_d", "n", "f_p", "s"), 6, "theta"), 4, "r2")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_ranking(spark, sf_dir)
 
@@ -440,6 +454,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "predicted_discharge": q_predicted_mu,
         "chain_marginals": q_marginals,
         "issues": q_issues,
+        "day_statistics": q_days,
+        "station_laws": q_laws,
+        "anomaly_days": lambda s, d: _rounded(daily.anomaly_days(daily.median_residuals(states.states(s, d))), 3, "energy"),
         "corroborated_reports": q_corroborated,
         "calibrated_links": q_calibrated_links,
         "fitted_diagrams": q_fitted_diagrams,
@@ -454,5 +471,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = oracles.sql() | audit_sql.sql() | weekday_sql.sql() | queue_sql.sql()
+    found = oracles.sql() | audit_sql.sql() | weekday_sql.sql() | queue_sql.sql() | daily_sql.sql()
     return {name: found[name] for name in queries() if name in found}
