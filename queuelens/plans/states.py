@@ -25,8 +25,9 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw readings: sensor, time, speed and flow; twelve of each event."""
     number, ts = F.expr("user_id div 7"), F.col("ts").cast("timestamp_ntz")
     days = F.datediff(ts.cast("date"), F.lit(FIRST_DAY).cast("date"))
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(number.alias("number"), ts.alias("ts"), days.alias("days"), "value", "event_id", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("step"))
-    df = events.withColumn("ts", F.expr("timestampadd(MINUTE, 5 * step, timestampadd(DAY, (days div 3) - days, ts))"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(number.alias("number"), ts.alias("ts"), days.alias("days"), "value", "event_id")
+    # dealt out before the rows become twelve times as many: a small file is one task's
+    df = events.repartition("event_id").withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("ts", F.expr("timestampadd(MINUTE, 5 * step, timestampadd(DAY, (days div 3) - days, ts))"))
     n, day, weekend = F.col("number"), F.dayofmonth("ts"), F.weekday("ts") >= 5
     corridor, place = F.expr("number div 8"), n % 8
     hour = F.hour("ts") + F.minute("ts") / 60.0
@@ -44,9 +45,14 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resampled(raw: DataFrame, minutes: int = S.DT_MIN, least: int = 1) -> DataFrame:
     """Median speed and flow of each sensor and bin with at least ``least`` readings; empty bins stay absent. Both are
     on a binary grid, moved off the ties of decimal rounding."""
-    bins = raw.groupBy("sensor_uid", "number", F.window("ts", f"{minutes} minutes")["start"].alias("datetime")).agg(
-        (F.round(F.percentile("speed", F.lit(0.5)) * 1024) / 1024 + 0.000132170713).alias("speed_mph"), (F.round(F.percentile("flow", F.lit(0.5)) * 8) / 8 + 0.03713217).alias("flow_vph"), F.count(F.lit(1)).alias("n_readings")
-    )
+    slot = F.expr(f"timestampadd(MINUTE, -(minute(ts) % {minutes}), date_trunc('MINUTE', ts))").cast("timestamp_ntz")
+    lists = raw.select("sensor_uid", "number", slot.alias("datetime"), "speed", "flow").groupBy("sensor_uid", "number", "datetime").agg(F.sort_array(F.collect_list("speed")).alias("speed"), F.sort_array(F.collect_list("flow")).alias("flow"))
+
+    def median(c: str) -> Column:  # of the few readings of a bin
+        n = F.size(c)
+        return (F.col(c)[F.floor((n - 1) / 2).cast("int")] + F.col(c)[F.floor(n / 2).cast("int")]) / 2
+
+    bins = lists.select("sensor_uid", "number", "datetime", (F.round(median("speed") * 1024) / 1024 + 0.000132170713).alias("speed_mph"), (F.round(median("flow") * 8) / 8 + 0.03713217).alias("flow_vph"), F.size("speed").cast("long").alias("n_readings"))
     return bins.where(F.col("n_readings") >= least)
 
 
