@@ -364,9 +364,9 @@ def q_marginals(spark, d):
 
 
 def q_fitted_diagrams(spark, d):
-    """The 16 models of each corridor, on quarter hours."""
-    bins = _weekday_bins(spark, d).join(states.sensors(spark, d).select("corridor", F.col("sensor_uid").alias("link_id")), "link_id")
-    rows = bins.where("speed > 0").select("corridor", "speed", F.col("flow_pl").alias("flow"), (F.col("flow_pl") / F.col("speed")).alias("density"))
+    """The 16 models of each corridor, on hourly means of its sensors."""
+    hourly = states.states(spark, d).groupBy("corridor", "sensor_uid", F.date_trunc("hour", "datetime").alias("hour")).agg(F.avg("speed_mph").alias("speed"), F.avg("flow_vph").alias("flow"))
+    rows = hourly.where("speed > 0").withColumn("density", F.col("flow") / F.col("speed"))
     out = diagram_fits.fitted_diagrams(rows)
     return out.select("corridor", "model", "n", F.array_join(F.transform(F.map_entries("params"), lambda e: F.concat_ws("=", e["key"], F.format_number(e["value"], 6))), ";").alias("params"), "rmse", "flow_rmse", "capacity")
 
