@@ -59,10 +59,16 @@ def corridor_flow(rows: DataFrame, keys: tuple[str, ...], corridor: str = "corri
     return out.withColumn("q", F.least(F.greatest(F.col("theta") * F.col("_g") + F.col("slack"), F.lit(0.0)), F.col("cap"))).drop("_g", "_share", "cap")
 
 
+#: Coefficients of gallons a mile by speed, from the constant up; the speeds and the gallons between which the
+#: curve holds; grams of a gallon.
+FUEL, FUEL_SPEEDS, FUEL_RANGE, GALLON_G = (0.080, -0.0022, 0.0000235), (3.0, 80.0), (0.02, 0.20), 8887.0
+
+
 def co2_grams_per_mile(speed: Column) -> Column:
-    """A steady-state fuel curve (gallons a mile) times 8,887 g of a gallon; least near 47 mph."""
-    v = F.least(F.greatest(speed, F.lit(3.0)), F.lit(80.0))
-    return F.least(F.greatest(0.080 - 0.0022 * v + 0.0000235 * v * v, F.lit(0.02)), F.lit(0.20)) * 8887.0
+    """A steady-state fuel curve times the grams of a gallon; least near 47 mph."""
+    v = F.least(F.greatest(speed, F.lit(FUEL_SPEEDS[0])), F.lit(FUEL_SPEEDS[1]))
+    gallons = FUEL[0] + FUEL[1] * v + FUEL[2] * v * v
+    return F.least(F.greatest(gallons, F.lit(FUEL_RANGE[0])), F.lit(FUEL_RANGE[1])) * GALLON_G
 
 
 def queue_speeds(episodes: DataFrame) -> DataFrame:
