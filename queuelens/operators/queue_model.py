@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from queuelens import schemas as S
-from queuelens.functions.traffic import clip_to_default
+from queuelens.functions.traffic import clip_to_default, shape
 
 GROUP = ("sensor_uid", "period")
 
@@ -144,3 +144,17 @@ def shape_fits(rows: DataFrame, keys: tuple[str, ...] = ("episode_id",)) -> Data
         g = g.withColumn(s, F.when((F.col("ss") > 0) & (F.col(f"ff_{s}") > 0), F.bround(1 - (F.col("dd") - F.col(f"df_{s}") * F.col(f"df_{s}") / F.col(f"ff_{s}")) / F.col("ss"), 4)))
     best = F.array_max(F.array(*[F.struct(F.col(s).alias("r2"), F.lit(s).alias("name")) for s in shapes]))
     return g.select(*keys, "points", *shapes, best["name"].alias("winner"))
+
+
+def mean_shape(name: str, steps: int = 200) -> Column:
+    """The mean of a speed shape over its queue, from -1 to 1, by trapezoids."""
+    at = F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: shape(name, i * (2.0 / steps) - 1))
+    weighted = F.transform(at, lambda x, i: F.when((i == 0) | (i == steps), x / 2).otherwise(x))
+    return F.aggregate(weighted, F.lit(0.0), lambda a, x: a + x) / steps
+
+
+def shape_predictions(episodes: DataFrame, name: str = "quartic_symmetric") -> DataFrame:
+    """Adds shape, phi_mean, and the mean and the lowest speed that the shape gives between v_t2 (min_speed_mph) and free
+    flow (v_f_mph)."""
+    low, phi = F.col("min_speed_mph"), F.col("phi_mean")
+    return episodes.withColumns({"shape": F.lit(name), "phi_mean": mean_shape(name), "v_min_pred": low}).withColumn("v_avg_pred", low + (F.col("v_f_mph") - low) * phi)

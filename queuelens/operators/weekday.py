@@ -274,3 +274,18 @@ def queue_curve(episodes: DataFrame) -> DataFrame:
     after = cut + (vf - cut) * ((t - t3) / F.greatest(F.lit(0.01), hi / 60 - t3))
     v = F.when((t >= t0) & (t <= t3), inside).when(t < t0, before).otherwise(after)
     return episodes.withColumn("minute", F.explode(F.sequence(F.lit(lo), F.lit(hi - S.DEMO_DT), F.lit(S.DEMO_DT)))).withColumn("model_speed", F.greatest(F.lit(0.0), F.least(v, vf)))
+
+
+def period_accounting(profiles: DataFrame, diagrams: DataFrame, least_bins: int = 8) -> DataFrame:
+    """One row for each period (NT outside of all): vehicle miles and hours of the average weekday inside the search window,
+    hours at free flow, delay against free flow and against the speed at capacity, mean speed, and delay's share of the hours
+    in per cent. Neither delay is negative. diagrams: link_id, vf, uc; links with fewer than ``least_bins`` bins have none."""
+    lo, hi = S.DEMO_WINDOW
+    df = profiles.where((F.col("t_min") >= lo) & (F.col("t_min") < hi) & F.col("flow_pl").isNotNull())
+    df = df.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("link_id"))).where(F.col("n") >= least_bins).join(diagrams.select("link_id", "vf", "uc"), "link_id")
+    vmt = F.col("flow_pl") * (S.DEMO_DT / 60) * F.col("lanes") * F.col("length")
+    df = df.withColumns({"period": F.coalesce(_period(F.col("t_min")), F.lit("NT")), "vmt": vmt}).withColumns({"vht": F.col("vmt") / F.greatest("speed", F.lit(1.0)), "free": F.col("vmt") / F.col("vf"), "full": F.col("vmt") / F.col("uc")})
+    over = lambda c: F.sum(F.greatest(F.col("vht") - F.col(c), F.lit(0.0)))
+    out = df.groupBy("period").agg(F.sum("vmt").alias("vmt"), F.sum("vht").alias("vht"), F.sum("free").alias("vfftt"), over("free").alias("vdt"), over("full").alias("vcdt"))
+    some = F.col("vht") > 0
+    return out.withColumns({"avg_speed": F.when(some, F.col("vmt") / F.col("vht")).otherwise(0.0), "delay_share_pct": F.when(some, F.col("vdt") / F.col("vht") * 100).otherwise(0.0)})

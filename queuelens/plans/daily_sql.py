@@ -1,6 +1,7 @@
 """DuckDB SQL of stations day by day, written apart from their plans."""
 
-from queuelens.plans.oracles import STATES
+from queuelens.plans.oracles import EPISODES, STATES
+from queuelens.plans.weekday_sql import START
 
 _DAYS = f"""{STATES},
 seen as (
@@ -22,6 +23,21 @@ days as (
 
 def sql() -> dict[str, str]:
     return {
+        "period_accounting": f"""{START},
+caps as (select sensor_uid as link_id, quantile_cont(speed_mph, 0.95) filter (speed_mph > 0) as vf from states group by 1),
+few as (select *, count(*) over (partition by link_id) as n from profiles where t_min >= 300 and t_min < 1320 and flow_pl is not null),
+r as (select *, case when t_min < 600 then 'AM' when t_min < 840 then 'MD' when t_min < 1200 then 'PM' else 'NT' end as period, flow_pl * 0.25 * lanes * length as vmt from few join caps using (link_id) where n >= 8),
+s as (select *, vmt / greatest(speed, 1) as vht, vmt / vf as free, vmt / (0.7::double * vf) as at_capacity from r)
+select period, round(sum(vmt), 3) as vmt, round(sum(vht), 3) as vht, round(sum(free), 3) as vfftt, round(sum(greatest(vht - free, 0)), 3) as vdt, round(sum(greatest(vht - at_capacity, 0)), 3) as vcdt,
+  round(sum(vmt) / sum(vht), 3) as avg_speed, round(sum(greatest(vht - free, 0)) / sum(vht) * 100, 3) as delay_share_pct from s group by 1""",
+        "shape_predictions": f"""with {EPISODES},
+tau as (select i, i * 0.01::double - 1 as t from (select unnest(range(201)) as i)),
+phi as (
+  select 'quartic_symmetric' as shape, i, greatest(0, least(1, 1 - pow(1 - t * t, 2))) as p from tau union all select 'quadratic_symmetric', i, greatest(0, least(1, t * t)) from tau
+  union all select 'quadratic_early', i, greatest(0, least(1, case when t < 0 then t * t else pow(t, 1.5) end)) from tau),
+means as (select shape, sum(case when i in (0, 200) then p / 2 else p end) / 200 as m from phi group by 1)
+select sensor_uid, date, period, shape, round(m, 8) as phi_mean, round(min_speed_mph + (vf - min_speed_mph) * m, 5) as v_avg_pred, round(min_speed_mph, 5) as v_min_pred
+from episodes join caps using (sensor_uid), means where dc_existence""",
         "day_statistics": f"with {_DAYS} select sensor_uid, date, round(P, 6) as P, round(DC, 5) as DC, round(vt2, 4) as vt2, round(vbar, 5) as vbar, round(mu, 4) as mu, round(v_co, 5) as v_co, round(cap, 5) as cap from days",
         "station_laws": f"""with {_DAYS},
 c as (select *, v_co / vt2 - 1 as m from days where P > 0.25),

@@ -385,6 +385,19 @@ def q_laws(spark, d):
     return _rounded(_rounded(_rounded(out, 5, "f_d", "n", "f_p", "s"), 6, "theta"), 4, "r2")
 
 
+def q_period_accounting(spark, d):
+    own = _diagrams(spark, d).select(F.col("sensor_uid").alias("link_id"), F.col("v_f_mph").alias("vf"), F.col("v_c_mph").alias("uc"))
+    out = weekday.period_accounting(weekday.profiles(_weekday_bins(spark, d)), own)
+    return _rounded(out, 3, *out.columns[1:])
+
+
+def q_shape_predictions(spark, d):
+    eps = _with_ratios(spark, d).where("dc_existence")
+    every = [queue_model.shape_predictions(eps, name) for name in ("quartic_symmetric", "quadratic_symmetric", "quadratic_early")]
+    out = every[0].unionByName(every[1]).unionByName(every[2]).select("sensor_uid", "date", "period", "shape", "phi_mean", "v_avg_pred", "v_min_pred")
+    return _rounded(_rounded(out, 8, "phi_mean"), 5, "v_avg_pred", "v_min_pred")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_ranking(spark, sf_dir)
 
@@ -454,6 +467,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "predicted_discharge": q_predicted_mu,
         "chain_marginals": q_marginals,
         "issues": q_issues,
+        "period_accounting": q_period_accounting,
+        "shape_predictions": q_shape_predictions,
         "day_statistics": q_days,
         "station_laws": q_laws,
         "anomaly_days": lambda s, d: _rounded(daily.anomaly_days(daily.median_residuals(states.states(s, d))), 3, "energy"),
