@@ -57,6 +57,18 @@ def run_gates(audited: DataFrame) -> DataFrame:
     return a.select(F.inline(F.array(*[F.struct(F.lit(g).alias("gate"), c(v).cast("double").alias("value"), s.alias("status")) for g, (v, s) in rules.items()])))
 
 
+def run_comparison(audited: DataFrame, reference: DataFrame | None = None) -> DataFrame:
+    """period, valid episodes and medians of duration, lowest speed, discharge rate and capacity over audits.audit(); beside
+    them, as ref_..., those of a reference run's audit. Periods are those of the current run."""
+    mid = lambda c: F.bround(F.percentile(c, F.lit(0.5)), 1)
+    columns = {"n_valid": F.count(F.lit(1)), "P_min_median": mid("P_min"), "v_t2_median": mid("v_t2_mph"), "mu_median": mid("mu_obs_vphpl"), "capacity_median": mid("capacity_calibrated_vphpl")}
+    out = audited.groupBy("period").agg(*[c.alias(k) for k, c in columns.items()])
+    if reference is None:
+        return out
+    ref = reference.groupBy("period").agg(*[c.alias(f"ref_{k}") for k, c in columns.items() if k != "capacity_median"])
+    return out.join(ref, "period", "left")
+
+
 def trip_gates(trips: DataFrame, errors: DataFrame) -> DataFrame:
     """(period, gate, value, status): medians of the round trip's and the speed profile's errors by period, and the share
     of episodes whose calibration isn't ok. trips: audits.round_trip(); errors: audits.speed_errors()."""

@@ -236,6 +236,12 @@ ordered as (
   select 0 as part, * from found
   union all select 1, sensor_uid, '', 0, '', 'fd_fit_implausible', corridor, null, 0.85, 'medium', 'capacity=' || cast(round_even(cap, 0) as bigint) || ';r2=' || cast(round_even(r2, 3) as varchar), 'REVIEW_DETECTOR_DATA;EXCLUDE_FROM_FD_POOL' from bad),
 graph as (select 'I-' || lpad(cast(row_number() over (order by part, sensor_uid, period, k, date) as varchar), 3, '0') as issue_id, * exclude (part, period, k, date) from ordered)"""
+    mid = "round_even(quantile_cont({}, 0.5), 1)"
+    found["run_comparison"] = f"""with {_AUDIT},
+ref as (
+  with {_AUDIT.replace(EPISODES, oracles.EPISODES_BY_SENSOR)}
+  select period, count(*) as ref_n_valid, {mid.format("P_min")} as "ref_P_min_median", {mid.format("v2")} as ref_v_t2_median, {mid.format("mu_obs")} as ref_mu_median from consistent group by 1)
+select c.*, ref.* exclude (period) from (select period, count(*) as n_valid, {mid.format("P_min")} as "P_min_median", {mid.format("v2")} as v_t2_median, {mid.format("mu_obs")} as mu_median, {mid.format("cap")} as capacity_median from consistent group by 1) c left join ref using (period)"""
     found["issues"] = f"with {graph} select issue_id, type, corridor, sensor_uid, time_window, confidence::double as confidence, severity, evidence, recommended_token, 'open' as status from graph"
     found["corroborated_reports"] = f"""with {graph}, rep as ({text}),
 more as (

@@ -385,6 +385,14 @@ def q_laws(spark, d):
     return _rounded(_rounded(_rounded(out, 5, "f_d", "n", "f_p", "s"), 6, "theta"), 4, "r2")
 
 
+def q_run_comparison(spark, d):
+    """A run with one critical speed for all, beside a run with each sensor's own."""
+    qc, own = cut(_qc(spark, d)), cut(_diagrams(spark, d))
+    fd = own.select("sensor_uid", F.col("v_c_mph").alias("v_c_fit_mph"), "capacity_vphpl", F.lit(False).alias("flow_synthetic"))
+    one, each = cut(episodes.find_episodes(qc)), cut(episodes.find_episodes(qc, by_sensor=own))
+    return gates.run_comparison(audits.audit(one, qc, fd), audits.audit(each, qc, fd))
+
+
 def q_period_accounting(spark, d):
     own = _diagrams(spark, d).select(F.col("sensor_uid").alias("link_id"), F.col("v_f_mph").alias("vf"), F.col("v_c_mph").alias("uc"))
     out = weekday.period_accounting(weekday.profiles(_weekday_bins(spark, d)), own)
@@ -466,6 +474,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "observed_diagrams": lambda s, d: _rounded(_diagrams(s, d), 4, "v_f_mph", "capacity_vphpl", "v_c_mph", "k_critical_vpm", "s3_m", "r2"),
         "predicted_discharge": q_predicted_mu,
         "chain_marginals": q_marginals,
+        "run_comparison": q_run_comparison,
         "issues": q_issues,
         "period_accounting": q_period_accounting,
         "shape_predictions": q_shape_predictions,

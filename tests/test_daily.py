@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from queuelens.operators import daily
+from queuelens.operators import daily, gates, queue_model, weekday
 
 
 def walked(v, v_co, bridge):
@@ -79,3 +79,30 @@ def test_a_slow_day_stands_out_from_days_of_its_kind(spark):
     cut = 4 / np.sqrt(3 * 288)
     assert got["2024-01-09"].energy == pytest.approx(9 * (40 - cut)) and got["2024-01-09"].n_cells == 9
     assert all(r.energy == 0 for d, r in got.items() if d != "2024-01-09")
+
+
+def test_mean_shapes_by_trapezoids(spark):
+    tau = np.linspace(-1, 1, 201)
+    shapes = {"quartic_symmetric": 1 - (1 - tau**2) ** 2, "quadratic_symmetric": tau**2, "quadratic_early": np.where(tau < 0, tau**2, np.abs(tau) ** 1.5)}
+    df = spark.createDataFrame([(20.0, 70.0)], "min_speed_mph double, v_f_mph double")
+    for name, phi in shapes.items():
+        mean = float(np.trapezoid(phi, tau) / 2)
+        got = queue_model.shape_predictions(df, name).first()
+        assert (got.phi_mean, got.v_avg_pred, got.v_min_pred) == pytest.approx((mean, 20 + 50 * mean, 20.0))
+
+
+def test_delay_by_period_has_no_negative_parts(spark):
+    rows = [("a", t, 80.0 if t < 600 else 20.0, 400.0, 2.0, 0.5) for t in range(300, 1320, 15)] + [("few", t, 10.0, 400.0, 2.0, 0.5) for t in range(300, 390, 15)]
+    df = spark.createDataFrame(rows, "link_id string, t_min int, speed double, flow_pl double, lanes double, length double")
+    got = {r.period: r for r in weekday.period_accounting(df, spark.createDataFrame([("a", 70.0, 49.0), ("few", 70.0, 49.0)], "link_id string, vf double, uc double")).collect()}
+    assert {p: r.vmt for p, r in got.items()} == {"AM": 2000.0, "MD": 1600.0, "PM": 2400.0, "NT": 800.0} and got["AM"].vdt == got["AM"].vcdt == 0
+    pm = got["PM"]
+    assert (pm.vht, pm.vdt, pm.vcdt, pm.avg_speed) == pytest.approx((120.0, 120 - 2400 / 70, 120 - 2400 / 49, 20.0)) and pm.delay_share_pct == pytest.approx(100 * (1 - 20 / 70))
+
+
+def test_a_run_beside_its_reference(spark):
+    schema = "period string, P_min double, v_t2_mph double, mu_obs_vphpl double, capacity_calibrated_vphpl double"
+    now = spark.createDataFrame([("AM", 60.0, 30.0, 1500.0, 1800.0), ("AM", 90.0, 20.0, None, 1800.0), ("PM", 30.0, 40.0, 1400.0, None)], schema)
+    got = {r.period: r for r in gates.run_comparison(now, spark.createDataFrame([("AM", 50.0, 31.0, 1600.0, 1.0), ("MD", 1.0, 1.0, 1.0, 1.0)], schema)).collect()}
+    assert (got["AM"].n_valid, got["AM"].P_min_median, got["AM"].mu_median, got["AM"].ref_n_valid, got["AM"].ref_v_t2_median) == (2, 75.0, 1500.0, 1, 31.0)
+    assert set(got) == {"AM", "PM"} and got["PM"].ref_n_valid is None and got["PM"].capacity_median is None
