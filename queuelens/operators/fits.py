@@ -1,6 +1,6 @@
-"""Fits that need a kernel for each sensor or corridor: robust diagrams, resampled medians, low-rank completion.
+"""Fits that need a kernel for each sensor: robust diagrams and resampled medians. Scores of completion on held-out blocks.
 
-Spark groups the rows; a kernel is a few lines of numpy over one sensor's (or corridor's) own series.
+Spark groups the rows; a kernel is a few lines of numpy over one sensor's own series.
 """
 
 from __future__ import annotations
@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from queuelens.operators.completion import complete_speeds
+from queuelens.session import cut
+
 #: The bounds of the parameters in order, beside speed by density.
 ROBUST_MODELS = {
     "S3": (lambda k, vf, kc, m: vf / (1 + (k / kc) ** m) ** (2 / m), (20, 10, 1), (85, 200, 8)),
@@ -143,98 +146,6 @@ def bootstrap_medians(values: DataFrame, keys: tuple[str, ...], value: str, prio
     return values.select(*keys, value).groupBy(*keys).applyInPandas(resample, schema)
 
 
-def soft_impute(x: np.ndarray, lam: float | None = None, steps: int = 200, tol: float = 1e-4) -> np.ndarray:
-    """Fills missing cells of a matrix by soft-thresholded singular values."""
-    known = np.isfinite(x)
-    z = np.where(known, x, np.nanmean(x) if known.any() else 0.0)
-    lam = lam if lam is not None else 0.02 * np.linalg.norm(z, 2)
-    for _ in range(steps):
-        u, s, vt = np.linalg.svd(z, full_matrices=False)
-        new = np.where(known, x, (u * np.maximum(s - lam, 0)) @ vt)
-        if np.linalg.norm(new - z) <= tol * max(1e-12, np.linalg.norm(z)):
-            return new
-        z = new
-    return z
-
-
-def unfold(t: np.ndarray, mode: int) -> np.ndarray:
-    return np.moveaxis(t, mode, 0).reshape(t.shape[mode], -1)
-
-
-def tensor_complete(t: np.ndarray, share: float = 0.02, steps: int = 120, tol: float = 1e-4) -> np.ndarray:
-    """Fills missing cells of a sensor x time x day cube by thresholding all three unfoldings and averaging them."""
-    known = np.isfinite(t)
-    z = np.where(known, t, np.nanmean(t) if known.any() else 0.0)
-    for _ in range(steps):
-        parts = []
-        for mode in range(3):
-            u, s, vt = np.linalg.svd(unfold(z, mode), full_matrices=False)
-            low = (u * np.maximum(s - share * s[0], 0)) @ vt
-            parts.append(np.moveaxis(low.reshape(np.moveaxis(z, mode, 0).shape), 0, mode))
-        new = np.where(known, t, np.mean(parts, axis=0))
-        if np.linalg.norm(new - z) <= tol * np.linalg.norm(z):
-            return new
-        z = new
-    return z
-
-
-def robust_pca(x: np.ndarray, lam: float | None = None, steps: int = 120, tol: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
-    """Low-rank and sparse parts of a matrix by the inexact augmented Lagrangian."""
-    lam = lam or 1 / np.sqrt(max(x.shape))
-    norm, two = np.linalg.norm(x), np.linalg.norm(x, 2)
-    y, s, mu = x / max(two, np.abs(x).max() / lam), np.zeros_like(x), 1.25 / two
-    low = s
-    for _ in range(steps):
-        u, d, vt = np.linalg.svd(x - s + y / mu, full_matrices=False)
-        low = (u * np.maximum(d - 1 / mu, 0)) @ vt
-        r = x - low + y / mu
-        s = np.sign(r) * np.maximum(np.abs(r) - lam / mu, 0)
-        gap = x - low - s
-        y, mu = y + mu * gap, min(mu * 1.5, 1e7)
-        if np.linalg.norm(gap) <= tol * norm:
-            break
-    return low, s
-
-
-def tucker(t: np.ndarray, ranks: tuple[int, int, int]) -> np.ndarray:
-    """The cube rebuilt from its leading singular vectors of each mode."""
-    for mode, r in enumerate(ranks):
-        u = np.linalg.svd(unfold(t, mode), full_matrices=False)[0][:, :r]
-        t = np.moveaxis(np.tensordot(u @ u.T, np.moveaxis(t, mode, 0), axes=1), 0, mode)
-    return t
-
-
-def _cube(pdf: pd.DataFrame, value: str) -> tuple[np.ndarray, list[np.ndarray]]:
-    axes = [np.sort(pdf[c].unique()) for c in ("sensor_uid", "slot", "date")]
-    t = np.full([len(a) for a in axes], np.nan)
-    t[tuple(np.searchsorted(a, pdf[c].to_numpy()) for a, c in zip(axes, ("sensor_uid", "slot", "date"), strict=True))] = pdf[value].to_numpy(float)
-    return t, axes
-
-
-def complete_speeds(states: DataFrame, method: str = "tensor", minutes: int = 60, ranks: tuple[int, int, int] = (8, 10, 4), days: int = 28) -> DataFrame:
-    """(corridor, sensor_uid, date, slot, observed, completed): each corridor's sensor x slot x day cube, filled by
-    "matrix", "tensor" or "tucker" (of the tensor's filling), or split by "rpca" (low-rank part). A cube has at most
-    ``days`` days, so that a task gets a bounded matrix however long the history."""
-    slot = F.expr(f"(hour(datetime) * 60 + minute(datetime)) div {minutes}").cast("int")
-    cells = states.groupBy("corridor", "sensor_uid", F.date_format("datetime", "yyyy-MM-dd").alias("date"), slot.alias("slot")).agg(F.avg("speed_mph").alias("v"))
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, axes = _cube(pdf, "v")
-        flat = unfold(t, 0)
-        if method == "matrix":
-            done = soft_impute(flat).reshape(t.shape)
-        elif method == "rpca":
-            done = robust_pca(soft_impute(flat))[0].reshape(t.shape)
-        else:
-            done = tensor_complete(t)
-            done = tucker(done, ranks) if method == "tucker" else done
-        i, j, k = (x.reshape(-1) for x in np.meshgrid(*axes, indexing="ij"))
-        return pd.DataFrame({"corridor": pdf.corridor.iloc[0], "sensor_uid": i, "date": k, "slot": j.astype("int32"), "observed": t.reshape(-1), "completed": done.reshape(-1)})
-
-    span = F.floor(F.datediff(F.col("date"), F.lit("2000-01-03")) / days).alias("span")
-    return cells.groupBy("corridor", span).applyInPandas(fill, "corridor string, sensor_uid string, date string, slot int, observed double, completed double")
-
-
 def held_out(states: DataFrame, share: float = 0.3, seed: int = 7, hours: int | None = 2) -> DataFrame:
     """states with ``truth`` and, in speed_mph, nothing where a sensor's block of hours (or, without hours, a single row) is
     held out. The choice follows from hashes, so it is the same however rows are partitioned."""
@@ -268,38 +179,20 @@ def engine_scores(guessed: DataFrame, engine: str, congested_below: float = 45.0
     return guessed.agg(F.lit(engine).alias("engine"), F.count(err).alias("n"), F.avg(err).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"), F.count(low).alias("n_congested"), F.avg(low).alias("mae_congested"))
 
 
-def engine_arena(states: DataFrame, share: float = 0.3, minutes: int = 60, methods: tuple[str, ...] = ("matrix", "tensor", "rpca")) -> DataFrame:
+def engine_arena(states: DataFrame, share: float = 0.3, minutes: int = 60, methods: tuple[str, ...] = ("matrix", "tensor", "rpca"), rank: int = 3) -> DataFrame:
     """Scores of persistence, the time-of-day profile and each completion method on the same held-out blocks of means."""
     slot = F.window("datetime", f"{minutes} minutes")["start"]
     cells = states.groupBy("corridor", "sensor_uid", slot.alias("datetime")).agg(F.avg("speed_mph").alias("speed_mph"))
-    held = held_out(cells, share)
+    held = cut(held_out(cells, share))
     out = engine_scores(persisted(held), "persistence").unionByName(engine_scores(time_of_day(held, minutes), "tod_profile"))
     keys = ["corridor", "sensor_uid", "date", "slot"]
     marked = held.withColumns({"date": F.date_format("datetime", "yyyy-MM-dd"), "slot": F.expr(f"(hour(datetime) * 60 + minute(datetime)) div {minutes}").cast("int")})
     for m in methods:
-        guess = complete_speeds(held, m, minutes).select(*keys, F.col("completed").alias("guess"))
+        guess = complete_speeds(held, m, minutes, rank=rank).select(*keys, F.col("completed").alias("guess"))
         out = out.unionByName(engine_scores(marked.join(guess, keys), m))
     return out
 
 
-def mode_spectra(states: DataFrame, minutes: int = 60) -> DataFrame:
-    """Rank statistics of each corridor's cube and mode: participation ratio, and ranks with 90 and 99 % of the energy, over
-    the days that are given: a task gets a corridor's cube, so give it weeks."""
-    filled = complete_speeds(states, "tensor", minutes, days=1_000_000)
-
-    def spectra(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, _ = _cube(pdf, "completed")
-        rows = []
-        for mode, name in enumerate(("sensor", "slot", "date")):
-            m = unfold(t, mode)
-            e = np.maximum(np.linalg.eigvalsh(m @ m.T)[::-1], 0)
-            share = e.cumsum() / e.sum()
-            rows.append((pdf.corridor.iloc[0], name, len(e), float(e.sum() ** 2 / (e * e).sum()), int(np.searchsorted(share, 0.9)) + 1, int(np.searchsorted(share, 0.99)) + 1))
-        return pd.DataFrame(rows, columns=["corridor", "mode", "size", "participation", "k90", "k99"])
-
-    return filled.groupBy("corridor").applyInPandas(spectra, "corridor string, mode string, size int, participation double, k90 int, k99 int")
-
-
 def conserve_volume(rows: DataFrame, cap: str = "capacity_vphpl") -> DataFrame:
     """Adds flow_conserved: clip(flow0 + x, 0, cap) for each link, with the x that makes the sum equal to the link's
     total. Needs link_id, flow0, total and the capacity."""

@@ -2,7 +2,7 @@
 
 RAW = """
 reports as (
-  select user_id // 7 as number, ts - to_days(cast(d - d // 3 as integer)) + to_minutes(cast(5 * step as integer)) as ts, value, event_id, step
+  select user_id // 7 as number, ts - to_days(cast(d - d // 3 as integer)) + to_minutes(cast(5 * step as integer)) as ts, value, event_id, step, user_id
   from (select *, date_diff('day', date '2024-01-01', cast(ts as date)) as d from events), (select unnest(range(12)) as step)),
 moments as (
   select *, number // 8 as corridor, number % 8 as place, hour(ts) + minute(ts) / 60.0::double as h, isodow(ts) > 5 as weekend, cast(30 + number % 4 * 3 as double) as kc,
@@ -15,7 +15,7 @@ falls as (
     + case when pm > 0 and abs(h - pm_at) < pm then 42.0::double * (1 - ((h - pm_at) / pm) * ((h - pm_at) / pm)) else 0.0::double end as fall from queues),
 speeds as (select *, 70.0::double - fall - noise as speed from falls),
 raw as (
-  select 'S' || lpad(cast(number as varchar), 4, '0') as sensor_uid, number, ts, speed,
+  select 'S' || lpad(cast(number as varchar), 4, '0') as sensor_uid, number, ts, speed, user_id,
     case when fall > 18 then kc * 70 / sqrt(2) * (1.0::double - 0.01::double * (h - case when h < 12 then 4.0::double else 12.0::double end))
       else least(least(speed, 0.99::double * 70) * kc * pow(greatest(pow(greatest(70.0::double / greatest(1, least(speed, 0.99::double * 70)), 1.00001::double), 2.0) - 1, 1e-8), 0.25), kc * 70 / sqrt(2)) end
       * (0.92::double + event_id % 11 / 100.0::double) as flow

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from queuelens import schemas as S
 from queuelens.functions import diagrams, traffic
-from queuelens.operators import audits, daily, diagram_fits, direction, discharge, episodes, evidence, fits, flows, gates, panels, priors, quality_control, queue_model, queues, ranking, regressions, reliability, runs, text_issues, tokens, weekday
-from queuelens.plans import audit_sql, daily_sql, oracles, queue_sql, states, weekday_sql
+from queuelens.operators import audits, completion, daily, diagram_fits, direction, discharge, episodes, evidence, fits, flows, gates, panels, priors, quality_control, queue_model, queues, ranking, regressions, reliability, runs, text_issues, tokens, weekday
+from queuelens.plans import audit_sql, completion_sql, daily_sql, oracles, queue_sql, states, weekday_sql
 from queuelens.session import cut
 
 FD_CANDIDATES = [
@@ -290,6 +290,17 @@ def q_curves(spark, d):
     return _rounded(_rounded(weekday.queue_curve(eps).select("link_id", "date", "period", "t0", "minute", "model_speed"), 8, "model_speed"), 9, "t0")
 
 
+def q_low_rank(spark, d):
+    return _rounded(completion.complete_speeds(states.states(spark, d), "matrix", rank=2, rounds=3, tolerance=0), 4, "observed", "completed")
+
+
+def q_probes(spark, d):
+    """Users are the vehicles; a corridor's field is sensor by hour."""
+    rows = states.readings(spark, d).select(F.concat(F.lit("C"), F.expr("number div 8").cast("string")).alias("corridor"), F.col("sensor_uid").alias("pi"), F.date_format("ts", "yyyy-MM-dd HH").alias("ti"), "user_id", "speed")
+    out = completion.probe_completion(rows, (0.3, 0.6), 2, keys=("corridor",), vehicle="user_id", rank=2, rounds=3, tolerance=0)
+    return _rounded(out, 5, "r2", "rmse").withColumn("obs_frac", F.round("obs_frac", 6))
+
+
 def q_calibrated_links(spark, d):
     return weekday.shrink(cut(weekday.calibrate(_congestion(spark, d))))
 
@@ -489,11 +500,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "state_tokens": q_tokens,
         "shape_fits": q_shapes,
         "robust_diagrams": lambda s, d: fits.fit_diagrams(states.states(s, d)),
-        "completed_speeds": lambda s, d: fits.complete_speeds(states.states(s, d)),
-        "mode_spectra": lambda s, d: fits.mode_spectra(states.states(s, d)),
+        "low_rank_speeds": q_low_rank,
+        "probe_completion": q_probes,
+        "completed_speeds": lambda s, d: completion.complete_speeds(states.states(s, d)),
+        "mode_spectra": lambda s, d: completion.mode_spectra(states.states(s, d)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    found = oracles.sql() | audit_sql.sql() | weekday_sql.sql() | queue_sql.sql() | daily_sql.sql()
+    found = oracles.sql() | audit_sql.sql() | weekday_sql.sql() | queue_sql.sql() | daily_sql.sql() | completion_sql.sql()
     return {name: found[name] for name in queries() if name in found}

@@ -206,22 +206,6 @@ def test_bootstrap_shrinks(spark):
     assert got["Q_n"].p5 <= got["Q_n"].median == 1.2 <= got["Q_n"].p95 and math.isclose(got["Q_s"].shrunk, 2 / 6 + 4 * 5 / 6)
 
 
-def test_completion_kernels(spark):
-    rng = np.random.default_rng(0)
-    t = np.einsum("i,j,k->ijk", rng.uniform(1, 2, 6), rng.uniform(1, 2, 8), rng.uniform(1, 2, 5))
-    holes = np.where(rng.random(t.shape) < 0.2, np.nan, t)
-    assert np.abs(fits.tensor_complete(holes, 0.005) - t).max() < 0.6
-    assert np.abs(fits.tucker(t, (1, 1, 1)) - t).max() < 1e-9
-    m = fits.unfold(t, 0)
-    low, sparse = fits.robust_pca(m + np.where(rng.random(m.shape) < 0.05, 10, 0))
-    assert np.abs(low - m).mean() < 0.5
-    df = spark.createDataFrame([("c", f"s{i}", f"2024-01-0{d} {h:02d}:00:00", 50.0 + i + h) for i in range(3) for d in range(1, 4) for h in range(24) if (i + d + h) % 5], "corridor string, sensor_uid string, t string, speed_mph double").withColumn("datetime", F.col("t").cast("timestamp_ntz"))
-    for method in ("matrix", "tensor", "tucker", "rpca"):
-        out = fits.complete_speeds(df, method).toPandas()
-        assert len(out) == 3 * 3 * 24 and out.completed.notna().all()
-    assert fits.mode_spectra(df).count() == 3
-
-
 def test_conserved_volume(spark):
     df = spark.createDataFrame([("l", float(q), 1000.0, 2000.0) for q in (100, 800, 900)], "link_id string, flow0 double, capacity_vphpl double, total double")
     assert abs(fits.conserve_volume(df).agg(F.sum("flow_conserved")).first()[0] - 2000) < 1e-6
