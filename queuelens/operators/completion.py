@@ -48,7 +48,7 @@ def _start(m: str, rank: int, size: Column) -> Column:
     return F.array(*[at(k) * size for k in range(rank)])
 
 
-def low_rank(cells: DataFrame, modes: Sequence[str], keys: Sequence[str] = ("corridor",), value: str = "v", rank: int = 3, ridge: float = 0.02, rounds: int = 8, tolerance: float = 0.02, robust: bool = False) -> LowRank:
+def low_rank(cells: DataFrame, modes: Sequence[str], keys: Sequence[str] = ("corridor",), value: str = "v", rank: int = 3, ridge: float = 0.02, rounds: int = 6, tolerance: float = 0.02, robust: bool = False) -> LowRank:
     """The fit of each group's known cells (keys, modes, value) by its mean and ``rank`` products of one number a mode value.
 
     Least squares with ``ridge`` times the norm of the group's centred cells on the factors: for two modes these are, at
@@ -119,7 +119,7 @@ def whole_grid(cells: DataFrame, modes: Sequence[str], keys: Sequence[str]) -> D
     return functools.reduce(lambda a, b: a.join(b, list(keys)), seen)
 
 
-def complete_speeds(states: DataFrame, method: str = "tensor", minutes: int = 60, ranks: tuple[int, int, int] = (8, 10, 4), days: int = 28, rank: int = 3, rounds: int = 8, tolerance: float = 0.02) -> DataFrame:
+def complete_speeds(states: DataFrame, method: str = "tensor", minutes: int = 60, ranks: tuple[int, int, int] = (8, 10, 4), days: int = 28, rank: int = 3, rounds: int = 6, tolerance: float = 0.02) -> DataFrame:
     """(corridor, sensor_uid, date, slot, observed, completed) of each corridor's sensor x slot x day cube. "matrix" fits
     sensor and slot by day, "tensor" all three modes; known cells stay. "tucker" rebuilds the tensor's filling from its
     leading vectors, "rpca" is the low-rank part beside sparse residuals: both replace known cells too. Spans of ``days``
@@ -168,7 +168,7 @@ def spectra(cells: DataFrame, modes: Sequence[str], keys: Sequence[str]) -> Data
     return functools.reduce(DataFrame.unionByName, grams).groupBy(*keys, "mode").applyInPandas(rank_statistics, f"{schema}, mode string, size int, participation double, k90 int, k99 int")
 
 
-def mode_spectra(states: DataFrame, minutes: int = 60, rounds: int = 8) -> DataFrame:
+def mode_spectra(states: DataFrame, minutes: int = 60, rounds: int = 6) -> DataFrame:
     """Rank statistics of each corridor's filled cube and mode, over all days that are given."""
     filled = cut(complete_speeds(states, "tensor", minutes, rounds=rounds).withColumnRenamed("completed", "v"))
     return spectra(filled, ("sensor_uid", "slot", "date"), ("corridor",)).withColumn("mode", F.when(F.col("mode") == "sensor_uid", "sensor").otherwise(F.col("mode")))
@@ -215,7 +215,7 @@ def sampled(vehicle: Column, trial: Column, seed: int = 0) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", vehicle.cast("string"), trial.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("double") / 2.0**32
 
 
-def probe_completion(rows: DataFrame, penetrations: Sequence[float], trials: int = 5, modes: Sequence[str] = ("pi", "ti"), keys: Sequence[str] = (), vehicle: str = "vehicle", speed: str = "speed", rank: int = 3, ridge: float = 0.02, rounds: int = 8, tolerance: float = 0.02, seed: int = 0) -> DataFrame:
+def probe_completion(rows: DataFrame, penetrations: Sequence[float], trials: int = 5, modes: Sequence[str] = ("pi", "ti"), keys: Sequence[str] = (), vehicle: str = "vehicle", speed: str = "speed", rank: int = 3, ridge: float = 0.02, rounds: int = 6, tolerance: float = 0.02, seed: int = 0) -> DataFrame:
     """keys, penetration, trial, n_probes, n_seen, n_unseen, obs_frac, r2, rmse: how well the mean speeds of all vehicles'
     cells come back from those of a share of the vehicles. Scores are of cells that other vehicles drove through and no
     probe; r2 and rmse are null without such cells, r2 also where they don't differ. A trial without any probe has no row.
