@@ -12,14 +12,20 @@ from queuelens.functions import traffic as X
 KEYS = ["sensor_uid", "corridor", "date", "period"]
 
 
-def sliced(qc: DataFrame, period: Column | None = None) -> DataFrame:
-    """Rows with their date, period and place in it (from 0); speeds that fail quality control are missing."""
+def labelled(qc: DataFrame, period: Column | None = None) -> DataFrame:
+    """Rows with their date and period; speeds that fail quality control are missing."""
     df = qc.withColumn("date", F.date_format("datetime", "yyyy-MM-dd")).withColumn("period", X.period_of("datetime") if period is None else period)
-    if "qc_pass" in qc.columns:
-        df = df.withColumn("v", F.when(F.col("qc_pass"), F.col("speed_mph_clean")))
-    else:
-        df = df.withColumn("v", F.col("speed_mph"))
-    return df.withColumn("idx", F.row_number().over(W.partitionBy(*KEYS).orderBy("datetime")) - 1)
+    return df.withColumn("v", F.when(F.col("qc_pass"), F.col("speed_mph_clean")) if "qc_pass" in qc.columns else F.col("speed_mph"))
+
+
+def sliced(qc: DataFrame, period: Column | None = None) -> DataFrame:
+    """Labelled rows with their place in the period (from 0)."""
+    return labelled(qc, period).withColumn("idx", F.row_number().over(W.partitionBy(*KEYS).orderBy("datetime")) - 1)
+
+
+def _reach(marks: Column) -> Column:
+    """How many places an episode goes on, from marks that begin at its lowest speed: to the last L before a break."""
+    return F.length(F.rtrim(F.split(marks, "HH|GGG", 2)[0], F.lit("HG"))) - 1
 
 
 def classify(rows: DataFrame, v_c: float | Column = S.DEFAULT_VC_MPH, dt_min: float = S.DT_MIN) -> DataFrame:
@@ -27,74 +33,59 @@ def classify(rows: DataFrame, v_c: float | Column = S.DEFAULT_VC_MPH, dt_min: fl
     that is the same for all rows of a sensor.
 
     From the lowest speed outwards an episode ends before two known speeds above v_c in a row or three missing ones;
-    its bounds are the last speeds at or below v_c. With window functions a scan is two breaking flags and the nearest
-    of each: gaps and islands, without a loop. Groups of fewer than six rows are left out.
+    its bounds are the last speeds at or below v_c. A key's rows, at most a day's period, become one sorted list, and a
+    string with a mark for each (L at or below v_c, H above it, G missing): both scans are a split at the first break.
+    One shuffle, no window. Groups of fewer than six rows are left out.
     """
-    group, order = W.partitionBy(*KEYS), W.partitionBy(*KEYS).orderBy("idx")
     v_c = v_c if isinstance(v_c, Column) else F.lit(float(v_c))
-    v, low = F.col("v"), F.col("v") <= v_c
-    high = F.coalesce(v > v_c, F.lit(False))
-    gap = v.isNull()
-    df = rows.withColumn("n", F.count(F.lit(1)).over(group)).where("n >= 6")
-    df = df.withColumn("_high", high).withColumn("_gap", gap)
-    before = lambda c, k: F.coalesce(F.lag(c, k).over(order), F.lit(False))
-    after = lambda c, k: F.coalesce(F.lead(c, k).over(order), F.lit(False))
-    df = df.withColumns(
-        {
-            "_ahead": F.col("_high") & before("_high", 1) | F.col("_gap") & before("_gap", 1) & before("_gap", 2),
-            "_behind": F.col("_high") & after("_high", 1) | F.col("_gap") & after("_gap", 1) & after("_gap", 2),
-            "_low": F.coalesce(low, F.lit(False)),
-            "worst": F.min(F.when(v.isNotNull(), F.struct(v.alias("v"), F.col("idx").alias("at")))).over(group),
-        }
-    )
-    at = F.col("worst.at")
-    df = df.withColumns({"_to": F.min(F.when(F.col("_ahead") & (F.col("idx") > at), F.col("idx"))).over(group), "_from": F.max(F.when(F.col("_behind") & (F.col("idx") < at), F.col("idx"))).over(group)})
-    inside = F.col("_low") & (F.col("idx") > F.coalesce("_from", F.lit(-1))) & (F.col("idx") < F.coalesce("_to", F.col("n")))
-    df = df.withColumn("_in", inside)
-    sbm = F.coalesce(F.col("worst.v") <= v_c, F.lit(False))
-    df = df.withColumns(
-        {
-            "t0": F.when(sbm, F.min(F.when(F.col("_in") & (F.col("idx") <= at), F.col("idx"))).over(group)).otherwise(0),
-            "t2": F.coalesce(at, F.lit(0)),
-            "t3": F.when(sbm, F.max(F.when(F.col("_in") & (F.col("idx") >= at), F.col("idx"))).over(group)).otherwise(0),
-            "sbm": sbm,
-        }
-    )
+    mark = F.when(F.col("v").isNull(), "G").when(F.col("v") <= v_c, "L").otherwise("H")
+    at = "datetime" if "datetime" in rows.columns else "idx"
+    bins = F.sort_array(F.collect_list(F.struct(at, "v", F.col("flow_vph").alias("q"), mark.alias("mark"))))
+    order = [F.min("road_order").alias("road_order")] if "road_order" in rows.columns else []
+    df = rows.groupBy(*KEYS).agg(bins.alias("bins"), F.first(v_c).alias("v_c_mph"), *order)
+    df = df.withColumn("n_bins", F.size("bins")).where("n_bins >= 6")
+    least = F.array_min(F.transform("bins", lambda b, i: F.when(b["v"].isNotNull(), F.struct(b["v"].alias("v"), i.alias("at")))))
+    df = df.withColumns({"worst": least, "marks": F.array_join("bins.mark", "")})
+    df = df.withColumns({"dc_existence": F.coalesce(F.col("worst.v") <= F.col("v_c_mph"), F.lit(False)), "t2_index": F.coalesce("worst.at", F.lit(0))})
+    begins = F.col("t2_index") - _reach(F.reverse(F.substring("marks", F.lit(1), F.col("t2_index") + 1)))
+    ends = F.col("t2_index") + _reach(F.substring("marks", F.col("t2_index") + 1, F.col("n_bins")))
+    found = F.col("dc_existence")
+    df = df.withColumns({"t0_index": F.when(found, begins).otherwise(0), "t3_index": F.when(found, ends).otherwise(0)})
     # The discharge window: falling flow below v_c between the worst bin and the end.
-    tail = (F.col("idx") > F.col("t2")) & (F.col("idx") <= F.col("t3"))
-    q = F.col("flow_vph")
-    step = F.when(F.col("idx") == F.col("t2") + 1, q - q).otherwise(q - F.lag(q).over(order))
-    counted = F.max(F.when(tail & q.isNotNull(), 1).otherwise(0)).over(group) == 1
-    keep = tail & F.coalesce(v < v_c, F.lit(False)) & (~counted | F.coalesce(step <= 0, F.lit(False)))
-    df = df.withColumn("_keep", keep)
-    span = (F.col("idx") >= F.col("t0")) & (F.col("idx") <= F.col("t3"))
-    out = df.groupBy(*KEYS).agg(
-        F.first("n").alias("n_bins"),
-        F.first("t0").alias("t0_index"),
-        F.first("t2").alias("t2_index"),
-        F.first("t3").alias("t3_index"),
-        F.first("worst.v").alias("min_speed_mph"),
-        F.first("sbm").alias("dc_existence"),
-        F.coalesce(F.sum(F.when(span, q * dt_min / 60)), F.lit(0.0)).alias("demand_veh"),
-        F.avg(F.when(span, v)).alias("cong_mean_speed"),
-        F.first(v_c).alias("v_c_mph"),
-        F.sum(F.col("_keep").cast("int")).alias("n_discharge"),
-        F.min(F.when(F.col("_keep"), F.col("idx"))).alias("discharge_start_idx"),
-        F.max(F.when(F.col("_keep"), F.col("idx"))).alias("discharge_end_idx"),
-        *([F.min("road_order").alias("road_order")] if "road_order" in rows.columns else []),
-    )
-    enough = F.col("n_discharge") >= S.DISCHARGE_MIN_BINS
-    known = F.col("min_speed_mph").isNotNull()
-    out = out.withColumns(
+    after = F.greatest(F.col("t3_index") - F.col("t2_index"), F.lit(0))
+    df = df.withColumns(
         {
-            "demand_veh": F.when(known, F.col("demand_veh")).otherwise(0.0),
-            "P_min": F.when(F.col("dc_existence"), (F.col("t3_index") - F.col("t0_index") + 1) * float(dt_min)).otherwise(0.0),
-            "discharge_start_idx": F.when(enough, F.col("discharge_start_idx")),
-            "discharge_end_idx": F.when(enough, F.col("discharge_end_idx")),
+            "span": F.slice("bins", F.col("t0_index") + 1, F.col("t3_index") - F.col("t0_index") + 1),
+            "tail": F.slice("bins", F.col("t2_index") + 2, after),
+            "flows": F.slice("bins.q", F.col("t2_index") + 2, after),
         }
+    ).withColumn("counted", F.exists("flows", lambda q: q.isNotNull()))
+    falls = lambda b, j: F.when(j == 0, b["q"].isNotNull()).otherwise(F.coalesce(b["q"] <= F.get("flows", j - 1), F.lit(False)))
+    keep = lambda b, j: F.when(F.coalesce(b["v"] < F.col("v_c_mph"), F.lit(False)) & (~F.col("counted") | falls(b, j)), j)
+    df = df.withColumn("kept", F.array_compact(F.transform("tail", keep)))
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda t, x: t + F.coalesce(x, F.lit(0.0)))
+    speeds = F.array_compact("span.v")
+    enough = F.size("kept") >= S.DISCHARGE_MIN_BINS
+    discharge = lambda place: F.when(enough, place + F.col("t2_index") + 1)
+    out = df.select(
+        *KEYS,
+        "n_bins",
+        "t0_index",
+        "t2_index",
+        "t3_index",
+        F.col("worst.v").alias("min_speed_mph"),
+        "dc_existence",
+        F.when(F.col("worst").isNotNull(), total(F.col("span.q")) * dt_min / 60).otherwise(0.0).alias("demand_veh"),
+        F.when(F.size(speeds) > 0, total(speeds) / F.size(speeds)).alias("cong_mean_speed"),
+        "v_c_mph",
+        discharge(F.array_min("kept")).alias("discharge_start_idx"),
+        discharge(F.array_max("kept")).alias("discharge_end_idx"),
+        *(["road_order"] if order else []),
+        F.when(found, (F.col("t3_index") - F.col("t0_index") + 1) * float(dt_min)).otherwise(0.0).alias("P_min"),
+        enough.alias("_enough"),
     )
-    valid = (F.col("P_min") >= S.UNCONGESTED_BELOW_MIN) & F.coalesce(F.col("min_speed_mph") < F.col("v_c_mph"), F.lit(False)) & enough
-    return out.withColumn("is_valid_for_mu", valid).withColumn("regime", X.regime("P_min", "min_speed_mph", "v_c_mph")).drop("n_discharge")
+    valid = (F.col("P_min") >= S.UNCONGESTED_BELOW_MIN) & F.coalesce(F.col("min_speed_mph") < F.col("v_c_mph"), F.lit(False)) & F.col("_enough")
+    return out.withColumn("is_valid_for_mu", valid).withColumn("regime", X.regime("P_min", "min_speed_mph", "v_c_mph")).drop("_enough")
 
 
 def merged_over_16h(episodes: DataFrame, dt_min: float = S.DT_MIN) -> DataFrame:
@@ -123,7 +114,7 @@ def find_episodes(qc: DataFrame, v_c: float = S.DEFAULT_VC_MPH, dt_min: float =
     critical speed of each sensor's diagram; sensors without one take ``v_c``."""
     period, hour = X.period_of("datetime"), F.hour("datetime")
     labels = F.array_compact(F.array(F.when(period != "NT", period), F.when((hour >= 10) & (hour < 20), F.lit("MDPM"))))
-    rows = sliced(qc, F.explode(labels))  # a row of 10 to 20 h takes part in both, in one pass
+    rows = labelled(qc, F.explode(labels))  # a row of 10 to 20 h takes part in both, in one pass
     if by_sensor is not None:
         rows = rows.join(by_sensor.select("sensor_uid", F.col("v_c_mph").alias("_v_c")), "sensor_uid", "left").withColumn("_v_c", F.coalesce("_v_c", F.lit(float(v_c))))
     return with_events(merged_over_16h(classify(rows, v_c if by_sensor is None else F.col("_v_c"), dt_min), dt_min))
