@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from queuelens import schemas as S
 from queuelens.functions import metrics
 from queuelens.functions.traffic import clip_to_default, reliability, s3_flow
-from queuelens.operators import priors
+from queuelens.operators import priors, regressions
 from queuelens.operators.discharge import mu_per_episode
 from queuelens.operators.episodes import sliced
+from queuelens.session import cut
 
 EPISODE = ["sensor_uid", "date", "period"]
 #: Prior of each queue parameter, and the weight of a prior in episodes.
@@ -70,28 +71,30 @@ def huber_line(points: DataFrame, x: str, y: str, epsilon: float = 1.35, alpha:
     return a, b, s
 
 
-def residual_flag(panel: DataFrame, x: Column, y: Column, k: float = 3.0) -> Column:
-    """Where the residual of the Huber line of y on x exceeds k scaled MADs."""
-    points = panel.select(x.alias("x"), y.alias("y")).where("x is not null and y is not null")
-    if (fit := huber_line(points, "x", "y")) is None:
-        return F.lit(False)
-    r = F.col("y") - fit[0] * F.col("x") - fit[1]
-    middle = points.select(r.alias("r")).agg(F.percentile("r", F.lit(0.5))).first()[0]
-    mad = points.select(F.abs(r - middle).alias("d")).agg(F.percentile("d", F.lit(0.5))).first()[0] * S.MAD_SCALE
-    return F.abs(y - fit[0] * x - fit[1]) > k * mad if mad > 0 else F.lit(False)
+def with_all_flags(panel: DataFrame, k: float = 3.0, least: int = 8) -> DataFrame:
+    """The six physical rules and three residual rules: where the residual of a Huber line (logarithms of duration on demand
+    over capacity, discharge rate on it, logarithms of lowest speed on duration) is over k scaled MADs from 0. A rule whose
+    pairs are fewer than ``least``, or whose MAD is 0, flags nothing.
 
-
-def with_all_flags(panel: DataFrame, k: float = 3.0) -> DataFrame:
-    """The six physical rules and the three residual rules. The panel is read a few dozen times; cut it before."""
+    The three lines are groups of one regression, so a round is one aggregation for all; their medians are two more. Lines
+    come back to the panel as one row.
+    """
     log = lambda c: F.log(F.greatest(F.col(c), F.lit(1e-6)))
-    return with_flags(
-        panel,
-        {
-            "huber_resid_doc_P": residual_flag(panel, log("D_over_C_hours"), log("P_hours"), k),
-            "huber_resid_doc_mu": residual_flag(panel, F.col("D_over_C_hours"), F.col("mu_obs_vphpl"), k),
-            "huber_resid_P_vt2": residual_flag(panel, log("P_hours"), log("V_t2_mph"), k),
-        },
-    )
+    rules = {
+        "huber_resid_doc_P": (log("D_over_C_hours"), log("P_hours")),
+        "huber_resid_doc_mu": (F.col("D_over_C_hours"), F.col("mu_obs_vphpl")),
+        "huber_resid_P_vt2": (log("P_hours"), log("V_t2_mph")),
+    }
+    panel = cut(panel)
+    pairs = panel.select(F.inline(F.array(*[F.struct(F.lit(n).alias("rule"), x.alias("x"), y.alias("y")) for n, (x, y) in rules.items()]))).where("x is not null and y is not null")
+    lines = regressions.huber_regressions(pairs, ("x",), "y", ("rule",), least=least).select("rule", F.col("coefs")[0].alias("slope"), "intercept")
+    rest = cut(pairs.join(F.broadcast(lines), "rule").withColumn("r", F.col("y") - F.col("slope") * F.col("x") - F.col("intercept")))  # three lines
+    middle = rest.groupBy("rule").agg(F.percentile("r", F.lit(0.5)).alias("middle"))
+    mad = rest.join(F.broadcast(middle), "rule").groupBy("rule").agg((F.percentile(F.abs(F.col("r") - F.col("middle")), F.lit(0.5)) * S.MAD_SCALE).alias("mad"))
+    of = lambda n: F.max(F.when((F.col("rule") == n) & (F.col("mad") > 0), F.struct("slope", "intercept", "mad"))).alias(n)
+    one = lines.join(mad, "rule").agg(*[of(n) for n in rules])
+    more = {n: F.abs(y - F.col(f"{n}.slope") * x - F.col(f"{n}.intercept")) > k * F.col(f"{n}.mad") for n, (x, y) in rules.items()}
+    return with_flags(panel.crossJoin(one), more).drop(*rules)  # one row
 
 
 def audit(episodes: DataFrame, qc: DataFrame, diagrams: DataFrame, prior: str | dict | None = None) -> DataFrame:

@@ -180,6 +180,30 @@ f as (select *, coalesce(doc > 1 and P_min < 15, false) as a, coalesce(doc < 0.5
   coalesce(v2 >= 50, false) as e, coalesce(v2 < 5, false) as g from panel)
 select sensor_uid, date, period, round(doc, 6) as D_over_C_hours, a::int + b::int + c::int + d::int + e::int + g::int as outlier_n_flags, a or b or c or d or e or g as is_outlier,
 concat_ws(';', case when a then 'doc_high_P_zero' end, case when b then 'doc_low_P_high' end, case when c then 'mu_above_capacity' end, case when d then 'mu_starved' end, case when e then 'vt2_above_vc' end, case when g then 'vt2_too_low' end) as outlier_reasons from f""",
+        "episode_residual_flags": f"""with recursive {_PANEL},
+pairs as (
+  select sensor_uid, date, period, unnest([
+    {{'rule': 'doc_P', 'x': ln(greatest(doc, 1e-6)), 'y': ln(greatest(P_min / 60, 1e-6))}}, {{'rule': 'doc_mu', 'x': doc, 'y': mu_obs}}, {{'rule': 'P_vt2', 'x': ln(greatest(P_min / 60, 1e-6)), 'y': ln(greatest(v2, 1e-6))}}], recursive := true) from panel),
+known as (select * from pairs where x is not null and y is not null),
+h(it, rule, n, b1, b0, s) as (
+  select 0, rule, count(*), 0.0::double, avg(y), greatest(stddev_pop(y), 1e-12) from known group by rule having count(*) >= 8
+  union all
+  select it + 1, rule, n, (r1 * a22 - a12 * r2) / (c11 * a22 - a12 * a12), (c11 * r2 - a12 * r1) / (c11 * a22 - a12 * a12), s
+  from (
+    select it, rule, n, s, a11 + 1e-4 * s as c11, a12, a22, g1 + 1.35 * s * f1 as r1, g2 + 1.35 * s * f2 as r2
+    from (
+      select it, rule, n, case when rss > 0 then greatest(sqrt(rss / greatest(n - far * 1.35 * 1.35, 1e-9)), 1e-12) else s / 2 end as s, a11, a12, a22, g1, g2, f1, f2
+      from (
+        select it, rule, n, s, sum(w * x * x) as a11, sum(w * x) as a12, sum(w) as a22, sum(w * x * y) as g1, sum(w * y) as g2, sum((1 - w) * sign(r) * x) as f1, sum((1 - w) * sign(r)) as f2, sum(1 - w) as far, sum(w * r * r) as rss
+        from (select h.*, k.x, k.y, y - b1 * x - b0 as r, case when abs(y - b1 * x - b0) <= 1.35 * s then 1 else 0 end as w from h join known k using (rule) where it < 40) group by it, rule, n, s)))),
+rest as (select known.*, y - b1 * x - b0 as r from known join h using (rule) where it = 40),
+mads as (select rule, quantile_cont(abs(r - m), 0.5) * 1.4826::double as mad from rest join (select rule, quantile_cont(r, 0.5) as m from rest group by 1) using (rule) group by 1),
+far as (select sensor_uid, date, period, bool_or(rule = 'doc_P') as u, bool_or(rule = 'doc_mu') as v, bool_or(rule = 'P_vt2') as w from rest join mads using (rule) where mad > 0 and abs(r) > 3 * mad group by all),
+f as (select panel.*, coalesce(doc > 1 and P_min < 15, false) as a, coalesce(doc < 0.5 and P_min > 60, false) as b, coalesce(mu_obs > 1.05 * cap, false) as c, coalesce(doc > 1.5 and mu_obs < 0.3 * cap, false) as d,
+  coalesce(v2 >= 50, false) as e, coalesce(v2 < 5, false) as g, coalesce(u, false) as u, coalesce(v, false) as v, coalesce(w, false) as w from panel left join far using (sensor_uid, date, period))
+select sensor_uid, date, period, a::int + b::int + c::int + d::int + e::int + g::int + u::int + v::int + w::int as outlier_n_flags, a or b or c or d or e or g or u or v or w as is_outlier,
+concat_ws(';', case when a then 'doc_high_P_zero' end, case when b then 'doc_low_P_high' end, case when c then 'mu_above_capacity' end, case when d then 'mu_starved' end, case when e then 'vt2_above_vc' end, case when g then 'vt2_too_low' end,
+  case when u then 'huber_resid_doc_P' end, case when v then 'huber_resid_doc_mu' end, case when w then 'huber_resid_P_vt2' end) as outlier_reasons from f""",
         "episode_audit": f"""with {_AUDIT} select sensor_uid, date, period, n as discharge_n_intervals, n * 5.0 as discharge_duration_min, round(mu_obs, 4) as mu_obs_vphpl, round(mu_check, 4) as mu_check_vphpl, round(consistency, 6) as mu_consistency from consistent""",
         "run_gates": f"with {_AUDIT} " + " union all ".join(f"select '{g}' as gate, round(cast(x as double), 6) as value, {s} as status from (select {v} as x)" for g, v, s in gates),
         "round_trips": f"with {_TRIPS} select sensor_uid, date, period, round(ph - p, 6) + 0.0 as P_err_hours, round(p_err, 5) + 0.0 as P_err_pct, round(vh - v2, 6) + 0.0 as vt2_err_mph, round(v_err, 5) + 0.0 as vt2_err_pct from trips",

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from queuelens import schemas as S
 from queuelens.functions import diagrams, traffic
-from queuelens.operators import audits, completion, daily, diagram_fits, direction, discharge, episodes, evidence, fits, flows, gates, panels, priors, quality_control, queue_model, queues, ranking, regressions, reliability, runs, text_issues, tokens, weekday
-from queuelens.plans import audit_sql, completion_sql, daily_sql, oracles, queue_sql, states, weekday_sql
+from queuelens.operators import audits, completion, daily, diagram_fits, direction, discharge, episodes, evidence, fits, flows, gates, handoff, panels, priors, quality_control, queue_model, queues, ranking, regressions, reliability, runs, text_issues, tokens, weekday
+from queuelens.plans import audit_sql, completion_sql, daily_sql, handoff_sql, oracles, queue_sql, states, weekday_sql
 from queuelens.session import cut
 
 FD_CANDIDATES = [
@@ -198,6 +198,12 @@ def q_flags(spark, d):
     return _rounded(out.select("sensor_uid", "date", "period", "D_over_C_hours", "outlier_n_flags", "is_outlier", "outlier_reasons"), 6, "D_over_C_hours")
 
 
+def q_all_flags(spark, d):
+    eps, qc = _episodes(spark, d)
+    out = audits.with_all_flags(audits.measured_panel(eps, qc, _diagrams(spark, d)))
+    return out.select("sensor_uid", "date", "period", "outlier_n_flags", "is_outlier", "outlier_reasons")
+
+
 def _audited(spark, d):
     eps, qc = _episodes(spark, d)
     return audits.audit(eps, qc, _diagrams(spark, d).select("sensor_uid", F.col("v_c_mph").alias("v_c_fit_mph"), "capacity_vphpl", F.lit(False).alias("flow_synthetic")))
@@ -417,6 +423,28 @@ def q_shape_predictions(spark, d):
     return _rounded(_rounded(out, 8, "phi_mean"), 5, "v_avg_pred", "v_min_pred")
 
 
+def _own_links(spark, d):
+    """Each sensor's own diagram as a link's, with its corridor."""
+    own = _diagrams(spark, d).join(states.sensors(spark, d), "sensor_uid")
+    return own.select("corridor", F.col("sensor_uid").alias("link_id"), F.col("v_f_mph").alias("vf"), F.col("v_c_mph").alias("uc"), F.col("capacity_vphpl").alias("cap"))
+
+
+def q_handoff_table(spark, d):
+    own = cut(_own_links(spark, d))
+    params = spark.createDataFrame([(p, 0.2, 1.3) for p in S.DEMO_PERIODS], "period string, f_p double, s double")
+    modelled = flows.whole_day(cut(weekday.profiles(_weekday_bins(spark, d))), own.select("link_id", (F.col("vf") * S.DEMO_CUTOFF).alias("cutoff")), params)
+    return _rounded(handoff.time_table(cut(modelled), own, m=4.0), 4, "free_flow")
+
+
+def q_handoff_parameters(spark, d):
+    return _rounded(handoff.link_parameters(_congestion(spark, d), _defaults(spark, d), cut(_own_links(spark, d))), 4, "free_flow")
+
+
+def q_gammas(spark, d):
+    length = states.states(spark, d).groupBy(F.col("sensor_uid").alias("link_id")).agg(F.min("length_mi").alias("length"))
+    return handoff.weekday_gammas(_congestion(spark, d), _defaults(spark, d), _links(spark, d).join(length, "link_id"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_ranking(spark, sf_dir)
 
@@ -454,6 +482,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "direction_check": q_direction,
         "s3_priors": q_priors,
         "episode_flags": q_flags,
+        "episode_residual_flags": q_all_flags,
         "episode_audit": q_audit,
         "run_gates": lambda s, d: _rounded(gates.run_gates(cut(_audited(s, d))), 6, "value"),
         "round_trips": q_trips,
@@ -492,6 +521,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "day_statistics": q_days,
         "station_laws": q_laws,
         "anomaly_days": lambda s, d: _rounded(daily.anomaly_days(daily.median_residuals(states.states(s, d))), 3, "energy"),
+        "handoff_table": q_handoff_table,
+        "handoff_parameters": q_handoff_parameters,
+        "link_errors": lambda s, d: handoff.link_errors(_congestion(s, d), _defaults(s, d)),
+        "weekday_gammas": q_gammas,
         "corroborated_reports": q_corroborated,
         "calibrated_links": q_calibrated_links,
         "fitted_diagrams": q_fitted_diagrams,
@@ -508,5 +541,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = oracles.sql() | audit_sql.sql() | weekday_sql.sql() | queue_sql.sql() | daily_sql.sql() | completion_sql.sql()
+    found = oracles.sql() | audit_sql.sql() | weekday_sql.sql() | queue_sql.sql() | daily_sql.sql() | completion_sql.sql() | handoff_sql.sql()
     return {name: found[name] for name in queries() if name in found}
