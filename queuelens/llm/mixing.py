@@ -4,7 +4,8 @@ Each source is cut into blocks of equal bytes. Block k of a source with weight w
 ceil((k+1)/w), in exact fractions. Earliest deadline first among released blocks meets every deadline as the weights sum
 to 1, so that in every prefix of a phase each source is less than one block from its share, however long the phase. The
 driver lays the slots of all blocks, one number for each block; executors look them up. A phase ends when a source has no
-blocks left; the next one renormalises the weights of the rest, so that no row is left out.
+blocks left; the next one renormalises the weights of the rest, so that no row is left out. Blocks grow with the input once
+there are ``max_blocks`` of them, so that the plan is bounded: a block is then a millionth of all bytes.
 """
 
 from __future__ import annotations
@@ -75,6 +76,7 @@ def pfair_mix(
     weights: dict[str | None, float] | None = None,
     block_bytes: int = 16384,
     period: int = 1024,
+    max_blocks: int = 1 << 20,
     max_sources: int | None = None,
     cell_rows: int = 250_000,
     id_col: str = "doc_id",
@@ -91,7 +93,8 @@ def pfair_mix(
     may hold no row.
 
     Null sources are one source; null texts count as empty; repeated rows all stay, side by side; an empty table gives
-    no rows. The driver holds the sources' totals and a number for each block (8 bytes for ``block_bytes`` of text); with
+    no rows. The driver holds the sources' totals and a number for each block, and the executors get these numbers: blocks
+    hold ``block_bytes``, or as much more as leaves ``max_blocks`` of them (and one more a source at most). With
     ``max_sources``, more sources raise ValueError.
     """
     spark = docs.sparkSession
@@ -104,6 +107,7 @@ def pfair_mix(
     sizes = rows.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).collect()
     if max_sources is not None and len(sizes) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
+    block_bytes = max(block_bytes, -(-sum(r.bytes for r in sizes) // max_blocks))
     given = {"null" if k is None else f"={k}": float(v) for k, v in (weights or {}).items()}
     target = {r.src: given.get(r.src, math.sqrt(r.bytes)) for r in sizes}
     if any(w <= 0 for w in target.values()):

@@ -639,6 +639,13 @@ def test_mixing(docs, rows, empty, odd, spark, cell_rows):
     assert mixing.stage(spark, docs, "").columns == docs.columns
 
 
+def test_blocks_grow_so_that_the_plan_is_bounded(docs, rows):
+    sources = len({r[3] if len(r) > 3 else None for r in rows}) + 1
+    small, few = (mixing.pfair_mix(docs, block_bytes=64, max_blocks=n, carry=("doc_id",)).collect() for n in (1 << 20, 6))
+    assert max(r.slot for r in small) > 6 + sources >= max(r.slot for r in few)
+    assert sorted(r.row.doc_id for r in few) == sorted(r[0] for r in rows)
+
+
 def test_mixing_against_a_plain_schedule(docs, rows, spark):
     """Blocks by bytes in the order of the ids' hashes, slots by earliest deadlines taken one at a time."""
     from fractions import Fraction
