@@ -134,8 +134,10 @@ def sensor_reliability(episodes: DataFrame) -> DataFrame:
 def with_times(episodes: DataFrame, qc: DataFrame) -> DataFrame:
     """Adds t0_time, t2_time and t3_time: the clock of each place in its period, by equi-joins."""
     merged = sliced(qc.where((F.hour("datetime") >= 10) & (F.hour("datetime") < 20)), F.lit("MDPM"))
-    slots = sliced(qc).unionByName(merged).select("sensor_uid", "date", "period", "idx", "datetime")
+    place = F.coalesce("corridor", F.lit("")).alias("_place")
+    slots = sliced(qc).unionByName(merged).select("sensor_uid", place, "date", "period", "idx", "datetime")
+    episodes = episodes.withColumn("_place", place)
     for name in ("t0", "t2", "t3"):
-        clock = slots.select("sensor_uid", "date", "period", F.col("idx").alias(f"{name}_index"), F.col("datetime").alias(f"{name}_time"))
-        episodes = episodes.join(clock, ["sensor_uid", "date", "period", f"{name}_index"], "left")
-    return episodes
+        clock = slots.select("sensor_uid", "_place", "date", "period", F.col("idx").alias(f"{name}_index"), F.col("datetime").alias(f"{name}_time"))
+        episodes = episodes.join(clock, ["sensor_uid", "_place", "date", "period", f"{name}_index"], "left")
+    return episodes.drop("_place")
