@@ -74,7 +74,7 @@ def huber_line(points: DataFrame, x: str, y: str, epsilon: float = 1.35, alpha:
 def with_all_flags(panel: DataFrame, k: float = 3.0, least: int = 8) -> DataFrame:
     """The six physical rules and three residual rules: where the residual of a Huber line (logarithms of duration on demand
     over capacity, discharge rate on it, logarithms of lowest speed on duration) is over k scaled MADs from 0. A rule whose
-    pairs are fewer than ``least``, or whose MAD is 0, flags nothing.
+    pairs are fewer than ``least``, whose MAD is 0, or whose line diverges, flags nothing.
 
     The three lines are groups of one regression, so a round is one aggregation for all; their medians are two more. Lines
     come back to the panel as one row.

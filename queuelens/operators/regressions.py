@@ -19,7 +19,8 @@ def huber_regressions(rows: DataFrame, features: tuple[str, ...], target: str, k
 
     Where the set of linear residuals is known, coefficients and scale have closed forms in sums; a round takes these sums
     for the set that the last round's values give, for all groups in one pass, and solves each group's equations. Parameters
-    are a small table beside the rows, written once a round; nothing but the largest change comes to the driver.
+    are a small table beside the rows, written once a round; nothing but the largest change comes to the driver. A group whose
+    equations end up singular while its values still change has diverged and has no coefficients.
     """
     size, names, keys = len(features) + 1, list(keys), [f"_key{i}" for i in range(len(keys))]
     known = F.lit(True)
@@ -31,7 +32,7 @@ def huber_regressions(rows: DataFrame, features: tuple[str, ...], target: str, k
     ridge = lambda i, j, s: s if i == j and i < size - 1 else F.lit(0.0)
     params = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"), F.stddev_pop("y").alias("scale"))
     start = F.array(*[F.lit(0.0)] * (size - 1), F.col("mean"))
-    params = cut(params.where(F.col("n") >= least).select(*keys, "n", start.alias("b"), F.greatest("scale", F.lit(1e-12)).alias("scale"), F.lit(1.0).alias("change")))
+    params = cut(params.where(F.col("n") >= least).select(*keys, "n", start.alias("b"), F.greatest("scale", F.lit(1e-12)).alias("scale"), F.lit(1.0).alias("change"), F.lit(True).alias("fine")))
     for _ in range(rounds):
         r = F.col("y") - dot(F.col("x"), F.col("b"))
         inside = F.abs(r) <= EPSILON * F.col("scale")
@@ -46,12 +47,13 @@ def huber_regressions(rows: DataFrame, features: tuple[str, ...], target: str, k
         lhs = F.array(*[F.array(*[F.col("a")[i][j] + ridge(i, j, ALPHA * F.col("s")) for j in range(size)]) for i in range(size)])
         rhs = F.zip_with("g", "far", lambda g, s: g + EPSILON * F.col("s") * s)
         at = at.withColumn("new", solved(lhs, rhs, size))
-        fine = F.forall("new", lambda v: v.isNotNull() & ~F.isnan(v))
+        fine = F.coalesce(F.forall("new", lambda v: v.isNotNull() & ~F.isnan(v)), F.lit(False))
         new = F.when(fine, F.col("new")).otherwise(F.col("b"))
         move = F.aggregate(F.zip_with(new, "b", lambda p, q: F.abs(p - q) / (1 + F.abs(q))), F.lit(0.0), lambda m, v: F.greatest(m, v)) + F.abs(F.col("s") - F.col("scale")) / (1 + F.col("scale"))
-        params = cut(at.select(*keys, "n", new.alias("b"), F.col("s").alias("scale"), move.alias("change")))
+        params = cut(at.select(*keys, "n", new.alias("b"), F.col("s").alias("scale"), move.alias("change"), fine.alias("fine")))
         if (params.agg(F.max("change")).first()[0] or 0.0) < tolerance:
             break
+    params = params.withColumn("b", F.when(F.col("fine") | (F.col("change") < tolerance), F.col("b")))
     rest = F.col("y") - dot(F.col("x"), F.col("b"))
     fit = df.join(params.select(*keys, "b", "scale"), keys, "left").withColumn("r", rest)
     out = fit.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.first("b").alias("b"), F.first("scale").alias("scale"), F.sum(F.col("r") * F.col("r")).alias("rss"), (F.var_pop("y") * F.count(F.lit(1))).alias("tss"))
