@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from queuelens.session import cut
+
 
 def free_flow(states: DataFrame, p: float = 0.95, least: int = 200) -> DataFrame:
     """The percentile of positive speeds; null with fewer than ``least`` of them."""
@@ -40,13 +42,14 @@ def corridor_panel(states: DataFrame, positions: list[float] | None = None, valu
 
 def grid_filled(states: DataFrame, step: str = "1 hour") -> DataFrame:
     """Mean speeds on a regular grid from each sensor's first to its last bin; gaps are interpolated in time, ends held."""
-    hourly = states.groupBy("sensor_uid", F.window("datetime", step)["start"].alias("datetime")).agg(F.avg("speed_mph").alias("v"))
+    hourly = cut(states.groupBy("sensor_uid", F.window("datetime", step)["start"].alias("datetime")).agg(F.avg("speed_mph").alias("v")))
     grid = hourly.groupBy("sensor_uid").agg(F.min("datetime").alias("a"), F.max("datetime").alias("b")).select("sensor_uid", F.explode(F.sequence("a", "b", F.expr(f"interval {step}"))).alias("datetime"))
     df = grid.join(hourly, ["sensor_uid", "datetime"], "left").withColumn("known", F.when(F.col("v").isNotNull(), F.unix_timestamp(F.col("datetime").cast("timestamp"))))
     back = W.partitionBy("sensor_uid").orderBy("datetime").rowsBetween(W.unboundedPreceding, 0)
-    ahead = W.partitionBy("sensor_uid").orderBy("datetime").rowsBetween(0, W.unboundedFollowing)
+    # backwards: a frame that begins at each row is summed up again for every one of them
+    ahead = W.partitionBy("sensor_uid").orderBy(F.desc("datetime")).rowsBetween(W.unboundedPreceding, 0)
     df = df.withColumns(
-        {"v0": F.last("v", True).over(back), "t0": F.last("known", True).over(back), "v1": F.first("v", True).over(ahead), "t1": F.first("known", True).over(ahead), "t": F.unix_timestamp(F.col("datetime").cast("timestamp"))}
+        {"v0": F.last("v", True).over(back), "t0": F.last("known", True).over(back), "v1": F.last("v", True).over(ahead), "t1": F.last("known", True).over(ahead), "t": F.unix_timestamp(F.col("datetime").cast("timestamp"))}
     )
     between = F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("t") - F.col("t0")) / F.when(F.col("t1") != F.col("t0"), F.col("t1") - F.col("t0"))
     return df.select("sensor_uid", "datetime", F.col("v").isNull().alias("filled"), F.coalesce("v", between, "v1", "v0").alias("speed_mph"))
