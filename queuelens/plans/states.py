@@ -25,9 +25,11 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw readings: sensor, time, speed, flow and user; twelve of each event."""
     number, ts = F.expr("user_id div 7"), F.col("ts").cast("timestamp_ntz")
     days = F.datediff(ts.cast("date"), F.lit(FIRST_DAY).cast("date"))
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(number.alias("number"), ts.alias("ts"), days.alias("days"), "value", "event_id", "user_id")
-    # dealt out before the rows become twelve times as many: a small file is one task's
-    df = events.repartition("event_id").withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("ts", F.expr("timestampadd(MINUTE, 5 * step, timestampadd(DAY, (days div 3) - days, ts))"))
+    uid = F.concat(F.lit("S"), F.lpad(number.cast("string"), 4, "0"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(uid.alias("sensor_uid"), number.alias("number"), ts.alias("ts"), days.alias("days"), "value", "event_id", "user_id")
+    # Dealt out by sensor before the rows become twelve times as many: bins and each sensor's windows need no other shuffle.
+    # A given number of partitions stays, while others are merged by the size that they have before.
+    df = events.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sensor_uid").withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("ts", F.expr("timestampadd(MINUTE, 5 * step, timestampadd(DAY, (days div 3) - days, ts))"))
     n, day, weekend = F.col("number"), F.dayofmonth("ts"), F.weekday("ts") >= 5
     corridor, place = F.expr("number div 8"), n % 8
     hour = F.hour("ts") + F.minute("ts") / 60.0
@@ -39,7 +41,7 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     free = s3_flow("speed", 70.0, "kc", 4.0)
     discharge = s3_capacity(70.0, "kc", 4.0) * (1.0 - 0.01 * (F.col("hour") - F.when(F.col("hour") < 12, 4.0).otherwise(12.0)))
     flow = F.when(F.col("fall") > 18, discharge).otherwise(free) * (0.92 + F.col("event_id") % 11 / 100.0)
-    return df.select(F.concat(F.lit("S"), F.lpad(n.cast("string"), 4, "0")).alias("sensor_uid"), "number", "ts", "speed", flow.alias("flow"), "user_id")
+    return df.select("sensor_uid", "number", "ts", "speed", flow.alias("flow"), "user_id")
 
 
 def resampled(raw: DataFrame, minutes: int = S.DT_MIN, least: int = 1) -> DataFrame:
