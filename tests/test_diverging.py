@@ -6,13 +6,12 @@ from queuelens.operators import daily, regressions
 
 
 def test_regression_that_diverges_has_no_line(spark):
-    """Two clouds with no row near the line between them: the set of quadratic rows empties and the equations get singular."""
-    rows = [(float(i % 2) * 1e-9, 1e6 * (-1) ** (i // 2)) for i in range(40)]
+    """Over half of the rows are linear, the scale jumps and the line leaves all rows: no row is quadratic any more."""
+    rows = [(-0.2, -1.1), (0.5, -0.3), (-0.8, -0.2), (0.0, 0.7), (-0.8, -2.7), (-1.0, -2.0), (-0.1, 1.6), (-0.6, 0.0), (-0.1, -0.6), (1.2, 2.2), (-0.9, 0.6), (0.9, 2.3)]
     df = spark.createDataFrame([("a", x, y) for x, y in rows] + [("b", float(i), 2.0 * i + (i % 3)) for i in range(40)], "g string, x double, y double")
     out = {r["g"]: r for r in regressions.huber_regressions(df, ("x",), "y", ("g",)).collect()}
     assert abs(out["b"]["coefs"][0] - 2) < 0.1
-    a = out["a"]
-    assert a["intercept"] is None or math.isfinite(a["intercept"]) and abs(a["intercept"]) < 1e7
+    assert out["a"]["intercept"] is None and out["a"]["coefs"] is None
 
 
 def test_cells_on_the_cut_do_not_count(spark):
