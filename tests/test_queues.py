@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from queuelens.functions import diagrams
 from queuelens.operators import diagram_fits, episodes, queues, regressions
 
 NOON = dt.datetime(2024, 1, 1, 8, 0)
@@ -170,6 +171,32 @@ def test_bounded_fits_of_planted_diagrams(spark):
                 assert lo - 1e-9 <= r.params[name] <= (math.inf if hi is None else hi) + 1e-9
 
 
+def test_bounded_fits_by_blocks(spark):
+    """Groups of one block take their rounds in one task, so jobs don't multiply by rounds; cut into blocks they fit the same."""
+    rng, rows = np.random.default_rng(4), []
+    for g in ("a", "b"):
+        k = rng.uniform(4, 120, 500)
+        rows += [(g, float(a), float(b), float(a * b)) for a, b in zip(k, np.maximum(70 / (1 + (k / 30) ** 4) ** 0.5 + rng.normal(0, 1.5, 500), 1), strict=True)]
+    df = spark.createDataFrame(rows, "corridor string, density double, speed double, flow double")
+    spark.sparkContext.setJobGroup("one block", "")
+    one = {(r.corridor, r.model): r for r in diagram_fits.fitted_diagrams(df).collect()}
+    spark.sparkContext.setJobGroup("other", "")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("one block")) < 40
+    many = {(r.corridor, r.model): r for r in diagram_fits.fitted_diagrams(df, block=100).collect()}
+    assert len(one) == 32 and one.keys() == many.keys()
+    for key, r in one.items():
+        assert (r.n, r.rmse, r.flow_rmse, r.capacity) == (many[key].n, *(pytest.approx(x, rel=1e-3) for x in (many[key].rmse, many[key].flow_rmse, many[key].capacity)))
+
+
+def test_curves_of_arrays_are_the_columns_ones(spark):
+    x = np.linspace(1, 59, 30)
+    df = spark.createDataFrame([(float(a),) for a in x], "x double")
+    for model, params in diagram_fits.BOUNDS.items():
+        p = {k: 0.5 if (model, k) == ("KK", "c2") else v[0] for k, v in params.items()}
+        want = [r[0] for r in df.select(diagrams.predicted(model, "x", p)).collect()]
+        assert diagram_fits.CURVES[model](x, *p.values()) == pytest.approx(np.array(want, float), rel=1e-9, abs=1e-12), model
+
+
 def test_episodes_by_each_sensors_critical_speed(spark):
     rows = [(s, "C", NOON + dt.timedelta(minutes=5 * i), 40.0 if 3 <= i < 12 else 60.0, 1000.0 - i, 1.0) for s in ("low", "high", "none") for i in range(20)]
     df = spark.createDataFrame(rows, "sensor_uid string, corridor string, datetime timestamp_ntz, speed_mph double, flow_vph double, road_order double")
