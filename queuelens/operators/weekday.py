@@ -18,6 +18,7 @@ from queuelens import schemas as S
 from queuelens.functions import metrics
 from queuelens.functions.traffic import smoothstep
 from queuelens.operators.runs import low_runs
+from queuelens.session import cut
 
 PARAMETERS = ("f_d", "n", "f_p", "s")
 
@@ -138,15 +139,16 @@ def congestion(rows: DataFrame, diagrams: DataFrame, least_bins: int = 8) -> Dat
     """Episodes of each link and day in the wide window, by the period of their trough: duration, demand over capacity,
     lowest speed, crossing times, share of the day's demand. A day without one has a row of P = 0 for each period.
 
-    Runs meet their rows again by an equi-join on link and date with the crossing times as a range condition.
+    Runs meet their rows again by an equi-join on link and date with the crossing times as a range condition. Rows and runs
+    are read several times and written once.
     """
     lo, hi = S.DEMO_WINDOW
     day = W.partitionBy("link_id", "date")
     df = rows.where((F.col("t_min") >= lo) & (F.col("t_min") < hi)).withColumn("n", F.count(F.lit(1)).over(day)).where(F.col("n") >= least_bins)
-    df = smoothed(df).join(diagrams.select("link_id", "cap", "uc", "vf", (F.col("vf") * S.DEMO_CUTOFF).alias("cutoff")), "link_id")
+    df = cut(smoothed(df).join(diagrams.select("link_id", "cap", (F.col("vf") * S.DEMO_CUTOFF).alias("cutoff")), "link_id").select("link_id", "date", "t_min", "flow_pl", "sm", "cutoff", "cap"))
     hours, keys = S.DEMO_DT / 60, ["link_id", "date"]
     days = df.groupBy(*keys).agg(F.sum(F.col("flow_pl") * hours).alias("total"), F.min(F.struct("sm", "t_min")).alias("least"), F.avg("sm").alias("mean"), F.first("cutoff").alias("cutoff"), F.first("cap").alias("cap"))
-    runs = low_runs(df, keys).withColumn("period", _period(F.col("t2_min"))).where(F.col("period").isNotNull() & ((F.col("t3_min") - F.col("t0_min")) / 60 >= S.DEMO_MIN_EPISODE_H))
+    runs = cut(low_runs(df, keys).withColumn("period", _period(F.col("t2_min"))).where(F.col("period").isNotNull() & ((F.col("t3_min") - F.col("t0_min")) / 60 >= S.DEMO_MIN_EPISODE_H)))
     inside = runs.join(df.select(*keys, "t_min", "flow_pl", "sm"), keys).where("t_min between t0_min and t3_min")
     sums = inside.groupBy(*keys, "i_start").agg(F.sum(F.col("flow_pl") * hours).alias("demand"), F.avg("sm").alias("cd_mean_speed"))
     found = runs.join(sums, [*keys, "i_start"], "left").join(days.select(*keys, "total", "cap"), keys)
