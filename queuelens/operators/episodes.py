@@ -19,8 +19,9 @@ def labelled(qc: DataFrame, period: Column | None = None) -> DataFrame:
 
 
 def sliced(qc: DataFrame, period: Column | None = None) -> DataFrame:
-    """Labelled rows with their place in the period (from 0)."""
-    return labelled(qc, period).withColumn("idx", F.row_number().over(W.partitionBy(*KEYS).orderBy("datetime")) - 1)
+    """Labelled rows with their place in the period (from 0); rows of one time in the order that classify() has."""
+    tied = [c for c in ("v", "flow_vph") if c == "v" or c in qc.columns]
+    return labelled(qc, period).withColumn("idx", F.row_number().over(W.partitionBy(*KEYS).orderBy("datetime", *tied)) - 1)
 
 
 def _reach(marks: Column) -> Column:
@@ -38,14 +39,14 @@ def classify(rows: DataFrame, v_c: float | Column = S.DEFAULT_VC_MPH, dt_min: fl
     One shuffle, no window. Groups of fewer than six rows are left out.
     """
     v_c = v_c if isinstance(v_c, Column) else F.lit(float(v_c))
-    mark = F.when(F.col("v").isNull(), "G").when(F.col("v") <= v_c, "L").otherwise("H")
+    mark = lambda b: F.when(b["v"].isNull(), "G").when(b["v"] <= F.col("v_c_mph"), "L").otherwise("H")
     at = "datetime" if "datetime" in rows.columns else "idx"
-    bins = F.sort_array(F.collect_list(F.struct(at, "v", F.col("flow_vph").alias("q"), mark.alias("mark"))))
+    bins = F.sort_array(F.collect_list(F.struct(at, "v", F.col("flow_vph").alias("q"))))
     order = [F.min("road_order").alias("road_order")] if "road_order" in rows.columns else []
     df = rows.groupBy(*KEYS).agg(bins.alias("bins"), F.first(v_c).alias("v_c_mph"), *order)
     df = df.withColumn("n_bins", F.size("bins")).where("n_bins >= 6")
     least = F.array_min(F.transform("bins", lambda b, i: F.when(b["v"].isNotNull(), F.struct(b["v"].alias("v"), i.alias("at")))))
-    df = df.withColumns({"worst": least, "marks": F.array_join("bins.mark", "")})
+    df = df.withColumns({"worst": least, "marks": F.array_join(F.transform("bins", mark), "")})
     df = df.withColumns({"dc_existence": F.coalesce(F.col("worst.v") <= F.col("v_c_mph"), F.lit(False)), "t2_index": F.coalesce("worst.at", F.lit(0))})
     begins = F.col("t2_index") - _reach(F.reverse(F.substring("marks", F.lit(1), F.col("t2_index") + 1)))
     ends = F.col("t2_index") + _reach(F.substring("marks", F.col("t2_index") + 1, F.col("n_bins")))
