@@ -158,7 +158,8 @@ def held_out(states: DataFrame, share: float = 0.3, seed: int = 7, hours: int |
 
 def persisted(held: DataFrame, value: str = "speed_mph") -> DataFrame:
     """Adds guess: the line between the known values before and after within a sensor's day, held at its ends."""
-    day = W.partitionBy("sensor_uid", F.to_date("datetime")).orderBy("datetime")
+    tied = [c for c in ("corridor", "road_order") if c in held.columns]  # rows of one time never stand as they arrive
+    day = W.partitionBy("sensor_uid", F.to_date("datetime")).orderBy("datetime", *tied)
     t = F.unix_timestamp(F.col("datetime").cast("timestamp"))
     known = F.when(F.col(value).isNotNull(), F.struct(t.alias("t"), F.col(value).alias("v")))
     df = held.withColumns({"_b": F.last(known, True).over(day.rowsBetween(W.unboundedPreceding, 0)), "_a": F.first(known, True).over(day.rowsBetween(0, W.unboundedFollowing)), "_t": t})

@@ -7,14 +7,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def low_runs(rows: DataFrame, keys: list[str]) -> DataFrame:
+def low_runs(rows: DataFrame, keys: list[str], tied: tuple[str, ...] = ()) -> DataFrame:
     """Runs of low speed in each group: rows with keys, t_min, sm (smoothed speed) and cutoff. One row for each run: first
     and last place (from 0), low bins, crossing times in minutes, time and speed of the trough, the cutoff.
 
     A run goes on until two speeds in a row (or the last one) reach the cutoff: those rows break the series into
-    islands, and each island's low rows are a run. The ends are interpolated to the cutoff.
+    islands, and each island's low rows are a run. The ends are interpolated to the cutoff. ``tied``: the order of
+    rows of one time.
     """
-    day = W.partitionBy(*keys).orderBy("t_min")
+    day = W.partitionBy(*keys).orderBy("t_min", *tied)
     df = rows.withColumns({"i": F.row_number().over(day) - 1, "before": F.lag(F.struct("sm", "t_min")).over(day), "after": F.lead(F.struct("sm", "t_min")).over(day)})
     cutoff = F.col("cutoff")
     breaks = (F.col("sm") >= cutoff) & F.coalesce(F.col("after.sm") >= cutoff, F.lit(True))
@@ -33,9 +34,9 @@ def low_runs(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def find_runs(states: DataFrame, cutoff: float = 49.0, hours: tuple[int, int] = (5, 22), least_bins: int = 8, smooth: int = 3) -> DataFrame:
     """low_runs() of each sensor and day with at least ``least_bins`` rows in the window, smoothed inside it."""
-    half = smooth // 2
+    half, tied = smooth // 2, tuple(c for c in ("corridor", "road_order") if c in states.columns)
     df = states.withColumns({"date": F.date_format("datetime", "yyyy-MM-dd"), "t_min": F.hour("datetime") * 60 + F.minute("datetime"), "cutoff": F.lit(float(cutoff))})
     day = W.partitionBy("sensor_uid", "date")
     df = df.where((F.hour("datetime") >= hours[0]) & (F.hour("datetime") < hours[1])).withColumn("n", F.count(F.lit(1)).over(day)).where(F.col("n") >= least_bins)
-    df = df.withColumn("sm", F.avg("speed_mph").over(day.orderBy("datetime").rowsBetween(-half, half)))
-    return low_runs(df, ["sensor_uid", "date"]).drop("cutoff")
+    df = df.withColumn("sm", F.avg("speed_mph").over(day.orderBy("datetime", *tied).rowsBetween(-half, half)))
+    return low_runs(df, ["sensor_uid", "date"], tied).drop("cutoff")
