@@ -29,8 +29,19 @@ def payload_of(text: str) -> bytes:
 
 def store(payload: bytes) -> list[bytes]:
     """The WebP files that hold a payload, in order; stored one after the other."""
+    return webp.encode_rgb_many(_files_of(payload), WIDTH)
+
+
+def _files_of(payload: bytes) -> list[np.ndarray]:
     pixels = np.frombuffer(payload, np.uint8).reshape(-1, 3)
-    return [webp.encode_rgb(pixels[at : at + WIDTH * ROWS], WIDTH) for at in range(0, len(pixels), WIDTH * ROWS)]
+    return [pixels[at : at + WIDTH * ROWS] for at in range(0, len(pixels), WIDTH * ROWS)]
+
+
+def store_many(payloads: list[bytes]) -> list[bytes]:
+    """Each payload's files as one value; files of all payloads are written side by side."""
+    parts = [_files_of(p) for p in payloads]
+    files = iter(webp.encode_rgb_many([f for fs in parts for f in fs], WIDTH))
+    return [b"".join(next(files) for _ in fs) for fs in parts]
 
 
 def files_in(media: bytes) -> list[bytes]:
@@ -74,7 +85,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.A
 
 def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for ids, texts in _chunks(batches, 8 << 20):
-        media = [b"".join(store(payload_of(t))) for t in texts]
+        media = store_many([payload_of(t) for t in texts])
         yield pa.RecordBatch.from_arrays([ids, pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
 

@@ -72,6 +72,38 @@ def code_lengths(counts: np.ndarray, limit: int = TABLE_BITS) -> np.ndarray:
     return lengths
 
 
+def code_lengths_of(counts: np.ndarray, limit: int = TABLE_BITS) -> np.ndarray:
+    """code_lengths() of each row."""
+    lengths = np.zeros(counts.shape, np.int64)
+    row, col = np.nonzero(counts)
+    several = (np.bincount(row, minlength=len(counts)) > 1)[row]
+    row, col = row[several], col[several]
+    c = counts[row, col].astype(float)
+    ideal = np.log2(np.bincount(row, c, len(counts))[row] / c)
+    n = np.clip(np.ceil(ideal), 1, limit).astype(np.int64)
+    free = (1 << limit) - np.bincount(row, 1 << (limit - n), len(counts)).astype(np.int64)
+    for over in np.flatnonzero((free < 0) & (np.bincount(row, minlength=len(counts)) > 0)).tolist():  # few codes come to the limit
+        at = np.flatnonzero(row == over)
+        while free[over] < 0:
+            i = at[int(np.argmin(np.where(n[at] < limit, n[at] - ideal[at], np.inf)))]
+            free[over] += 1 << (limit - n[i] - 1)
+            n[i] += 1
+    at = np.flatnonzero(free[row] > 0)
+    while len(at):
+        by = at[np.lexsort((ideal[at] - n[at], row[at]))]  # exact, so that no row's code depends on other rows
+        share = np.where(n[by] > 1, 1 << (limit - n[by]), 1 << limit)
+        fits = share <= free[row[by]]
+        upto = np.where(fits, share, 0).cumsum()
+        begin = np.flatnonzero(np.diff(row[by], prepend=-1))
+        upto -= np.repeat(np.append(0, upto)[begin], np.diff(begin, append=len(by)))
+        taken = np.flatnonzero(fits & (upto <= free[row[by]]))
+        free -= np.bincount(row[by[taken]], share[taken], len(free)).astype(np.int64)
+        n[by[taken]] -= 1
+        at = at[free[row[at]] > 0]
+    lengths[row, col] = n
+    return lengths
+
+
 class Writer:
     def __init__(self) -> None:
         self.value, self.n = 0, 0
@@ -146,18 +178,22 @@ def _cl_bits() -> np.ndarray:
     return np.array([_CL.get(i, 0) for i in range(19)], np.uint64)
 
 
-def _packed(parts: list[_Bits]) -> tuple[np.ndarray, int]:
-    """The bits of all parts, lowest first, as bytes, and how many there are. A part has up to 64 bits."""
-    value, bits = (np.concatenate(c) for c in zip(*parts, strict=True))
+def _packed(value: np.ndarray, bits: np.ndarray, of: np.ndarray, n: int) -> list[tuple[np.ndarray, int]]:
+    """The bits of each of ``n`` streams, lowest first, as bytes, and how many there are. ``of``: each part's stream,
+    ascending. A part has up to 64 bits."""
     end = bits.cumsum()
-    at = end - bits
+    total = np.bincount(of, weights=bits, minlength=n).astype(np.int64)
+    words = total // 64 + 2
+    begin = words.cumsum() - words
+    at = end - bits + (64 * begin - (total.cumsum() - total)).astype(np.uint64)[of]  # each stream begins with a word
     word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
-    out = np.zeros(int(end[-1]) // 64 + 2, "<u8")
+    out = np.zeros(int(words.sum()), "<u8")
     first = np.flatnonzero(np.diff(word, prepend=-1))
     out[word[first]] = np.bitwise_or.reduceat(value << shift, first)
     over = np.flatnonzero(shift + bits > 64)
     out[word[over] + 1] |= value[over] >> (np.uint64(64) - shift[over])
-    return out.view(np.uint8), int(end[-1])
+    raw = out.view(np.uint8)
+    return [(raw[8 * i : 8 * i + -(-t // 8)], t) for i, t in zip(begin.tolist(), total.tolist(), strict=True)]
 
 
 def _riff(data: bytes) -> bytes:
@@ -196,31 +232,32 @@ def _near_codes(width: int) -> dict[int, int]:
     return out
 
 
-def _copies(argb: np.ndarray, least: int = 5, most: int = 4096) -> list[tuple[int, int, int]]:
-    """Back-references (place, pixels, distance): runs of places whose three pixels occurred before at one distance."""
-    n = len(argb) - 2
-    if n < 2:
+def _copies(argb: np.ndarray, of: np.ndarray, first: np.ndarray, sizes: np.ndarray, least: int = 5, most: int = 4096) -> list[tuple[int, int, int]]:
+    """Back-references (place, pixels, distance) inside each image of over 16 pixels: runs of places whose three pixels
+    occurred before at one distance. ``of``: each pixel's image; images begin at ``first``."""
+    if len(argb) < 3:
         return []
     a = argb.astype(np.uint64)
     key = (a[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (a[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (a[2:] * np.uint64(0x165667B19E3779F9))
-    order = np.argsort(key, kind="stable")
-    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
-    if not len(same):
-        return []
-    back = np.zeros(n, np.int64)
-    back[order[same + 1]] = order[same + 1] - order[same]
+    inside = np.repeat(sizes > 16, sizes)[:-2] & (of[2:] == of[:-2])
+    places = np.flatnonzero(inside)
+    order = places[np.argsort(key[places], kind="stable")]
+    new, old = order[1:], order[:-1]
+    same = np.flatnonzero((key[new] == key[old]) & (of[new] == of[old]))
+    new, old = new[same], old[same]
+    for i in range(3):  # equal keys may be of different pixels
+        equal = argb[new + i] == argb[old + i]
+        new, old = new[equal], old[equal]
+    back = np.zeros(len(argb), np.int64)
+    back[new] = new - old
     edges = np.flatnonzero(np.diff(back, prepend=0, append=0))
     run = np.diff(edges)
     long = np.flatnonzero((back[edges[:-1]] > 0) & (run + 2 >= least))
     out, end = [], 0
-    for start, size in zip(edges[long].tolist(), (run[long] + 2).tolist(), strict=True):
-        d = int(back[start])
+    for start, size, d in zip(edges[long].tolist(), (run[long] + 2).tolist(), back[edges[long]].tolist(), strict=True):
         start, size = max(start, end), size - max(0, end - start)
         if size < least:
             continue
-        wrong = np.flatnonzero(argb[start : start + size] != argb[start - d : start - d + size])
-        if len(wrong):  # equal keys of different pixels
-            size = int(wrong[0])
         while size >= least:
             out.append((start, min(size, most), d))
             start, size = start + min(size, most), size - min(size, most)
@@ -238,75 +275,127 @@ def _entropy(*counts: np.ndarray) -> float:
     return bits
 
 
-def _hits(argb: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each pixel's slot in a colour cache of 2^bits, and whether the pixel is there when its turn comes."""
-    slot = ((argb.astype(np.uint32) * np.uint32(0x1E35A7BD)) >> np.uint32(32 - bits)).astype(np.uint16)
-    order = np.argsort(slot, kind="stable")
-    hit = np.zeros(len(argb), bool)
-    hit[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (argb[order[1:]] == argb[order[:-1]])
-    return slot.astype(np.int64), hit
-
-
-def _put_pixels(w: Writer, argb: np.ndarray, width: int, main: bool) -> np.ndarray:
-    """An entropy-coded image after ``w``'s bits; the stream's bytes. Alpha is one value for all pixels."""
-    n = len(argb)
+def _entropies(counts: np.ndarray) -> np.ndarray:
+    """_entropy() of each row."""
+    n, used = counts.sum(axis=1), (counts > 0).sum(axis=1)
+    bits = n * np.log2(np.maximum(n, 1)) - (counts * np.log2(np.maximum(counts, 1))).sum(axis=1) + 5 * used
+    return np.where(used > 1, bits, 16.0)
+
+
+def _tables(row: np.ndarray, symbol: np.ndarray, rows: int, size: int) -> np.ndarray:
+    """How often each symbol occurs in each row."""
+    return np.bincount(row * size + symbol, minlength=rows * size).reshape(rows, size)
+
+
+def _codes_of(counts: np.ndarray, alphabet: np.ndarray, only: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths and codes of a prefix code for each row of counts, and the rows, values and bits of the parts that write
+    these codes; as _code() for a row of ``alphabet`` symbols, in which ``only`` is the one symbol of a row without two."""
+    lengths = code_lengths_of(counts)
+    codes = np.zeros(lengths.shape, np.uint64)
+    row, col = np.nonzero(lengths)
+    n = lengths[row, col]
+    order = np.argsort(row * 16 + n, kind="stable")
+    share = np.left_shift(1, TABLE_BITS - n[order])
+    codes[row[order], col[order]] = _reversed()[(share.cumsum() - share) & ((1 << TABLE_BITS) - 1)]  # a row's shares fill its windows
+    begins = np.flatnonzero(np.diff(row, prepend=-1))
+    owner = row[begins]
+    gap = np.diff(col, prepend=-1) - 1
+    gap[begins] = col[begins]
+    runs, sizes = _zero_runs()
+    head_value, head_bits = _joined(_code_head())
+    lone = np.setdiff1d(np.arange(len(counts)), owner)
+    single = [_joined(_only(x)) for x in only[lone].tolist()]
+    tail = alphabet[owner] - 1 - col[np.append(begins[1:], len(col))[: len(owner)] - 1] if len(owner) else np.zeros(0, np.int64)
+    u = lambda x: np.asarray(x, np.uint64)
+    rows = np.concatenate([owner, row, owner, lone])
+    value = np.concatenate([u([head_value] * len(owner)), runs[gap] | _cl_codes()[n] << sizes[gap], runs[tail], u([v for v, _ in single])])
+    bits = np.concatenate([u([head_bits] * len(owner)), sizes[gap] + _cl_bits()[n], sizes[tail], u([b for _, b in single])])
+    return lengths, codes, rows, value, bits
+
+
+def _joined(parts: _Bits) -> tuple[int, int]:
+    value = at = 0
+    for v, n in zip(*(x.tolist() for x in parts), strict=True):
+        value, at = value | v << at, at + n
+    return value, at
+
+
+def _put_pixels(heads: list[Writer], images: list[np.ndarray], widths: list[int], main: bool) -> list[tuple[np.ndarray, int]]:
+    """Entropy-coded images, each after its writer's bits; the streams' bytes and how many bits they have. Alpha is one
+    value for all pixels of an image. All images go through each step together, as most are small."""
+    k, sizes = len(images), np.array([len(i) for i in images])
+    argb, of, first = np.concatenate(images), np.repeat(np.arange(k), sizes), sizes.cumsum() - sizes
     channel = lambda shift: (argb >> np.uint32(shift) & np.uint32(255)).astype(np.int64)
     red, green, blue = channel(16), channel(8), channel(0)
-    copies = _copies(argb) if n > 16 else []
-    coded = np.ones(n, bool)
-    for at, size, _ in copies:
-        coded[at + 1 : at + size] = False
-    where = np.flatnonzero(coded)  # one symbol each
-    length, distance = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    copies = _copies(argb, of, first, sizes)
+    length, distance, inner = np.zeros(len(argb), np.int64), np.zeros(len(argb), np.int64), np.zeros(len(argb) + 1, np.int64)
     if copies:
         at, size, d = np.array(copies).T
-        near = _near_codes(width)
-        length[at], distance[at] = size, [near.get(x, x + 120) for x in d.tolist()]
-    length, distance, g, r, b = length[where], distance[where], green[where], red[where], blue[where]
+        near = [_near_codes(w) for w in widths]
+        length[at], distance[at] = size, [near[i].get(x, x + 120) for i, x in zip(of[at].tolist(), d.tolist(), strict=True)]
+        inner[at + 1] += 1
+        np.subtract.at(inner, at + size, 1)
+    where = np.flatnonzero(inner[:-1].cumsum() == 0)  # one symbol each
+    of, length, distance, g, r, b = of[where], length[where], distance[where], green[where], red[where], blue[where]
     lit = length == 0
-    cache_bits, hit, slot = 0, np.zeros(len(where), bool), None
-    plain = [np.bincount(g[lit], minlength=280), np.bincount(r[lit], minlength=256) + np.bincount(b[lit], minlength=256)]
-    if n >= 64:
-        bits = min(8, max(2, n.bit_length() - 3))
-        slots, hits = _hits(argb, bits)
-        maybe = hits[where] & lit
-        slot = slots[where]
-        rest = lit & ~maybe
-        with_cache = np.bincount(np.where(maybe, 280 + slot, g)[lit], minlength=280 + (1 << bits))
-        if _entropy(with_cache, np.bincount(r[rest], minlength=256) + np.bincount(b[rest], minlength=256)) < _entropy(*plain):
-            cache_bits, hit = bits, maybe
-    symbol = np.where(hit, 280 + slot, g) if cache_bits else g.copy()
+    # A colour cache, where it makes an image smaller.
+    cache_bits = np.array([min(8, max(2, n.bit_length() - 3)) for n in sizes.tolist()])
+    slots = ((argb.astype(np.uint32) * np.uint32(0x1E35A7BD)) >> np.repeat(32 - cache_bits, sizes).astype(np.uint32)).astype(np.int64)
+    place = np.repeat(np.arange(k), sizes) << 8 | slots
+    order = np.argsort(place.astype(np.uint16) if k <= 256 else place, kind="stable")
+    hits = np.zeros(len(argb), bool)
+    hits[order[1:]] = (place[order[1:]] == place[order[:-1]]) & (argb[order[1:]] == argb[order[:-1]])
+    maybe, slot = hits[where] & lit, slots[where]
+    both = lambda kept: _tables(of[kept], r[kept], k, 256) + _tables(of[kept], b[kept], k, 256)
+    plain = _entropies(_tables(of[lit], g[lit], k, 280)) + _entropies(both(lit))
+    cached = _entropies(_tables(of[lit], np.where(maybe, 280 + slot, g)[lit], k, 536)) + _entropies(both(lit & ~maybe))
+    cache_bits = np.where((sizes >= 64) & (cached < plain), cache_bits, 0)
+    hit = maybe & (cache_bits > 0)[of]
+    symbol = np.where(hit, 280 + slot, g)
     copied = np.flatnonzero(~lit)
     ls, le, lx = _prefixed(length[copied])
     ds, de, dx = _prefixed(distance[copied])
     symbol[copied] = 256 + ls
     full = lit & ~hit
-    green_lengths = code_lengths(np.bincount(symbol, minlength=280 + ((1 << cache_bits) if cache_bits else 0)))
-    rb_lengths = code_lengths(np.bincount(r[full], minlength=256) + np.bincount(b[full], minlength=256))
-    d_lengths = code_lengths(np.bincount(ds, minlength=40))
-    red_blue = _code(rb_lengths, int(r[full][0]) if full.any() else 0)
-    head = [(w.value >> i & 0xFFFFFFFF, min(32, w.n - i)) for i in range(0, w.n, 32)] + [(1, 1), (cache_bits, 4)] * bool(cache_bits) + [(0, 1)] * (not cache_bits)
-    head += [(0, 1)] * main  # one group of codes
-    parts = [_some(*head), _code(green_lengths, int(symbol[0])), red_blue, red_blue, _only(int(argb[0] >> np.uint32(24))), _code(d_lengths, int(ds[0]) if copies else 0)]
-    gc, rc, dc = canonical(green_lengths), canonical(rb_lengths), canonical(d_lengths)
-    u = lambda x: x.astype(np.uint64)
-    gl, rl, bl = u(green_lengths)[symbol], u(rb_lengths)[r], u(rb_lengths)[b]
-    value, bits_ = gc[symbol], gl
-    value = np.where(full, value | rc[r] << gl | rc[b] << (gl + rl), value)
-    bits_ = np.where(full, gl + rl + bl, bits_)
-    if copies:
-        at = gl[copied]
-        v = value[copied] | u(lx) << at
-        at = at + u(le)
-        v |= dc[ds] << at
-        at = at + u(d_lengths)[ds]
-        value[copied], bits_[copied] = v | u(dx) << at, at + u(de)
-    raw, w.n = _packed([*parts, (value, bits_)])
-    return raw[: -(-w.n // 8)]
+    starts = np.searchsorted(of, np.arange(k))
+    one_red, one_far = np.zeros(k, np.int64), np.zeros(k, np.int64)
+    one_red[of[full]], one_far[of[copied]] = r[full], ds  # counts where all are equal
+    shared = both(full)
+    gray = (shared > 0).sum(axis=1) < 2
+    green_lengths, gc, *green_parts = _codes_of(_tables(of, symbol, k, 536), 280 + np.where(cache_bits > 0, 1 << cache_bits, 0), symbol[starts])
+    rb_lengths, rc, *rb_parts = _codes_of(shared, np.full(k, 256), np.where(gray, one_red, 0))
+    d_lengths, dc, *d_parts = _codes_of(_tables(of[copied], ds, k, 40), np.full(k, 40), one_far)
+    u = lambda x: np.asarray(x, np.uint64)
+    head = [(i, w.value >> at & 0xFFFFFFFF, min(32, w.n - at)) for i, w in enumerate(heads) for at in range(0, w.n, 32)]
+    flags = np.where(cache_bits > 0, 1 | cache_bits << 1, 0), np.where(cache_bits > 0, 5, 1) + main  # then one group of codes
+    alpha = [_joined(_only(x)) for x in (argb[first] >> np.uint32(24)).tolist()]
+    gl, rl, bl = u(green_lengths[of, symbol]), u(rb_lengths[of, r]), u(rb_lengths[of, b])
+    value, bits = gc[of, symbol], gl
+    value = np.where(full, value | rc[of, r] << gl | rc[of, b] << (gl + rl), value)
+    bits = np.where(full, gl + rl + bl, bits)
+    at, v, i = gl[copied], value[copied], of[copied]
+    v = v | u(lx) << at
+    at = at + u(le)
+    v |= dc[i, ds] << at
+    at = at + u(d_lengths[i, ds])
+    value[copied], bits[copied] = v | u(dx) << at, at + u(de)
+    every = np.arange(k)
+    sections = [
+        tuple(np.array(c) for c in zip(*head, strict=True)) if head else (every[:0],) * 3,
+        (every, *flags),
+        green_parts, rb_parts, rb_parts,
+        (every, [v for v, _ in alpha], [n for _, n in alpha]),
+        d_parts,
+        (of, value, bits),
+    ]
+    owner = np.concatenate([s[0] for s in sections])
+    key = owner * len(sections) + np.repeat(np.arange(len(sections)), [len(s[0]) for s in sections])
+    order = np.argsort(key.astype(np.uint16) if k <= 4096 else key, kind="stable")
+    return _packed(np.concatenate([u(s[1]) for s in sections])[order], np.concatenate([u(s[2]) for s in sections])[order], owner[order], k)
 
 
 def _sub_image(w: Writer, argb: np.ndarray, width: int) -> None:
-    raw = _put_pixels(w, argb, width, False)
+    ((raw, w.n),) = _put_pixels([w], [argb], [width], False)
     w.value = int.from_bytes(raw.tobytes(), "little")
 
 
@@ -337,6 +426,25 @@ def _histograms(image: np.ndarray) -> list[np.ndarray]:
 
 def encode(image: np.ndarray) -> bytes:
     """A WebP file of pixels (h, w, 4) in the order A, R, G, B; alpha is one value for all."""
+    return encode_many([image])[0]
+
+
+def encode_many(images: list[np.ndarray], most: int = 1 << 17) -> list[bytes]:
+    """encode() of each image; up to 256 images, or about ``most`` pixels, are written together."""
+    out, at = [], 0
+    while at < len(images):
+        end, size = at, 0
+        while end < len(images) and end - at < 256 and (end == at or size + images[end][..., 0].size <= most):
+            size += images[end][..., 0].size
+            end += 1
+        heads, pixels, widths = zip(*map(_transformed, images[at:end]), strict=True)
+        out += [_riff(raw.tobytes()) for raw, _ in _put_pixels(list(heads), list(pixels), list(widths), True)]
+        at = end
+    return out
+
+
+def _transformed(image: np.ndarray) -> tuple[Writer, np.ndarray, int]:
+    """A file's bits before its pixels, the pixels that its transforms leave, and their width."""
     h, width, _ = image.shape
     w = Writer()
     _start(w, width, h, bool(image[0, 0, 0] != 255))
@@ -361,10 +469,10 @@ def encode(image: np.ndarray) -> bytes:
             padded[:, :width] = index.reshape(h, width)
             green = (padded.reshape(h, across, 1 << bits) << (np.arange(1 << bits) * each)).sum(axis=2).reshape(-1)
             w.put(0, 1)
-            return _riff(_put_pixels(w, (np.uint32(0xFF000000) | green.astype(np.uint32) << np.uint32(8)), across, True).tobytes())
+            return w, np.uint32(0xFF000000) | green.astype(np.uint32) << np.uint32(8), across
     if not alike:
         w.put(0, 1)
-        return _riff(_put_pixels(w, argb, width, True).tobytes())
+        return w, argb, width
     choice, kept = None, image
     for mode in (1, 2) if image[0, 0, 0] == 255 else ():
         moved = residual(image, mode)
@@ -402,14 +510,22 @@ def encode(image: np.ndarray) -> bytes:
         w.put(SUBTRACT_GREEN, 2)
         kept = plain
     w.put(0, 1)
-    return _riff(_put_pixels(w, _pack(kept), width, True).tobytes())
+    return w, _pack(kept), width
+
+
+def encode_rgb_many(pixels: list[np.ndarray], width: int) -> list[bytes]:
+    """A WebP file of each of these opaque pixels (n, 3)."""
+    images = []
+    for rgb in pixels:
+        image = np.full((len(rgb) // width, width, 4), 255, np.uint8)
+        image[..., 1:] = rgb.reshape(-1, width, 3)
+        images.append(image)
+    return encode_many(images)
 
 
 def encode_rgb(rgb: np.ndarray, width: int) -> bytes:
     """A WebP file of opaque pixels (n, 3)."""
-    image = np.full((len(rgb) // width, width, 4), 255, np.uint8)
-    image[..., 1:] = rgb.reshape(-1, width, 3)
-    return encode(image)
+    return encode_rgb_many([rgb], width)[0]
 
 
 class Reader:

@@ -248,6 +248,27 @@ def test_media_odd(odd, empty):
     assert len(got) == 4 and len({r.media_sha256 for r in got if r.n_bytes}) == 1
 
 
+def test_webp_files_side_by_side():
+    """Images that are written together have the files that each has alone, also one of few symbols beside large ones."""
+    rng = np.random.default_rng(5)
+    images = []
+    for i in range(300):
+        h, w = rng.integers(1, 20), rng.integers(1, 70)
+        rgb = (rng.integers(0, (2, 90, 256)[i % 3], (h, w, 3)) if i % 4 else np.full((h, w, 3), i % 251)).astype(np.uint8)
+        rgb.reshape(-1)[rgb.size // 2 : rgb.size // 2 * 2] = rgb.reshape(-1)[: rgb.size // 2]  # back-references
+        images.append(np.concatenate([np.full((h, w, 1), 255, np.uint8), rgb], axis=2))
+    files = webp.encode_many(images)
+    assert files == [webp.encode(i) for i in images]
+    assert all(np.array_equal(p, i[..., 1:].reshape(-1, 3)) for p, i in zip(webp.decode_many(files), images, strict=True))
+    assert all(np.array_equal(webp.decode(f), i) for f, i in zip(files[:40], images, strict=False))
+
+
+def test_webp_code_lengths_of_many():
+    rng = np.random.default_rng(6)
+    counts = np.array([rng.integers(0, 3, 60) * 2 ** rng.integers(0, 18, 60) * (rng.random(60) < i / 50) for i in range(80)])
+    assert np.array_equal(webp.code_lengths_of(counts), np.array([webp.code_lengths(c) for c in counts]))
+
+
 class FullWriter(webp.Writer):
     """Writes streams with every feature of the format, with flat prefix codes."""
 
