@@ -221,15 +221,18 @@ def probe_completion(rows: DataFrame, penetrations: Sequence[float], trials: int
     probe; r2 and rmse are null without such cells, r2 also where they don't differ. A trial without any probe has no row.
 
     Every trial and penetration is a group of one fit, so all are completed together; a vehicle that is a probe at one
-    penetration is one at every higher one. ``modes`` may hold a third, the lane.
+    penetration is one at every higher one. ``modes`` may hold a third, the lane. Each vehicle's readings in a cell become
+    one sum and count, written once: draws of all trials repeat these, not the readings.
     """
     keys, modes = list(keys), list(modes)
     rows = rows.where(F.col(speed).isNotNull() & F.col(vehicle).isNotNull()).select(*keys, *modes, F.col(vehicle).alias("_veh"), F.col(speed).cast("double").alias("_v"))
     run = ["penetration", "trial"]
-    truth = cut(rows.groupBy(*keys, *modes).agg(F.avg("_v").alias("truth")))
+    rows = cut(rows.groupBy(*keys, *modes, "_veh").agg(F.sum("_v").alias("_v"), F.count(F.lit(1)).alias("_n")))
+    mean = F.sum("_v") / F.sum("_n")
+    truth = cut(rows.groupBy(*keys, *modes).agg(mean.alias("truth")))
     drawn = rows.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn("_u", sampled(F.col("_veh"), F.col("trial"), seed))
     drawn = drawn.withColumn("penetration", F.explode(F.filter(F.array(*map(F.lit, map(float, penetrations))), lambda p: F.col("_u") < p)))
-    seen = cut(drawn.groupBy(*keys, *run, *modes).agg(F.avg("_v").alias("v")))
+    seen = cut(drawn.groupBy(*keys, *run, *modes).agg(mean.alias("v")))
     probes = drawn.groupBy(*keys, *run).agg(F.countDistinct("_veh").alias("n_probes"))
     fit = low_rank(seen, modes, [*keys, *run], rank=rank, ridge=ridge, rounds=rounds, tolerance=tolerance)
     runs = fit.groups.select(*keys, *run)

@@ -14,3 +14,9 @@ DATA = "/root/testdata/sf0.001"
 def test_events_are_not_read_again(spark, name):
     plan = registry.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "parquet" not in plan.lower()
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables here")
+def test_draws_of_probes_repeat_sums_not_readings(spark):
+    plan = registry.queries()["probe_completion"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" not in plan.lower()
