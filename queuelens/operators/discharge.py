@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from queuelens import schemas as S
-from queuelens.operators.episodes import sliced
+from queuelens.operators.episodes import day_periods, sliced
 
 
 def mu_per_episode(episodes: DataFrame, qc: DataFrame) -> DataFrame:
     """Adds mu_obs_vphpl: the median flow over a valid episode's discharge window, from six known flows on.
 
-    An equi-join on sensor, date and period with the place in the period as a range condition.
+    An equi-join on sensor, date and period with the place in the period as a range condition; only rows of periods with
+    such an episode get places.
     """
     keys = ["sensor_uid", "date", "period"]
-    merged = sliced(qc.where((F.hour("datetime") >= 10) & (F.hour("datetime") < 20)), F.lit("MDPM"))
-    rows = sliced(qc).unionByName(merged).select(*keys, "idx", "flow_vph")
     spans = episodes.where("is_valid_for_mu and discharge_start_idx is not null").select(*keys, "discharge_start_idx", "discharge_end_idx")
+    rows = sliced(qc, day_periods(), spans).select(*keys, "idx", "flow_vph")
     inside = rows.join(spans, keys).where("idx between discharge_start_idx and discharge_end_idx and flow_vph is not null")
     mu = inside.groupBy(*keys).agg(F.percentile("flow_vph", F.lit(0.5)).alias("mu"), F.count("flow_vph").alias("n"))
     mu = mu.where(F.col("n") >= S.DISCHARGE_MIN_BINS).select(*keys, F.col("mu").alias("mu_obs_vphpl"))

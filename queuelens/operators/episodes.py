@@ -18,10 +18,19 @@ def labelled(qc: DataFrame, period: Column | None = None) -> DataFrame:
     return df.withColumn("v", F.when(F.col("qc_pass"), F.col("speed_mph_clean")) if "qc_pass" in qc.columns else F.col("speed_mph"))
 
 
-def sliced(qc: DataFrame, period: Column | None = None) -> DataFrame:
-    """Labelled rows with their place in the period (from 0); rows of one time in the order that classify() has."""
+def day_periods() -> Column:
+    """A row for each of a time's day periods: 10 to 20 h takes part in the merged one too, in one pass."""
+    period, hour = X.period_of("datetime"), F.hour("datetime")
+    return F.explode(F.array_compact(F.array(F.when(period != "NT", period), F.when((hour >= 10) & (hour < 20), F.lit("MDPM")))))
+
+
+def sliced(qc: DataFrame, period: Column | None = None, only: DataFrame | None = None) -> DataFrame:
+    """Labelled rows with their place in the period (from 0); rows of one time in the order that classify() has. only: the
+    sensor_uid, date and period of the periods that are asked for."""
     tied = [c for c in ("v", "flow_vph") if c == "v" or c in qc.columns]
-    return labelled(qc, period).withColumn("idx", F.row_number().over(W.partitionBy(*KEYS).orderBy("datetime", *tied)) - 1)
+    rows = labelled(qc, period)
+    rows = rows if only is None else rows.join(only, ["sensor_uid", "date", "period"], "left_semi")
+    return rows.withColumn("idx", F.row_number().over(W.partitionBy(*KEYS).orderBy("datetime", *tied)) - 1)
 
 
 def _reach(marks: Column) -> Column:
@@ -113,9 +122,7 @@ def with_events(episodes: DataFrame) -> DataFrame:
 def find_episodes(qc: DataFrame, v_c: float = S.DEFAULT_VC_MPH, dt_min: float = S.DT_MIN, by_sensor: DataFrame | None = None) -> DataFrame:
     """All episodes of the day periods: detection, the merge over 16 h, then events. by_sensor: sensor_uid, v_c_mph, the
     critical speed of each sensor's diagram; sensors without one take ``v_c``."""
-    period, hour = X.period_of("datetime"), F.hour("datetime")
-    labels = F.array_compact(F.array(F.when(period != "NT", period), F.when((hour >= 10) & (hour < 20), F.lit("MDPM"))))
-    rows = labelled(qc, F.explode(labels))  # a row of 10 to 20 h takes part in both, in one pass
+    rows = labelled(qc, day_periods())
     if by_sensor is not None:
         rows = rows.join(by_sensor.select("sensor_uid", F.col("v_c_mph").alias("_v_c")), "sensor_uid", "left").withColumn("_v_c", F.coalesce("_v_c", F.lit(float(v_c))))
     return with_events(merged_over_16h(classify(rows, v_c if by_sensor is None else F.col("_v_c"), dt_min), dt_min))

@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from queuelens.operators import episodes
 from queuelens.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -20,3 +21,13 @@ def test_events_are_not_read_again(spark, name):
 def test_draws_of_probes_repeat_sums_not_readings(spark):
     plan = registry.queries()["probe_completion"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "parquet" not in plan.lower()
+
+
+def test_places_of_the_periods_asked_for(spark):
+    """Places are those among all rows of a period, and other periods have none."""
+    rows = spark.sql("select 'A' sensor_uid, 'C' corridor, timestampadd(MINUTE, 5 * id, timestamp_ntz'2024-01-01 06:00:00') datetime, 40.0 + id % 7 speed_mph, 1000.0 flow_vph from range(160)")
+    only = spark.createDataFrame([("A", "2024-01-01", "AM"), ("A", "2024-01-01", "MDPM")], "sensor_uid string, date string, period string")
+    every = {(r.period, r.datetime): r.idx for r in episodes.sliced(rows, episodes.day_periods()).collect()}
+    some = {(r.period, r.datetime): r.idx for r in episodes.sliced(rows, episodes.day_periods(), only).collect()}
+    assert {p for p, _ in every} == {"AM", "MD", "PM", "MDPM"} and {p for p, _ in some} == {"AM", "MDPM"}
+    assert some == {k: v for k, v in every.items() if k[0] in ("AM", "MDPM")}
