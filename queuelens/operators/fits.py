@@ -5,6 +5,9 @@ Spark groups the rows; a kernel is a few lines of numpy over one sensor's own se
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import pairwise
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,41 +29,178 @@ ROBUST_MODELS = {
 GRID = np.linspace(1, 200, 400)
 
 
-def huber_fit(k: np.ndarray, q: np.ndarray, model: str, eps: float = 1.35, steps: int = 60) -> tuple[np.ndarray, float, float] | None:
-    """Parameters, R2 and RMSE of flow: projected Levenberg-Marquardt with Huber weights, from the middle of the bounds."""
-    ok = np.isfinite(k) & np.isfinite(q) & (k > 0)
-    k, q = k[ok], q[ok]
-    if len(k) < 10:
-        return None
-    speed, lo, hi = ROBUST_MODELS[model]
+#: Padded cells of the fits that take their steps together: their arrays stay in a core's cache.
+BLOCK = 32_768
+
+
+def _step(p: np.ndarray) -> np.ndarray:
+    return 1e-6 * np.maximum(1, np.abs(p))
+
+
+# The curves of ROBUST_MODELS for many fits at once: rows of densities and their logarithms, a column of each parameter. Beside
+# speeds they give slopes, worked out of the same powers: those of forward differences by _step (to its second order), which
+# needs no further powers and has none of their noise. True slopes lead elsewhere where a fit ends at its last step.
+
+
+def _s3(k, log_k, vf, kc, m):
+    x = log_k - np.log(kc)
+    u = np.exp(m * x)
+    b = u + 1
+    rest = np.log(b)
+    v = np.exp(-2 / m * rest)
+
+    def slopes():
+        share, h = u / b, _step(kc)
+        s, e = share * v, np.expm1(-m * np.log1p(h / kc))
+        by_kc = (vf * (m + 2) / m**2 * e * e / h * share - 2 * vf / m * e / h) * s
+        h = _step(m)
+        z = share * x
+        y = 2 / (m * (m + h)) * rest - 2 / (m + h) * (z + h / 2 * z * (x - z))
+        return v, by_kc, vf * v * (y + h / 2 * y * y)
+
+    return vf * v, slopes
+
+
+def _greenshields(k, log_k, vf, kj):
+    x = np.maximum(1 - k / kj, 0)
+    return vf * x, lambda: (x, vf / (kj * (kj + _step(kj))) * k * (x > 0))
+
+
+def _newell(k, log_k, vf, kj, a):
+    gap = 1 / k - 1 / kj
+    e = np.exp(np.minimum(-a * gap, 700))
+    x = np.maximum(1 - e, 0)
+
+    def slopes():
+        s = vf * e * (x > 0)
+        return x, a / (kj * (kj + _step(kj))) * s, (1 - _step(a) / 2 * gap) * gap * s
+
+    return vf * x, slopes
+
+
+def _underwood(k, log_k, vf, kc):
+    e = np.exp(k / -kc)
+
+    def slopes():
+        h = _step(kc)
+        z = 1 / (kc * (kc + h))
+        return e, (vf * z + vf * z * z * h / 2 * k) * k * e
+
+    return vf * e, slopes
+
+
+def _van_aerde(k, log_k, vf, kc, c1, c2):
+    d = 1 + (c1 + c2 * k) * k
+    x = np.maximum(1 - k / (4 * kc), 0) / d
+    v = vf * x
+
+    def slopes():
+        s = -v * k
+        return x, vf / (4 * kc * (kc + _step(kc))) * k * (x > 0) / d, s / (d + _step(c1) * k), s * k / (d + _step(c2) * k * k)
+
+    return v, slopes
+
+
+def _lcm(k, log_k, vf, kc, b):
+    x = log_k - np.log(kc)
+    w = 1 / (1 + np.exp(b * x))
+
+    def slopes():
+        g, h = 1 - w, _step(kc)
+        s, f = g * w, -np.expm1(-b * np.log1p(h / kc))
+        return w, vf * f / h * (1 + f * g) * s, (vf * _step(b) * x * (g - 0.5) - vf) * x * s
+
+    return vf * w, slopes
+
+
+CURVES = {"S3": _s3, "Greenshields": _greenshields, "Newell": _newell, "Underwood": _underwood, "VanAerde": _van_aerde, "LCM": _lcm}
+
+
+def _inverse(a: np.ndarray) -> np.ndarray:
+    """Inverses; of matrices that have none in doubles, those that least squares use."""
+    try:
+        out = np.linalg.inv(a)
+        near = ~(np.linalg.norm(a, axis=(1, 2)) * np.linalg.norm(out, axis=(1, 2)) < 1e13)
+    except np.linalg.LinAlgError:
+        out, near = np.empty_like(a), np.ones(len(a), bool)
+    if near.any():
+        out[near] = np.linalg.pinv(a[near], rcond=a.shape[1] * np.finfo(float).eps)
+    return out
+
+
+def _together(sets: list[tuple[np.ndarray, np.ndarray]], model: str, eps: float, steps: int) -> np.ndarray:
+    """Parameters of the fits to some sets of rows. All try their next step at once; each has its own damping, and leaves
+    when it is done."""
+    curve, (_, lo, hi) = CURVES[model], ROBUST_MODELS[model]
     lo, hi = np.array(lo, float), np.array(hi, float)
-    residual = lambda p: k * speed(k, *p) - q
-    loss = lambda r: np.where(np.abs(r) <= eps, r * r / 2, eps * (np.abs(r) - eps / 2)).sum()
-    p, damp = (lo + hi) / 2, 1e-2
-    r = residual(p)
-    for _ in range(steps):
-        h = 1e-6 * np.maximum(1, np.abs(p))
-        jac = np.stack([(residual(p + d) - r) / h[i] for i, d in enumerate(np.diag(h))], axis=1)
-        w = np.minimum(1, eps / np.maximum(np.abs(r), 1e-12))
-        a, g = (jac * w[:, None]).T @ jac, (jac * w[:, None]).T @ r
-        moved = False
-        for _ in range(12):
-            new = np.clip(p - np.linalg.lstsq(a + damp * np.diag(np.maximum(np.diag(a), 1e-9)), g, rcond=None)[0], lo, hi)
-            r_new = residual(new)
-            if loss(r_new) < loss(r):
-                moved = np.abs(new - p).max() > 1e-7
-                p, r, damp = new, r_new, damp / 3
-                break
-            damp *= 4
-        if not moved:
-            break
-    total = ((q - q.mean()) ** 2).sum()
-    return p, float(1 - (r @ r) / total) if total > 0 else float("nan"), float(np.sqrt(np.mean(r * r)))
-
-
-def _best(k: np.ndarray, q: np.ndarray) -> tuple | None:
-    fits = [(f[1], m, f) for m in ROBUST_MODELS if (f := huber_fit(k, q, m)) is not None and np.isfinite(f[1])]
-    return max(fits, key=lambda x: (x[0], x[1])) if fits else None
+    n, shape = len(lo), (len(sets), max(len(k) for k, _ in sets))
+    ks, pull, seen = np.ones(shape), np.zeros(shape), np.zeros(shape)  # cells after a set's end pull nowhere
+    for i, (k, q) in enumerate(sets):
+        ks[i, : len(k)] = pull[i, : len(k)] = k
+        seen[i, : len(k)] = q / k
+    log_k, pull2 = np.minimum(np.log(ks), 80), pull * pull  # so that no power overflows
+    found = np.tile((lo + hi) / 2, (shape[0], 1))
+    left, new = np.arange(shape[0]), found.copy()
+    p, loss, damp = new, np.full(shape[0], np.inf), np.full(shape[0], 3e-2)
+    taken, tries = np.full(shape[0], -1), np.zeros(shape[0], int)
+    a, g = np.zeros((shape[0], n, n)), np.zeros((shape[0], n))
+    while True:
+        v, slopes = curve(ks, log_k, *(new[:, i, None] for i in range(n)))
+        off = v - seen
+        size = np.abs(off * pull) + 1e-300
+        inner = np.minimum(size, eps)
+        new_loss = np.vecdot(inner, size) - np.vecdot(inner, inner) / 2
+        better = (new_loss < loss) | (taken < 0)
+        if better.any():
+            every = better.all()
+            cells = [c if every else c[better] for c in (*slopes(), off)]
+            w = inner / size * pull2 if every else inner[better] / size[better] * pull2[better]
+            for i in range(n):
+                weighted = cells[i] * w
+                g[better, i] = np.vecdot(weighted, cells[n])
+                for j in range(i + 1):
+                    a[better, i, j] = a[better, j, i] = np.vecdot(weighted, cells[j])
+        still = better & (taken >= 0) & (np.abs(new - p).max(axis=1) <= 1e-7)
+        p, loss, damp = np.where(better[:, None], new, p), np.where(better, new_loss, loss), np.where(better, damp / 3, damp * 4)
+        taken, tries = taken + better, np.where(better, 0, tries + 1)
+        done = still | (taken >= steps) | (tries >= 12)
+        if done.any():
+            found[left[done]] = p[done]
+            left, p, loss, damp, taken, tries, a, g, ks, pull, pull2, seen, log_k = (c[~done] for c in (left, p, loss, damp, taken, tries, a, g, ks, pull, pull2, seen, log_k))
+            if not len(left):
+                return found
+        damped = a + damp[:, None, None] * (np.eye(n) * np.maximum(a, 1e-9))
+        sound = np.isfinite(damped).all(axis=(1, 2)) & np.isfinite(g).all(axis=1)
+        inverse = _inverse(np.where(sound[:, None, None], damped, np.eye(n)))
+        new = np.clip(p - (inverse @ np.where(sound[:, None], g, 0)[:, :, None])[:, :, 0], lo, hi)
+
+
+def huber_fits(sets: list[tuple[np.ndarray, np.ndarray]], model: str, eps: float = 1.35, steps: int = 60) -> list[tuple[np.ndarray, float, float] | None]:
+    """Parameters, R2 and RMSE of flow for each set of densities and flows: projected Levenberg-Marquardt with Huber weights,
+    from the middle of the bounds. Sets of like length take their steps together."""
+    usable = [np.isfinite(k) & np.isfinite(q) & (k > 0) for k, q in sets]
+    sets = [(k[ok], q[ok]) for (k, q), ok in zip(sets, usable, strict=True)]
+    out, speed = [None] * len(sets), ROBUST_MODELS[model][0]
+    queue = sorted((i for i, (k, _) in enumerate(sets) if len(k) >= 10), key=lambda i: -len(sets[i][0]))
+    while queue:
+        some = queue[: max(1, BLOCK // len(sets[queue[0]][0]))]
+        queue = queue[len(some) :]
+        for i, p in zip(some, _together([sets[j] for j in some], model, eps, steps), strict=True):
+            k, q = sets[i]
+            r, total = k * speed(k, *p) - q, ((q - q.mean()) ** 2).sum()
+            out[i] = (p, float(1 - (r @ r) / total) if total > 0 else float("nan"), float(np.sqrt(np.mean(r * r))))
+    return out
+
+
+def huber_fit(k: np.ndarray, q: np.ndarray, model: str, eps: float = 1.35, steps: int = 60) -> tuple[np.ndarray, float, float] | None:
+    """``huber_fits`` of one set."""
+    return huber_fits([(k, q)], model, eps, steps)[0]
+
+
+def _best(sets: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple | None]:
+    fits = {m: huber_fits(sets, m) for m in ROBUST_MODELS}
+    each = [[(f[i][1], m, f[i]) for m, f in fits.items() if f[i] is not None and np.isfinite(f[i][1])] for i in range(len(sets))]
+    return [max(e, key=lambda x: (x[0], x[1])) if e else None for e in each]
 
 
 FD_SCHEMA = "sensor_uid string, regime string, n long, model string, params array<double>, r2 double, rmse double, capacity_vphpl double, k_c double, v_f_mph double, month int"
@@ -71,30 +211,70 @@ def regimes(v: np.ndarray, k: np.ndarray, v_c: float, k_c: float, v_f: float) ->
     return {"free_flow": (v >= 0.95 * v_f) & (k < 0.6 * k_c), "near_capacity": (k >= 0.6 * k_c) & (k <= 1.2 * k_c), "congested": (k > 1.2 * k_c) | (v < v_c)}
 
 
-def fit_diagrams(states: DataFrame, least: int = 10, months: int = 1) -> DataFrame:
+def _critical(model: str, p: np.ndarray) -> tuple[float, float, float]:
+    """Capacity, its density and free-flow speed."""
+    flow = GRID * ROBUST_MODELS[model][0](GRID, *p)
+    at = int(np.argmax(flow))
+    return float(flow[at]), float(GRID[at]), float(p[0])
+
+
+def _whole(batches: Iterator[pd.DataFrame], together: int) -> Iterator[list[tuple[tuple, np.ndarray]]]:
+    """Lists of (sensor and month, its speeds, densities and flows) out of sorted rows: as many sensors' months as have
+    ``together`` rows, the last one with all of its own. Each one's rows are put in order of flow, density and speed."""
+
+    def ordered(parts: list[np.ndarray]) -> np.ndarray:
+        columns = np.concatenate(parts).T
+        return np.ascontiguousarray(columns[:, np.lexsort(columns)])
+
+    found, n = [], 0
+    for pdf in batches:
+        keys = list(zip(pdf.sensor_uid, pdf.month, strict=True))
+        values = pdf[["speed_mph", "density_vpm", "flow_vph"]].to_numpy(float)
+        starts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)] if keys else []
+        for i, j in pairwise(starts):
+            if found and found[-1][0] == keys[i]:
+                found[-1][1].append(values[i:j])
+                n += j - i
+                continue
+            if n >= together:
+                yield [(key, ordered(parts)) for key, parts in found]
+                found, n = [], 0
+            found.append((keys[i], [values[i:j]]))
+            n += j - i
+    if found:
+        yield [(key, ordered(parts)) for key, parts in found]
+
+
+def fit_diagrams(states: DataFrame, least: int = 10, months: int = 1, together: int = 200_000) -> DataFrame:
     """The model of six with the highest R2 for each sensor and month (or ``months`` of them), over all rows and over those
-    of each regime of that diagram. A task sees a sensor's rows of these months, however long its history."""
+    of each regime of that diagram. A task sees the rows of some sensors' months at a time (``together``, or one sensor's
+    month), however long their history. Their order is fixed, as a fit that ends at its last step depends on it."""
     month = F.floor((F.year("datetime") * 12 + F.month("datetime") - 1) / months).cast("int") if "datetime" in states.columns else F.lit(0)
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        v, density, flows, rows = pdf.speed_mph.to_numpy(float), pdf.density_vpm.to_numpy(float), pdf.flow_vph.to_numpy(float), []
-
-        def add(regime: str, m: np.ndarray) -> tuple[float, float, float] | None:
-            best = _best(density[m], flows[m]) if m.sum() >= least else None
-            if best is None:
-                return None
-            _, model, (p, r2, rmse) = best
-            flow = GRID * ROBUST_MODELS[model][0](GRID, *p)
-            at = int(np.argmax(flow))
-            rows.append((pdf.sensor_uid.iloc[0], regime, int(m.sum()), model, p.tolist(), r2, rmse, float(flow[at]), float(GRID[at]), float(p[0]), int(pdf.month.iloc[0])))
-            return float(flow[at] / GRID[at]), float(GRID[at]), float(p[0])
-
-        if (critical := add("full", np.ones(len(pdf), bool))) is not None:
-            for regime, m in regimes(v, density, *critical).items():
-                add(regime, m)
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in FD_SCHEMA.split(", ")])
-
-    return states.select("sensor_uid", "speed_mph", "flow_vph", "density_vpm", month.alias("month")).groupBy("sensor_uid", "month").applyInPandas(fit, FD_SCHEMA)
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for groups in _whole(batches, together):
+            full = [(key, "full", v, k, q) for key, (v, k, q) in groups if len(v) >= least]
+            rows = []
+
+            def add(sets: list[tuple]) -> list[tuple | None]:
+                found = []
+                for (key, regime, v, _, _), best in zip(sets, _best([(k, q) for *_, k, q in sets]), strict=True):
+                    found.append(best and _critical(best[1], best[2][0]))
+                    if best is not None:
+                        _, model, (p, r2, rmse) = best
+                        rows.append((key[0], regime, len(v), model, p.tolist(), r2, rmse, *found[-1], int(key[1])))  # noqa: B023
+                return found
+
+            parts = []
+            for (key, _, v, k, q), critical in zip(full, add(full), strict=True):
+                if critical is not None:
+                    capacity, k_c, v_f = critical
+                    parts += [(key, regime, v[m], k[m], q[m]) for regime, m in regimes(v, k, capacity / k_c, k_c, v_f).items() if m.sum() >= least]
+            add(parts)
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in FD_SCHEMA.split(", ")])
+
+    rows = states.select("sensor_uid", month.alias("month"), "density_vpm", "flow_vph", "speed_mph")
+    return rows.repartition("sensor_uid", "month").sortWithinPartitions("sensor_uid", "month").mapInPandas(fit, FD_SCHEMA)
 
 
 def bootstrap_diagrams(states: DataFrame, model: str = "S3", n_boot: int = 200, seed: int = 42) -> DataFrame:
