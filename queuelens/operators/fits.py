@@ -38,16 +38,17 @@ def _step(p: np.ndarray) -> np.ndarray:
 
 
 # The curves of ROBUST_MODELS for many fits at once: rows of densities and their logarithms, a column of each parameter. Beside
-# speeds they give slopes, worked out of the same powers: those of forward differences by _step (to its second order), which
+# speeds (the caller's to change) they give slopes, worked out of the same powers: those of forward differences by _step (to its second order), which
 # needs no further powers and has none of their noise. True slopes lead elsewhere where a fit ends at its last step.
 
 
 def _s3(k, log_k, vf, kc, m):
     x = log_k - np.log(kc)
-    u = np.exp(m * x)
-    b = u + 1
+    u = m * x
+    b = np.exp(u, out=u) + 1
     rest = np.log(b)
-    v = np.exp(-2 / m * rest)
+    v = -2 / m * rest
+    np.exp(v, out=v)
 
     def slopes():
         share, h = u / b, _step(kc)
@@ -79,7 +80,8 @@ def _newell(k, log_k, vf, kj, a):
 
 
 def _underwood(k, log_k, vf, kc):
-    e = np.exp(k / -kc)
+    e = k / -kc
+    np.exp(e, out=e)
 
     def slopes():
         h = _step(kc)
@@ -92,18 +94,18 @@ def _underwood(k, log_k, vf, kc):
 def _van_aerde(k, log_k, vf, kc, c1, c2):
     d = 1 + (c1 + c2 * k) * k
     x = np.maximum(1 - k / (4 * kc), 0) / d
-    v = vf * x
 
     def slopes():
-        s = -v * k
+        s = -vf * x * k
         return x, vf / (4 * kc * (kc + _step(kc))) * k * (x > 0) / d, s / (d + _step(c1) * k), s * k / (d + _step(c2) * k * k)
 
-    return v, slopes
+    return vf * x, slopes
 
 
 def _lcm(k, log_k, vf, kc, b):
     x = log_k - np.log(kc)
-    w = 1 / (1 + np.exp(b * x))
+    w = b * x
+    np.divide(1, np.add(np.exp(w, out=w), 1, out=w), out=w)
 
     def slopes():
         g, h = 1 - w, _step(kc)
@@ -120,7 +122,7 @@ def _inverse(a: np.ndarray) -> np.ndarray:
     """Inverses; of matrices that have none in doubles, those that least squares use."""
     try:
         out = np.linalg.inv(a)
-        near = ~(np.linalg.norm(a, axis=(1, 2)) * np.linalg.norm(out, axis=(1, 2)) < 1e13)
+        near = ~((a * a).sum(axis=(1, 2)) * (out * out).sum(axis=(1, 2)) < 1e26)
     except np.linalg.LinAlgError:
         out, near = np.empty_like(a), np.ones(len(a), bool)
     if near.any():
@@ -146,20 +148,20 @@ def _together(sets: list[tuple[np.ndarray, np.ndarray]], model: str, eps: float,
     a, g = np.zeros((shape[0], n, n)), np.zeros((shape[0], n))
     while True:
         v, slopes = curve(ks, log_k, *(new[:, i, None] for i in range(n)))
-        off = v - seen
-        size = np.abs(off * pull) + 1e-300
+        off = np.subtract(v, seen, out=v)
+        size = off * pull
+        size = np.add(np.abs(size, out=size), 1e-300, out=size)
         inner = np.minimum(size, eps)
         new_loss = np.vecdot(inner, size) - np.vecdot(inner, inner) / 2
         better = (new_loss < loss) | (taken < 0)
         if better.any():
-            every = better.all()
-            cells = [c if every else c[better] for c in (*slopes(), off)]
-            w = inner / size * pull2 if every else inner[better] / size[better] * pull2[better]
+            w = np.multiply(np.divide(inner, size, out=size), pull2, out=size)
+            cells = (*slopes(), off)
             for i in range(n):
-                weighted = cells[i] * w
-                g[better, i] = np.vecdot(weighted, cells[n])
+                weighted = np.multiply(cells[i], w, out=inner)
+                g[better, i] = np.vecdot(weighted, off)[better]
                 for j in range(i + 1):
-                    a[better, i, j] = a[better, j, i] = np.vecdot(weighted, cells[j])
+                    a[better, i, j] = a[better, j, i] = np.vecdot(weighted, cells[j])[better]
         still = better & (taken >= 0) & (np.abs(new - p).max(axis=1) <= 1e-7)
         p, loss, damp = np.where(better[:, None], new, p), np.where(better, new_loss, loss), np.where(better, damp / 3, damp * 4)
         taken, tries = taken + better, np.where(better, 0, tries + 1)
@@ -274,6 +276,7 @@ def fit_diagrams(states: DataFrame, least: int = 10, months: int = 1, together:
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in FD_SCHEMA.split(", ")])
 
     rows = states.select("sensor_uid", month.alias("month"), "density_vpm", "flow_vph", "speed_mph")
+    # Without a number of partitions, small ones are merged: more sensors take their steps together.
     return rows.repartition("sensor_uid", "month").sortWithinPartitions("sensor_uid", "month").mapInPandas(fit, FD_SCHEMA)
 
 
