@@ -38,8 +38,9 @@ def _step(p: np.ndarray) -> np.ndarray:
 
 
 # The curves of ROBUST_MODELS for many fits at once: rows of densities and their logarithms, a column of each parameter. Beside
-# speeds (the caller's to change) they give slopes, worked out of the same powers: those of forward differences by _step (to its second order), which
-# needs no further powers and has none of their noise. True slopes lead elsewhere where a fit ends at its last step.
+# speeds (the caller's to change) they give slopes, worked out of the same powers: those of forward differences by _step (to
+# its second order), which needs no further powers and has less of their noise. True slopes lead elsewhere where a fit ends at
+# its last step.
 
 
 def _s3(k, log_k, vf, kc, m):
@@ -275,7 +276,7 @@ def fit_diagrams(states: DataFrame, least: int = 10, months: int = 1, together:
             add(parts)
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in FD_SCHEMA.split(", ")])
 
-    rows = states.select("sensor_uid", month.alias("month"), "density_vpm", "flow_vph", "speed_mph")
+    rows = states.select("sensor_uid", F.coalesce(month, F.lit(0)).alias("month"), "density_vpm", "flow_vph", "speed_mph")
     # Without a number of partitions, small ones are merged: more sensors take their steps together.
     return rows.repartition("sensor_uid", "month").sortWithinPartitions("sensor_uid", "month").mapInPandas(fit, FD_SCHEMA)
 

@@ -72,3 +72,10 @@ def test_whole_months_leave_together():
             assert [(k, len(v[0])) for k, v in found] == [((None, 1), 3), (("a", 1), 4), (("a", 2), 5), (("b", 2), 2), (("c", 2), 1)]
             assert all((np.diff(v[0]) > 0).all() for _, v in found)
             assert len(lists) == {1: 5, 4: 3, 100: 1}[together]
+
+
+def test_rows_without_a_time_are_month_0(spark):
+    df = spark.createDataFrame(_rows("s", 60, 1), SCHEMA).selectExpr("*", "if(density_vpm < 60, timestamp'2024-01-05 00:00:00', null) as datetime")
+    got = {(r.month, r.n) for r in fits.fit_diagrams(df).where("regime = 'full'").collect()}
+    n = df.where("datetime is null").count()
+    assert got == {(0, n), (2024 * 12, 60 - n)}
