@@ -29,7 +29,10 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(uid.alias("sensor_uid"), number.alias("number"), ts.alias("ts"), days.alias("days"), "value", "event_id", "user_id")
     # Dealt out by sensor before the rows become twelve times as many: bins and each sensor's windows need no other shuffle.
     # A given number of partitions stays, while others are merged by the size that they have before.
-    df = events.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sensor_uid").withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("ts", F.expr("timestampadd(MINUTE, 5 * step, timestampadd(DAY, (days div 3) - days, ts))"))
+    # The twelve times of an event are a list, so that conditions on them don't work them out again; no time is twelve nulls.
+    df = events.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sensor_uid").withColumn("ts", F.expr("timestampadd(DAY, (days div 3) - days, ts)"))
+    times = F.expr("coalesce(sequence(ts, ts + interval 55 minutes, interval 5 minutes), array_repeat(cast(null as timestamp_ntz), 12))")
+    df = df.select("*", F.posexplode(times).alias("step", "at")).withColumn("ts", F.col("at"))
     n, day, weekend = F.col("number"), F.dayofmonth("ts"), F.weekday("ts") >= 5
     corridor, place = F.expr("number div 8"), n % 8
     hour = F.hour("ts") + F.minute("ts") / 60.0
@@ -65,9 +68,11 @@ def sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbers.select(F.concat(F.lit("C"), F.expr("number div 8").cast("string")).alias("corridor"), F.concat(F.lit("S"), F.lpad(n.cast("string"), 4, "0")).alias("sensor_uid"), (n % 8).cast("double").alias("road_order"))
 
 
-def states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("number")
-    return resampled(readings(spark, sf_dir)).select(
+def states(spark: SparkSession, sf_dir: str, only: Column | None = None) -> DataFrame:
+    """only: a condition on the readings' ts. It has to hold for all of a bin's readings or none: pushed down from the bins,
+    it would be worked out again for each reading, in code too long to be compiled."""
+    n, raw = F.col("number"), readings(spark, sf_dir)
+    return resampled(raw if only is None else raw.where(only)).select(
         "sensor_uid",
         "datetime",
         "speed_mph",

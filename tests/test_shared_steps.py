@@ -1,11 +1,12 @@
 """Steps that several operators read are written once: what is left of a query then reads no events."""
 
+import datetime
 import os
 
 import pytest
 
 from queuelens.operators import episodes
-from queuelens.plans import registry
+from queuelens.plans import registry, states
 
 DATA = "/root/testdata/sf0.001"
 
@@ -31,3 +32,20 @@ def test_places_of_the_periods_asked_for(spark):
     some = {(r.period, r.datetime): r.idx for r in episodes.sliced(rows, episodes.day_periods(), only).collect()}
     assert {p for p, _ in every} == {"AM", "MD", "PM", "MDPM"} and {p for p, _ in some} == {"AM", "MDPM"}
     assert some == {k: v for k, v in every.items() if k[0] in ("AM", "MDPM")}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables here")
+def test_whole_days_read_profiles_not_readings(spark):
+    """Of the events only the sensors' numbers are read again; readings of bins outside the profiles are left out at once."""
+    plan = registry.queries()["whole_day_models"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "explode(sequence" not in plan and "posexplode" not in plan
+
+
+def test_an_event_has_twelve_readings(spark, tmp_path):
+    """Five minutes apart from the event's time on, past midnight too; an event without a time has readings without one."""
+    rows = spark.sql("select id event_id, case id when 0 then timestamp_ntz'2024-01-04 23:31:07.25' end ts, id user_id, 1.0D value from range(2)")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = states.readings(spark, str(tmp_path)).select("user_id", "ts").collect()
+    begin = datetime.datetime(2024, 1, 2, 23, 31, 7, 250000)
+    assert sorted(r.ts for r in got if r.user_id == 0) == [begin + datetime.timedelta(minutes=5 * i) for i in range(12)]
+    assert [r.ts for r in got if r.user_id == 1] == [None] * 12
